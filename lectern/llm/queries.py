@@ -37,11 +37,29 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.url_filter import url_verdicts
+
+    return url_verdicts(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.packing import pack, piece_digests
 
     return piece_digests(pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_token_files, op7_near_dedup, op9_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.quality import quality_verdicts
+
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
+def _oracle_sql() -> dict[str, str]:
+    from lectern.llm.url_filter import oracle_sql
+
+    return {"op8_url_filter": oracle_sql()}
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op6_token_files, op7_near_dedup, op8_url_filter, op9_packing, op10_quality)}
+ORACLE_SQL = _oracle_sql()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm.common import new_path
 
@@ -17,12 +18,37 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.license_scan import license_notices
+
+    return license_notices(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.token_count import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.decontaminate import benchmark_leaks
+
+    return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pii import personal_data
+
+    found = personal_data(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.token_files import token_digests, write_token_files
 
@@ -61,5 +87,5 @@ def _oracle_sql() -> dict[str, str]:
     return {"op8_url_filter": oracle_sql()}
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_token_files, op7_near_dedup, op8_url_filter, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontaminate, op4_toxicity, op5_personal_data, op6_token_files, op7_near_dedup, op8_url_filter, op9_packing, op10_quality)}
 ORACLE_SQL = _oracle_sql()

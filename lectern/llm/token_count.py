@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import slices
 
 MARK = "▁"
-#: Bounds of tier one: documents that it is fitted on, entries, bytes of an entry. It takes about 3 MB at most.
-FIT_DOCS, TABLE_ENTRIES, ENTRY_BYTES = 2000, 32_768, 32
+#: Bounds of tier one: documents that it is fitted on, bytes of such a document, entries, bytes of an entry. It takes about
+#: 3 MB at most.
+FIT_DOCS, FIT_BYTES, TABLE_ENTRIES, ENTRY_BYTES = 2000, 16_384, 32_768, 32
 #: Bound of tier two in a worker. Longer pre-tokens are encoded each time.
 CACHE_ENTRIES, CACHED_CHARS = 300_000, 64
 
@@ -96,20 +97,14 @@ class Counts:
 
 
 def frequent_pretokens(docs: DataFrame, model: str, text_col: str = "text", fit_docs: int = FIT_DOCS, entries: int = TABLE_ENTRIES) -> dict[str, int]:
-    """Tier one: the most frequent pre-tokens of a bounded sample, counted where the sample lies."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    seen.update(w for w in text.split(" ") if w and MARK not in w)
-        top = [w for w, _ in seen.most_common(entries) if len(w.encode()) <= ENTRY_BYTES]
-        yield pa.RecordBatch.from_pydict({"pretoken": top, "n_tokens": Counts(model, {}).whole(top)}, schema=pa.schema([("pretoken", pa.string()), ("n_tokens", pa.int32())]))
-
-    sample = docs.select(F.col(text_col).alias("text")).where("text is not null").limit(fit_docs)
-    rows = sample.mapInArrow(count, "pretoken string, n_tokens int").limit(entries).collect()
-    return {r.pretoken: r.n_tokens for r in rows}
+    """Tier one: the most frequent pre-tokens of a bounded sample. Spark reads partitions until it has the sample."""
+    text = F.col(text_col).cast("string")
+    sample = docs.where(F.octet_length(text) <= FIT_BYTES).select(text.alias("text")).limit(fit_docs).collect()
+    seen: Counter = Counter()
+    for row in sample:
+        seen.update(w for w in row.text.split(" ") if w and MARK not in w)
+    top = [w for w, _ in seen.most_common(entries) if len(w.encode()) <= ENTRY_BYTES]
+    return dict(zip(top, Counts(model, {}).whole(top), strict=True))
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:

@@ -1,16 +1,26 @@
 """Token ids of texts by a ``tokenizers`` vocabulary whose pre-tokens never cross white space.
 
-Each worker keeps the ids of the white-space-free stretches it has met, as 32-bit little-endian bytes, so a text's ids
-are a join of cached bytes.  The ids are those that the library gives for the whole text.
+Each worker keeps the ids of the stretches between spaces that it has met, as 32-bit little-endian bytes, so a text's ids
+are a join of cached bytes.  A stretch that is new is cut into runs of letters and what lies between; only runs that
+are new as well go to the library, all in one call.  The ids are those that the library gives for the whole text.
+
+Texts of Latin-1 characters are lower-cased first, as the vocabulary's normaliser does for each character, so that a word
+is met once whatever its case; other texts keep their case for the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from itertools import filterfalse
 
 import numpy as np
 
-CACHE_ENTRIES, CACHED_CHARS = 250_000, 48
+CACHE_ENTRIES, CACHED_CHARS = 600_000, 48
+#: Runs of letters of Latin-1 in lower case; all else stays together. Contractions are not cut.
+_LETTERS = re.compile(r"[a-zªµºß-öø-ÿ]+|[^a-zªµºß-öø-ÿ]+")
+#: Stretches that may be cut: Latin-1 in lower case without apostrophes, marks of special tokens and the soft hyphen.
+_CUT = re.compile(rf"[!-&(-;=-@\[-~¡-¬®-¿ß-ÿ]{{2,{CACHED_CHARS}}}")
 _workers: dict = {}
 
 
@@ -40,26 +50,53 @@ class WordIds:
         raw, starts, ends = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), 4 * len(ids)]
         return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
+    def learn(self, words: set[str]) -> None:
+        """Put the words' ids into the cache."""
+        known = self.seen
+        cut: dict[str, list[str]] = {}
+        for w in words:
+            if w[-1:] in (",", ".") and w[:-1].isalpha() and max(w) <= "\xff":
+                cut[w] = [w[:-1], w[-1]]
+            elif not w.isalpha() and _CUT.fullmatch(w):
+                cut[w] = _LETTERS.findall(w)
+        new = [w for w in words if len(cut.get(w, ())) < 2]
+        new += {r for runs in cut.values() if len(runs) > 1 for r in runs if r not in known and r not in words}
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            known.update(zip(some, self.encode_words(some), strict=True))
+        for w, runs in cut.items():
+            if len(runs) > 1:
+                known[w] = b"".join([known[r] for r in runs])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
         words: set[str] = set()
         for p in parts:
             words.update(p)
-        missing = list(words - self.seen.keys())
-        long = {w for w in missing if len(w) > CACHED_CHARS}
+        missing = set(filterfalse(self.seen.__contains__, words))
         if len(self.seen) + len(missing) > CACHE_ENTRIES:
             self.seen = {}
-            missing = list(words)
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            self.seen.update(zip(some, self.encode_words(some), strict=True))
+            missing = words
+        if missing:
+            self.learn(missing)
         get = self.seen.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        for w in long:
-            self.seen.pop(w, None)
+        for w in missing:
+            if len(w) > CACHED_CHARS:
+                del self.seen[w]
         return out
 
 
+def _lowered(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def word_ids(path: str) -> WordIds:
     """This worker's encoder."""
     if path not in _workers:

@@ -29,7 +29,7 @@ from lectern.llm.hashing import U, text_bytes, word_hashes
 
 WINDOW, STRIDE = 32, 24
 WORDS, TRIGRAMS, EMBED, HIDDEN = 1 << 14, 1 << 13, 12, 10
-FIT_ROWS, FIT_CHARS, ROUNDS, BATCH, RATE = 3000, 3000, 14, 128, 0.01
+FIT_ROWS, FIT_CHARS, ROUNDS, BATCH, RATE, DROP = 3000, 3000, 16, 64, 0.01, 0.6
 SLICE_BYTES = 1 << 20
 _workers: dict = {}
 
@@ -119,13 +119,16 @@ class Network:
             trace.append((states, a, weight, pooled))
         return pooled @ self.p["wo"] + self.p["bo"][0]
 
-    def gradient(self, w: Windows, rows: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, w: Windows, rows: np.ndarray, target: np.ndarray, drop: np.random.Generator | None = None) -> dict[str, np.ndarray]:
         """Of the mean log loss of the windows in ``rows``."""
         h, p = HIDDEN, self.p
         used, place = np.unique(w.steps[rows], return_inverse=True)
         steps, mask, trace = place.reshape(len(rows), WINDOW), w.mask[rows], []
         part = _Part(w, used)
         x, px = self.inputs(part)
+        if drop is not None:  # words without their own embedding are read by their characters
+            x[drop.random(len(x)) < DROP, :EMBED] = 0
+            px = x @ p["wx"] + p["bx"]
         logit = self.run(steps, mask, px, trace)
         states, a, weight, pooled = trace.pop()
         d = ((_sigmoid(logit) - target) / len(rows)).astype(np.float32)
@@ -155,6 +158,7 @@ class Network:
             np.add.at(dpx, (steps[:, t], slice(k * 3 * h, (k + 1) * 3 * h)), np.concatenate([dz, dr, dn], axis=1))
         g["wx"], g["bx"] = x.T @ dpx, dpx.sum(axis=0)
         dx = dpx @ p["wx"].T
+        dx[~x[:, :EMBED].any(axis=1), :EMBED] = 0
         g["word"], g["tri"] = np.zeros_like(p["word"]), np.zeros_like(p["tri"])
         np.add.at(g["word"], part.word, dx[:, :EMBED])
         np.add.at(g["tri"], part.trigram, np.repeat(dx[:, EMBED:] / part.size[:, None], part.length, axis=0))
@@ -195,7 +199,7 @@ class Network:
                 docs = order[at : at + BATCH]
                 tick += 1
                 rate = RATE * (1 - ((1 - min(1, tick / 20)) if tick < 20 else 0)) * (0.3 if k >= rounds - 4 else 1)
-                for name, grad in self.gradient(w, row[docs], toxic[docs]).items():
+                for name, grad in self.gradient(w, row[docs], toxic[docs], r).items():
                     m, v = moment[name]
                     grad = np.clip(grad, -1, 1)
                     m += 0.1 * (grad - m)

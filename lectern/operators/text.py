@@ -93,9 +93,47 @@ def sentence_pause(sentence: Column) -> Column:
 
 
 def recognition_point(word: Column) -> Column:
-    """Letter to fix on: 0 for one letter, 1 for up to three, else at three tenths."""
-    n = F.length(word)
-    return F.when(n <= 1, 0).when(n <= 3, 1).otherwise(F.floor(n * 0.3)).cast("long")
+    """Letter to fix on, of letters, digits and underscores alone: 0 for one, 1 for up to five, else at three tenths."""
+    n = F.length(F.regexp_replace(word, "[^A-Za-z0-9_]", ""))
+    return F.when(n <= 1, 0).when(n <= 5, 1).otherwise(F.floor(n * 0.3)).cast("long")
+
+
+def sentence_tokens(docs: DataFrame) -> DataFrame:
+    """Sentences with offsets (code points, the white space after them included), words and pause; the rest without a mark has none."""
+    pieces = F.expr(r"""regexp_extract_all(coalesce(text, ''), '[^.!?]*[.!?]+["\'»]?\\s*|[^.!?]+', 0)""")
+    tokens = docs.select("doc_id", F.posexplode(pieces).alias("i", "piece"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.select("doc_id", "i", "piece", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("start"), trimmed(F.col("piece")).alias("text")).where("text <> ''")
+    rest = F.when(F.col("piece").rlike("[.!?]"), sentence_pause(F.col("text"))).otherwise(1.0)
+    return placed.select("doc_id", F.col("i").cast("long").alias("sentence"), "text", F.col("start").cast("long"), (F.col("start") + F.length("piece")).cast("long").alias("end"), word_count(F.col("text")).alias("words"), rest.alias("pause"))
+
+
+def chunks(docs: DataFrame, size: int, separator: str = "\n\n+") -> DataFrame:
+    """D3: runs of ``size`` words inside paragraphs; the last of a paragraph, but for the text's last paragraph, pauses 3.0 at least."""
+    raw = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), separator).alias("parts"))
+    parts = raw.select("doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("paragraph", "part")).select("doc_id", "n", "paragraph", split_words(F.col("part")).alias("words")).where("size(words) > 0")
+    cut = parts.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / size).cast("int"))).alias("k"))
+    own = cut.select("doc_id", "n", "paragraph", "k", F.slice("words", F.col("k") * size + 1, F.lit(size)).alias("own"), ((F.col("k") + 1) * size >= F.size("words")).alias("last"))
+    ends = F.col("last") & (F.col("paragraph") < F.col("n") - 1)
+    step = pause(F.element_at("own", -1))
+    return own.select("doc_id", F.col("paragraph").cast("long"), F.col("k").cast("long").alias("chunk"), F.array_join("own", " ").alias("text"), F.when(ends, F.greatest(step, F.lit(3.0))).otherwise(step).alias("pause"), ends.alias("paragraph_end"))
+
+
+def block_offsets(blocks: DataFrame) -> DataFrame:
+    """For each block (doc_id, block, content) its words and the words before it."""
+    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = blocks.select("doc_id", F.col("block").cast("long").alias("block"), word_count(F.col("content")).alias("words"))
+    return counted.select("*", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+
+
+def positions_at(targets: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Block and word at a number of words (doc_id, target), at most the last word; the start where there are no blocks."""
+    last = Window.partitionBy("doc_id").orderBy(F.desc("block"))
+    ends = offsets.withColumn("last", F.row_number().over(last) == 1).withColumnRenamed("doc_id", "owner")
+    inside = (F.col("target") >= F.col("start")) & ((F.col("target") < F.col("start") + F.col("words")) | F.col("last"))
+    joined = targets.join(ends, (F.col("doc_id") == F.col("owner")) & inside, "left")
+    word = F.least(F.col("target") - F.col("start"), F.greatest(F.col("words") - 1, F.lit(0)))
+    return joined.select("doc_id", "target", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce(word, F.lit(0)).alias("word"))
 
 
 def phrase_matches(docs: DataFrame, phrase: str) -> DataFrame:

@@ -44,15 +44,17 @@ def _markdown() -> str:
     return f"({' + '.join(f'{f}::int' for f in found)}) >= 2 or {found[0]} or {found[4]}"
 
 
+_PAUSE = f"""case when regexp_matches(word, '\\.{{2,}}$|…$') then 2.5 when regexp_matches(word, '[.!?]["''»]?$') then case when regexp_matches(word, '\\.["''»]?$') and {_SHORT.replace("W", '''regexp_replace(word, '["''»]+$', '')''')} then 1.0 when regexp_matches(word, '[?]["''»]?$') then 1.8 else 2.0 end
+when regexp_matches(word, '[)\\]]$') then 1.2 when regexp_matches(word, '["''»]$') and not regexp_matches(word, '^["''«]') then 1.3 when ends_with(word, ';') then 1.7 when ends_with(word, ':') then 1.6 when ends_with(word, ',') then case when {_TRANSITION.replace("W", "regexp_replace(word, ',$', '')")} then 1.7 else 1.5 end
+when regexp_matches(word, '[-–—]$') then 1.3 when {_TRANSITION.replace("W", "word")} then 1.2 else 1.0 end::double"""
+
 ORACLE_SQL = {
     "b01_paragraphs": "select doc_id, unnest(range(len(p))) as block, unnest(p) as content from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') as p from documents)",
     "b02_markdown": f"select doc_id, {_markdown()} as markdown from documents",
     "d01_word_tokens": "with p as (select doc_id, regexp_extract_all(text, '[^\\s]+|\\s+') as p from documents), u as (select doc_id, unnest(range(len(p))) as i, unnest(p) as piece from p), o as (select doc_id, i, piece, coalesce(sum(length(piece)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from u) select doc_id, row_number() over (partition by doc_id order by i) - 1 as word, piece as text, start, start + length(piece) as end from o where not regexp_matches(piece, '^\\s')",
     "d04_word_count": "select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as words from documents",
-    "d06_pauses": f"""with {_WORDS} select word, case when regexp_matches(word, '\\.{{2,}}$|…$') then 2.5 when regexp_matches(word, '[.!?]["''»]?$') then case when regexp_matches(word, '\\.["''»]?$') and {_SHORT.replace("W", '''regexp_replace(word, '["''»]+$', '')''')} then 1.0 when regexp_matches(word, '[?]["''»]?$') then 1.8 else 2.0 end
-when regexp_matches(word, '[)\\]]$') then 1.2 when regexp_matches(word, '["''»]$') and not regexp_matches(word, '^["''«]') then 1.3 when ends_with(word, ';') then 1.7 when ends_with(word, ':') then 1.6 when ends_with(word, ',') then case when {_TRANSITION.replace("W", "regexp_replace(word, ',$', '')")} then 1.7 else 1.5 end
-when regexp_matches(word, '[-–—]$') then 1.3 when {_TRANSITION.replace("W", "word")} then 1.2 else 1.0 end::double as pause from words""",
+    "d06_pauses": f"with {_WORDS} select word, {_PAUSE} as pause from words",
     "d09_abbreviations": f"with {_WORDS} select word, {_SHORT.replace('W', 'word')} as abbreviation, regexp_replace(lower(word), '\\.$', '') in ({_LIST(D.TITLES)}) as title, {_TRANSITION.replace('W', 'word')} as transition from words",
-    "d10_recognition_point": f"with {_WORDS} select word, case when length(word) <= 1 then 0 when length(word) <= 3 then 1 else floor(length(word) * 0.3::double)::bigint end as point from words",
+    "d10_recognition_point": f"with {_WORDS}, n as (select word, length(regexp_replace(word, '[^A-Za-z0-9_]', '', 'g')) as n from words) select word, case when n <= 1 then 0 when n <= 5 then 1 else floor(n * 0.3::double)::bigint end as point from n",
     "f03_phrase_search": "with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as w from documents), u as (select doc_id, unnest(range(len(w))) as i, unnest(w) as a from w), l as (select *, lead(a) over (partition by doc_id order by i) as b from u) select doc_id, i as start_word, i + 1 as end_word from l where contains(a, 'of') and contains(b, 'the')",
 }

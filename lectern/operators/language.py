@@ -48,10 +48,9 @@ def letters(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, "[^a-zA-ZæøåÆØÅ]", ""))
 
 
-def syllables(word: Column, language: Column) -> Column:
-    """Syllables of a word: none without letters, one up to two letters, else of the table, else runs of vowels."""
-    w = letters(word)
-    latin = F.regexp_replace(w, "[^a-z]", "")
+def syllables(w: Column, language: Column, latin: Column | None = None) -> Column:
+    """Syllables of the letters ``w`` of a word: none without letters, one up to two letters, else of the table, else runs of vowels."""
+    latin = F.regexp_replace(w, "[^a-z]", "") if latin is None else latin
     english = F.when(F.length(latin) <= 2, 1).otherwise(F.greatest(F.lit(1), F.greatest(F.lit(1), F.regexp_count(latin, F.lit("[aeiouy]+"))) - latin.rlike(SILENT).cast("int")))
     norwegian = F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouyæøå]+")))
     out = F.when(F.length(w) == 0, 0).when(F.length(w) <= 2, 1)
@@ -61,10 +60,18 @@ def syllables(word: Column, language: Column) -> Column:
     return out.when(language == "no", norwegian).otherwise(english).cast("long")
 
 
-def is_complex(word: Column, language: Column) -> Column:
-    """Three syllables or more, also without ed, es and ing."""
-    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(letters(word), "ed$", ""), "es$", ""), "ing$", "")
-    return (F.length(letters(word)) >= 3) & (syllables(word, language) >= 3) & (syllables(stem, language) >= 3)
+def spelled(words: DataFrame) -> DataFrame:
+    """Adds letters, tier_letters (their number), latin and syllables to words (word, language), each worked out once."""
+    out = words.withColumns({"letters": letters(F.col("word")), "tier_letters": F.length(F.regexp_replace(F.lower("word"), f"[^{TIER_LETTERS}]", ""))})
+    out = out.withColumn("latin", F.regexp_replace("letters", "[^a-z]", ""))
+    return out.withColumn("syllables", syllables(F.col("letters"), F.col("language"), F.col("latin")))
+
+
+def is_complex() -> Column:
+    """E6, of spelled words: three syllables or more, also without ed, es and ing."""
+    w = F.col("letters")
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "ed$", ""), "es$", ""), "ing$", "")
+    return (F.length(w) >= 3) & (F.col("syllables") >= 3) & (syllables(stem, F.col("language")) >= 3)
 
 
 def language_of(text: Column) -> Column:
@@ -89,18 +96,18 @@ def timing_words(text: Column) -> Column:
     return word_count(text) + F.regexp_count(F.coalesce(text, F.lit("")), F.lit(HYPHEN))
 
 
-def complexity(word: Column, language: Column) -> Column:
-    """0 to 1, by letters and syllables."""
-    n, s = F.length(letters(word)), syllables(word, language)
+def complexity() -> Column:
+    """D11, of spelled words: 0 to 1, by letters and syllables."""
+    n, s = F.length("letters"), F.col("syllables")
     by_length, by_sound = F.least(F.lit(1.0), (n - 3) / F.lit(9.0)), F.least(F.lit(1.0), (s - 1) / F.lit(3.0))
     return F.when(n <= 2, 0.0).when(n <= 3, 0.1).otherwise(by_length * F.lit(0.4) + by_sound * F.lit(0.6))
 
 
-def tier(word: Column, language: Column) -> Column:
-    """Complexity tier, 1 to 5; 3 without letters."""
-    n, s = F.length(F.regexp_replace(F.lower(word), f"[^{TIER_LETTERS}]", "")), syllables(word, language)
+def tier() -> Column:
+    """D12, of spelled words: complexity tier, 1 to 5; 3 without letters."""
+    n = F.col("tier_letters")
     by_length = F.when(n <= 2, 1).when(n <= 4, 2).when(n <= 7, 3).when(n <= 10, 4).otherwise(5)
-    by_sound = F.least(F.greatest(s, F.lit(1)), F.lit(5))
+    by_sound = F.least(F.greatest(F.col("syllables"), F.lit(1)), F.lit(5))
     return F.when(n == 0, 3).otherwise(F.floor((by_length * 7 + by_sound * 3 + 5) / F.lit(10.0))).cast("long")
 
 
@@ -108,12 +115,12 @@ def speed(tiers: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SPEED)), tiers.cast("int"))
 
 
-def word_duration(word: Column, language: Column, wpm: int, adaptive: bool = True, pauses: bool = True) -> Column:
-    """Milliseconds of a word, 80 at least."""
-    out = F.lit(60000.0 / wpm) * (1 + F.regexp_count(word, F.lit(HYPHEN)))
+def word_duration(wpm: int, adaptive: bool = True, pauses: bool = True) -> Column:
+    """D13, of spelled words: milliseconds of a word, 80 at least."""
+    out = F.lit(60000.0 / wpm) * (1 + F.regexp_count("word", F.lit(HYPHEN)))
     if adaptive:
-        out = out * ((F.lit(0.7) + complexity(word, language) * F.lit(0.6)) * F.lit(0.4) + speed(tier(word, language)) * F.lit(0.6))
-    return F.greatest(F.lit(80.0), out * pause(word) if pauses else out)
+        out = out * ((F.lit(0.7) + complexity() * F.lit(0.6)) * F.lit(0.4) + speed(tier()) * F.lit(0.6))
+    return F.greatest(F.lit(80.0), out * pause(F.col("word")) if pauses else out)
 
 
 def language_words(docs: DataFrame, *keys: str) -> DataFrame:
@@ -124,7 +131,7 @@ def language_words(docs: DataFrame, *keys: str) -> DataFrame:
 
 def tier_counts(docs: DataFrame) -> DataFrame:
     """Words of each tier in each document."""
-    words = language_words(docs, "doc_id").where("word is not null").select("doc_id", tier(F.col("word"), F.col("language")).alias("tier"))
+    words = spelled(language_words(docs, "doc_id").where("word is not null")).select("doc_id", tier().alias("tier"))
     return words.groupBy("doc_id").agg(*(F.count_if(F.col("tier") == t).alias(f"tier_{t}") for t in range(1, 6)))
 
 
@@ -135,8 +142,8 @@ def _tenth(x: Column, unit: float = 10.0) -> Column:
 def readability(docs: DataFrame, *keys: str) -> DataFrame:
     """Sums and indices of each group of the keys (a document, or a block of it)."""
     keys = keys or ("doc_id",)
-    word, language = F.col("word"), F.col("language")
-    sums = language_words(docs, *keys).groupBy(*keys, "language", "sentences").agg(F.count("word").alias("words"), F.sum(F.coalesce(syllables(word, language), F.lit(0))).alias("syllables"), F.count_if(is_complex(word, language)).alias("complex_words"))
+    words = spelled(language_words(docs, *keys)).withColumn("complex", is_complex())
+    sums = words.groupBy(*keys, "language", "sentences").agg(F.count("word").alias("words"), F.coalesce(F.sum("syllables"), F.lit(0)).alias("syllables"), F.count_if("complex").alias("complex_words"))
     per_sentence, per_word, share = ratio(F.col("words"), F.col("sentences")), ratio(F.col("syllables"), F.col("words")), ratio(F.col("complex_words"), F.col("words")) * F.lit(100.0)
     ease = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(206.835) - F.lit(1.015) * per_sentence - F.lit(84.6) * per_word))
     grade = F.greatest(F.lit(0.0), F.lit(0.39) * per_sentence + F.lit(11.8) * per_word - F.lit(15.59))

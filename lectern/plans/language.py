@@ -18,7 +18,7 @@ def _docs(s, d):
 
 def _vocabulary(s, d):
     """Distinct words of each language: rules of single words run once for each of them."""
-    return E.language_words(_docs(s, d), "doc_id").where("word is not null").select("word", "language").distinct()
+    return E.spelled(E.language_words(_docs(s, d), "doc_id").where("word is not null").select("word", "language").distinct())
 
 
 def _offsets(s, d):
@@ -29,25 +29,21 @@ def _paragraph_texts(s, d):
     return D.paragraphs(_docs(s, d), "\n+").select("doc_id", F.col("block").cast("long").alias("block"), F.col("content").alias("text"))
 
 
-def _word():
-    return F.col("word"), F.col("language")
-
-
 QUERIES = {
     "d02_sentence_tokens": lambda s, d: D.sentence_tokens(_docs(s, d)),
     "d03_chunks": lambda s, d: D.chunks(_docs(s, d), CHUNK, "\n+"),
     "d05_timing_words": lambda s, d: _docs(s, d).select("doc_id", E.timing_words(F.col("text")).alias("words")),
-    "d11_complexity": lambda s, d: _vocabulary(s, d).select("word", "language", E.complexity(*_word()).alias("complexity")),
-    "d12_word_tiers": lambda s, d: _vocabulary(s, d).select("word", "language", E.tier(*_word()).alias("tier")).select("*", E.speed(F.col("tier")).alias("speed"), (F.col("tier") <= 2).alias("common"), ((F.col("tier") - 1) / F.lit(4.0)).alias("difficulty")),
+    "d11_complexity": lambda s, d: _vocabulary(s, d).select("word", "language", E.complexity().alias("complexity")),
+    "d12_word_tiers": lambda s, d: _vocabulary(s, d).select("word", "language", E.tier().alias("tier")).select("*", E.speed(F.col("tier")).alias("speed"), (F.col("tier") <= 2).alias("common"), ((F.col("tier") - 1) / F.lit(4.0)).alias("difficulty")),
     "d12_tier_counts": lambda s, d: E.tier_counts(_docs(s, d)),
-    "d13_word_durations": lambda s, d: _vocabulary(s, d).select("word", "language", E.word_duration(*_word(), WPM).alias("ms")),
+    "d13_word_durations": lambda s, d: _vocabulary(s, d).select("word", "language", E.word_duration(WPM).alias("ms")),
     "d14_reading_minutes": lambda s, d: _docs(s, d).select("doc_id", (D.word_count(F.col("text")) / F.lit(float(WPM))).alias("minutes")),
     "d17_block_offsets": _offsets,
     "d18_positions": lambda s, d: D.positions_at(_docs(s, d).select("doc_id", (F.col("doc_id") * 13 % 400).alias("target")), _offsets(s, d)),
     "d19_chunk_index": lambda s, d: _offsets(s, d).select("doc_id", "block", F.floor(F.col("start") / CHUNK).cast("long").alias("chunk"), (F.floor(F.col("start") / CHUNK) * CHUNK).cast("long").alias("chunk_start")),
-    "e02_syllables": lambda s, d: _vocabulary(s, d).select("word", "language", E.syllables(*_word()).alias("syllables")),
+    "e02_syllables": lambda s, d: _vocabulary(s, d).select("word", "language", "syllables"),
     "e04_language": lambda s, d: _docs(s, d).select("doc_id", E.language_of(F.col("text")).alias("language")),
-    "e06_complex_words": lambda s, d: _vocabulary(s, d).select("word", "language", E.is_complex(*_word()).alias("complex")),
+    "e06_complex_words": lambda s, d: _vocabulary(s, d).select("word", "language", E.is_complex().alias("complex")),
     "e07_readability": lambda s, d: E.readability(_docs(s, d)),
     "e08_reading_levels": lambda s, d: E.described(E.readability(_docs(s, d)), WPM).select("doc_id", "description", "adjusted_wpm"),
     "e10_block_readability": lambda s, d: E.readability(_paragraph_texts(s, d), "doc_id", "block"),

@@ -62,3 +62,46 @@ def upserted(notes: DataFrame, changes: DataFrame) -> DataFrame:
     """Rows after changes (id, color, note, gone): gone rows go, given values replace, new ids join."""
     both = notes.select("id", "color", "note").join(changes.toDF("id", "new_color", "new_note", "gone"), "id", "full_outer")
     return both.where("not coalesce(gone, false)").select("id", F.coalesce("new_color", "color").alias("color"), F.coalesce("new_note", "note").alias("note"), F.when(F.coalesce("new_note", "note").isNotNull(), "note").otherwise("highlight").alias("type"))
+
+
+def with_items(notes: DataFrame, items: DataFrame) -> DataFrame:
+    """Annotations with title and type of their item (key, title, type, last_opened, id); of items with one key the last
+    opened wins, and annotations without an item stay."""
+    new = F.struct("last_opened", "id")
+    once = items.groupBy(F.col("key").alias("doc_key")).agg(F.max_by("title", new).alias("title"), F.max_by("type", new).alias("item_type"))
+    return notes.join(once, "doc_key", "left").select("id", "doc_key", "title", "item_type")
+
+
+def at_words(words: DataFrame, notes: DataFrame) -> DataFrame:
+    """The first annotation over each word (doc_key, block, word), blocks between its ends included; the join is on document
+    and block, with a range of words."""
+    spread = notes.select("doc_key", "id", "color", "start_block", "start_word", "end_block", "end_word", F.explode(F.sequence("start_block", "end_block")).alias("block"))
+    first = F.when(F.col("block") == F.col("start_block"), F.col("start_word")).otherwise(F.lit(0))
+    last = F.when(F.col("block") == F.col("end_block"), F.col("end_word"))
+    ranges = spread.select("doc_key", "block", "id", "color", "start_block", "start_word", first.alias("first"), last.alias("last"))
+    hit = words.join(ranges, ["doc_key", "block"]).where((F.col("word") >= F.col("first")) & (F.col("last").isNull() | (F.col("word") <= F.col("last"))))
+    order = F.struct("start_block", "start_word", "id", "color")
+    return hit.groupBy("doc_key", "block", "word").agg(F.min(order).alias("m"), F.count("*").alias("n")).select("doc_key", "block", "word", F.col("m.id").alias("id"), F.col("m.color").alias("color"), "n")
+
+
+def import_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A10: of each document the annotations (doc_key, text) that a merging import adds, and those that it skips because the
+    document, or an earlier row of the import, has the same text."""
+    batch = incoming.groupBy("doc_key", "text").agg(F.count("*").alias("n"))
+    known = existing.select("doc_key", "text", F.lit(1).alias("known")).distinct()
+    j = batch.join(known, ["doc_key", "text"], "left")
+    return j.groupBy("doc_key").agg(F.count_if(F.col("known").isNull()).alias("imported"), F.sum(F.when(F.col("known").isNull(), F.col("n") - 1).otherwise(F.col("n"))).alias("skipped"))
+
+
+def exported_lines(notes: DataFrame) -> DataFrame:
+    """One numbered Markdown line for each annotation of a document, in the order of positions."""
+    order = Window.partitionBy("doc_key").orderBy("start_block", "start_word", "id")
+    number = F.row_number().over(order).cast("string")
+    mark = F.when(F.col("favorite"), F.lit(" *")).otherwise(F.lit(""))
+    return notes.select("doc_key", "id", F.concat(number, F.lit(". **"), F.col("color"), F.lit("**"), mark, F.coalesce(F.concat(F.lit(": "), F.col("note")), F.lit(""))).alias("line"))
+
+
+def tag_suggestions(notes: DataFrame, typed: str, used: tuple[str, ...] = (), top: int = 5) -> DataFrame:
+    """F8: the ``top`` most frequent tags that contain what is typed and are not used yet; the limit is the feature."""
+    tags = notes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return tags.where(F.lower("tag").contains(typed.lower()) & ~F.col("tag").isin(*used, "")).orderBy(F.desc("n"), "tag").limit(top)

@@ -69,3 +69,29 @@ def deduplicated(items: DataFrame) -> DataFrame:
 def duplicates_removed(items: DataFrame) -> DataFrame:
     """Rows that deduplication takes away, for each user."""
     return deduplicated(items).groupBy("user_id").agg(F.sum(F.col("merged_rows") - 1).alias("removed"))
+
+
+def _codes(text: Column) -> Column:
+    """Code points of a text; none for empty text."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+
+
+def _int32(x: Column) -> Column:
+    """A long wrapped to the range of 32-bit signed integers."""
+    return F.pmod(x + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
+
+
+def string_hash(text: Column) -> Column:
+    """32-bit hash by factors of 31 over code points, without sign, in base 36."""
+    return F.lower(F.conv(F.abs(F.aggregate(_codes(text), F.lit(0).cast("long"), lambda h, c: _int32(h * 31 + c))).cast("string"), 10, 36))
+
+
+def text_hash(text: Column) -> Column:
+    """Two 32-bit hashes by factors of 33 and exclusive or over code points, together as 16 hexadecimal digits."""
+    one, two = (F.abs(F.aggregate(_codes(text), F.lit(seed).cast("long"), lambda h, c: _int32(h * 33).bitwiseXOR(c))) for seed in (5381, 52711))
+    return F.lpad(F.lower(F.hex(one * 4096 + two)), 16, "0")
+
+
+def stable_id(type_: Column, file_hash: Column, url: Column, pasted: Column) -> Column:
+    """Id of an item by its file, else its URL, else its pasted text."""
+    return F.coalesce(F.concat(F.lit("file_"), type_, F.lit("_"), file_hash), F.concat(F.lit("web_"), string_hash(normalised_url(url))), F.concat(F.lit("paste_"), text_hash(pasted)))

@@ -130,3 +130,55 @@ def without_collection(items: DataFrame, collection: str) -> DataFrame:
     """Items after a collection is deleted; an empty list is null."""
     left = F.array_remove("collection_ids", collection)
     return items.select("id", F.when(F.size(left) > 0, F.array_join(F.array_sort(left), ",")).alias("collections"))
+
+
+def cache_stats(items: DataFrame) -> DataFrame:
+    """Each user's items, those with cached content (column cached), and candidates for caching."""
+    wanted = next_to_read(items.where("not cached")).groupBy("user_id").agg(F.count("*").alias("candidates"))
+    n = items.groupBy("user_id").agg(F.count("*").alias("items"), F.count_if("cached").alias("cached_items"))
+    return n.join(wanted, "user_id", "left").select("user_id", "items", "cached_items", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+def book_progress(positions: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Percent and label of positions (book, chapter, block, blocks) by the words of the chapters (book, chapter, words);
+    books of one chapter or no words go by blocks."""
+    before = Window.partitionBy("book").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("book")
+    placed = chapters.select("book", "chapter", "words", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("earlier"), F.sum("words").over(whole).alias("total"), F.count("*").over(whole).alias("chapters"))
+    share = F.coalesce(F.try_divide((F.col("block") + 1).cast("double"), F.col("blocks").cast("double")), F.lit(0.0))
+    book = (F.col("chapters") > 1) & (F.col("total") > 0)
+    percent = F.floor(F.when(book, F.try_divide(F.col("earlier") + F.col("words") * share, F.col("total").cast("double"))).otherwise(share) * 100 + 0.5).cast("long")
+    out = positions.join(placed, ["book", "chapter"]).select("book", "chapter", "chapters", percent.alias("percent"))
+    label = F.when(F.col("chapters") > 1, F.concat(F.lit("Ch "), (F.col("chapter") + 1).cast("string"), F.lit(" of "), F.col("chapters").cast("string"), F.lit(" ("), F.col("percent").cast("string"), F.lit("%)")))
+    return out.select("book", "chapter", "percent", F.coalesce(label, F.concat(F.col("percent").cast("string"), F.lit("%"))).alias("label"))
+
+
+def touched(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """Items after changes (id, opened_at, new_block, new_percent); what a change leaves null stays."""
+    j = items.join(changes, "id", "left")
+    return j.select("id", "user_id", F.greatest("last_opened", "opened_at").alias("last_opened"), F.coalesce("new_block", "block").alias("block"), F.coalesce("new_percent", "percent").alias("percent"))
+
+
+def sync_status(type_: Column, cached: Column, url: Column, pasted: Column) -> Column:
+    """Files are synced with cached content, pages with a URL, pasted texts with their text."""
+    has = F.when(type_.isin("pdf", "epub", "mobi", "docx"), F.coalesce(cached, F.lit(False))).when(type_ == "web", F.coalesce(url, F.lit("")) != "").when(type_ == "paste", F.coalesce(pasted, F.lit("")) != "")
+    return F.when(has, "synced").when(~has, "not-synced").otherwise("not-applicable")
+
+
+def suggestions(items: DataFrame, query: str, top: int = 8) -> DataFrame:
+    """the first ``top`` distinct titles, authors and sources of each user that contain the query; none under two characters.
+    The limit is the feature."""
+    q = query.strip().lower()
+    fields = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("kind"), F.col(c).alias("text")) for i, c in enumerate(("title", "author", "source_label"))))
+    rows = items.select("user_id", "id", "last_opened", F.explode(fields).alias("f")).where(F.lower("f.text").contains(q) & F.lit(len(q) >= 2))
+    order = F.struct(-F.unix_date("last_opened"), "id", "f.place")
+    once = rows.groupBy("user_id", F.col("f.text").alias("text")).agg(F.min(order).alias("first"), F.min_by("f.kind", order).alias("kind"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("first", "text")).cast("long")
+    return once.select("user_id", "kind", "text", rank.alias("place")).where(F.col("place") <= top)
+
+
+def collection_catalog(users: DataFrame, collections: DataFrame, defaults: tuple[str, ...]) -> DataFrame:
+    """I4: each user's collections (user_id, name), or the defaults where the user has none."""
+    own = collections.select("user_id", "name").distinct()
+    without = users.join(own, "user_id", "left_anti").select("user_id", F.explode(F.array(*map(F.lit, defaults))).alias("name"))
+    return own.unionByName(without)

@@ -57,3 +57,47 @@ def content_plan(content: DataFrame, manifest: DataFrame) -> DataFrame:
     """What to upload (content without an entry), to download (entry without content), or keep."""
     both = content.select("id", F.lit(True).alias("here")).join(manifest.select("id", F.lit(True).alias("there")), "id", "full_outer")
     return both.select("id", F.when(F.col("there").isNull(), "upload").when(F.col("here").isNull(), "download").otherwise("keep").alias("action"))
+
+
+def merged_membership(pairs: DataFrame) -> DataFrame:
+    """M3: collections of pairs (id, a, a_stamp, b, b_stamp): of the newer stamp, a on ties; one stamp alone wins; without stamps
+    both together. An empty list is null."""
+    a, b = F.col("a_stamp"), F.col("b_stamp")
+    none = F.array().cast("array<string>")
+    both = F.array_union(F.coalesce("a", none), F.coalesce("b", none))
+    chosen = F.when(a.isNotNull() & (b.isNull() | (a >= b)), F.col("a")).when(b.isNotNull(), F.col("b")).otherwise(both)
+    out = pairs.select("id", F.array_sort(chosen).alias("ids"), F.greatest(a, b).alias("stamp"))
+    return out.select("id", F.when(F.size("ids") > 0, F.array_join("ids", ",")).alias("collections"), "stamp")
+
+
+def merged_daily(sessions: DataFrame) -> DataFrame:
+    """Days of all replicas (sessions with a replica number): the greatest time and words of any replica, and the documents
+    of all together."""
+    own = sessions.groupBy("replica", "user_id", "day").agg(F.sum("duration_ms").alias("time_ms"), F.sum("words").alias("words"))
+    most = own.groupBy("user_id", "day").agg(F.max("time_ms").alias("time_ms"), F.max("words").alias("words"))
+    documents = sessions.groupBy("user_id", "day").agg(F.count_distinct("document_id").alias("opened"), F.count_distinct(F.when(F.col("completed"), F.col("document_id"))).alias("completed"))
+    return most.join(documents, ["user_id", "day"])
+
+
+def merged_hours(sessions: DataFrame) -> DataFrame:
+    """Hours of all replicas: the greatest time and sessions of any replica; hours without either are left out."""
+    own = sessions.groupBy("replica", "user_id", F.hour("ts").cast("long").alias("hour")).agg(F.sum("duration_ms").alias("time_ms"), F.count("*").alias("sessions"))
+    return own.groupBy("user_id", "hour").agg(F.max("time_ms").alias("time_ms"), F.max("sessions").alias("sessions"))
+
+
+def merged_wpm(history: DataFrame) -> DataFrame:
+    """Speed of each day from the replica with more sessions, the lower replica on ties."""
+    more = F.struct("sessions", -F.col("replica"))
+    return history.groupBy("user_id", "day").agg(F.max_by("avg_wpm", more).alias("avg_wpm"), F.max("sessions").alias("sessions"))
+
+
+def better_bests(bests: DataFrame) -> DataFrame:
+    """The better of the replicas' personal bests with its day, the lower replica on ties."""
+    by = lambda value, day: (F.max(value).alias(value), F.max_by(day, F.when(F.col(value).isNotNull(), F.struct(value, -F.col("replica")))).alias(day))
+    return bests.groupBy("user_id").agg(*by("longest_ms", "longest_day"), *by("fastest_wpm", "fastest_day"), *by("most_words", "most_words_day"))
+
+
+def applied(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Remote rows with the local cached content (column content), and the rows that only the local side has."""
+    kept = remote.drop("content").join(local.select("id", "content"), "id", "left")
+    return kept.unionByName(local.join(remote.select("id"), "id", "left_anti").select(*kept.columns))

@@ -212,3 +212,41 @@ def duration_label(ms: Column) -> Column:
     minutes = F.floor(ms / 60000.0).cast("long")
     hours, rest = F.floor(minutes / 60.0).cast("long"), minutes % 60
     return F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h "), rest.cast("string"), F.lit("m"))).otherwise(F.concat(minutes.cast("string"), F.lit("m")))
+
+
+def projections(sessions: DataFrame, daily: DataFrame, backlog: DataFrame, as_of: str) -> DataFrame:
+    """Hours, words and books of a year, days until the backlog (user_id, backlog) is read, and milestones; null where the
+    user's pace does not say."""
+    end = F.lit(as_of).cast("date")
+    lately = daily.where(F.col("day").between(F.date_sub(end, 89), end)).groupBy("user_id").agg(F.sum("completed").alias("recent"))
+    totals = lifetime_totals(daily).select("user_id", F.col("completed").alias("all_completed"), F.col("words").alias("all_words"))
+    j = rolling_averages(sessions, as_of).join(lately, "user_id", "left").join(totals, "user_id").join(backlog, "user_id", "left").na.fill(0, ["recent", "backlog"])
+    rate, words, minutes = F.col("recent") / F.lit(90.0), F.col("words_30"), F.col("minutes_30")
+    enough = F.col("recent") >= 3
+    per = lambda n, pace: F.when(pace > 0, round_half_up(F.try_divide(n.cast("double"), pace.cast("double"))))
+    return j.select(
+        "user_id", round_half_up(minutes * F.lit(365) / F.lit(60.0)).alias("hours_per_year"), (words * 365).alias("words_per_year"),
+        F.when(enough, round_half_up(rate * 365)).otherwise(round_half_up(words * 365 / F.lit(50000.0))).alias("books_per_year"), F.when(enough, "completion-rate").otherwise("reading-pace").alias("based_on"),
+        F.when(minutes < 15, "low").when(enough, "high").otherwise("medium").alias("confidence"), per(F.col("backlog"), rate).alias("backlog_days"), per(F.lit(1), rate).alias("next_book_days"),
+        F.when(F.col("all_completed") < 100, per(F.lit(100) - F.col("all_completed"), rate)).alias("hundred_books_days"), F.when(F.col("all_words") < 1000000, per(F.lit(1000000) - F.col("all_words"), words)).alias("million_words_days"),
+    )
+
+
+def sparklines(series: DataFrame) -> DataFrame:
+    """Minutes of the days of a dense series, oldest first, comma-joined, and their greatest."""
+    minutes = round_half_up(F.col("time_ms") / 60000.0)
+    rows = series.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", minutes.alias("m")))).alias("rows"))
+    return rows.select("user_id", F.array_join(F.transform("rows", lambda r: r["m"].cast("string")), ",").alias("minutes"), F.array_max(F.transform("rows", lambda r: r["m"])).alias("most"))
+
+
+def habit_scores(kpis: DataFrame) -> DataFrame:
+    """Six scores up to 100 from current_streak, avg_wpm, minutes (a day), types, finish_rate and annotations; a row each."""
+    top = lambda c: F.least(F.lit(100), c).cast("long")
+    share = lambda c, full: top(round_half_up(F.col(c) / F.lit(float(full)) * 100))
+    scores = {"Consistency": top(F.col("current_streak") * 10), "Speed": share("avg_wpm", 400), "Volume": share("minutes", 60), "Variety": top(F.col("types") * 25), "Completion": F.col("finish_rate").cast("long"), "Engagement": share("annotations", 50)}
+    return kpis.select("user_id", F.explode(F.array(*(F.struct(F.lit(k).alias("habit"), v.alias("score")) for k, v in scores.items()))).alias("s")).select("user_id", "s.habit", "s.score")
+
+
+def current_goals(changes: DataFrame) -> DataFrame:
+    """The newest goal of each user from changes (user_id, ts, event_id, daily_minutes)."""
+    return changes.groupBy("user_id").agg(F.max_by("daily_minutes", F.struct("ts", "event_id")).alias("daily_minutes"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.plans import corpus, language, library, statistics
+from lectern.plans import corpus, devices, language, library, statistics
 
-_PARTS = (statistics, library, corpus, language)
+_PARTS = (statistics, library, corpus, language, devices)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -21,7 +21,12 @@ def words_read(duration_ms, wpm):
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading sessions of 5 s and more: event_id, user_id, ts, day, duration_ms, document_id, completed, wpm, words."""
-    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "purchase"))
+    return sessions_of(table(spark, sf_dir, "events"))
+
+
+def sessions_of(rows: DataFrame) -> DataFrame:
+    """The sessions among events, of a table or a stream."""
+    events = rows.where(F.col("event_type").isin("view", "click", "purchase"))
     out = events.select(
         "event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.floor(F.col("value") * 1000).cast("long").alias("duration_ms"),
         F.get_json_object("props", "$.k").cast("long").alias("document_id"), (F.col("event_type") == "purchase").alias("completed"), (F.lit(150) + F.col("event_id") % 250).alias("wpm"),

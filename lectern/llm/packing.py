@@ -1,13 +1,20 @@
 """Operator 9: packing by lexical retrieval.
 
-Documents are dealt by a hash into shards of about ``SHARD_DOCS`` documents.  A shard has a BM25 inverted index over its
-documents' token ids.  A seed document opens a window; the index ranks the unused documents by their BM25 score for the
+Documents are dealt by content into shards of about ``SHARD_DOCS`` documents.  Document frequencies and the mean length are
+counted over the whole corpus.  A document's BM25 weights, projected to ``AXES`` random axes, go down a binary tree that is
+grown on a sample: a node is cut across the axis between its two means, in the widest gap of its middle, until a leaf has
+at most ``SHARD_DOCS`` documents.  So documents of like content meet, but a neighbour that a cut parts from its seed is not
+found, and there are more cuts in a larger corpus (README: recall at two sizes).  Only a leaf that no axis can cut, of
+equal vectors, is dealt by a hash.
+
+A shard has a BM25 inverted index over its documents' token ids, with the corpus's frequencies.  A seed document opens a window; the index ranks the unused documents by their BM25 score for the
 seed's terms, and they fill the window in that order.  The document that meets the window's end is cut there; its rest
 opens the next window and is the next seed.  The last window of a shard is cut into lengths that are powers of two,
 which need no padding.
 
 Every id of every document lies in exactly one piece.  A shard holds the ids of its documents only, so memory is bounded
-by the shard's size whatever the corpus; the number of shards grows with the corpus.
+by the shard's size whatever the corpus; the number of shards grows with the corpus.  The tree's sample is every document
+of up to ``SAMPLE``, else ``LEAF_SAMPLE`` for each shard: half a byte of the driver for each axis and 64 documents.
 
 Edge cases: a null or empty text is packed as its end id alone; repeated rows are packed each; null ids keep their rows;
 a document longer than a window fills windows of its own and its rest is packed with others; an empty table gives no
@@ -25,16 +32,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import slices
+from lectern.llm.common import materialised, slices
 from lectern.llm.word_ids import word_ids
 
 WINDOW, SHARD_DOCS, K1, B = 4096, 512, 1.2, 0.75
+AXES, SAMPLE, LEAF_SAMPLE = 64, 8192, 16
+_workers: dict = {}
+
+
+class Corpus:
+    """Number of documents, mean length and the document frequency of each term, over the whole corpus."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray) -> None:
+        self.n, self.mean, self.df = n, mean, df
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[terms]
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+    def vectors(self, raw: list[bytes]) -> np.ndarray:
+        """Unit vectors (documents, AXES) of the BM25 weights on random axes; no document is empty."""
+        doc, term, tf, length = postings(raw)
+        weight = self.idf(term) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, self.mean)))
+        axes = _axes(len(self.df))[term] * weight[:, None].astype(np.float32)
+        out = np.add.reduceat(axes, np.searchsorted(doc, np.arange(len(raw))), axis=0) if raw else np.empty((0, AXES), np.float32)
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1)), 1e-9)[:, None]
+
+
+def _axes(terms: int) -> np.ndarray:
+    if terms not in _workers:
+        _workers.clear()
+        _workers[terms] = np.random.default_rng(9).standard_normal((terms, AXES), np.float32)
+    return _workers[terms]
+
+
+def postings(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and frequency of each posting, by document, and the documents' lengths."""
+    length = np.array([len(x) // 4 for x in raw], np.int64)
+    both = np.repeat(np.arange(len(raw)) << 32, length) | np.frombuffer(b"".join(raw), "<u4")
+    both, tf = np.unique(both, return_counts=True)
+    return both >> 32, both & 0xFFFFFFFF, tf, length
+
+
+class Tree:
+    """Deals vectors to shards: cuts of the sample's vectors, each of which stands for ``each`` documents."""
+
+    def __init__(self, sample: np.ndarray, each: float, limit: int) -> None:
+        axis, cut, below, above, parts, todo = [], [], [], [], [], [(np.arange(len(sample)), -1, False)]
+        while todo:  # a branch is the number of a node, or -1 - the number of a leaf
+            rows, parent, side = todo.pop()
+            found = self._cut(sample[rows]) if len(rows) * each > limit else None
+            if found is None:
+                name = -1 - len(parts)
+                parts.append(max(1, int(np.ceil(len(rows) * each / limit))))
+            else:
+                name = len(axis)
+                axis.append(found[0])
+                cut.append(found[1])
+                below.append(0)
+                above.append(0)
+                high = (sample[rows] * found[0]).sum(axis=1) > found[1]
+                todo += [(rows[~high], name, False), (rows[high], name, True)]
+            if parent >= 0:
+                (above if side else below)[parent] = name
+        self.axis, self.cut = np.array(axis, np.float32).reshape(-1, sample.shape[1]), np.array(cut, np.float32)
+        self.branch, self.parts = np.array([below, above], np.int64), np.array(parts, np.int64)
+        self.first = np.cumsum(self.parts) - self.parts
+
+    @staticmethod
+    def _cut(x: np.ndarray) -> tuple[np.ndarray, np.float32] | None:
+        """The axis between the two means, and the widest gap in the middle half; None where all are equal."""
+        a = x[np.argmax(((x - x.mean(axis=0)) ** 2).sum(axis=1))]
+        b = x[np.argmax(((x - a) ** 2).sum(axis=1))]
+        for _ in range(6):
+            near = ((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1)
+            if near.all() or not near.any():
+                break
+            a, b = x[near].mean(axis=0), x[~near].mean(axis=0)
+        axis = a - b
+        at = np.sort((x * axis).sum(axis=1))
+        gap = np.diff(at)
+        middle = gap[len(at) // 4 : max(len(at) // 4 + 1, 3 * len(at) // 4)]
+        k = len(at) // 4 + int(np.argmax(middle)) if len(middle) and middle.max() > 1e-6 else int(np.argmax(gap)) if len(gap) else -1
+        return (axis, np.float32((at[k] + at[k + 1]) / 2)) if k >= 0 and gap[k] > 1e-6 else None
+
+    def shard(self, vectors: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        node = np.full(len(vectors), 0 if len(self.cut) else -1)
+        while (open_ := np.flatnonzero(node >= 0)).size:
+            at = node[open_]
+            high = (vectors[open_] * self.axis[at]).sum(axis=1) > self.cut[at]
+            node[open_] = self.branch[high.astype(np.int64), at]
+        leaf = -1 - node
+        return self.first[leaf] + draw % self.parts[leaf]
 
 
 class Index:
     """BM25 postings of one shard: documents by term, with the weight of each posting."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
         n = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         term = np.concatenate([t for t, _ in found]) if n else np.empty(0, np.int64)
@@ -44,9 +139,10 @@ class Index:
         order = np.argsort(term, kind="stable")
         terms, at, df = np.unique(term[order], return_index=True, return_counts=True)
         length = np.array([len(d) for d in docs], float)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        idf = corpus.idf(terms) if corpus else np.log1p((n - df + 0.5) / (df + 0.5))
+        mean = corpus.mean if corpus else length.mean() if n else 1
         rank = np.searchsorted(terms, term)
-        weight = idf[rank] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, length.mean() if n else 1)))
+        weight = idf[rank] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, mean)))
         self.n, self.doc, self.weight = n, doc[order], weight[order].astype(np.float32)
         self.starts, self.ends = at, at + df
         self.terms_of = np.split(rank, np.cumsum(sizes)[:-1]) if n else []
@@ -116,34 +212,96 @@ def even_tail(pieces: list[tuple[int, int, int, int, int]], window: int) -> list
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row for each piece: id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
-    kind = docs.schema[id_col].dataType
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, draw, ids) of each row, written once: draw is a hash of id and text."""
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 raw = [x + end for x in word_ids(tokenizer).encode(part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], ["shard", "id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], ["id", "draw", "ids"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("draw"), text.alias("text"))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("draw", T.LongType()), T.StructField("ids", T.BinaryType())])
+    return materialised(read.mapInArrow(encode, schema), "packing-ids")
+
+
+def corpus_of(rows: DataFrame) -> Corpus:
+    """Counted over all rows; the driver gets one row for each term of the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for part in slices(batch):
+                _, term, _, length = postings(part.column(0).to_pylist())
+                more = np.bincount(term, minlength=len(df))
+                more[: len(df)] += df
+                df, n, total = more, n + len(length), total + int(length.sum())
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], term])), pa.array(np.concatenate([[n, total], df[term]]))], ["term", "n"])
+
+    found = rows.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    number = dict(zip(found["term"].tolist(), found["n"].tolist(), strict=True))
+    n, total = number.pop(-2, 0), number.pop(-1, 0)
+    df = np.zeros(max(number, default=-1) + 1, np.int64)
+    df[list(number)] = list(number.values())
+    return Corpus(n, total / max(1, n), df)
+
+
+def tree_of(rows: DataFrame, corpus: Corpus, shard_docs: int) -> Tree:
+    """Grown on a sample by hash over all partitions."""
+    share = min(1.0, max(SAMPLE, LEAF_SAMPLE * corpus.n / shard_docs) / max(1, corpus.n))
+    held = rows.sparkSession.sparkContext.broadcast(corpus)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                vectors = held.value.vectors(part.column(1).to_pylist()).astype("<f2")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in vectors], pa.binary())], ["draw", "vector"])
+
+    some = rows if share == 1 else rows.where(F.pmod(F.xxhash64("draw"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = some.select("draw", "ids").mapInArrow(project, "draw long, vector binary").toPandas().sort_values(["draw", "vector"])
+    vectors = np.frombuffer(b"".join(sample["vector"]), "<f2").reshape(-1, AXES).astype(np.float32)
+    return Tree(vectors, corpus.n / max(1, len(vectors)), shard_docs)
+
+
+def dealt(rows: DataFrame, corpus: Corpus, tree: Tree) -> DataFrame:
+    """(shard, id, ids)."""
+    held = rows.sparkSession.sparkContext.broadcast((corpus, tree))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                corpus, tree = held.value
+                shard = tree.shard(corpus.vectors(part.column(2).to_pylist()), part.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), part.column(2)], ["shard", "id", "ids"])
+
+    return rows.mapInArrow(deal, T.StructType([T.StructField("shard", T.LongType()), rows.schema["id"], rows.schema["ids"]]))
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """One row for each piece: id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
+    kind = docs.schema[id_col].dataType
+    rows = encoded(docs, tokenizer, end_id, id_col, text_col)
+    corpus = corpus_of(rows)
+    tree = tree_of(rows, corpus, shard_docs)
+    held = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def pack_shard(shard: pd.DataFrame) -> pd.DataFrame:
         number = int(shard["shard"].iloc[0])
         shard = shard.sort_values(["id", "ids"], kind="stable", na_position="first", ignore_index=True)
         raw = shard["ids"].tolist()
         lengths = np.array([len(x) // 4 for x in raw], np.int64)
-        pieces = even_tail(fill(lengths, Index([np.frombuffer(x, "<u4") for x in raw]), window), window)
+        pieces = even_tail(fill(lengths, Index([np.frombuffer(x, "<u4") for x in raw], held.value), window), window)
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
         ids = [raw[d][4 * a : 4 * (a + n)] for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
         return pd.DataFrame({"id": shard["id"].to_numpy()[doc], "start": start, "length": length, "ids": ids, "doc_tokens": lengths[doc], "sequence_id": (number << 32) + sequence, "offset": offset})
 
-    shards = max(1, -(-docs.count() // shard_docs))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(shards)).alias("shard"), F.col(id_col).alias("id"), text.alias("text"))
-    encoded = dealt.mapInArrow(encode, T.StructType([T.StructField("shard", T.LongType()), T.StructField("id", kind), T.StructField("ids", T.BinaryType())]))
     long = [T.StructField(c, T.LongType()) for c in ("start", "length")]
     schema = T.StructType([T.StructField("id", kind), *long, T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "sequence_id", "offset"))])
-    return encoded.groupBy("shard").applyInPandas(pack_shard, schema).withColumnRenamed("id", id_col)
+    return dealt(rows, corpus, tree).groupBy("shard").applyInPandas(pack_shard, schema).withColumnRenamed("id", id_col)
 
 
 def piece_digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Operators 2, 6 and 9 against the libraries on whole texts."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lectern.llm.packing import Index, even_tail, fill, pack, piece_digests
+from lectern.llm.packing import Index, corpus_of, dealt, encoded, even_tail, fill, pack, piece_digests, tree_of
 from lectern.llm.token_count import Counts, token_counts
 from lectern.llm.token_files import read_tokens, token_digests, token_index, write_token_files
 from lectern.llm.word_ids import WordIds
@@ -132,3 +132,18 @@ def test_fill_covers(lengths):
         assert p[4] == total[p[3]]
         total[p[3]] += p[2]
     assert all(n & (n - 1) == 0 and n <= 256 for n in total.values())
+
+
+def test_neighbours_meet_in_shards(spark, empty_docs):
+    """Documents of one topic, far apart in the table, are dealt to one shard, with frequencies of the whole corpus."""
+    rng = np.random.default_rng(5)
+    words = [[f"{chr(97 + t)}{chr(97 + k % 26)}{chr(97 + k // 26)}{'oeaiu'[k % 5]}{chr(97 + t)}" for k in range(60)] for t in range(16)]
+    rows = [(i, " ".join(rng.choice(words[i % 16], 40)), None, None, None) for i in range(960)]
+    docs = encoded(spark.createDataFrame(rows, empty_docs.schema).repartition(4), WORDS, 2)
+    corpus = corpus_of(docs)
+    assert corpus.n == 960 and corpus.df[2] == 960 and abs(corpus.mean - sum(len(x) + 1 for x in whole_ids([r[1] for r in rows])) / 960) < 1e-9
+    topics = defaultdict(Counter)
+    for r in dealt(docs, corpus, tree_of(docs, corpus, 70)).select("shard", "id").collect():
+        topics[r.shard][r.id % 16] += 1
+    assert max(sum(c.values()) for c in topics.values()) <= 70
+    assert sum(c.most_common(1)[0][1] for c in topics.values()) >= 0.9 * 960

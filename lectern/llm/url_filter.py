@@ -13,7 +13,8 @@ The tree has a root for each host.  Level by level, from the left, a path segmen
 * what follows ``DEPTH`` segments is one segment.
 
 A leaf is a template.  Its purity is (blocked + PRIOR_WEIGHT * p) / (labelled + PRIOR_WEIGHT), p being the blocked share
-of all labelled urls; a template of purity ``REJECT`` or more is rejected, so one without labels is not.
+of all labelled urls; a template is rejected where both its purity and its own blocked share, blocked / labelled, are
+``REJECT`` or more.  So one without labels is not, nor one that only p lifts: one hot host can set p for all.
 
 Urls are counted by host and generalised path before anything else, so a host with a third of all urls is a few rows.
 
@@ -87,9 +88,10 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     tree = template_tree(materialised(paths, "url-paths"))
     prior = tree.agg((F.sum("blocked") / F.nullif(F.sum("labelled").cast("double"), F.lit(0.0))).alias("p")).first()[0] or 0.0
     leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    judged = leaves.select("host", "template", ((F.col("blocked") + F.lit(PRIOR_WEIGHT * prior)) / (F.col("labelled") + F.lit(PRIOR_WEIGHT))).alias("purity"))
-    placed = tree.join(judged, ["host", "template"]).select("host", "segments", "template", "purity")
-    method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
+    own = F.coalesce(F.col("blocked") / F.nullif(F.col("labelled").cast("double"), F.lit(0.0)) >= REJECT, F.lit(False))
+    judged = leaves.select("host", "template", own.alias("own"), ((F.col("blocked") + F.lit(PRIOR_WEIGHT * prior)) / (F.col("labelled") + F.lit(PRIOR_WEIGHT))).alias("purity"))
+    placed = tree.join(judged, ["host", "template"]).select("host", "segments", "template", "purity", "own")
+    method = F.when(F.col("own") & (F.col("purity") >= REJECT), "block").otherwise("allow")
     return parsed.join(placed, ["host", "segments"], "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", "purity")
 
 

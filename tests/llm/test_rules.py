@@ -83,6 +83,13 @@ def test_url_rules(spark):
     assert url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_hot_host_blocks_no_other(spark):
+    """A blocked host with most rows lifts the blocked share of all labels; pages that no rule names stay."""
+    urls = [f"https://hot.net/x/{i}" for i in range(190)] + [f"https://b.example.net/en/{i}" for i in range(10)] + [f"https://clean{i % 3}.io/a/{i}" for i in range(60)] + ["https://n.org/fr/1", "https://n.org/de/1", None]
+    rows = url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {r.page_id for r in rows if r.verdict == "block"} == set(range(190)) and len(rows) == len(urls)
+
+
 def statistics(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n = collections.Counter(zip(w, w[1:], w[2:], strict=False))

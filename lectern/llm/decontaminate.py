@@ -11,6 +11,10 @@ A benchmark item of L words leaks where a stretch of a text is within k = floor(
    candidates.  ``REPEATS`` follows from ``AGREE``, the share of equal steps at the edit bound, and ``RECALL``.
 4. Exact edit distance of the item to the stretch around the window confirms a candidate.
 
+An item of more than ``PART`` words is sought by its parts of at most ``PART`` words, as walks that have lost step stay apart
+in long windows and ``AGREE`` would not hold.  Under k edits one part of length P at least has floor(MOST_EDITS * P) edits at
+most (else there were more than k in all), so steps 1 to 3 hold for that part; step 4 is of the whole item.
+
 Words are runs of letters and digits, without case.  Items are taken in blocks of ``ITEM_BLOCK``, so what is broadcast has a
 bound; each block reads the texts once.
 
@@ -36,7 +40,7 @@ from lectern.llm.hashing import U, mixed, runs, word_hashes
 
 MOST_EDITS, SAMPLED, AGREE, RECALL = 0.2, 2, 0.35, 0.99
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
-ITEM_BLOCK, SLICE_BYTES, CHUNK = 5000, 1 << 20, 1024
+ITEM_BLOCK, PART, SLICE_BYTES, CHUNK = 5000, 60, 1 << 20, 1024
 _PAD = U(0)
 _workers: dict = {}
 
@@ -84,27 +88,30 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """The items' pieces, by length, and their keys, by number of words."""
+    """The items' parts as (item, place, words), the parts' pieces, by length, and their keys, by number of words."""
 
     def __init__(self, texts: list[str]) -> None:
         hashes, _, _, first = word_hashes(pa.array(texts, pa.large_string()), ascii_words=True)
         self.words = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.parts: list[tuple[int, int, np.ndarray]] = []
+        for i, w in enumerate(self.words):
+            cuts = np.linspace(0, len(w), -(-len(w) // PART) + 1).astype(int)
+            self.parts += [(i, int(a), w[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         pieces: dict[int, list] = {}
         by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(self.words):
-            if len(w):
-                by_length.setdefault(len(w), []).append(i)
-                cuts = np.linspace(0, len(w), bound(len(w)) + 2).astype(int)
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    pieces.setdefault(int(b - a), []).append((runs(w[a:b], int(b - a))[0], i, int(a)))
+        for i, (_, _, w) in enumerate(self.parts):
+            by_length.setdefault(len(w), []).append(i)
+            cuts = np.linspace(0, len(w), bound(len(w)) + 2).astype(int)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                pieces.setdefault(int(b - a), []).append((runs(w[a:b], int(b - a))[0], i, int(a)))
         self.pieces = {}
         for p, rows in pieces.items():
             rows.sort()
             value = np.array([r[0] for r in rows], U)
             low = np.zeros(1 << 20, bool)
             low[value & U((1 << 20) - 1)] = True
-            self.pieces[p] = (value, np.array([len(self.words[r[1]]) for r in rows]), np.array([r[2] for r in rows]), low)
-        self.keys = {n: (np.array(ids), keys(np.stack([self.words[i] for i in ids]))) for n, ids in by_length.items()}
+            self.pieces[p] = (value, np.array([len(self.parts[r[1]][2]) for r in rows]), np.array([r[2] for r in rows]), low)
+        self.keys = {n: (np.array(ids), keys(np.stack([self.parts[i][2] for i in ids]))) for n, ids in by_length.items()}
 
     def windows(self, words: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
         """By number of words: the starts of the windows around seeds."""
@@ -128,6 +135,7 @@ class Items:
         """(text, item, distance, first word, end word), the best place of each item in each text."""
         words, _, _, first = word_hashes(texts, ascii_words=True)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        begins: dict[tuple[int, int], set[int]] = {}
         for n, found in self.windows(words, first).items():
             ids, item_keys = self.keys[n]
             k = bound(n)
@@ -145,8 +153,12 @@ class Items:
                     lo, hi = np.searchsorted(sorted_keys, own[:, r], "left"), np.searchsorted(sorted_keys, own[:, r], "right")
                     for i in np.flatnonzero(hi > lo).tolist():
                         pairs.update((i, int(ids[order[r][x]])) for x in range(lo[i], hi[i]))
-                for i, item in sorted(pairs):
+                for i, part in sorted(pairs):
                     t, s = int(text[i]), int(start[i])
+                    item, offset, _ = self.parts[part]
+                    if n < len(self.words[item]):
+                        begins.setdefault((t, item), set()).add(s - offset)
+                        continue
                     if s - tested.get((t, item), -(1 << 60)) <= k and (t, item) in best and best[t, item][0] == 0:
                         continue
                     tested[t, item] = s
@@ -158,6 +170,18 @@ class Items:
                         a, b = a + lo_word, b + lo_word
                     if d <= k and (d, a - int(first[t])) < best.get((t, item), (1 << 60, 0, 0))[:2]:
                         best[t, item] = (d, a - int(first[t]), b - int(first[t]))
+        for (t, item), found in begins.items():
+            whole = self.words[item]
+            k, at = bound(len(whole)), np.array(sorted(found))
+            cuts = np.flatnonzero(np.diff(at) > len(whole) + 4 * k) + 1  # stretches that overlap are searched as one
+            for near in np.split(at, cuts):
+                lo_word, hi_word = max(int(first[t]), int(near[0]) - 2 * k), min(int(first[t + 1]), int(near[-1]) + len(whole) + 2 * k)
+                if np.isin(whole, words[lo_word:hi_word]).sum() < len(whole) - k:  # each missing word is an edit
+                    continue
+                d, a, b = nearest(whole, words[lo_word:hi_word])
+                a, b = a + lo_word - int(first[t]), b + lo_word - int(first[t])
+                if d <= k and (d, a) < best.get((t, item), (1 << 60, 0, 0))[:2]:
+                    best[t, item] = (d, a, b)
         return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,26 @@ def test_leaks_with_edits(spark, odd_docs, empty_docs):
     assert decontaminate.benchmark_leaks(odd_docs, none).collect() == [] and decontaminate.without_leaks(odd_docs, none).count() == odd_docs.count() and decontaminate.benchmark_leaks(empty_docs, known).collect() == []
 
 
+def test_leaks_of_long_items():
+    """Words inserted, deleted and replaced up to the bound, in items of 61 to 500 words."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [" ".join(rng.choices(vocabulary, k=n)) for n in (61, 100, 120, 180, 250, 500) for _ in range(10)]
+    docs, want = [], set()
+    for i, text in enumerate(items):
+        for kind in ("insert", "delete", "replace"):
+            w = text.split()
+            for at in sorted(rng.sample(range(len(w)), decontaminate.bound(len(w))), reverse=True):
+                w[at : at + 1] = {"insert": ["new", w[at]], "delete": [], "replace": ["new"]}[kind]
+            want.add((len(docs), i))
+            docs.append(" ".join(rng.choices(vocabulary, k=40) + w + rng.choices(vocabulary, k=40)))
+    docs += [" ".join(rng.choices(vocabulary, k=600)) for _ in range(10)] + [" ".join(x.split()[: len(x.split()) * 3 // 5]) for x in items]
+    rows = decontaminate.Items(items).matches(pa.array(docs))
+    found = {r[:2] for r in rows}
+    assert found <= want and len(found) >= decontaminate.RECALL * len(want)
+    assert all(r[2] <= decontaminate.bound(len(items[r[1]].split())) and 0 <= r[3] < r[4] for r in rows)
+
+
 def test_toxicity_held_out(spark, odd_docs, empty_docs):
     docs, labels = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity_scores(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").collect()

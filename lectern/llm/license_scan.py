@@ -1,12 +1,13 @@
 """Operator 1: license scan by patience alignment.
 
-A text's stretch around a template's key words (its three least common ones) is aligned with the template: words that occur
-once in both are anchors, the longest increasing subsequence of anchors is kept, and the gaps between them are aligned
+A text's stretch around a template's key words is aligned with the template.  These are its least common words, one more
+than ``COVERAGE`` lets be missing (``KEYS`` at least), each at all its places, so no stretch of that coverage lacks all of
+them.  Texts and stretches that lack more of the template's distinct words than that are not aligned.  Words that occur once in both are anchors, the longest increasing subsequence of anchors is kept, and the gaps between them are aligned
 in the same way, down to common first and last words.  Coverage is the share of the template's words that are aligned.  Of
 the stretches and templates that overlap, the one with the most aligned words is reported, if its coverage reaches
 ``COVERAGE``.
 
-Texts without any key word of any template are passed over where they are read; such texts cannot be reported.
+Texts without any key word of any template are passed over where they are read; such texts cannot reach ``COVERAGE``.
 
 Edge cases: null and empty texts give no rows; a license named several times is one row for each place; repeated rows give
 repeated results; an empty table gives no rows; other columns of the input are not read.
@@ -14,6 +15,7 @@ repeated results; an empty table gives no rows; other columns of the input are n
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -93,25 +95,36 @@ class Scanner:
     def __init__(self, templates: dict[str, str]) -> None:
         self.words = {name: tokens(t)[0] for name, t in templates.items()}
         uses = Counter(w for words in self.words.values() for w in set(words))
+        self.distinct = {name: set(words) for name, words in self.words.items()}
+        #: How many words of a template may be missing.
+        self.spare = {name: len(words) - math.ceil(COVERAGE * len(words)) for name, words in self.words.items()}
         common = Counter(w for words in self.words.values() for w in words)
         #: By key word: (template, place in it).
         self.keys: dict[str, list[tuple[str, int]]] = {}
         for name, words in self.words.items():
-            for w in sorted(set(words), key=lambda w: (uses[w], common[w], -len(w), w))[:KEYS]:
-                self.keys.setdefault(w, []).append((name, words.index(w)))
+            for w in sorted(set(words), key=lambda w: (uses[w], common[w], -len(w), w))[: max(KEYS, self.spare[name] + 1)]:
+                self.keys.setdefault(w, []).extend((name, i) for i, x in enumerate(words) if x == w)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, aligned words, start, end) of each notice, in order."""
         words, starts, ends = tokens(text)
+        have = set(words)
+        near = {name for name, own in self.distinct.items() if len(own - have) <= self.spare[name]}
+        if not near:
+            return []
         tried, found = set(), []
         for at, w in enumerate(words):
             for name, place in self.keys.get(w, ()):
+                if name not in near:
+                    continue
                 template = self.words[name]
                 slack = len(template) // 4 + 2
                 lo, hi = max(0, at - place - slack), min(len(words), at - place + len(template) + slack)
                 if (name, lo, hi) in tried:
                     continue
                 tried.add((name, lo, hi))
+                if len(self.distinct[name].difference(words[lo:hi])) > self.spare[name]:
+                    continue
                 pairs = align(words[lo:hi], template)
                 if len(pairs) >= COVERAGE * len(template):
                     first, last = lo + pairs[0][0], lo + pairs[-1][0]

@@ -1,20 +1,24 @@
 """Operator 9: packing by lexical retrieval.
 
-Documents are dealt by content into shards of about ``SHARD_DOCS`` documents.  Document frequencies and the mean length are
-counted over the whole corpus.  A document's BM25 weights, projected to ``AXES`` random axes, go down a binary tree that is
-grown on a sample: a node is cut across the axis between its two means, in the widest gap of its middle, until a leaf has
-at most ``SHARD_DOCS`` documents.  So documents of like content meet, but a neighbour that a cut parts from its seed is not
-found, and there are more cuts in a larger corpus (README: recall at two sizes).  Only a leaf that no axis can cut, of
-equal vectors, is dealt by a hash.
-
-A shard has a BM25 inverted index over its documents' token ids, with the corpus's frequencies.  A seed document opens a window; the index ranks the unused documents by their BM25 score for the
-seed's terms, and they fill the window in that order.  The document that meets the window's end is cut there; its rest
-opens the next window and is the next seed.  The last window of a shard is cut into lengths that are powers of two,
-which need no padding.
-
-Every id of every document lies in exactly one piece.  A shard holds the ids of its documents only, so memory is bounded
-by the shard's size whatever the corpus; the number of shards grows with the corpus.  The tree's sample is every document
-of up to ``SAMPLE``, else ``LEAF_SAMPLE`` for each shard: half a byte of the driver for each axis and 64 documents.
+Documents are put in an order of like content and cut into shards of about ``SHARD_DOCS`` documents.  Document frequencies and
+the mean length are counted over the whole corpus.  A document's BM25 weights are summed, with signs, into ``AXES`` sums by a
+hash of the term (a count sketch, which keeps cosines).  The order is by two codes of the sketch:
+
+* the leaf of a binary tree, grown on a sample of at most ``SAMPLE`` documents: a node is cut across the axis between its two
+  means, in the widest gap of its middle, until its documents fit in a shard or ``LEAF_SAMPLE`` of the sample are left;
+* within a leaf, the signs of the sketch about the sample's mean.
+
+A range shuffle by these codes and by a number of the row puts documents of like content side by side in any corpus, with nothing
+but the tree on the driver, and no key has more rows than a task may hold: equal documents are many ranges.  Each task cuts its
+ordered rows into shards, at the ends of leaves where it can.  A neighbour that a cut parts from its seed is not found, and a larger
+corpus has more cuts (README: recall at two sizes).
+
+A shard has a BM25 inverted index over its documents' token ids, with the corpus's frequencies.  A seed document opens a window; the
+index ranks the unused documents by their BM25 score for the seed's terms, and they fill the window in that order.  The document that
+meets the window's end is cut there; its rest opens the next window and is the next seed.  The last window of a shard is
+cut into lengths that are powers of two, which need no padding.
+
+Every id of every document lies in exactly one piece.  A task holds one shard, of ``SHARD_IDS`` ids or one document at most.
 
 Edge cases: a null or empty text is packed as its end id alone; repeated rows are packed each; null ids keep their rows;
 a document longer than a window fills windows of its own and its rest is packed with others; an empty table gives no
@@ -26,65 +30,69 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import materialised, slices
-from lectern.llm.word_ids import word_ids
+from lectern.llm.hashing import U, mixed
+from lectern.llm.word_ids import BATCH_ROWS, BLOCK, binary_ids, word_ids
 
-WINDOW, SHARD_DOCS, K1, B = 4096, 512, 1.2, 0.75
-AXES, SAMPLE, LEAF_SAMPLE = 64, 8192, 16
-_workers: dict = {}
+WINDOW, SHARD_DOCS, SHARD_IDS, K1, B = 4096, 512, 4 << 20, 1.2, 0.75
+AXES, SAMPLE, LEAF_SAMPLE = 128, 16_384, 8
 
 
 class Corpus:
     """Number of documents, mean length and the document frequency of each term, over the whole corpus."""
 
     def __init__(self, n: int, mean: float, df: np.ndarray) -> None:
-        self.n, self.mean, self.df = n, mean, df
-
-    def idf(self, terms: np.ndarray) -> np.ndarray:
-        df = self.df[terms]
-        return np.log1p((self.n - df + 0.5) / (df + 0.5))
-
-    def vectors(self, raw: list[bytes]) -> np.ndarray:
-        """Unit vectors (documents, AXES) of the BM25 weights on random axes; no document is empty."""
-        doc, term, tf, length = postings(raw)
-        weight = self.idf(term) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, self.mean)))
-        axes = _axes(len(self.df))[term] * weight[:, None].astype(np.float32)
-        out = np.add.reduceat(axes, np.searchsorted(doc, np.arange(len(raw))), axis=0) if raw else np.empty((0, AXES), np.float32)
+        self.n, self.mean = n, mean
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        draw = mixed(np.arange(1, len(df) + 1, dtype=U))
+        self.axis, self.sign = (draw % U(AXES)).astype(np.int64), np.where(draw >> U(63), 1, -1).astype(np.float32)
+
+    def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, self.mean)))
+
+    def sketches(self, ids: pa.Array) -> np.ndarray:
+        """Unit vectors (documents, AXES) of the BM25 weights."""
+        doc, term, tf, length = postings(*flat(ids))
+        weight = self.weights(doc, term, tf, length) * self.sign[term]
+        out = np.bincount(doc * AXES + self.axis[term], weight, len(length) * AXES).reshape(-1, AXES).astype(np.float32)
         return out / np.maximum(np.sqrt((out * out).sum(axis=1)), 1e-9)[:, None]
 
 
-def _axes(terms: int) -> np.ndarray:
-    if terms not in _workers:
-        _workers.clear()
-        _workers[terms] = np.random.default_rng(9).standard_normal((terms, AXES), np.float32)
-    return _workers[terms]
+def flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and the length of each document, from an Arrow binary of 32-bit integers."""
+    _, ends, data = ids.buffers()
+    at = np.frombuffer(ends, np.int32, len(ids) + 1, ids.offset * 4)
+    return np.frombuffer(data, "<u4", (at[-1] - at[0]) // 4, at[0]) if data is not None else np.empty(0, "<u4"), np.diff(at).astype(np.int64) // 4
 
 
-def postings(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def postings(ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, term and frequency of each posting, by document, and the documents' lengths."""
-    length = np.array([len(x) // 4 for x in raw], np.int64)
-    both = np.repeat(np.arange(len(raw)) << 32, length) | np.frombuffer(b"".join(raw), "<u4")
-    both, tf = np.unique(both, return_counts=True)
-    return both >> 32, both & 0xFFFFFFFF, tf, length
+    wide = np.uint64 if len(length) > 1 << 16 or (len(ids) and int(ids.max()) >> 16) else np.uint32
+    bits = wide(32 if wide is np.uint64 else 16)
+    both = np.repeat(np.arange(len(length), dtype=wide) << bits, length) | ids
+    both.sort()
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(both)), bool), both[1:] != both[:-1]]))
+    key = both[at]
+    doc = (key >> bits).astype(np.int64)
+    return doc, (key - (doc.astype(wide) << bits)).astype(np.int64), np.diff(np.append(at, len(both))), length
 
 
 class Tree:
-    """Deals vectors to shards: cuts of the sample's vectors, each of which stands for ``each`` documents."""
+    """Leaves of vectors: cuts of the sample's vectors, each of which stands for ``each`` documents."""
 
     def __init__(self, sample: np.ndarray, each: float, limit: int) -> None:
-        axis, cut, below, above, parts, todo = [], [], [], [], [], [(np.arange(len(sample)), -1, False)]
-        while todo:  # a branch is the number of a node, or -1 - the number of a leaf
+        axis, cut, below, above, leaves, todo = [], [], [], [], 0, [(np.arange(len(sample)), -1, False)]
+        while todo:  # a branch is the number of a node, or -1 - the number of a leaf; leaves are numbered from below
             rows, parent, side = todo.pop()
-            found = self._cut(sample[rows]) if len(rows) * each > limit else None
+            found = self._cut(sample[rows]) if len(rows) * each > limit and len(rows) > LEAF_SAMPLE else None
             if found is None:
-                name = -1 - len(parts)
-                parts.append(max(1, int(np.ceil(len(rows) * each / limit))))
+                name, leaves = -1 - leaves, leaves + 1
             else:
                 name = len(axis)
                 axis.append(found[0])
@@ -92,12 +100,12 @@ class Tree:
                 below.append(0)
                 above.append(0)
                 high = (sample[rows] * found[0]).sum(axis=1) > found[1]
-                todo += [(rows[~high], name, False), (rows[high], name, True)]
+                todo += [(rows[high], name, True), (rows[~high], name, False)]
             if parent >= 0:
                 (above if side else below)[parent] = name
-        self.axis, self.cut = np.array(axis, np.float32).reshape(-1, sample.shape[1]), np.array(cut, np.float32)
-        self.branch, self.parts = np.array([below, above], np.int64), np.array(parts, np.int64)
-        self.first = np.cumsum(self.parts) - self.parts
+        self.axis, self.cut = np.array(axis, np.float32).reshape(-1, AXES), np.array(cut, np.float32)
+        self.branch, self.leaves = np.array([below, above], np.int64), leaves
+        self.middle = sample.mean(axis=0) if len(sample) else np.zeros(AXES, np.float32)
 
     @staticmethod
     def _cut(x: np.ndarray) -> tuple[np.ndarray, np.float32] | None:
@@ -116,40 +124,32 @@ class Tree:
         k = len(at) // 4 + int(np.argmax(middle)) if len(middle) and middle.max() > 1e-6 else int(np.argmax(gap)) if len(gap) else -1
         return (axis, np.float32((at[k] + at[k + 1]) / 2)) if k >= 0 and gap[k] > 1e-6 else None
 
-    def shard(self, vectors: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    def codes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf, and the signs about the sample's mean as the bits of a number."""
         node = np.full(len(vectors), 0 if len(self.cut) else -1)
         while (open_ := np.flatnonzero(node >= 0)).size:
             at = node[open_]
             high = (vectors[open_] * self.axis[at]).sum(axis=1) > self.cut[at]
             node[open_] = self.branch[high.astype(np.int64), at]
-        leaf = -1 - node
-        return self.first[leaf] + draw % self.parts[leaf]
+        signs = (vectors > self.middle)[:, :62].astype(np.int64)
+        return -1 - node, (signs << np.arange(61, -1, -1)).sum(axis=1)
 
 
 class Index:
     """BM25 postings of one shard: documents by term, with the weight of each posting."""
 
-    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
-        n = len(docs)
-        found = [np.unique(d, return_counts=True) for d in docs]
-        term = np.concatenate([t for t, _ in found]) if n else np.empty(0, np.int64)
-        tf = np.concatenate([c for _, c in found]) if n else np.empty(0, np.int64)
-        sizes = np.array([len(t) for t, _ in found], np.int64)
-        doc = np.repeat(np.arange(n), sizes)
+    def __init__(self, ids: np.ndarray, length: np.ndarray, corpus: Corpus) -> None:
+        doc, term, tf, length = postings(ids, length)
         order = np.argsort(term, kind="stable")
         terms, at, df = np.unique(term[order], return_index=True, return_counts=True)
-        length = np.array([len(d) for d in docs], float)
-        idf = corpus.idf(terms) if corpus else np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = corpus.mean if corpus else length.mean() if n else 1
-        rank = np.searchsorted(terms, term)
-        weight = idf[rank] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, mean)))
-        self.n, self.doc, self.weight = n, doc[order], weight[order].astype(np.float32)
+        self.n, self.doc, self.weight = len(length), doc[order], corpus.weights(doc, term, tf, length)[order]
         self.starts, self.ends = at, at + df
-        self.terms_of = np.split(rank, np.cumsum(sizes)[:-1]) if n else []
+        self.rank = np.searchsorted(terms, term)
+        self.first = np.searchsorted(doc, np.arange(len(length) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of each document for the seed's distinct terms."""
-        terms = self.terms_of[seed]
+        terms = self.rank[self.first[seed] : self.first[seed + 1]]
         starts, sizes = self.starts[terms], self.ends[terms] - self.starts[terms]
         at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         return np.bincount(self.doc[at], self.weight[at], self.n)
@@ -213,18 +213,18 @@ def even_tail(pieces: list[tuple[int, int, int, int, int]], window: int) -> list
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, draw, ids) of each row, written once: draw is a hash of id and text."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(id, row, ids) of each row, written once: row tells the rows apart."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch):
-                raw = [x + end for x in word_ids(tokenizer).encode(part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], ["id", "draw", "ids"])
+            for part in slices(batch, BATCH_ROWS, BLOCK):
+                ids = binary_ids(*word_ids(tokenizer).encode(part.column(1).to_pylist(), end_id))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(row + np.arange(len(ids))), ids], ["id", "row", "ids"])
+                row += len(ids)
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("draw"), text.alias("text"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("draw", T.LongType()), T.StructField("ids", T.BinaryType())])
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("ids", T.BinaryType())])
     return materialised(read.mapInArrow(encode, schema), "packing-ids")
 
 
@@ -234,8 +234,8 @@ def corpus_of(rows: DataFrame) -> Corpus:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for part in slices(batch):
-                _, term, _, length = postings(part.column(0).to_pylist())
+            for part in slices(batch, BATCH_ROWS, BLOCK):
+                _, term, _, length = postings(*flat(part.column(0)))
                 more = np.bincount(term, minlength=len(df))
                 more[: len(df)] += df
                 df, n, total = more, n + len(length), total + int(length.sum())
@@ -251,34 +251,58 @@ def corpus_of(rows: DataFrame) -> Corpus:
 
 
 def tree_of(rows: DataFrame, corpus: Corpus, shard_docs: int) -> Tree:
-    """Grown on a sample by hash over all partitions."""
-    share = min(1.0, max(SAMPLE, LEAF_SAMPLE * corpus.n / shard_docs) / max(1, corpus.n))
+    """Grown on a sample, by a hash, of ``SAMPLE`` rows at most."""
+    share = min(1.0, 0.9 * SAMPLE / max(1, corpus.n))
     held = rows.sparkSession.sparkContext.broadcast(corpus)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                vectors = held.value.vectors(part.column(1).to_pylist()).astype("<f2")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in vectors], pa.binary())], ["draw", "vector"])
+            for part in slices(batch, BATCH_ROWS, BLOCK):
+                vectors = held.value.sketches(part.column(1)).astype("<f2")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in vectors], pa.binary())], ["row", "vector"])
 
-    some = rows if share == 1 else rows.where(F.pmod(F.xxhash64("draw"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = some.select("draw", "ids").mapInArrow(project, "draw long, vector binary").toPandas().sort_values(["draw", "vector"])
+    some = rows if share == 1 else rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = some.select("row", "ids").mapInArrow(project, "row long, vector binary").limit(SAMPLE).toPandas().sort_values("row")
     vectors = np.frombuffer(b"".join(sample["vector"]), "<f2").reshape(-1, AXES).astype(np.float32)
     return Tree(vectors, corpus.n / max(1, len(vectors)), shard_docs)
 
 
-def dealt(rows: DataFrame, corpus: Corpus, tree: Tree) -> DataFrame:
-    """(shard, id, ids)."""
+def ordered(rows: DataFrame, corpus: Corpus, tree: Tree) -> DataFrame:
+    """(leaf, code, row, id, ids), in ranges of like content."""
     held = rows.sparkSession.sparkContext.broadcast((corpus, tree))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, BATCH_ROWS, BLOCK):
                 corpus, tree = held.value
-                shard = tree.shard(corpus.vectors(part.column(2).to_pylist()), part.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), part.column(2)], ["shard", "id", "ids"])
+                leaf, bits = tree.codes(corpus.sketches(part.column(2)))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(bits), part.column(1), part.column(0), part.column(2)], names)
+
+    names = ["leaf", "code", "row", "id", "ids"]
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names[:3]), rows.schema["id"], rows.schema["ids"]])
+    return rows.mapInArrow(code, schema).repartitionByRange("leaf", "code", "row").sortWithinPartitions("leaf", "code", "row")
+
+
+def shards(batches: Iterator[pa.RecordBatch], docs: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and token ids of each shard of ordered rows (leaf, id, ids): up to ``docs`` rows, cut at the end of a leaf where
+    that leaves half of them."""
+    held: list[tuple[pa.Array, pa.Array]] = []
+    n, size, last = 0, 0, None
+
+    def closed() -> tuple[pa.Array, pa.Array]:
+        return tuple(pa.concat_arrays(x) for x in zip(*held, strict=True))
 
-    return rows.mapInArrow(deal, T.StructType([T.StructField("shard", T.LongType()), rows.schema["id"], rows.schema["ids"]]))
+    for batch in batches:
+        leaf, length, begin = batch.column(0).to_pylist(), flat(batch.column(2))[1].tolist(), 0
+        for i, (own, more) in enumerate(zip(leaf, length, strict=True)):
+            if n and (n >= docs or size + more > SHARD_IDS or (own != last and 2 * n >= docs)):
+                held.append((batch.column(1).slice(begin, i - begin), batch.column(2).slice(begin, i - begin)))
+                yield closed()
+                held, begin, n, size = [], i, 0, 0
+            n, size, last = n + 1, size + more, own
+        held.append((batch.column(1).slice(begin), batch.column(2).slice(begin)))
+    if n:
+        yield closed()
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -289,19 +313,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_
     tree = tree_of(rows, corpus, shard_docs)
     held = docs.sparkSession.sparkContext.broadcast(corpus)
 
-    def pack_shard(shard: pd.DataFrame) -> pd.DataFrame:
-        number = int(shard["shard"].iloc[0])
-        shard = shard.sort_values(["id", "ids"], kind="stable", na_position="first", ignore_index=True)
-        raw = shard["ids"].tolist()
-        lengths = np.array([len(x) // 4 for x in raw], np.int64)
-        pieces = even_tail(fill(lengths, Index([np.frombuffer(x, "<u4") for x in raw], held.value), window), window)
-        doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-        ids = [raw[d][4 * a : 4 * (a + n)] for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-        return pd.DataFrame({"id": shard["id"].to_numpy()[doc], "start": start, "length": length, "ids": ids, "doc_tokens": lengths[doc], "sequence_id": (number << 32) + sequence, "offset": offset})
+    def pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for names, raw in shards(batches, shard_docs):
+            ids, lengths = flat(raw)
+            pieces = even_tail(fill(lengths, Index(ids, lengths, held.value), window), window)
+            doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+            first, data = (np.cumsum(lengths) - lengths)[doc] + start, memoryview(np.ascontiguousarray(ids)).cast("B")
+            own = [data[4 * a : 4 * b].tobytes() for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(own, pa.binary()), pa.array(lengths[doc]), pa.array(number + sequence), pa.array(offset)], schema.names)
+            number += int(sequence.max()) + 1
 
     long = [T.StructField(c, T.LongType()) for c in ("start", "length")]
     schema = T.StructType([T.StructField("id", kind), *long, T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "sequence_id", "offset"))])
-    return dealt(rows, corpus, tree).groupBy("shard").applyInPandas(pack_shard, schema).withColumnRenamed("id", id_col)
+    return ordered(rows, corpus, tree).select("leaf", "id", "ids").mapInArrow(pack_shards, schema).withColumnRenamed("id", id_col)
 
 
 def piece_digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import slices
-from lectern.llm.word_ids import word_ids
+from lectern.llm.word_ids import BATCH_ROWS, BLOCK, word_ids
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
 FORMAT = {
@@ -36,26 +36,19 @@ FORMAT = {
 }
 
 
-def list_of(raw: list[bytes]) -> pa.Array:
-    """Arrow lists of ints from little-endian 32-bit ids."""
-    ends = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode each text, append ``end_id`` and write the files to ``path``."""
     kind = docs.schema[id_col].dataType
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in slices(batch):
-                raw = [x + end for x in word_ids(tokenizer).encode(part.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in raw], np.int64)
-                starts = start + np.cumsum(n) - n
-                start += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), shard, np.int32)), part.column(0), pa.array(starts), pa.array(n), list_of(raw)], ["shard", id_col, "start_in_shard", "n_tokens", "ids"])
+            for part in slices(batch, BATCH_ROWS, BLOCK):
+                first, ids = word_ids(tokenizer).encode(part.column(1).to_pylist(), end_id)
+                starts = pa.array(start + first[:-1])
+                start += int(first[-1])
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, shard, np.int32)), part.column(0), starts, pa.array(np.diff(first)), lists], ["shard", id_col, "start_in_shard", "n_tokens", "ids"])
 
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField(id_col, kind), T.StructField("start_in_shard", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     read = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))

@@ -5,13 +5,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lectern.llm.packing import Index, corpus_of, dealt, encoded, even_tail, fill, pack, piece_digests, tree_of
+from lectern.llm.packing import Corpus, Index, corpus_of, encoded, even_tail, fill, ordered, pack, piece_digests, shards, tree_of
 from lectern.llm.token_count import Counts, token_counts
 from lectern.llm.token_files import read_tokens, token_digests, token_index, write_token_files
 from lectern.llm.word_ids import WordIds
@@ -53,7 +54,9 @@ def test_counts_of_any_text(texts):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([*"aB é\n\t'slve.😀́\x1c1<|", "<|endoftext|>"]), max_size=30).map("".join), max_size=5))
 def test_word_ids_of_any_text(texts):
-    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER.encode(texts)] == whole_ids(texts)
+    for end in (None, 7):
+        first, ids = ENCODER.encode(texts, end)
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [x + ([] if end is None else [end]) for x in whole_ids(texts)]
 
 
 def test_token_files(spark, odd_docs, small_docs, tmp_path):
@@ -112,20 +115,42 @@ def test_packing_of_empty_table(empty_docs):
     assert pack(empty_docs, WORDS, 2).collect() == []
 
 
+def index_of(docs):
+    """An index over these documents as the whole corpus."""
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]))
+    lengths = np.array([len(d) for d in docs])
+    return Index(np.concatenate(docs).astype("<u4"), lengths, Corpus(len(docs), lengths.mean(), df))
+
+
 def test_neighbours_share_terms():
     """A seed's window is filled with the documents of its own topic."""
     rng = np.random.default_rng(1)
     docs = [rng.integers(1000 * (i % 4), 1000 * (i % 4) + 200, 100) for i in range(40)]
-    pieces = fill(np.full(40, 100), Index(docs), 1000)
+    pieces = fill(np.full(40, 100), index_of(docs), 1000)
     for s in range(4):
         assert len({p[0] % 4 for p in pieces if p[3] == s}) == 1
 
 
+def test_scores_are_bm25():
+    """Against the formula written out for each pair."""
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 70_000, rng.integers(1, 40)) // 1000 * 1000 for _ in range(30)]
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    index = index_of(docs)
+    for seed in range(n):
+        want = []
+        for d in docs:
+            tf = Counter(d.tolist())
+            want.append(sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[seed].tolist()) if tf[t]))
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 900), min_size=1, max_size=40))
 def test_fill_covers(lengths):
     docs = [np.arange(n) % 50 for n in lengths]
-    pieces = even_tail(fill(np.array(lengths), Index(docs), 256), 256)
+    pieces = even_tail(fill(np.array(lengths), index_of(docs), 256), 256)
     assert sum(p[2] for p in pieces) == sum(lengths)
     total = defaultdict(int)
     for p in pieces:
@@ -134,6 +159,15 @@ def test_fill_covers(lengths):
     assert all(n & (n - 1) == 0 and n <= 256 for n in total.values())
 
 
+def test_shards_are_bounded():
+    """Leaves stay together where they can, and no shard has more rows than the limit, however the batches fall."""
+    leaves = [0] * 30 + [1] * 5 + [2] * 25 + [3] * 200
+    for step in (7, 64, 500):
+        rows = [pa.record_batch([pa.array(leaves[i : i + step]), pa.array(range(len(leaves)))[i : i + step], pa.array([b"abcd"] * len(leaves))[i : i + step]], ["leaf", "id", "ids"]) for i in range(0, len(leaves), step)]
+        found = [ids.to_pylist() for ids, _ in shards(iter(rows), 50)]
+        assert sum(found, []) == list(range(len(leaves))) and [len(f) for f in found] == [30, 30, 50, 50, 50, 50]
+
+
 def test_neighbours_meet_in_shards(spark, empty_docs):
     """Documents of one topic, far apart in the table, are dealt to one shard, with frequencies of the whole corpus."""
     rng = np.random.default_rng(5)
@@ -141,9 +175,14 @@ def test_neighbours_meet_in_shards(spark, empty_docs):
     rows = [(i, " ".join(rng.choice(words[i % 16], 40)), None, None, None) for i in range(960)]
     docs = encoded(spark.createDataFrame(rows, empty_docs.schema).repartition(4), WORDS, 2)
     corpus = corpus_of(docs)
-    assert corpus.n == 960 and corpus.df[2] == 960 and abs(corpus.mean - sum(len(x) + 1 for x in whole_ids([r[1] for r in rows])) / 960) < 1e-9
-    topics = defaultdict(Counter)
-    for r in dealt(docs, corpus, tree_of(docs, corpus, 70)).select("shard", "id").collect():
-        topics[r.shard][r.id % 16] += 1
-    assert max(sum(c.values()) for c in topics.values()) <= 70
-    assert sum(c.most_common(1)[0][1] for c in topics.values()) >= 0.9 * 960
+    assert corpus.n == 960 and corpus.idf[2] == np.float32(np.log1p(0.5 / 960.5)) and abs(corpus.mean - sum(len(x) + 1 for x in whole_ids([r[1] for r in rows])) / 960) < 1e-9
+    topics = []
+
+    def sizes(batches):
+        for ids, _ in shards(batches, 70):
+            yield pa.record_batch([pa.array([ids.to_pylist()])], ["ids"])
+
+    for r in ordered(docs, corpus, tree_of(docs, corpus, 70)).select("leaf", "id", "ids").mapInArrow(sizes, "ids array<long>").collect():
+        topics.append(Counter(i % 16 for i in r.ids))
+    assert max(sum(c.values()) for c in topics) <= 70 and sum(sum(c.values()) for c in topics) == 960
+    assert sum(c.most_common(1)[0][1] for c in topics) >= 0.9 * 960

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -37,24 +38,23 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        #: The same for pre-tokens with spaces between them.
-        self.pretokens = Tokenizer.from_file(path)
-        self.pretokens.normalizer = None
-        self.pretokens.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.path, self.pretokens = path, Tokenizer.from_file(path)
+        vocabulary = self.pretokens.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.between = "<|startoftext|>"
-        self.mark = self.tokenizer.token_to_id(self.between)
+        self.mark = self.pretokens.token_to_id(self.between)
         self.classes, self.mapped = self._characters()
+        #: From here on for pre-tokens with spaces between them.
+        self.pretokens.normalizer = None
+        self.pretokens.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.safe = bytes(np.flatnonzero(self.classes != _UNSAFE).astype(np.uint8))
         self.stretches: dict[str, bytes] = {}
         self.reset()
 
     def _characters(self) -> tuple[np.ndarray, bytes]:
         """Class of each Latin-1 character and what the normaliser makes of it, as the library has them."""
-        cut, normal = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.normalizer.normalize_str
+        cut, normal = self.pretokens.pre_tokenizer.pre_tokenize_str, self.pretokens.normalizer.normalize_str
         classes, mapped = np.full(256, _UNSAFE, np.uint8), bytearray(range(256))
         for c in range(256):
             s = normal(chr(c))
@@ -64,6 +64,13 @@ class WordIds:
                 mapped[c] = 32 if not pair else ord(s)
         return classes, bytes(mapped)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer as it is, for what the arrays cannot take."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def reset(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.at, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import pyarrow as pa
@@ -97,19 +98,94 @@ def test_toxicity_held_out(spark, odd_docs, empty_docs):
     assert {r.score for r in toxicity.toxicity_scores(odd_docs, labels.where("false")).collect()} == {0.0}
 
 
+#: The base formats as the contract writes them.
+BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_base_spans(text):
+    def fits(kind, span):
+        d = re.sub("[^0-9]", "", span)
+        if kind == 1:
+            return all(int(x) <= 255 for x in span.split("."))
+        if kind == 2:
+            return 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+        return kind == 0 or 9 <= len(d) <= 15
+
+    return sorted((m.start(), k, m.end()) for k, pattern in enumerate(BASE) for m in re.finditer(pattern, text) if fits(k, m[0]))
+
+
+def test_base_spans_of_any_text():
+    rng = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(rng.choice(rng.choice(["01259.", "ab@.", "0123456789 -+()", "a@.-_+ 1"])) for _ in range(rng.randrange(40)))
+        assert pii.base_spans(text) == plain_base_spans(text), text
+
+
+def test_long_runs_take_no_longer():
+    """Runs that a search from each character would take hours for; a run of over 4300 digits before a dotted quad."""
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == [] and pii.base_spans("0" * 5000 + "1.1.1.1 ") == [(0, 1, 5007)]
+    began = time.time()
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "a@" * 100_000, "1." * 100_000, "+1 " * 100_000, "a at " * 60_000, "1 " * 100_000, "a.b" * 100_000 + "@x"):
+        pii.base_spans(text)
+        pii.candidates(text)
+    assert time.time() - began < 30
+
+
 def test_personal_data(spark, odd_docs, empty_docs):
     text = "Write to a.b@mail.example.com or +1 (017) 555-7713; host 97.51.17.173, not 300.1.1.1; card 4444 3333 2222 1111, not 4444 3333 2222 1112. é 4444333322221111"
     base = pii.base_spans(text)
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in base] == [("email", "a.b@mail.example.com"), ("phone", "+1 (017) 555-7713"), ("ip", "97.51.17.173"), ("card", "4444 3333 2222 1111"), ("card", "4444333322221111")]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r.doc_id: r for r in pii.personal_data(docs).collect()}
-    for r in docs.select("doc_id", "text").collect():
-        spans = pii.base_spans(r.text or "")
-        assert rows[r.doc_id].base == pii._joined(spans) and set(filter(None, rows[r.doc_id].base.split(","))) <= set(rows[r.doc_id].spans.split(","))
+    odd = odd_docs.select("doc_id", F.when(F.col("doc_id") == 4, "1" * 5000 + ".1.1.1 a@b.c").otherwise(F.col("text")).alias("text"), F.lit(1).alias("base"), F.lit(1).alias("spans"), F.lit(1).alias("n_ip"))
+    for some in (docs, odd):
+        rows = {r.doc_id: r for r in pii.personal_data(some).collect()}
+        assert len(rows) == some.count()
+        for r in some.select("doc_id", "text").collect():
+            spans = plain_base_spans(re.sub("[0-9]{4000,}", lambda m: "x" * len(m[0]), r.text or ""))  # int() takes no run so long; no span holds one
+            assert rows[r.doc_id].base == pii._joined(spans) and set(filter(None, rows[r.doc_id].base.split(","))) <= set(rows[r.doc_id].spans.split(","))
     assert pii.redacted("mail a@b.c now", [(5, 0, 10)]) == "mail [EMAIL] now"
     out = pii.redacted_documents(odd_docs, length_col="n_chars")
     assert out.columns == odd_docs.columns and out.where("text is null").count() == 1
-    assert pii.personal_data(empty_docs).collect() == []
+    assert pii.personal_data(empty_docs).collect() == [] and pii.redacted_documents(empty_docs).collect() == []
+
+
+def test_personal_data_beyond_base_formats(spark):
+    """Planted in texts without any: loose forms of each kind are found, other numbers are not."""
+    docs, rng = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), random.Random(5)
+    trees = pii.fit(docs)
+    prose = [r.text for r in docs.where("length(text) between 200 and 3000").orderBy("doc_id").limit(600).collect() if not pii.base_spans(r.text)][:300]
+
+    def number(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        while not pii.luhn(d := f"4{number(15)}"):
+            pass
+        return [d[i : i + 4] for i in range(0, 16, 4)]
+
+    loose = [
+        lambda: rng.choice(["{0} [at] {1}.com", "{0} at {1} dot org", "{0}(at){1}(dot)net"]).format(f"q{number(3)}x", f"mail{number(1)}"),
+        lambda: rng.choice(["[.]", "(.)"]).join(str(rng.randrange(256)) for _ in range(4)),
+        lambda: rng.choice("./_").join(card()),
+        lambda: rng.choice(["({0}) {1}-{2}", "call {0}-{1}-{2}", "tel: {0}.{1}.{2}", "phone {0}{1}{2}", "001{0}{1}{2}"]).format(number(3), number(3), number(4)),
+    ]
+    other = [lambda: f"order {number(10)}", lambda: f"20{number(2)}-0{rng.randrange(1, 9)}-1{number(1)}", lambda: f"version {number(1)}.{number(2)}.{number(1)}", lambda: f"no. {number(8)}", lambda: f"{number(1)},{number(3)},{number(3)}", lambda: f"0x{number(12)}ab"]
+
+    def planted(text, what):
+        words = text.split(" ")
+        at = rng.randrange(len(words))
+        before = " ".join(words[:at]) + " "
+        return f"{before}{what} {' '.join(words[at:])}", len(before)
+
+    for kind, make in enumerate(loose):
+        found = 0
+        for text in prose:
+            what = make()
+            whole, at = planted(text, what)
+            found += any(k == kind and s < at + len(what) == e for s, k, e in pii.all_spans(whole, trees)[1])
+        assert found >= 0.9 * len(prose), pii.KINDS[kind]
+    false = sum(len(pii.all_spans(planted(text, make())[0], trees)[1]) > 0 for make in other for text in prose)
+    assert false <= 0.01 * len(other) * len(prose)
 
 
 def test_url_rules(spark):

@@ -1,17 +1,19 @@
 """Operator 4: toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Input of a step is a word: an embedding of the word (by hash) beside the mean embedding of its character trigrams, so that
-words never seen are read by their characters.  Two gated recurrent layers read a window in both directions, attention
+Input of a step is a word: an embedding of the word (by hash) beside the mean embedding of its character trigrams and those of its
+first ``PREFIXES`` bytes, so that words never seen are read by their characters.  The first number of a word's or prefix's
+embedding starts as its smoothed log odds among the labelled texts; training goes on from there.  Two gated recurrent layers read a window in both directions, attention
 pools their states, and a logistic unit gives the window's logit.  A text is cut into overlapping windows over its whole
 length, and its score is that of its highest window.
 
-Training is in numpy on a bounded sample of labelled rows (``FIT_ROWS`` of each label, texts of up to ``FIT_CHARS``
-characters, so at most 18 MB); a toxic text trains by its highest window, a clean one by a window at random or its
-highest.  One part in eight of the sample sets the logit that becomes score 0.5.  Labels are read only where
-crc32(id as text) mod 5 is not 0; language, source and id are no inputs.
+Training is in numpy on a bounded sample of labelled rows: ``FIT_ROWS`` of each label and ``FIT_BYTES`` of text at most, in the
+order of a hash of their ids, texts of all lengths.  A toxic text trains by its highest window, a clean one by a window at
+random or its highest.  One part in eight of the sample, held back and scored as whole texts, sets the logit that becomes
+score 0.5.  Labels are read only where crc32(id as text) mod 5 is not 0; language, source and id are no inputs.
 
 Edge cases: null and empty texts and texts without a word score 0; unlabelled rows are scored alike; without labels of both
-kinds all scores are 0; repeated rows score the same; an empty table gives no rows; other columns are not read.
+kinds all scores are 0; repeated rows score the same; null ids are never held out nor learnt from; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +25,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import slices
 from lectern.llm.hashing import U, text_bytes, word_hashes
 
-WINDOW, STRIDE = 32, 24
-WORDS, TRIGRAMS, EMBED, HIDDEN = 1 << 14, 1 << 13, 12, 10
-FIT_ROWS, FIT_CHARS, ROUNDS, BATCH, RATE, DROP = 3000, 3000, 16, 64, 0.01, 0.6
+WINDOW, STRIDE = 16, 12
+WORDS, TRIGRAMS, EMBED, HIDDEN = 1 << 18, 1 << 13, 8, 8
+#: Numbers of leading bytes that have an embedding of their own, its size and the size of its table.
+PREFIXES, PREFIX_EMBED, PREFIX_TABLE = (4, 5, 6, 7, 8), 3, 1 << 17
+INPUT = 2 * EMBED + PREFIX_EMBED * len(PREFIXES)
+FIT_ROWS, FIT_BYTES, BATCH, RATE, DROP = 3000, 32 << 20, 64, 0.003, 0.3
+#: Rounds over the sample, and the least number of steps: small samples take more rounds.
+ROUNDS, STEPS = 6, 400
+#: Texts that the log odds of a word or prefix are smoothed by, and their weight in its embedding; the least number of texts
+#: that it is in, as the odds of what few texts have are those texts' labels.
+SMOOTH, ODDS, SEEN = 4.0, 2.0, 5
 SLICE_BYTES = 1 << 20
 _workers: dict = {}
 
@@ -64,6 +75,11 @@ class Windows:
         else:
             self.cut, self.trigram = np.empty(0, np.int64), np.empty(0, np.int64)
         self.size = np.maximum(size, 1)
+        self.prefix, h = [], np.zeros(len(place), np.int64)
+        for j in range(max(PREFIXES)):
+            h = (h * 263 + np.where(j < size, low[np.minimum(begin + j, len(low) - 1)], 0)) % 1_000_000_007 if len(place) else h
+            if j + 1 in PREFIXES:
+                self.prefix.append(h % PREFIX_TABLE)
         n = np.diff(first)
         count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
         self.owner = np.repeat(np.arange(len(n)), count)
@@ -78,19 +94,20 @@ class Windows:
 class Network:
     def __init__(self, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
-        h, e = HIDDEN, 2 * EMBED
+        h, e = HIDDEN, INPUT
 
         def draw(*shape: int, scale: float) -> np.ndarray:
             return (r.standard_normal(shape) * scale).astype(np.float32)
 
         self.p = {"word": draw(WORDS, EMBED, scale=0.1), "tri": draw(TRIGRAMS, EMBED, scale=0.3), "wx": draw(e, 6 * h, scale=e**-0.5), "bx": np.zeros(6 * h, np.float32), "uf": draw(h, 3 * h, scale=h**-0.5), "ub": draw(h, 3 * h, scale=h**-0.5)}
+        self.p |= {f"prefix{k}": draw(PREFIX_TABLE, PREFIX_EMBED, scale=0.1) for k in PREFIXES}
         self.p |= {"wa": draw(2 * h, h, scale=(2 * h) ** -0.5), "va": draw(h, scale=0.5), "wo": draw(2 * h, scale=0.3), "bo": np.zeros(1, np.float32)}
         self.shift, self.slope = 0.0, 1.0
 
     def inputs(self, w: Windows) -> tuple[np.ndarray, np.ndarray]:
         """Embeddings of the distinct words, and their products with the input weights."""
         tri = np.add.reduceat(self.p["tri"][w.trigram], w.cut, axis=0) / w.size[:, None] if len(w.cut) else np.empty((0, EMBED))
-        x = np.concatenate([self.p["word"][w.word], tri], axis=1).astype(np.float32)
+        x = np.concatenate([self.p["word"][w.word], tri, *(self.p[f"prefix{k}"][own] for k, own in zip(PREFIXES, w.prefix, strict=True))], axis=1).astype(np.float32)
         return x, x @ self.p["wx"] + self.p["bx"]
 
     def run(self, steps: np.ndarray, mask: np.ndarray, px: np.ndarray, trace: list | None = None) -> np.ndarray:
@@ -159,14 +176,20 @@ class Network:
         g["wx"], g["bx"] = x.T @ dpx, dpx.sum(axis=0)
         dx = dpx @ p["wx"].T
         dx[~x[:, :EMBED].any(axis=1), :EMBED] = 0
-        g["word"], g["tri"] = np.zeros_like(p["word"]), np.zeros_like(p["tri"])
-        np.add.at(g["word"], part.word, dx[:, :EMBED])
-        np.add.at(g["tri"], part.trigram, np.repeat(dx[:, EMBED:] / part.size[:, None], part.length, axis=0))
+        g["word"] = _rows(part.word, dx[:, :EMBED])
+        g["tri"] = _rows(part.trigram, np.repeat(dx[:, EMBED : 2 * EMBED] / part.size[:, None], part.length, axis=0))
+        for i, (k, own) in enumerate(zip(PREFIXES, part.prefix, strict=True)):
+            g[f"prefix{k}"] = _rows(own, dx[:, 2 * EMBED + i * PREFIX_EMBED : 2 * EMBED + (i + 1) * PREFIX_EMBED])
         return g
 
-    def logits(self, w: Windows) -> np.ndarray:
+    def logits(self, w: Windows, rows: np.ndarray | None = None) -> np.ndarray:
+        """Of all windows, or of some with -inf for the others."""
         _, px = self.inputs(w)
-        return np.concatenate([self.run(w.steps[i : i + 2048], w.mask[i : i + 2048], px) for i in range(0, len(w.steps), 2048)] or [np.empty(0)])
+        rows = np.arange(len(w.steps)) if rows is None else rows
+        out = np.full(len(w.steps), -np.inf)
+        for some in (rows[i : i + 2048] for i in range(0, len(rows), 2048)):
+            out[some] = self.run(w.steps[some], w.mask[some], px)
+        return out
 
     def best(self, w: Windows, logits: np.ndarray) -> np.ndarray:
         """Place of the highest window of each text; -1 for a text without words."""
@@ -181,30 +204,50 @@ class Network:
         top = self.best(w, logits)
         return np.where(top >= 0, _sigmoid(self.slope * ((logits[top] if len(logits) else np.zeros(len(top))) - self.shift)), 0.0)
 
+    def _start(self, w: Windows, docs: np.ndarray, toxic: np.ndarray) -> None:
+        """The first number of each word's and prefix's embedding starts as its smoothed log odds among the texts to learn from."""
+        doc, step = np.broadcast_to(w.owner[:, None], w.steps.shape)[w.mask], w.steps[w.mask]
+        learnt = np.zeros(len(toxic), bool)
+        learnt[docs] = True
+        pair = np.unique(doc[learnt[doc]] * len(w.word) + step[learnt[doc]])
+        doc, step = pair // max(1, len(w.word)), pair % max(1, len(w.word))
+        share = toxic[docs].mean()
+        for name, own in (("word", w.word), *((f"prefix{k}", x) for k, x in zip(PREFIXES, w.prefix, strict=True))):
+            table = len(self.p[name])
+            both = np.unique(doc * table + own[step])
+            bad, n = np.bincount(both % table, toxic[both // table], table), np.bincount(both % table, minlength=table)
+            odds = np.log((bad + SMOOTH * share) / (n - bad + SMOOTH * (1 - share))) - np.log(share / (1 - share))
+            self.p[name][:, 0] = np.where(n >= SEEN, ODDS * odds, 0)
+
     def train(self, texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS) -> None:
         r = np.random.default_rng(3)
         w = Windows(pa.array(texts, pa.large_string()))
         own = np.flatnonzero(w.count > 0)
         own = own[r.permutation(len(own))]
         check, own = own[: len(own) // 8], own[len(own) // 8 :]
+        self._start(w, own, toxic)
+        rounds = max(rounds, min(10 * rounds, -(-STEPS * BATCH // max(1, len(own)))))
         moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         tick = 0
         for k in range(rounds):
-            top = self.best(w, self.logits(w))
+            hard = (r.random(len(toxic)) < 0.5) | (toxic == 1)  # these train by their highest window
+            hard &= k > 0
             some = w.first + (r.random(len(w.count)) * w.count).astype(np.int64)
-            row = np.where((toxic == 1) & (k >= 2), top, np.where(r.random(len(top)) < 0.5, top, some))
+            row = np.where(hard, self.best(w, self.logits(w, np.flatnonzero(hard[w.owner]))), some)
             good, bad = own[toxic[own] == 0], own[toxic[own] == 1]
             order = r.permutation(np.concatenate([good, np.resize(bad, max(len(bad), len(good) // 2))]))
             for at in range(0, len(order), BATCH):
                 docs = order[at : at + BATCH]
                 tick += 1
-                rate = RATE * (1 - ((1 - min(1, tick / 20)) if tick < 20 else 0)) * (0.3 if k >= rounds - 4 else 1)
+                rate = RATE * (1 - ((1 - min(1, tick / 20)) if tick < 20 else 0)) * (0.3 if 3 * k >= 2 * rounds else 1)
                 for name, grad in self.gradient(w, row[docs], toxic[docs], r).items():
-                    m, v = moment[name]
+                    rows, grad = grad if isinstance(grad, tuple) else (slice(None), grad)
+                    m, v = (x[rows] for x in moment[name])
                     grad = np.clip(grad, -1, 1)
-                    m += 0.1 * (grad - m)
-                    v += 0.01 * (grad * grad - v)
-                    self.p[name] -= (rate * m / (1 - 0.9**tick) / (np.sqrt(v / (1 - 0.99**tick)) + 1e-6)).astype(np.float32)
+                    m = m + 0.1 * (grad - m)
+                    v = v + 0.01 * (grad * grad - v)
+                    moment[name][0][rows], moment[name][1][rows] = m, v
+                    self.p[name][rows] -= (rate * m / (1 - 0.9**tick) / (np.sqrt(v / (1 - 0.99**tick)) + 1e-6)).astype(np.float32)
         logits = self.logits(w)
         value, truth = logits[self.best(w, logits)][check], toxic[check]
         if 0 < truth.sum() < len(truth):  # in the widest gap among the cuts with the fewest errors, nearer to the toxic side: long texts have more windows
@@ -217,12 +260,20 @@ class Network:
             self.shift = float(edges[k] + 0.8 * (edges[k + 1] - edges[k]))
 
 
+def _rows(own: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of some rows of a table: each row once."""
+    rows, place = np.unique(own, return_inverse=True)
+    out = np.zeros((len(rows), grad.shape[1]), np.float32)
+    np.add.at(out, place, grad)
+    return rows, out
+
+
 class _Part:
     """The inputs of some of the distinct words."""
 
     def __init__(self, w: Windows, used: np.ndarray) -> None:
         length = np.diff(np.append(w.cut, len(w.trigram)))[used]
-        self.word, self.size, self.length = w.word[used], w.size[used], length
+        self.word, self.size, self.length, self.prefix = w.word[used], w.size[used], length, [x[used] for x in w.prefix]
         self.cut = np.cumsum(length) - length
         self.trigram = w.trigram[np.repeat(w.cut[used] - self.cut, length) + np.arange(int(length.sum()))]
 
@@ -233,10 +284,17 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Network | None:
     """A network trained on a bounded sample of the labelled rows that are not held out; None without both labels."""
-    known = labels.select(F.col(id_col).alias("key"), "toxic").where(F.col("toxic").isin(0, 1) & F.col("key").isNotNull() & ~F.coalesce(held_out(F.col("key")), F.lit(True)))
-    rows = known.where("toxic = 1").limit(fit_rows).union(known.where("toxic = 0").limit(fit_rows)).dropDuplicates(["key"])
-    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= FIT_CHARS)
-    sample = texts.join(F.broadcast(rows), "key").limit(2 * fit_rows).select("key", "text", "toxic").toPandas().sort_values(["key", "text"], ignore_index=True)
+    known = labels.select(F.col(id_col).alias("key"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("key").isNotNull() & ~F.coalesce(held_out(F.col("key")), F.lit(True)))
+    order = (F.xxhash64("key"), "key")
+    rows = known.where("toxic = 1").distinct().orderBy(*order).limit(fit_rows).union(known.where("toxic = 0").distinct().orderBy(*order).limit(fit_rows))
+    rows = rows.groupBy("key").agg(F.min("toxic").alias("toxic"), F.count("*").alias("n")).where("n = 1").drop("n")
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(rows), "key")
+    sizes = texts.select("key", F.octet_length("text").alias("size"), F.xxhash64("key").alias("h")).orderBy("h", "key").limit(2 * fit_rows).toPandas()
+    taken = sizes["key"][sizes["size"].cumsum() <= FIT_BYTES].drop_duplicates()
+    if not len(taken):
+        return None
+    some = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken.tolist()], T.StructType([T.StructField("key", docs.schema[id_col].dataType)])))
+    sample = texts.join(some, "key", "left_semi").dropDuplicates(["key"]).toPandas().sort_values("key", ignore_index=True)
     toxic = sample["toxic"].to_numpy().astype(np.float32)
     if not 0 < toxic.sum() < len(toxic):
         return None

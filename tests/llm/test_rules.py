@@ -204,6 +204,28 @@ def test_hot_host_blocks_no_other(spark):
     assert {r.page_id for r in rows if r.verdict == "block"} == set(range(190)) and len(rows) == len(urls)
 
 
+def test_templates_without_rules_are_judged_by_their_surroundings(spark):
+    """Unruled pages of a host whose others are nearly all blocked go; those of hosts with few blocked pages, or in a domain of
+    which little is known, stay. SQL agrees."""
+    import duckdb
+
+    urls = [f"https://bad.example.com/de/{i}" for i in range(95)] + [f"https://bad.example.com/misc/{i}" for i in range(5)]
+    urls += [f"https://fair.example.com/de/{i}" for i in range(10)] + [f"https://fair.example.com/misc/{i}" for i in range(90)]
+    urls += [f"https://good.org/fr/{i}" for i in range(95)] + [f"https://good.org/misc/{i}" for i in range(5)] + [f"https://unknown.io/misc/{i}" for i in range(20)]
+    urls += ["https://bad.example.com/misc/1", "https://bad.example.com" + "/x" * 3000, None, "", "://", "https://bad.example.com"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for name in ("host", "path", "rule", "segments", "n", "template", "prior"):
+        pages = pages.withColumn(name, F.lit("extra"))
+    rows = {r.page_id: r for r in url_filter.url_verdicts(pages).collect()}
+    blocked = {i for i, r in rows.items() if r.verdict == "block"}
+    assert blocked == {i for i, u in enumerate(urls) if u and u.startswith("https://bad.") or (u or "").startswith("https://fair.example.com/de/")}
+    assert rows[0].purity > rows[95].purity >= 0.75 > rows[115].purity and len(rows) == len(urls)
+    duck = duckdb.connect()
+    duck.execute("create table pages (page_id bigint, url varchar)")
+    duck.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    assert sorted(duck.sql(url_filter.oracle_sql()).fetchall(), key=str) == sorted([(r.page_id, r.host, r.path, r.rule, r.verdict) for r in rows.values()], key=str)
+
+
 def statistics(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n = collections.Counter(zip(w, w[1:], w[2:], strict=False))

@@ -10,8 +10,11 @@ the 75 % nearest by Mahalanobis distance) lower the determinant.  A text beyond
 
 Groups with fewer than ``LEAST`` texts are pooled by language, and pools that are still smaller together; where even that
 is smaller, nothing is rejected.  ``FLOOR`` is a least variance for each statistic, without which statistics that are
-zero in almost all texts would make every other text an outlier.  Everything is a sum or a quantile sketch over groups:
-a source with a third of all texts is combined before the shuffle.
+zero in almost all texts would make every other text an outlier.
+
+A text's vector is never shuffled by its group while there are ``BROADCAST_GROUPS`` groups at most: the groups' estimates (about 200 bytes
+each) are broadcast, and sums and quantile sketches are combined before the shuffle, so a source with a third of all texts is as many
+rows as any other.  With more groups, texts and estimates meet by group and one of ``SALTS`` salts.
 
 Windows are compared by 64-bit hashes of their three words.
 
@@ -32,6 +35,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 NAMES = ("word_length", "symbols", "dup_lines", "repeats")
 FLOOR = (0.25**2, 0.25**2, 0.1**2, 0.06**2)
 LEAST, SHARE, STEPS = 50, 0.75, 3
+BROADCAST_GROUPS, SALTS = 50_000, 32
 P = len(NAMES)
 
 
@@ -117,18 +121,34 @@ def _moments(near: DataFrame) -> DataFrame:
     return near.groupBy("group").agg(*sums).select("group", *((F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(P)), *cov)
 
 
-def robust_estimates(vectors: DataFrame) -> DataFrame:
-    """Per group: m0.. and s00.. of its minimum-covariance-determinant estimate, from (group, x0, ...)."""
+def beside(rows: DataFrame, groups: DataFrame, keys: list[str], number: int, how: str = "inner", most: int = BROADCAST_GROUPS) -> DataFrame:
+    """The rows with the columns of their group (``number`` rows, nulls are equal); the rows stay where they are, or are salted."""
+    named = groups.toDF(*(f"{c}_" if c in keys else c for c in groups.columns))
+    if number > most:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(*(f"x{i}" for i in range(P))), F.lit(SALTS)))
+        named = named.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keys = [*keys, "salt"]
+    else:
+        named = F.broadcast(named)
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"{k}_"))
+        on = same if on is None else on & same
+    return rows.join(named, on, how).drop(*(f"{k}_" for k in keys), *(["salt"] if "salt" in keys else []))
+
+
+def robust_estimates(vectors: DataFrame, number: int) -> DataFrame:
+    """Per group: m0.. and s00.. of its minimum-covariance-determinant estimate, from (group, x0, ...) of ``number`` groups."""
     half = F.lit(SHARE)
     middle = vectors.groupBy("group").agg(*(F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)))
-    away = vectors.join(middle, "group").groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(P)))
+    away = beside(vectors, middle, ["group"], number).groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(P)))
     start = middle.join(away, "group")
     zero = [F.lit(0.0).alias(f"s{i}{j}") if i != j else (F.col(f"d{i}") * F.col(f"d{i}") * F.lit(1.4826**2) + F.lit(FLOOR[i])).alias(f"s{i}{i}") for i in range(P) for j in range(i + 1)]
     estimate = materialised(start.select("group", *(f"m{i}" for i in range(P)), *zero), "mcd-start")
     for step in range(STEPS):
-        far = vectors.join(estimate, "group").withColumn("far", _distance())
+        far = beside(vectors, estimate, ["group"], number).withColumn("far", _distance())
         bound = far.groupBy("group").agg(F.percentile_approx("far", half, 10_000).alias("bound"))
-        estimate = materialised(_moments(far.join(bound, "group").where("far <= bound")), f"mcd-{step}")
+        estimate = materialised(_moments(beside(far, bound, ["group"], number).where("far <= bound")), f"mcd-{step}")
     return estimate
 
 
@@ -148,11 +168,11 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     group = F.when(F.col("k") >= LEAST, name("s.lang", "s.source")).when(F.col("pool") >= LEAST, name("s.lang")).otherwise("[]")
     groups = materialised(sizes.alias("s").join(by_lang.alias("p"), on, "left").select("s.lang", "s.source", group.alias("group"), "k"), "groups")
     large = groups.groupBy("group").agg(F.sum("k").alias("total")).where(F.col("total") >= LEAST).select("group")
-    same = F.col("v.lang").eqNullSafe(F.col("g.lang")) & F.col("v.source").eqNullSafe(F.col("g.source"))
-    vectors = stats.alias("v").join(groups.join(large, "group", "left_semi").alias("g"), same).where("not v.base_failed").select("g.group", *(f"v.x{i}" for i in range(P)))
-    estimate = groups.join(robust_estimates(vectors), "group").drop("group", "k")
+    number = groups.count()
+    known = groups.join(large, "group", "left_semi").select("lang", "source", "group")
+    vectors = beside(stats.where("not base_failed"), known, ["lang", "source"], number).select("group", *(f"x{i}" for i in range(P)))
+    estimate = known.join(robust_estimates(materialised(vectors, "mcd-vectors"), number), "group").drop("group")
 
-    same = F.col("v.lang").eqNullSafe(F.col("e.lang")) & F.col("v.source").eqNullSafe(F.col("e.source"))
-    judged = stats.alias("v").join(estimate.alias("e"), same, "left").select("v.*", _distance().alias("distance"))
+    judged = beside(stats, estimate, ["lang", "source"], number, "left").select(*stats.columns, _distance().alias("distance"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

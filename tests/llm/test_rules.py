@@ -257,6 +257,15 @@ def test_quality_outliers(spark, empty_docs):
     assert quality.quality_verdicts(empty_docs).collect() == []
 
 
+def test_quality_groups_beyond_the_broadcast_bound(spark):
+    """Salted rows meet their group's estimate as broadcast ones do, nulls included."""
+    rows = spark.createDataFrame([(None if i % 3 == 0 else f"g{i % 3}", *(float(i * k) for k in range(1, 5))) for i in range(60)], "lang string, x0 double, x1 double, x2 double, x3 double")
+    groups = spark.createDataFrame([(None, 1), ("g1", 2)], "lang string, m int")
+    for how, n in (("inner", 40), ("left", 60)):
+        a, b = (sorted(map(str, quality.beside(rows, groups, ["lang"], 2, how, most).select("lang", "x0", "m").collect())) for most in (1, 10))
+        assert a == b and len(a) == n
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -2,8 +2,10 @@
 
 A text's stretch around a template's key words is aligned with the template.  These are its least common words, one more
 than ``COVERAGE`` lets be missing (``KEYS`` at least), each at all its places, so no stretch of that coverage lacks all of
-them.  Texts and stretches that lack more of the template's distinct words than that are not aligned.  Words that occur once in both are anchors, the longest increasing subsequence of anchors is kept, and the gaps between them are aligned
-in the same way, down to common first and last words.  Coverage is the share of the template's words that are aligned.  Of
+them.  A stretch ends before the same key of the notice before and after, so that copies side by side leave that word unique.  Texts and
+stretches that lack more of the template's distinct words than that are not aligned.  Words that occur once in both are anchors, the
+longest increasing subsequence of anchors is kept, and the gaps between them are aligned in the same way, down to common first and
+last words.  Coverage is the share of the template's words that are aligned.  Of
 the stretches and templates that overlap, the one with the most aligned words is reported, if its coverage reaches
 ``COVERAGE``.
 
@@ -17,9 +19,10 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,6 +94,19 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def own_words(words: list[str], lo: int, hi: int, template: list[str]) -> list[tuple[int, int]]:
+    """The alignment of words[lo:hi], whose first and last words are not those of a notice beside it: a few words that stand
+    further off than twice their number are left out, and what is left is aligned anew."""
+    while True:
+        pairs = [(lo + i, j) for i, j in align(words[lo:hi], template)]
+        off = [i - j for i, j in pairs]
+        gaps = [k for k in range(1, len(off)) if off[k] - off[k - 1] > 2 * min(k, len(off) - k)]
+        if not gaps:
+            return pairs
+        k = min(gaps, key=lambda k: min(k, len(off) - k))
+        lo, hi = (pairs[k - 1][0] + 1, hi) if k <= len(off) - k else (lo, pairs[k][0])
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]) -> None:
         self.words = {name: tokens(t)[0] for name, t in templates.items()}
@@ -99,11 +115,11 @@ class Scanner:
         #: How many words of a template may be missing.
         self.spare = {name: len(words) - math.ceil(COVERAGE * len(words)) for name, words in self.words.items()}
         common = Counter(w for words in self.words.values() for w in words)
-        #: By key word: (template, place in it).
-        self.keys: dict[str, list[tuple[str, int]]] = {}
+        #: By key word: (template, place in it, its number of places there).
+        self.keys: dict[str, list[tuple[str, int, int]]] = {}
         for name, words in self.words.items():
             for w in sorted(set(words), key=lambda w: (uses[w], common[w], -len(w), w))[: max(KEYS, self.spare[name] + 1)]:
-                self.keys.setdefault(w, []).extend((name, i) for i, x in enumerate(words) if x == w)
+                self.keys.setdefault(w, []).extend((name, i, words.count(w)) for i, x in enumerate(words) if x == w)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, aligned words, start, end) of each notice, in order."""
@@ -113,28 +129,45 @@ class Scanner:
         if not near:
             return []
         tried, found = set(), []
+        places: dict[str, list[int]] = {}
         for at, w in enumerate(words):
-            for name, place in self.keys.get(w, ()):
+            if w in self.keys:
+                places.setdefault(w, []).append(at)
+        for w, own in places.items():
+            for name, place, uses in self.keys[w]:
                 if name not in near:
                     continue
                 template = self.words[name]
                 slack = len(template) // 4 + 2
-                lo, hi = max(0, at - place - slack), min(len(words), at - place + len(template) + slack)
-                if (name, lo, hi) in tried:
-                    continue
-                tried.add((name, lo, hi))
-                if len(self.distinct[name].difference(words[lo:hi])) > self.spare[name]:
-                    continue
-                pairs = align(words[lo:hi], template)
-                if len(pairs) >= COVERAGE * len(template):
-                    first, last = lo + pairs[0][0], lo + pairs[-1][0]
-                    found.append((len(pairs), len(pairs) / len(template), name, first, last))
+                for i, at in enumerate(own):
+                    lo = max(0, at - place - slack, own[i - uses] + 1 if i >= uses else 0)
+                    hi = min(len(words), at - place + len(template) + slack, own[i + uses] if i + uses < len(own) else len(words))
+                    if (name, lo, hi) in tried:
+                        continue
+                    tried.add((name, lo, hi))
+                    if len(self.distinct[name].difference(words[lo:hi])) > self.spare[name]:
+                        continue
+                    pairs = own_words(words, lo, hi, template)
+                    if len(pairs) >= COVERAGE * len(template):
+                        found.append((len(pairs), len(pairs) / len(template), name, pairs[0][0], pairs[-1][0]))
         taken: list[tuple[int, int]] = []
         out = []
-        for n, share, name, first, last in sorted(found, key=lambda f: (-f[0], -f[1], f[3], f[2])):
-            if not any(a <= last and first <= b for a, b in taken):
-                taken.append((first, last))
-                out.append((name, share, n, starts[first], ends[last]))
+        waiting = [(-n, -share, first, last, name, 0) for n, share, name, first, last in found]
+        heapify(waiting)
+        while waiting:
+            n, share, first, last, name, again = heappop(waiting)
+            k = bisect_left(taken, (last + 1,)) - 1
+            if k < 0 or taken[k][1] < first:
+                insort(taken, (first, last))
+                out.append((name, -share, -n, starts[first], ends[last]))
+            elif not again:  # what a better notice beside it leaves of it
+                template, middle = self.words[name], (first + last) // 2
+                k = bisect_left(taken, (middle + 1,)) - 1
+                if k < 0 or taken[k][1] < middle:
+                    lo = max(first - len(template) // 4, taken[k][1] + 1 if k >= 0 else 0)
+                    pairs = own_words(words, lo, min(last + 1 + len(template) // 4, taken[k + 1][0] if k + 1 < len(taken) else len(words)), template)
+                    if len(pairs) >= COVERAGE * len(template):
+                        heappush(waiting, (-len(pairs), -len(pairs) / len(template), pairs[0][0], pairs[-1][0], name, 1))
         return sorted(out, key=lambda f: f[3])
 
 

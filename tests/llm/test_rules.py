@@ -37,6 +37,49 @@ def test_licenses_without_their_rarest_words(spark):
     assert {(r.doc_id, r.license) for r in rows} >= {(n, n) for n in texts} and all(r.coverage >= 0.8 for r in rows)
 
 
+def test_repeated_licenses():
+    """Each of the copies side by side is a notice of its own, whole or edited."""
+    known, rng = license_scan.Scanner(license_scan.TEMPLATES), random.Random(8)
+    for name, template in license_scan.TEMPLATES.items():
+        for copies in (2, 5, 200):
+            for mark in ("\n", " "):
+                rows = known.scan(mark.join([template] * copies))
+                assert [r[0] for r in rows] == [name] * copies and all(r[1] == 1 for r in rows), (name, copies)
+        words = template.split()
+        if len(words) >= 20:
+            edited = [[w for w in words if rng.random() > 0.05] for _ in range(20)]
+            rows = known.scan("\n".join(map(" ".join, edited)))
+            assert [r[0] for r in rows] == [name] * 20 and all(r[1] >= 0.8 for r in rows), name
+    assert len(known.scan("Released under the MIT License.\n" * 3000)) == 3000
+
+
+def test_licenses_against_all_stretches(small_docs):
+    """Short notices in whole texts: each text that has a stretch of enough coverage is reported, and no other."""
+    short = {k: v for k, v in license_scan.TEMPLATES.items() if len(v.split()) < 15}
+    known = license_scan.Scanner(short)
+    rng, texts = random.Random(9), [r.text for r in small_docs.select("text").collect() if r.text and len(r.text) < 4000]
+    for _ in range(60):
+        words = rng.choice(texts).split()
+        notice = rng.choice(list(short.values())).split()
+        for _ in range(rng.randrange(4)):
+            notice[rng.randrange(len(notice))] = rng.choice(words)
+        at = rng.randrange(len(words))
+        texts.append(" ".join(words[:at] + notice + words[at:][:200]))
+    reported = 0
+    for text in texts:
+        words = license_scan.tokens(text)[0]
+        best = {name: 0.0 for name in short}
+        for name, template in known.words.items():
+            some = set(template)
+            for lo in (i for i, w in enumerate(words) if w in some):
+                best[name] = max(best[name], len(license_scan.align(words[lo : lo + len(template) * 5 // 4 + 2], template)) / len(template))
+        found = {r[0] for r in known.scan(text)}
+        want = {name for name, share in best.items() if share >= license_scan.COVERAGE}
+        assert found <= want and bool(found) == bool(want), (text[:200], found, want)
+        reported += bool(found)
+    assert reported >= 30
+
+
 def test_alignment_is_increasing():
     rng = random.Random(1)
     for _ in range(200):

@@ -13,10 +13,13 @@
 5. Components by alternating large-star and small-star.
 
 Comparing signatures is quadratic in the distinct near copies of one bucket, a byte comparison each and dealt over tasks
-by blocks; rows that are shuffled or returned are not.
+by blocks.  A bucket of up to ``BLOCK`` distinct members shuffles each of them once; a larger one of n members shuffles each
+n / ``BLOCK`` times, so a crowd of a million distinct near copies (exact ones are one member) would be a thousand million rows.
+Rows that are returned grow with the members, but for pairs across components.
 
 Edge cases: null and empty texts and texts without a word have an empty set and are linked with nothing; fewer words than
-a shingle make one shingle, the whole sequence; repeated rows each get the same class; rows with a null id are linked with
+a shingle make one shingle, the whole sequence; repeated rows each get the same class; of rows with one id and different
+texts each keeps the class of its own text, and the id stands for one of these texts; rows with a null id are linked with
 nothing, get a null component and are kept; an empty table gives no rows; other columns of the input are not read.
 """
 
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import materialised, shared_dir, slices
+from lectern.llm.common import Scratch, materialised, shared_dir, slices
 from lectern.llm.hashing import U, shingles, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 75, 32, 4
@@ -79,7 +82,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n_shingles, digest of the set and a key for each band; the last two null for an empty set."""
+    """Per row: id, hash of the text, n_shingles, digest of the set and a key for each band; the last two null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,11 +93,12 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for i, keys in zip(full, band_keys([sets[i] for i in full]) if full else [], strict=True):
                     bands[i] = keys
                 digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "h", "n_shingles", "digest", "bands"])
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, schema)
+    schema = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(sign, schema)
 
 
 def detailed(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -208,7 +212,7 @@ def similar_pairs(members: DataFrame, details: DataFrame, across: bool) -> DataF
     return rows.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(compare, schema)
 
 
-def verified(pairs: DataFrame, details: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, details: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets pass the exact test."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +227,7 @@ def verified(pairs: DataFrame, details: DataFrame) -> DataFrame:
 
     sets = details.select("id", "set")
     tested = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
-    return materialised(tested.mapInArrow(exact, pairs.schema), "links")
+    return scratch.write(tested.mapInArrow(exact, pairs.schema), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,26 +250,40 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable) and kept (id = component_id)."""
-    base = materialised(digests(docs, id_col, text_col), "digests")
+    return _judged(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that are kept, as they are. A row goes for its own text: rows with its id and another text stay if they are kept,
+    and so do rows that repeat a kept row."""
+    gone = _judged(docs, id_col, text_col).where("not kept").select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    rows = docs.alias("rows")
+    return rows.join(gone, (F.col(f"rows.{id_col}") == F.col("gone_id")) & (F.xxhash64(F.col(f"rows.{text_col}").cast("string")) == F.col("gone_h")), "left_anti")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, n_shingles, component_id, kept)."""
+    base, scratch = materialised(digests(docs, id_col, text_col), "digests"), Scratch(docs.sparkSession)
     whole = base.where("id is not null and digest is not null")
     classes = whole.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = whole.select("id", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    members = materialised(reps, "representatives").select("id", F.posexplode("bands").alias("band", "key"))
+    members = scratch.write(reps, "representatives").select("id", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = materialised(members.join(buckets, "key").select("key", "band", "n", "id"), "buckets")
-    details = materialised(detailed(docs, crowded.select("id").distinct(), id_col, text_col), "details")
+    crowded = scratch.write(members.join(buckets, "key").select("key", "band", "n", "id"), "buckets")
+    details = scratch.write(detailed(docs, crowded.select("id").distinct(), id_col, text_col), "details")
 
-    pairs = materialised(similar_pairs(crowded.withColumn("component", F.col("id")), details, across=False), "forest")
-    links = verified(pairs, details)
+    pairs = scratch.write(similar_pairs(crowded.withColumn("component", F.col("id")), details, across=False), "forest")
+    links = verified(pairs, details, scratch)
     found = components(links)
     placed = crowded.where("n > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    pairs = materialised(similar_pairs(placed.join(split, "key", "left_semi"), details, across=True), "across")
-    more = verified(pairs, details)
+    pairs = scratch.write(similar_pairs(placed.join(split, "key", "left_semi"), details, across=True), "across")
+    more = verified(pairs, details, scratch)
     if not more.isEmpty():
         found = components(links.union(more))
+    scratch.clear()  # components are checkpoints; the result reads these and the digests
 
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    own = base.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
+    own = base.select("id", "h", "n_shingles", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
     out = own.join(named, "digest", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("id", "h", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACE_CLASS, WORD, materialised
+from lectern.llm.common import SPACE_CLASS, WORD, Scratch, materialised
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 NAMES = ("word_length", "symbols", "dup_lines", "repeats")
@@ -139,16 +139,17 @@ def beside(rows: DataFrame, groups: DataFrame, keys: list[str], number: int, how
 
 def robust_estimates(vectors: DataFrame, number: int) -> DataFrame:
     """Per group: m0.. and s00.. of its minimum-covariance-determinant estimate, from (group, x0, ...) of ``number`` groups."""
-    half = F.lit(SHARE)
+    half, scratch = F.lit(SHARE), Scratch(vectors.sparkSession)
     middle = vectors.groupBy("group").agg(*(F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)))
     away = beside(vectors, middle, ["group"], number).groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(P)))
     start = middle.join(away, "group")
     zero = [F.lit(0.0).alias(f"s{i}{j}") if i != j else (F.col(f"d{i}") * F.col(f"d{i}") * F.lit(1.4826**2) + F.lit(FLOOR[i])).alias(f"s{i}{i}") for i in range(P) for j in range(i + 1)]
-    estimate = materialised(start.select("group", *(f"m{i}" for i in range(P)), *zero), "mcd-start")
+    estimate = scratch.write(start.select("group", *(f"m{i}" for i in range(P)), *zero), "mcd-start")
     for step in range(STEPS):
         far = beside(vectors, estimate, ["group"], number).withColumn("far", _distance())
         bound = far.groupBy("group").agg(F.percentile_approx("far", half, 10_000).alias("bound"))
-        estimate = materialised(_moments(beside(far, bound, ["group"], number).where("far <= bound")), f"mcd-{step}")
+        estimate = scratch.write(_moments(beside(far, bound, ["group"], number).where("far <= bound")), f"mcd-{step}")
+        scratch.clear(keep=1)
     return estimate
 
 

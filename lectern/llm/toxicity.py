@@ -211,7 +211,9 @@ class Network:
         learnt[docs] = True
         pair = np.unique(doc[learnt[doc]] * len(w.word) + step[learnt[doc]])
         doc, step = pair // max(1, len(w.word)), pair % max(1, len(w.word))
-        share = toxic[docs].mean()
+        share = toxic[docs].mean() if len(docs) else 0.0
+        if not 0 < share < 1:
+            return
         for name, own in (("word", w.word), *((f"prefix{k}", x) for k, x in zip(PREFIXES, w.prefix, strict=True))):
             table = len(self.p[name])
             both = np.unique(doc * table + own[step])

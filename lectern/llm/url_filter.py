@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialised
+from lectern.llm.common import Scratch, materialised
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -75,6 +75,7 @@ def template_tree(paths: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain").agg(((F.coalesce(F.sum("share"), F.lit(0.0)) + F.lit(PRIOR_WEIGHT * neutral)) / (F.count("share") + F.lit(PRIOR_WEIGHT))).alias("purity"), F.avg(F.col("labelled") / F.col("n").cast("double")).alias("known"))
     above = hosts.join(domains.select("domain", _below(F.col("purity"), F.col("known"), F.lit(neutral)).alias("above")), "domain")
     above = above.select("host", _below(_purity(F.col("above")), F.col("labelled") / F.col("n").cast("double"), F.col("above")).alias("prior"))
+    scratch = Scratch(paths.sparkSession)
     tree = paths.join(above, "host").withColumn("template", F.lit("")).withColumn("purity", F.col("prior"))
     deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(1, deepest + 1):
@@ -91,7 +92,8 @@ def template_tree(paths: DataFrame) -> DataFrame:
         named = branch.join(parent, ["host", "template"]).select("host", "template", "segment", step.alias("step"))
         on = (F.col("t.host") == F.col("b.host")) & (F.col("t.template") == F.col("b.template")) & F.col("t.segment").eqNullSafe(F.col("b.segment"))
         tree = here.alias("t").join(named.alias("b"), on).select("t.host", "t.segments", "t.n", "t.labelled", "t.blocked", "t.prior", "t.purity", F.concat("t.template", "b.step").alias("template"))
-        tree = materialised(tree, f"url-level{level}")
+        tree = scratch.write(tree, f"url-level{level}")
+        scratch.clear(keep=1)
         going = F.size("segments") >= level - 1  # the others ended above
         nodes = tree.where(going).groupBy("host", "template").agg(*counts, F.first("prior").alias("prior"))
         nodes = nodes.select("host", "template", _purity(F.col("prior")).alias("own"), _below(_purity(F.col("prior")), F.col("labelled") / F.col("n").cast("double"), F.col("prior")).alias("below"))

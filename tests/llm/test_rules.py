@@ -309,6 +309,43 @@ def test_quality_groups_beyond_the_broadcast_bound(spark):
         assert a == b and len(a) == n
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd_docs, empty_docs):
+    """Each stage takes null, empty, long and repeated rows, clashing columns and empty tables, and judges rows by their own texts."""
+    import corpus_pipeline
+
+    again = odd_docs.union(odd_docs.where("doc_id in (1, 6, 17)")).union(odd_docs.where("doc_id = 17").withColumn("text", F.lit("another text under the same id as the long one")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, again, "/root/testdata/sf0.001")
+        assert out.columns == again.columns and stage(spark, empty_docs, "/root/testdata/sf0.001").collect() == [], name
+        rows = sorted((r.doc_id, r.text or "") for r in out.select("doc_id", "text").collect())
+        want = sorted((r.doc_id, r.text or "") for r in again.select("doc_id", "text").collect())
+        if name == "near_dedup":
+            want.remove((7, "same text here for a tie"))
+            assert rows == want
+        elif name != "personal_data":
+            assert rows == want, name
+        assert len(rows) == len(want)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, again, "")
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in again.collect()} and corpus_pipeline.STAGES[-1][1](spark, empty_docs, "").collect() == []
+
+
+def test_pipeline_decisions(spark, small_docs):
+    """Near-dedup keeps what all pairs keep; decontamination drops a planted item and nothing without one; redaction leaves no base span."""
+    import corpus_pipeline
+    from tests.llm.test_near_dedup import brute
+
+    texts = {r.doc_id: r.text for r in small_docs.collect()}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, small_docs, "").collect()}
+    assert kept == {i for i, (_, _, k) in brute(texts).items() if k}
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    stays = {r.doc_id for r in corpus_pipeline.decontamination(spark, small_docs, "/root/testdata/sf0.001").collect()}
+    joined = {i: " ".join(re.findall("[^\\W_]+", (t or "").lower())) for i, t in texts.items()}
+    assert stays.isdisjoint(i for i, t in joined.items() if any(" ".join(re.findall("[^\\W_]+", x.lower())) in t for x in items))
+    assert len(stays) > 0.8 * len(texts)
+    for r in corpus_pipeline.personal_data(spark, small_docs, "").collect():
+        assert plain_base_spans(r.text or "") == [] and r.n_chars == len(r.text or "")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,13 +1,20 @@
-"""From raw documents to packed sequences: toxicity, near duplicates, benchmark leaks, personal data, packing."""
+"""From raw documents to packed sequences: toxicity, near duplicates, benchmark leaks, personal data, packing.
+
+Each stage works on all rows that the one before kept, judges whole texts, and leaves the columns as they are (the last returns pieces).
+
+Edge cases, of all stages: an empty table gives an empty table with the same columns; rows with a null id or text are judged like
+others (a null text scores 0, is no duplicate, leaks nothing, stays null, and is packed as its end id alone); repeated rows are judged each
+and stay or go together; rows with one id and different texts are judged by their texts; other columns pass through, whatever
+their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lectern.llm.common import materialised
+from lectern.llm.common import Scratch
 from lectern.llm.decontaminate import without_leaks
-from lectern.llm.near_dedup import near_duplicates
+from lectern.llm.near_dedup import without_duplicates
 from lectern.llm.packing import pack, piece_digests
 from lectern.llm.pii import redacted_documents
 from lectern.llm.toxicity import without_toxic
@@ -22,8 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return without_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +50,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packing)]
-#: No stage can be expressed in SQL; tests/llm compares the stages with brute force.
+#: SQL has no network, walks or trees; tests/llm compares each stage with brute force or planted rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialised(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.clear(keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import language as E
 from lectern.operators import text as D
-from lectern.plans.corpus import _PAUSE
+from lectern.plans.corpus import _PAUSE, _SHORT
 from lectern.sources import bindings as B
 
 WPM, CHUNK = 250, 3
@@ -41,6 +41,8 @@ QUERIES = {
     "d17_block_offsets": _offsets,
     "d18_positions": lambda s, d: D.positions_at(_docs(s, d).select("doc_id", (F.col("doc_id") * 13 % 400).alias("target")), _offsets(s, d)),
     "d19_chunk_index": lambda s, d: _offsets(s, d).select("doc_id", "block", F.floor(F.col("start") / CHUNK).cast("long").alias("chunk"), (F.floor(F.col("start") / CHUNK) * CHUNK).cast("long").alias("chunk_start")),
+    "e01_sentences": lambda s, d: E.sentences(_docs(s, d)),
+    "e01_sentence_counts": lambda s, d: _docs(s, d).select("doc_id", E.sentence_count(F.col("text")).alias("sentences")),
     "e02_syllables": lambda s, d: _vocabulary(s, d).select("word", "language", "syllables"),
     "e04_language": lambda s, d: _docs(s, d).select("doc_id", E.language_of(F.col("text")).alias("language")),
     "e06_complex_words": lambda s, d: _vocabulary(s, d).select("word", "language", E.is_complex().alias("complex")),
@@ -70,12 +72,26 @@ def _syllables(w: str) -> str:
     return f"(case when length({w}) = 0 then 0 when length({w}) <= 2 then 1 {known} when language = 'no' then greatest(1, len(regexp_extract_all({w}, '[aeiouyæøå]+'))) else {english} end)::bigint"
 
 
+def _sentences(text: str) -> str:
+    """E1 as a fold over the marks of a text."""
+    mark = E.MARK.replace("'", "''")
+    text = f"coalesce({text}, '')"
+    body, rest = f"regexp_extract_all({text}, '{mark}', 1)", f"regexp_replace({text}, '{mark}', '', 'g')"
+    word = r"regexp_extract(regexp_replace(a.carry || x.body, '\s+$', ''), '(\S+)$', 1)"
+    goes_on = rf"(regexp_matches({word}, '^[A-Z]\.?$') or {_one_of(rf"regexp_replace(lower({word}), '\.$', '')", D.TITLES)} or regexp_matches(x.following, '^\s*[a-z]'))"
+    on = f"({word} <> '' and {_SHORT.replace('W', f"({word} || '.')")} and {goes_on})"
+    start = "{'body': '', 'mark': '', 'following': '', 'carry': '', 'n': 0::bigint}"
+    step = f"{{'body': '', 'mark': '', 'following': '', 'carry': case when {on} then regexp_extract(a.carry || x.body || x.mark, '(\\S+\\s*)$', 1) else '' end, 'n': a.n + (not {on})::bigint}}"
+    pieces = f"list_transform(range(len({body})), lambda i: {{'body': {body}[i + 1], 'mark': regexp_extract_all({text}, '{mark}', 2)[i + 1], 'following': coalesce({body}[i + 2], {rest}), 'carry': '', 'n': 0::bigint}})"
+    return f"list_transform([list_reduce({pieces}, lambda a, x: {step}, {start})], lambda s: s.n + regexp_matches(s.carry || {rest}, '\\S')::bigint)[1]"
+
+
 def _spoken(source: str, keys: str) -> str:
     """CTEs: the language of each text of ``source``, its words and what the rules say of them."""
     stem = "regexp_replace(regexp_replace(regexp_replace(w, 'ed$', ''), 'es$', ''), 'ing$', '')"
     return f"""lower_words as (select *, list_transform(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: {_letters("x")}) as w from {source}),
 lang as (select {keys}, text, case when coalesce(len(regexp_extract_all(lower(text), '[æøå]'))::double / nullif(length(text), 0), 0) > 0.001::double or ({_score(E.NORWEGIAN_WORDS)} > 1.5::double * {_score(E.ENGLISH_WORDS)} and {_score(E.NORWEGIAN_WORDS)} > 3) then 'no' else 'en' end as language,
- len(regexp_extract_all(text, '[.!?]+')) + (regexp_matches(regexp_replace(text, '(?s)^.*[.!?]["''»]?', ''), '\\S'))::int as sentences from lower_words),
+ {_sentences("text")} as sentences from lower_words),
 tokens as (select {keys}, language, sentences, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as word from lang),
 vocabulary as (select word, language, w, {stem} as stem, {_syllables("w")} as syllables from (select distinct word, language, {_letters("word")} as w from tokens)),
 judged as (select word, language, w, syllables, length(w) >= 3 and syllables >= 3 and {_syllables("stem")} >= 3 as complex, case when length(w) <= 2 then 0 when length(w) <= 3 then 0.1::double else least(1.0::double, (length(w) - 3) / 9.0::double) * 0.4::double + least(1.0::double, (syllables - 1) / 3.0::double) * 0.6::double end as complexity,
@@ -123,6 +139,7 @@ select t.doc_id, target, coalesce(case when target >= total then last else o.blo
     "e02_syllables": f"with {_WORDS} select word, language, syllables from vocabulary",
     "e04_language": f"with {_WORDS} select doc_id, language from lang",
     "e06_complex_words": f"with {_WORDS} select word, language, complex from judged",
+    "e01_sentence_counts": f"select doc_id, {_sentences('text')} as sentences from documents",
     "e07_readability": f"with {_scores('documents', 'doc_id')} select * from scores",
     "e08_reading_levels": f"with {_scores('documents', 'doc_id')} select doc_id, case {_BANDS} else 'Very difficult (Grade ' || floor(flesch_grade + 0.5::double)::bigint || '+)' end as description, floor({WPM} * wpm_factor + 0.5::double)::bigint as adjusted_wpm from scores",
     "e10_block_readability": f"with {_BLOCKS}, {_scores('blocks', 'doc_id, block')} select * from scores",

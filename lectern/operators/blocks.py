@@ -154,17 +154,19 @@ def time_remaining(offsets: DataFrame, wpm: int) -> DataFrame:
     return left.select("doc_id", "block", time_label(F.col("left") / F.lit(float(wpm))).alias("remaining"), time_label(F.col("total") / F.lit(float(wpm))).alias("total"))
 
 
-def matches_at(words: DataFrame, matches: DataFrame) -> DataFrame:
-    """the first match (doc_id, start_word, end_word) over each word (doc_id, word), its number, and whether it starts there."""
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_word")).cast("long") - 1
-    numbered = matches.select("doc_id", "start_word", "end_word", number.alias("match"))  # A step of its own: rows must be numbered before they are spread.
-    spread = numbered.select("doc_id", "start_word", "match", F.explode(F.sequence("start_word", "end_word")).alias("word"))
-    first = spread.groupBy("doc_id", "word").agg(F.min("match").alias("match"), F.min("start_word").alias("start_word"))
-    return words.join(first, ["doc_id", "word"]).select("doc_id", "word", "match", (F.col("word") == F.col("start_word")).alias("starts"))
-
-
-def neighbour_matches(matches: DataFrame) -> DataFrame:
+def matches_at(words: DataFrame, matches: DataFrame, *keys: str) -> DataFrame:
+    """the first match (doc_id, start_word, end_word) over each word (doc_id, word), its number, and whether it starts there; with
+    keys (as phrase) beside doc_id, for each of them."""
+    own = ["doc_id", *keys]
+    number = F.row_number().over(Window.partitionBy(*own).orderBy("start_word")).cast("long") - 1
+    numbered = matches.select(*own, "start_word", "end_word", number.alias("match"))  # A step of its own: rows must be numbered before they are spread.
+    spread = numbered.select(*own, "start_word", "match", F.explode(F.sequence("start_word", "end_word")).alias("word"))
+    first = spread.groupBy(*own, "word").agg(F.min("match").alias("match"), F.min("start_word").alias("start_word"))
+    return words.join(first, ["doc_id", "word"]).select(*own, "word", "match", (F.col("word") == F.col("start_word")).alias("starts"))
+
+
+def neighbour_matches(matches: DataFrame, *keys: str) -> DataFrame:
     """where the next and the previous match of each match start, round the ends."""
-    order = Window.partitionBy("doc_id").orderBy("start_word")
+    order = Window.partitionBy("doc_id", *keys).orderBy("start_word")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return matches.select("doc_id", "start_word", F.coalesce(F.lead("start_word").over(order), F.first("start_word").over(whole)).alias("next_start"), F.coalesce(F.lag("start_word").over(order), F.last("start_word").over(whole)).alias("previous_start"))
+    return matches.select("doc_id", *keys, "start_word", F.coalesce(F.lead("start_word").over(order), F.first("start_word").over(whole)).alias("next_start"), F.coalesce(F.lag("start_word").over(order), F.last("start_word").over(whole)).alias("previous_start"))

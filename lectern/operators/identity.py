@@ -58,12 +58,10 @@ COLUMNS = ("user_id", "id", "title", "author", "type", "source_label", "created"
 
 def deduplicated(items: DataFrame) -> DataFrame:
     """Merge a user's rows of one file hash, then those of one normalised URL, and pass the rest."""
-    keyed = items.withColumn("url_key", normalised_url(F.col("url")))
-    by_hash = merged(keyed.where("file_hash is not null"), "user_id", "file_hash").select(*COLUMNS, "merged_rows")
-    left = keyed.where("file_hash is null")
-    by_url = merged(left.where("url_key is not null"), "user_id", "url_key").select(*COLUMNS, "merged_rows")
-    rest = left.where("url_key is null").select(*COLUMNS, F.lit(1).cast("long").alias("merged_rows"))
-    return by_hash.unionByName(by_url).unionByName(rest)
+    key = F.coalesce(F.concat(F.lit("hash:"), "file_hash"), F.concat(F.lit("url:"), normalised_url(F.col("url"))))
+    keyed = items.withColumn("merge_key", key)
+    once = merged(keyed.where("merge_key is not null"), "user_id", "merge_key").select(*COLUMNS, "merged_rows")
+    return once.unionByName(keyed.where("merge_key is null").select(*COLUMNS, F.lit(1).cast("long").alias("merged_rows")))
 
 
 def duplicates_removed(items: DataFrame) -> DataFrame:
@@ -72,8 +70,11 @@ def duplicates_removed(items: DataFrame) -> DataFrame:
 
 
 def _codes(text: Column) -> Column:
-    """Code points of a text; none for empty text."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """UTF-16 units of a text, of which a code point beyond the first plane has two; none for empty text."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    pair = lambda c: F.array(F.lit(0xD800) + F.shiftright(c - 0x10000, 10), F.lit(0xDC00) + (c - 0x10000) % 1024)
+    wide = F.flatten(F.transform(codes, lambda c: F.when(c < 0x10000, F.array(c)).otherwise(pair(c))))
+    return F.when(text.rlike("[\\x{10000}-\\x{10FFFF}]"), wide).otherwise(codes)
 
 
 def _int32(x: Column) -> Column:
@@ -82,12 +83,12 @@ def _int32(x: Column) -> Column:
 
 
 def string_hash(text: Column) -> Column:
-    """32-bit hash by factors of 31 over code points, without sign, in base 36."""
+    """32-bit hash by factors of 31 over UTF-16 units, without sign, in base 36."""
     return F.lower(F.conv(F.abs(F.aggregate(_codes(text), F.lit(0).cast("long"), lambda h, c: _int32(h * 31 + c))).cast("string"), 10, 36))
 
 
 def text_hash(text: Column) -> Column:
-    """Two 32-bit hashes by factors of 33 and exclusive or over code points, together as 16 hexadecimal digits."""
+    """Two 32-bit hashes by factors of 33 and exclusive or over UTF-16 units, together as 16 hexadecimal digits."""
     one, two = (F.abs(F.aggregate(_codes(text), F.lit(seed).cast("long"), lambda h, c: _int32(h * 33).bitwiseXOR(c))) for seed in (5381, 52711))
     return F.lpad(F.lower(F.hex(one * 4096 + two)), 16, "0")
 

@@ -1,7 +1,13 @@
-"""Text to blocks, tokens, pauses and searches. Expressions stay in the JVM; tokens carry only the columns they need."""
+"""Text to blocks, tokens, pauses and searches. Expressions stay in the JVM, but for places along a text, which are read off it in
+Arrow batches without a shuffle; tokens carry only the columns they need."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +18,7 @@ TRANSITIONS = ("however nevertheless nonetheless although though whereas convers
     "specifically namely notably particularly firstly secondly thirdly finally lastly meanwhile subsequently ultimately overall essentially basically").split()
 ABBREVIATIONS = ("mr mrs ms dr prof sr jr rev hon gov pres gen col lt sgt ph phd md dds esq llb ma ba bs mba rn cpa vs etc eg ie al approx dept est inc corp ltd co jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun "
     "st ave blvd rd ln ct apt ste fl mt ft no vol pp pg ch sec fig ref ed oz lb lbs in cm mm km mi kg mg ml hr min u uk usa eu").split()
+_WORD, _SENTENCE = re.compile(r"\S+", re.ASCII), re.compile(r"""[^.!?]*[.!?]+["'»]?\s*|[^.!?]+""", re.ASCII)
 TITLES = "mr mrs ms dr prof sr jr rev hon gov pres gen col lt sgt st".split()
 ELLIPSIS, END, QUESTION, EXCLAMATION, PAREN, QUOTE, SEMICOLON, COLON, COMMA, DASH, TRANSITION = 2.5, 2.0, 1.8, 2.0, 1.2, 1.3, 1.7, 1.6, 1.5, 1.3, 1.2
 #: Patterns of Markdown, the first and the fifth of which are enough alone.
@@ -19,6 +26,18 @@ MARKDOWN = (r"(?m)^#{1,6}\s+.+$", r"(?m)^\s*[-*+]\s+.+$", r"(?m)^\s*\d+\.\s+.+$"
 INLINE = (r"\*\*(.+?)\*\*", r"__(.+?)__", r"\*(.+?)\*", r"_(.+?)_", r"~~(.+?)~~", r"`(.+?)`", r"\[(.+?)\]\(.+?\)", r"!\[(.+?)\]\(.+?\)")
 
 
+
+
+def bare(text: str) -> str:
+    """A text without the marks that Unicode's decomposition parts from its letters."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f")
+
+
+#: Lower-case Latin letters with accents, and what is left of them without.
+_ACCENTED = "".join(c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c == c.lower() and len(bare(c)) == 1 and bare(c) != c)
+_BARE = "".join(map(bare, _ACCENTED))
+
+
 def paragraphs(docs: DataFrame, separator: str = "\n\n+") -> DataFrame:
     """B1: trimmed paragraphs, empty ones dropped, numbered anew."""
     parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), separator), trimmed), lambda p: p != "")
@@ -41,15 +60,28 @@ def without_inline_markdown(text: Column) -> Column:
     return trimmed(text)
 
 
+def _spans(docs: DataFrame, spans: Callable[[str], list[tuple[int, int]]], number: str) -> DataFrame:
+    """(doc_id, number, text, start, end) of the pieces of each text. Places add up along a text, so each is read once where it lies: no
+    piece is shuffled to be summed up."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                found = [spans(t) for t in texts]
+                place = [i for i, own in enumerate(found) for _ in own]
+                start, end = ([x[k] for own in found for x in own] for k in (0, 1))
+                pieces = [t[a:b] for t, own in zip(texts, found, strict=True) for a, b in own]
+                numbers = [k for own in found for k in range(len(own))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(place, pa.int64())), pa.array(numbers, pa.int64()), pa.array(pieces, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", number, "text", "start", "end"])
+
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {number} long, text string, start long, end long")
+
+
 def word_tokens(docs: DataFrame) -> DataFrame:
-    """Words with their place, offsets (code points) and pause."""
-    pieces = F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\s]+|\\s+', 0)")
-    tokens = docs.select("doc_id", F.posexplode(pieces).alias("i", "piece"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.select("doc_id", "i", "piece", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("start"))
-    words = placed.where(~F.col("piece").rlike(r"^\s"))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    return words.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("word"), F.col("piece").alias("text"), F.col("start").cast("long"), (F.col("start") + F.length("piece")).cast("long").alias("end"))
+    """Words with their place and offsets (code points)."""
+    return _spans(docs, lambda t: [m.span() for m in _WORD.finditer(t)], "word")
 
 
 def word_count(text: Column) -> Column:
@@ -100,12 +132,10 @@ def recognition_point(word: Column) -> Column:
 
 def sentence_tokens(docs: DataFrame) -> DataFrame:
     """Sentences with offsets (code points, the white space after them included), words and pause; the rest without a mark has none."""
-    pieces = F.expr(r"""regexp_extract_all(coalesce(text, ''), '[^.!?]*[.!?]+["\'»]?\\s*|[^.!?]+', 0)""")
-    tokens = docs.select("doc_id", F.posexplode(pieces).alias("i", "piece"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.select("doc_id", "i", "piece", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("start"), trimmed(F.col("piece")).alias("text")).where("text <> ''")
+    pieces = _spans(docs, lambda t: [m.span() for m in _SENTENCE.finditer(t)], "sentence").withColumnRenamed("text", "piece")
+    placed = pieces.withColumn("text", trimmed(F.col("piece"))).where("text <> ''")
     rest = F.when(F.col("piece").rlike("[.!?]"), sentence_pause(F.col("text"))).otherwise(1.0)
-    return placed.select("doc_id", F.col("i").cast("long").alias("sentence"), "text", F.col("start").cast("long"), (F.col("start") + F.length("piece")).cast("long").alias("end"), word_count(F.col("text")).alias("words"), rest.alias("pause"))
+    return placed.select("doc_id", "sentence", "text", "start", "end", word_count(F.col("text")).alias("words"), rest.alias("pause"))
 
 
 def chunks(docs: DataFrame, size: int, separator: str = "\n\n+") -> DataFrame:
@@ -136,14 +166,38 @@ def positions_at(targets: DataFrame, offsets: DataFrame) -> DataFrame:
     return joined.select("doc_id", "target", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce(word, F.lit(0)).alias("word"))
 
 
-def phrase_matches(docs: DataFrame, phrase: str) -> DataFrame:
-    """places where consecutive words contain the words of the phrase, whatever the case."""
-    wanted = phrase.lower().split()
-    words = docs.select("doc_id", F.transform(split_words(F.col("text")), F.lower).alias("words"))
-    last = F.size("words") - len(wanted)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (i <= last) & _all(*(F.coalesce(F.get("words", i + k).contains(w), F.lit(False)) for k, w in enumerate(wanted))))
-    found = words.select("doc_id", F.explode(starts).alias("start"))
-    return found.select("doc_id", F.col("start").cast("long").alias("start_word"), (F.col("start").cast("long") + len(wanted) - 1).alias("end_word"))
+def folded(text: Column) -> Column:
+    """lower case without accents."""
+    return F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _BARE), "[\u0300-\u036f]", "")
+
+
+def search_words(text: Column) -> Column:
+    """the words as searches compare them: folded, letters and digits alone. Words without either stay, as empty ones."""
+    return F.transform(split_words(text), lambda w: F.regexp_replace(folded(w), r"[^\p{L}\p{N}]", ""))
+
+
+def phrase_matches(docs: DataFrame, phrases: Sequence[str], *keys: str) -> DataFrame:
+    """places where consecutive words contain the words of a phrase, whatever case, accents and marks; of each document, or of
+    each part of it (chapter, block) that the keys name. The texts are read once for all phrases (a list of the caller's)."""
+    keys = keys or ("doc_id",)
+    words = docs.select(*keys, search_words(F.col("text")).alias("words"))
+    found = [_phrase(phrase, terms) for phrase in phrases if (terms := search_terms(phrase))]
+    if not found:
+        return words.select(*keys, F.lit("").alias("phrase"), F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("end_word")).where("false")
+    return words.select(*keys, F.explode(F.concat(*found)).alias("m")).select(*keys, "m.*")
+
+
+def _phrase(phrase: str, terms: list[str]) -> Column:
+    """Matches of a phrase in the column ``words``."""
+    last = F.size("words") - len(terms)
+    inside = lambda i: (i <= last) & _all(*(F.coalesce(F.get("words", i + k).contains(w), F.lit(False)) for k, w in enumerate(terms)))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), inside)
+    return F.transform(starts, lambda i: F.struct(F.lit(phrase).alias("phrase"), i.cast("long").alias("start_word"), (i.cast("long") + len(terms) - 1).alias("end_word")))
+
+
+def search_terms(phrase: str) -> list[str]:
+    """The words of a phrase, folded, letters and digits alone."""
+    return ["".join(c for c in w if unicodedata.category(c)[0] in "LN") for w in bare(phrase.lower()).split()]
 
 
 def _all(*tests: Column) -> Column:

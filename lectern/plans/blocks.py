@@ -9,9 +9,9 @@ from lectern.operators import language as E
 from lectern.operators import pages as C
 from lectern.operators import text as D
 from lectern.plans import language as L
+from lectern.plans.corpus import searched
 from lectern.sources import bindings as B
 
-PHRASE = "of the"
 
 
 def _blocks(s, d):
@@ -48,7 +48,7 @@ def _emphasised(s, d):
 
 
 def _matches(s, d):
-    return D.phrase_matches(B.table(s, d, "documents"), PHRASE)
+    return D.phrase_matches(B.table(s, d, "documents"), B.PHRASES)
 
 
 def _pages(s, d):
@@ -73,8 +73,8 @@ QUERIES = {
     "d07_sentence_pauses": lambda s, d: D.sentence_tokens(B.table(s, d, "documents")).select("doc_id", "sentence", D.sentence_pause(F.col("text")).alias("pause")),
     "d15_pacing": lambda s, d: X.pacing(E.readability(L._paragraph_texts(s, d), "doc_id", "block"), L.WPM),
     "d16_emphasis": _emphasised,
-    "f04_matches_at": lambda s, d: X.matches_at(B.table(s, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(300).cast("long"), F.lit(3).cast("long"))).alias("word")), _matches(s, d)),
-    "f05_neighbour_matches": lambda s, d: X.neighbour_matches(_matches(s, d)),
+    "f04_matches_at": lambda s, d: X.matches_at(D.word_tokens(B.table(s, d, "documents")).select("doc_id", "word"), _matches(s, d), "phrase"),
+    "f05_neighbour_matches": lambda s, d: X.neighbour_matches(_matches(s, d), "phrase"),
     "h14_time_remaining": lambda s, d: X.time_remaining(L._offsets(s, d), L.WPM),
 }
 
@@ -90,7 +90,7 @@ def _article(strict: str) -> str:
 
 _SECTIONS = r"sections as (select conv_id as book, turn as section, role, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::bigint as words from conversations)"
 _KEPT = f"{_SECTIONS}, first_one as (select *, row_number() over (partition by book order by section) = 1 as first from sections), kept as (select book, row_number() over (partition by book order by section) as number, section as chapter, words, role from first_one where first or words >= 20), titled as (select book, number, chapter, words, case when chapter % 2 = 0 then role else 'Chapter ' || number end as title from kept)"
-_FOUND = "w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as w from documents), u as (select doc_id, unnest(range(len(w))) as i, unnest(w) as a from w), l as (select *, lead(a) over (partition by doc_id order by i) as b from u), found as (select doc_id, i as start_word, i + 1 as end_word from l where contains(a, 'of') and contains(b, 'the'))"
+_FOUND = searched("documents", "doc_id")
 _label = lambda m: f"case when {m} < 1 then floor({m} * 60 + 0.5::double)::bigint || 's' when {m} < 60 then floor({m} + 0.5::double)::bigint || 'm' else floor({m} / 60)::bigint || 'h' || case when floor({m} % 60 + 0.5::double) > 0 then ' ' || floor({m} % 60 + 0.5::double)::bigint || 'm' else '' end end"
 _cut = lambda p: f"substr(word, 1, least(length(word), greatest(1, case when length(word) <= 3 then floor(length(word) * {p}) else floor(length(word) * {p} + 0.5::double) end))::bigint)"
 _meta = lambda name: f"""nullif(regexp_extract(html, '<meta[^>]*(?:property|name)="{name}"[^>]*content="([^"]*)"', 1), '')"""
@@ -119,7 +119,7 @@ select doc_id, row_number() over (partition by doc_id order by part) - 1 as chap
     "d07_sentence_pauses": L.ORACLE_SQL["d02_sentence_tokens"].split("select doc_id, i as sentence")[0] + r"select doc_id, i as sentence, (case when contains(text, '!') then 2.0 when contains(text, '?') then 1.8 when regexp_matches(text, '\.{2,}|…') then 2.5 else 2.0 end)::double as pause from o where text <> ''",
     "d15_pacing": f"with {L._BLOCKS}, {L._scores('blocks', 'doc_id, block')}, t as (select doc_id, block, floor(wpm_factor * {L.WPM} + 0.5::double)::bigint as speed, words from scores), m as (select doc_id, block, speed, greatest(500, floor(words::double / speed * 60000.0::double + 0.5::double)::bigint) as ms from t) select *, coalesce(sum(ms) over (partition by doc_id order by block rows between unbounded preceding and 1 preceding), 0)::bigint as start_ms from m",
     "d16_emphasis": f"with {L._WORDS}, p as (select word, language, greatest(0.2::double, least(0.6::double, ([{', '.join(f'{v}::double' for v in X.EMPHASIS_BY_TIER)}])[tier] * {X.EMPHASIS}::double)) as part from tiered) select word, language, {_cut('0.4::double')} as bold, {_cut('part')} as adaptive_bold from p",
-    "f04_matches_at": f"with {_FOUND}, n as (select *, row_number() over (partition by doc_id order by start_word) - 1 as match from found), t as (select doc_id, unnest(range(0, 301, 3)) as word from documents) select doc_id, word, match, word = start_word as starts from t join n using (doc_id) where word between start_word and end_word qualify row_number() over (partition by doc_id, word order by match) = 1",
-    "f05_neighbour_matches": f"with {_FOUND} select doc_id, start_word, coalesce(lead(start_word) over o, min(start_word) over (partition by doc_id)) as next_start, coalesce(lag(start_word) over o, max(start_word) over (partition by doc_id)) as previous_start from found window o as (partition by doc_id order by start_word)",
+    "f04_matches_at": f"with {_FOUND}, n as (select *, row_number() over (partition by doc_id, phrase order by start_word) - 1 as match from found), t as (select doc_id, phrase, start_word, match, unnest(range(start_word, end_word + 1)) as word from n) select doc_id, phrase, word, min(match) as match, word = min(start_word) as starts from t group by doc_id, phrase, word",
+    "f05_neighbour_matches": f"with {_FOUND} select doc_id, phrase, start_word, coalesce(lead(start_word) over o, min(start_word) over (partition by doc_id, phrase)) as next_start, coalesce(lag(start_word) over o, max(start_word) over (partition by doc_id, phrase)) as previous_start from found window o as (partition by doc_id, phrase order by start_word)",
     "h14_time_remaining": f"with {L._OFFSETS}, t as (select doc_id, block, (sum(words) over (partition by doc_id) - start) / {L.WPM}.0::double as m, sum(words) over (partition by doc_id) / {L.WPM}.0::double as n from offsets) select doc_id, block, {_label('m')} as remaining, {_label('n')} as total from t",
 }

@@ -28,7 +28,9 @@ QUERIES = {
     "d06_pauses": lambda s, d: _sorted_words(s, d).select("word", D.pause(F.col("word")).alias("pause")),
     "d09_abbreviations": lambda s, d: _sorted_words(s, d).select("word", D.is_abbreviation(F.col("word")).alias("abbreviation"), D.is_title(F.col("word")).alias("title"), D.is_transition(F.col("word")).alias("transition")),
     "d10_recognition_point": lambda s, d: _sorted_words(s, d).select("word", D.recognition_point(F.col("word")).alias("point")),
-    "f03_phrase_search": lambda s, d: D.phrase_matches(_docs(s, d), "of the"),
+    "f01_folded_words": lambda s, d: _sorted_words(s, d).select("word", D.folded(F.col("word")).alias("folded")),
+    "f03_phrase_search": lambda s, d: D.phrase_matches(_docs(s, d), B.PHRASES),
+    "f03_chapter_search": lambda s, d: D.phrase_matches(B.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chapter"), "text"), B.PHRASES, "doc_id", "chapter"),
 }
 
 _WORDS = "words as (select distinct unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as word from documents)"
@@ -48,6 +50,19 @@ _PAUSE = f"""case when regexp_matches(word, '\\.{{2,}}$|…$') then 2.5 when reg
 when regexp_matches(word, '[)\\]]$') then 1.2 when regexp_matches(word, '["''»]$') and not regexp_matches(word, '^["''«]') then 1.3 when ends_with(word, ';') then 1.7 when ends_with(word, ':') then 1.6 when ends_with(word, ',') then case when {_TRANSITION.replace("W", "regexp_replace(word, ',$', '')")} then 1.7 else 1.5 end
 when regexp_matches(word, '[-–—]$') then 1.3 when {_TRANSITION.replace("W", "word")} then 1.2 else 1.0 end::double"""
 
+
+
+def searched(source: str, keys: str) -> str:
+    """CTEs: found, the matches of each phrase in each text of ``source``."""
+    words = rf"w as (select {keys}, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''), lambda x: regexp_replace(strip_accents(lower(x)), '[^\p{{L}}\p{{N}}]', '', 'g')) as w from {source})"
+    some = []
+    for phrase in B.PHRASES:
+        terms = D.search_terms(phrase)
+        inside = " and ".join(f"contains(w[i + {k + 1}], '{t}')" for k, t in enumerate(terms))
+        some.append(f"select {keys}, '{phrase}' as phrase, {len(terms)} as n, unnest(list_filter(range(greatest(len(w) - {len(terms) - 1}, 0)), lambda i: {inside})) as start_word from w")
+    return f"{words}, found as (select {keys}, phrase, start_word, start_word + n - 1 as end_word from ({' union all '.join(some)}))"
+
+
 ORACLE_SQL = {
     "b01_paragraphs": "select doc_id, unnest(range(len(p))) as block, unnest(p) as content from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') as p from documents)",
     "b02_markdown": f"select doc_id, {_markdown()} as markdown from documents",
@@ -56,5 +71,7 @@ ORACLE_SQL = {
     "d06_pauses": f"with {_WORDS} select word, {_PAUSE} as pause from words",
     "d09_abbreviations": f"with {_WORDS} select word, {_SHORT.replace('W', 'word')} as abbreviation, regexp_replace(lower(word), '\\.$', '') in ({_LIST(D.TITLES)}) as title, {_TRANSITION.replace('W', 'word')} as transition from words",
     "d10_recognition_point": f"with {_WORDS}, n as (select word, length(regexp_replace(word, '[^A-Za-z0-9_]', '', 'g')) as n from words) select word, case when n <= 1 then 0 when n <= 5 then 1 else floor(n * 0.3::double)::bigint end as point from n",
-    "f03_phrase_search": "with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as w from documents), u as (select doc_id, unnest(range(len(w))) as i, unnest(w) as a from w), l as (select *, lead(a) over (partition by doc_id order by i) as b from u) select doc_id, i as start_word, i + 1 as end_word from l where contains(a, 'of') and contains(b, 'the')",
+    "f01_folded_words": f"with {_WORDS} select word, strip_accents(lower(word)) as folded from words",
+    "f03_phrase_search": f"with {searched('documents', 'doc_id')} select doc_id, phrase, start_word, end_word from found",
+    "f03_chapter_search": f"with chapters as (select conv_id as doc_id, turn as chapter, text from conversations), {searched('chapters', 'doc_id, chapter')} select doc_id, chapter, phrase, start_word, end_word from found",
 }

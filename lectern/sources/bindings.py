@@ -20,7 +20,7 @@ def words_read(duration_ms, wpm):
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading sessions of 5 s and more: event_id, user_id, ts, day, duration_ms, document_id, completed, wpm, words."""
+    """Reading sessions of 5 s and more, of a document: event_id, user_id, ts, day, duration_ms, document_id, completed, wpm, words."""
     return sessions_of(table(spark, sf_dir, "events"))
 
 
@@ -30,7 +30,7 @@ def sessions_of(rows: DataFrame) -> DataFrame:
     out = events.select(
         "event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.floor(F.col("value") * 1000).cast("long").alias("duration_ms"),
         F.get_json_object("props", "$.k").cast("long").alias("document_id"), (F.col("event_type") == "purchase").alias("completed"), (F.lit(150) + F.col("event_id") % 250).alias("wpm"),
-    ).where(F.col("duration_ms") >= LEAST_SESSION_MS)
+    ).where((F.col("duration_ms") >= LEAST_SESSION_MS) & F.col("document_id").isNotNull())
     return out.withColumn("words", words_read(F.col("duration_ms"), F.col("wpm")))
 
 
@@ -62,6 +62,10 @@ def archive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The phrases that searches are asked for, from the documents' languages.
+PHRASES = ("of the", "the", "and in", "réel", "que", "und", "the th", "as", "ción", "is in")
+
+
 PALETTE = ("yellow", "green", "blue", "pink", "purple")
 
 

@@ -1,6 +1,10 @@
 """Sentences, folding and searches on fixtures."""
 
+from pyspark.sql import functions as F
+
+from lectern.operators import identity as G
 from lectern.operators import language as E
+from lectern.operators import text as T
 
 SENTENCES = {
     "Dr. Smith went to the store. He bought milk.": 2,
@@ -35,3 +39,31 @@ def test_sentence_rows_and_counts_agree(spark):
     docs = docs.select("doc_id", "text").union(odd)
     rows = E.sentences(docs).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in rows} == {r.doc_id: r.n for r in docs.select("doc_id", E.sentence_count(docs.text).alias("n")).where("n > 0").collect()}
+
+
+def test_search_folds_and_cleans(spark):
+    docs = spark.createDataFrame([(1, "The Café, über-all; CAFÉ! of (the) end"), (2, None), (3, ""), (4, "cafe\u0301 of\nthe")], "doc_id long, text string")
+    rows = T.phrase_matches(docs, ["cafe", "Of the", "  ", "Über"]).collect()
+    assert sorted((r.doc_id, r.phrase, r.start_word, r.end_word) for r in rows) == [(1, "Of the", 4, 5), (1, "cafe", 1, 1), (1, "cafe", 3, 3), (1, "Über", 2, 2), (4, "Of the", 1, 2), (4, "cafe", 0, 0)]
+    assert T.phrase_matches(docs, ["", " "]).collect() == []
+
+
+def test_hashes_take_utf16_units(spark):
+    """What a library in JavaScript computes: an emoji is two units."""
+
+    def units(text):
+        raw = text.encode("utf-16-le")
+        return [raw[i] + 256 * raw[i + 1] for i in range(0, len(raw), 2)]
+
+    def int32(x):
+        return (x + 2**31) % 2**32 - 2**31
+
+    def base36(n):
+        return ("" if n < 36 else base36(n // 36)) + "0123456789abcdefghijklmnopqrstuvwxyz"[n % 36]
+
+    for text in ("ab", "é😀x", "𝒳" * 40, "plain words"):
+        h, one, two = 0, 5381, 52711
+        for c in units(text):
+            h, one, two = int32(h * 31 + c), int32(one * 33) ^ c, int32(two * 33) ^ c
+        row = spark.range(1).select(G.string_hash(F.lit(text)).alias("a"), G.text_hash(F.lit(text)).alias("b")).first()
+        assert (row.a, row.b) == (base36(abs(h)), format(abs(one) * 4096 + abs(two), "016x"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.plans import blocks, corpus, devices, language, library, live, statistics
+from lectern.plans import blocks, corpus, devices, exchange, language, library, live, statistics
 
-_PARTS = (statistics, library, corpus, language, devices, blocks, live)
+_PARTS = (statistics, library, corpus, language, devices, blocks, exchange, live)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -42,6 +42,7 @@ from lectern.llm.word_ids import BATCH_ROWS, BLOCK, binary_ids, word_ids
 
 WINDOW, SHARD_DOCS, SHARD_IDS, K1, B = 4096, 512, 4 << 20, 1.2, 0.75
 AXES, SAMPLE, LEAF_SAMPLE = 128, 16_384, 8
+RANGE_BYTES = 16 << 20
 
 
 class Corpus:
@@ -56,19 +57,25 @@ class Corpus:
     def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
         return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, self.mean)))
 
-    def sketches(self, ids: pa.Array) -> np.ndarray:
+    def sketches(self, ids: pa.Array, width: int) -> np.ndarray:
         """Unit vectors (documents, AXES) of the BM25 weights."""
-        doc, term, tf, length = postings(*flat(ids))
+        doc, term, tf, length = postings(*flat(ids, width))
         weight = self.weights(doc, term, tf, length) * self.sign[term]
         out = np.bincount(doc * AXES + self.axis[term], weight, len(length) * AXES).reshape(-1, AXES).astype(np.float32)
         return out / np.maximum(np.sqrt((out * out).sum(axis=1)), 1e-9)[:, None]
 
 
-def flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids and the length of each document, from an Arrow binary of 32-bit integers."""
+def flat(ids: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and the length of each document, from an Arrow binary of integers of so many bytes."""
     _, ends, data = ids.buffers()
     at = np.frombuffer(ends, np.int32, len(ids) + 1, ids.offset * 4)
-    return np.frombuffer(data, "<u4", (at[-1] - at[0]) // 4, at[0]) if data is not None else np.empty(0, "<u4"), np.diff(at).astype(np.int64) // 4
+    kind = f"<u{width}"
+    return np.frombuffer(data, kind, (at[-1] - at[0]) // width, at[0]) if data is not None else np.empty(0, kind), np.diff(at).astype(np.int64) // width
+
+
+def width_of(names: list[str]) -> int:
+    """Bytes of an id in rows with these columns: ids of vocabularies up to 65,536 tokens travel in two (``ids2``), others in four."""
+    return 2 if "ids2" in names else 4
 
 
 def postings(ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,36 +220,40 @@ def even_tail(pieces: list[tuple[int, int, int, int, int]], window: int) -> list
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, ids) of each row, written once: row tells the rows apart."""
+    """(id, row, ids2 or ids4) of each row, written once: row tells the rows apart."""
+    width = 2 if max(word_ids(tokenizer).highest, end_id) < 1 << 16 else 4
+    name = f"ids{width}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, BATCH_ROWS, BLOCK):
-                ids = binary_ids(*word_ids(tokenizer).encode(part.column(1).to_pylist(), end_id))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(row + np.arange(len(ids))), ids], ["id", "row", "ids"])
+                ids = binary_ids(*word_ids(tokenizer).encode(part.column(1).to_pylist(), end_id), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(row + np.arange(len(ids))), ids], ["id", "row", name])
                 row += len(ids)
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField(name, T.BinaryType())])
     return materialised(read.mapInArrow(encode, schema), "packing-ids")
 
 
 def corpus_of(rows: DataFrame) -> Corpus:
     """Counted over all rows; the driver gets one row for each term of the vocabulary."""
 
+    width = width_of(rows.columns)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for part in slices(batch, BATCH_ROWS, BLOCK):
-                _, term, _, length = postings(*flat(part.column(0)))
+                _, term, _, length = postings(*flat(part.column(0), width))
                 more = np.bincount(term, minlength=len(df))
                 more[: len(df)] += df
                 df, n, total = more, n + len(length), total + int(length.sum())
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], term])), pa.array(np.concatenate([[n, total], df[term]]))], ["term", "n"])
 
-    found = rows.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select(f"ids{width}").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     number = dict(zip(found["term"].tolist(), found["n"].tolist(), strict=True))
     n, total = number.pop(-2, 0), number.pop(-1, 0)
     df = np.zeros(max(number, default=-1) + 1, np.int64)
@@ -253,34 +264,35 @@ def corpus_of(rows: DataFrame) -> Corpus:
 def tree_of(rows: DataFrame, corpus: Corpus, shard_docs: int) -> Tree:
     """Grown on a sample, by a hash, of ``SAMPLE`` rows at most."""
     share = min(1.0, 0.9 * SAMPLE / max(1, corpus.n))
-    held = rows.sparkSession.sparkContext.broadcast(corpus)
+    held, width = rows.sparkSession.sparkContext.broadcast(corpus), width_of(rows.columns)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, BATCH_ROWS, BLOCK):
-                vectors = held.value.sketches(part.column(1)).astype("<f2")
+                vectors = held.value.sketches(part.column(1), width).astype("<f2")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in vectors], pa.binary())], ["row", "vector"])
 
     some = rows if share == 1 else rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = some.select("row", "ids").mapInArrow(project, "row long, vector binary").limit(SAMPLE).toPandas().sort_values("row")
+    sample = some.select("row", f"ids{width}").mapInArrow(project, "row long, vector binary").limit(SAMPLE).toPandas().sort_values("row")
     vectors = np.frombuffer(b"".join(sample["vector"]), "<f2").reshape(-1, AXES).astype(np.float32)
     return Tree(vectors, corpus.n / max(1, len(vectors)), shard_docs)
 
 
 def ordered(rows: DataFrame, corpus: Corpus, tree: Tree) -> DataFrame:
-    """(leaf, code, row, id, ids), in ranges of like content."""
-    held = rows.sparkSession.sparkContext.broadcast((corpus, tree))
+    """(leaf, code, row, id, ids2 or ids4), in ranges of like content, as many as have about ``RANGE_BYTES`` each."""
+    held, width = rows.sparkSession.sparkContext.broadcast((corpus, tree)), width_of(rows.columns)
+    ranges = max(1, int(corpus.n * corpus.mean * width) // RANGE_BYTES)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, BATCH_ROWS, BLOCK):
                 corpus, tree = held.value
-                leaf, bits = tree.codes(corpus.sketches(part.column(2)))
+                leaf, bits = tree.codes(corpus.sketches(part.column(2), width))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(bits), part.column(1), part.column(0), part.column(2)], names)
 
-    names = ["leaf", "code", "row", "id", "ids"]
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names[:3]), rows.schema["id"], rows.schema["ids"]])
-    return rows.mapInArrow(code, schema).repartitionByRange("leaf", "code", "row").sortWithinPartitions("leaf", "code", "row")
+    names = ["leaf", "code", "row", "id", f"ids{width}"]
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names[:3]), rows.schema["id"], rows.schema[names[4]]])
+    return rows.mapInArrow(code, schema).repartitionByRange(ranges, "leaf", "code", "row").sortWithinPartitions("leaf", "code", "row")
 
 
 def shards(batches: Iterator[pa.RecordBatch], docs: int) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -293,7 +305,7 @@ def shards(batches: Iterator[pa.RecordBatch], docs: int) -> Iterator[tuple[pa.Ar
         return tuple(pa.concat_arrays(x) for x in zip(*held, strict=True))
 
     for batch in batches:
-        leaf, length, begin = batch.column(0).to_pylist(), flat(batch.column(2))[1].tolist(), 0
+        leaf, length, begin = batch.column(0).to_pylist(), flat(batch.column(2), width_of(batch.schema.names))[1].tolist(), 0
         for i, (own, more) in enumerate(zip(leaf, length, strict=True)):
             if n and (n >= docs or size + more > SHARD_IDS or (own != last and 2 * n >= docs)):
                 held.append((batch.column(1).slice(begin, i - begin), batch.column(2).slice(begin, i - begin)))
@@ -311,22 +323,22 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_
     rows = encoded(docs, tokenizer, end_id, id_col, text_col)
     corpus = corpus_of(rows)
     tree = tree_of(rows, corpus, shard_docs)
-    held = docs.sparkSession.sparkContext.broadcast(corpus)
+    held, width = docs.sparkSession.sparkContext.broadcast(corpus), width_of(rows.columns)
 
     def pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for names, raw in shards(batches, shard_docs):
-            ids, lengths = flat(raw)
+            ids, lengths = flat(raw, width)
             pieces = even_tail(fill(lengths, Index(ids, lengths, held.value), window), window)
             doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-            first, data = (np.cumsum(lengths) - lengths)[doc] + start, memoryview(np.ascontiguousarray(ids)).cast("B")
+            first, data = (np.cumsum(lengths) - lengths)[doc] + start, memoryview(ids.astype("<u4")).cast("B")
             own = [data[4 * a : 4 * b].tobytes() for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(own, pa.binary()), pa.array(lengths[doc]), pa.array(number + sequence), pa.array(offset)], schema.names)
             number += int(sequence.max()) + 1
 
     long = [T.StructField(c, T.LongType()) for c in ("start", "length")]
     schema = T.StructType([T.StructField("id", kind), *long, T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "sequence_id", "offset"))])
-    return ordered(rows, corpus, tree).select("leaf", "id", "ids").mapInArrow(pack_shards, schema).withColumnRenamed("id", id_col)
+    return ordered(rows, corpus, tree).select("leaf", "id", f"ids{width}").mapInArrow(pack_shards, schema).withColumnRenamed("id", id_col)
 
 
 def piece_digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bounds of a worker's tables. Longer pre-tokens are encoded each time they are met.
-CACHE_ENTRIES, CACHED_BYTES = 1_000_000, 48
+CACHE_ENTRIES, CACHED_BYTES = 600_000, 48
 #: Bytes that are cut at once; a text beyond this is cut at a space.
 BLOCK = 4 << 20
 #: Rows that callers hand over at once.
@@ -40,7 +40,8 @@ class WordIds:
 
         self.path, self.pretokens = path, Tokenizer.from_file(path)
         vocabulary = self.pretokens.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.highest = max(vocabulary.values())
+        self.ends = np.zeros(self.highest + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.between = "<|startoftext|>"
         self.mark = self.pretokens.token_to_id(self.between)
@@ -235,6 +236,6 @@ def word_ids(path: str) -> WordIds:
     return _workers[path]
 
 
-def binary_ids(first: np.ndarray, ids: np.ndarray) -> pa.Array:
-    """Each text's ids as little-endian 32-bit integers in an Arrow binary."""
-    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((4 * first).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<i4"))])
+def binary_ids(first: np.ndarray, ids: np.ndarray, width: int) -> pa.Array:
+    """Each text's ids as little-endian integers of so many bytes in an Arrow binary."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((width * first).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))])

@@ -163,7 +163,7 @@ def test_shards_are_bounded():
     """Leaves stay together where they can, and no shard has more rows than the limit, however the batches fall."""
     leaves = [0] * 30 + [1] * 5 + [2] * 25 + [3] * 200
     for step in (7, 64, 500):
-        rows = [pa.record_batch([pa.array(leaves[i : i + step]), pa.array(range(len(leaves)))[i : i + step], pa.array([b"abcd"] * len(leaves))[i : i + step]], ["leaf", "id", "ids"]) for i in range(0, len(leaves), step)]
+        rows = [pa.record_batch([pa.array(leaves[i : i + step]), pa.array(range(len(leaves)))[i : i + step], pa.array([b"abcd"] * len(leaves))[i : i + step]], ["leaf", "id", "ids4"]) for i in range(0, len(leaves), step)]
         found = [ids.to_pylist() for ids, _ in shards(iter(rows), 50)]
         assert sum(found, []) == list(range(len(leaves))) and [len(f) for f in found] == [30, 30, 50, 50, 50, 50]
 
@@ -182,7 +182,7 @@ def test_neighbours_meet_in_shards(spark, empty_docs):
         for ids, _ in shards(batches, 70):
             yield pa.record_batch([pa.array([ids.to_pylist()])], ["ids"])
 
-    for r in ordered(docs, corpus, tree_of(docs, corpus, 70)).select("leaf", "id", "ids").mapInArrow(sizes, "ids array<long>").collect():
+    for r in ordered(docs, corpus, tree_of(docs, corpus, 70)).select("leaf", "id", "ids2").mapInArrow(sizes, "ids array<long>").collect():
         topics.append(Counter(i % 16 for i in r.ids))
     assert max(sum(c.values()) for c in topics) <= 70 and sum(sum(c.values()) for c in topics) == 960
     assert sum(c.most_common(1)[0][1] for c in topics) >= 0.9 * 960

@@ -33,6 +33,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _cache: dict = {}
+PART_BYTES = 2 << 20
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +52,29 @@ def word_hashes(texts: pa.Array, ascii_words: bool = False) -> tuple[np.ndarray,
     """Of all words in order: hash, first byte and end byte in its text; and where each text's words begin.
 
     A word is a run of anything but the six ASCII space characters, or with ``ascii_words`` of anything but ASCII
-    characters that are no letter or digit.  A-Z count as a-z.
+    characters that are no letter or digit.  A-Z count as a-z.  Texts go in parts of about ``PART_BYTES``, as some ten numbers
+    are held for each byte.
     """
+    parts = [_word_hashes(part, ascii_words) for part in _parts(texts)]
+    if len(parts) == 1:
+        return parts[0]
+    hashes, starts, ends = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
+    shift = np.cumsum([0, *(p[3][-1] for p in parts)])
+    return hashes, starts, ends, np.concatenate([[0], *(p[3][1:] + n for p, n in zip(parts, shift, strict=False))])
+
+
+def _parts(texts: pa.Array) -> list[pa.Array]:
+    """Runs of whole texts of about ``PART_BYTES``, one at least."""
+    size = texts.nbytes
+    if size <= PART_BYTES or len(texts) < 2:
+        return [texts]
+    _, at = text_bytes(texts)
+    cuts = np.unique(np.searchsorted(at, np.arange(PART_BYTES, at[-1], PART_BYTES)))
+    edges = [0, *(int(c) for c in cuts if 0 < c < len(texts)), len(texts)]
+    return [texts.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _word_hashes(texts: pa.Array, ascii_words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, at = text_bytes(texts)
     n = len(data)
     if not n:

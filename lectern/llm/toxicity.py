@@ -35,7 +35,7 @@ WORDS, TRIGRAMS, EMBED, HIDDEN = 1 << 18, 1 << 13, 8, 8
 #: Numbers of leading bytes that have an embedding of their own, its size and the size of its table.
 PREFIXES, PREFIX_EMBED, PREFIX_TABLE = (4, 5, 6, 7, 8), 3, 1 << 17
 INPUT = 2 * EMBED + PREFIX_EMBED * len(PREFIXES)
-FIT_ROWS, FIT_BYTES, BATCH, RATE, DROP = 3000, 32 << 20, 64, 0.003, 0.3
+FIT_ROWS, FIT_BYTES, BATCH, RATE, DROP = 3000, 8 << 20, 64, 0.003, 0.3
 #: Rounds over the sample, and the least number of steps: small samples take more rounds.
 ROUNDS, STEPS = 6, 400
 #: Texts that the log odds of a word or prefix are smoothed by, and their weight in its embedding; the least number of texts
@@ -62,7 +62,7 @@ class Windows:
         self.word = (distinct % U(WORDS)).astype(np.int64)
         #: Trigrams of each distinct word between marks: the bytes one before to one after, A-Z as a-z.
         which = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.int64) if len(data) else np.empty(0, np.int64)
+        low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         edge = np.zeros(len(which), bool)
         if len(which):
             self.cut = np.cumsum(size) - size
@@ -71,7 +71,7 @@ class Windows:
             last = np.zeros(len(which), bool)
             last[np.cumsum(size) - 1] = True
             after = np.where(last, 36, low[np.minimum(which + 1, len(low) - 1)])
-            self.trigram = ((before * 961 + low[which]) * 977 + after) * 40503 % 65_521 % TRIGRAMS
+            self.trigram = (((before.astype(np.int64) * 961 + low[which]) * 977 + after) * 40503 % 65_521 % TRIGRAMS).astype(np.int32)
         else:
             self.cut, self.trigram = np.empty(0, np.int64), np.empty(0, np.int64)
         self.size = np.maximum(size, 1)
@@ -88,7 +88,7 @@ class Windows:
         begin = first[:-1][self.owner] + STRIDE * (np.arange(len(self.owner)) - self.first[self.owner])
         steps = begin[:, None] + np.arange(WINDOW)
         self.mask = steps < first[1:][self.owner][:, None]
-        self.steps = inverse[np.where(self.mask, steps, 0)] if len(hashes) else np.empty((0, WINDOW), np.int64)
+        self.steps = inverse.astype(np.int32)[np.where(self.mask, steps, 0)] if len(hashes) else np.empty((0, WINDOW), np.int32)
 
 
 class Network:
@@ -209,7 +209,7 @@ class Network:
         doc, step = np.broadcast_to(w.owner[:, None], w.steps.shape)[w.mask], w.steps[w.mask]
         learnt = np.zeros(len(toxic), bool)
         learnt[docs] = True
-        pair = np.unique(doc[learnt[doc]] * len(w.word) + step[learnt[doc]])
+        pair = np.unique(doc[learnt[doc]] * len(w.word) + step[learnt[doc]].astype(np.int64))
         doc, step = pair // max(1, len(w.word)), pair % max(1, len(w.word))
         share = toxic[docs].mean() if len(docs) else 0.0
         if not 0 < share < 1:

@@ -6,6 +6,7 @@ lost executor or a restart replaces its own rows.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,13 @@ LATE = "1 day"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that all executors share; a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-")
+    """A new folder under the one that all executors share; where none is set, a temporary one in a session of one machine (tests) and
+    an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lectern-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

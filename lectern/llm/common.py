@@ -44,9 +44,9 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
+    def write(self, df: DataFrame, label: str, **options: str) -> DataFrame:
         self.paths.append(path := new_path(self.spark, label))
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self, keep: int = 0) -> None:
@@ -56,10 +56,10 @@ class Scratch:
             removed(self.spark, path)
 
 
-def materialised(df: DataFrame, label: str) -> DataFrame:
+def materialised(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, outlives executors. For tables that the
     caller's result is read from; they stay."""
-    return Scratch(df.sparkSession).write(df, label)
+    return Scratch(df.sparkSession).write(df, label, **options)
 
 
 def text_or_empty(name: str = "text") -> Column:

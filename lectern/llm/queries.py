@@ -81,11 +81,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.periodic_runs import periodic_runs, planted, run_digests
+
+    docs = _table(spark, sf_dir, "documents")
+    return run_digests(periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 def _oracle_sql() -> dict[str, str]:
     from lectern.llm.url_filter import oracle_sql
 
     return {"op8_url_filter": oracle_sql()}
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontaminate, op4_toxicity, op5_personal_data, op6_token_files, op7_near_dedup, op8_url_filter, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontaminate, op4_toxicity, op5_personal_data, op6_token_files, op7_near_dedup, op8_url_filter, op9_packing, op10_quality, op13_periodic_runs)}
 ORACLE_SQL = _oracle_sql()

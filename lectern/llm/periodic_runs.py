@@ -28,8 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,7 +102,9 @@ def solved(hashes: list[np.ndarray], low: int, at: int, end: int) -> np.ndarray:
     places = np.arange(0, len(own) - low, step)
     if not len(places):
         return _NONE
-    ahead = sliding_window_view(np.concatenate([own, np.zeros(high, U)]), high - low)[low::step][: len(places)]
+    # row i holds the blocks that begin low to high - 1 words after place i
+    padded = np.concatenate([own, np.zeros(high + step, U)])
+    ahead = np.ndarray((len(places), high - low), U, padded, 8 * low, (8 * step, 8))
     row, period = np.nonzero(ahead == own[places][:, None])
     if not len(row):
         return _NONE
@@ -266,17 +267,16 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return plain.union(cut).select(F.col("id").alias(id_col), "n_words", "runs", "collapsed")
 
 
-def planted(doc_id: Column, text: Column) -> Column:
-    """The texts that the query is asked about: of every tenth id by crc32 a text whose words repeat from a place on, else the text.
-    A null id leaves its text as it is."""
-    h = F.crc32(doc_id.cast("string"))
-    g = F.floor(h / F.lit(10)).cast("long")
-    words = words_of(text)
-    n = F.size(words).cast("long")
-    a = F.pmod(g, n)
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8)))).cast("long")
-    again = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int"))))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(WORD), F.array_join(again, " ")).otherwise(text)
+def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) that the query is asked about: of every tenth id by crc32 a text whose words repeat from a place on, else the text.
+    A null id leaves its text as it is.  Each step is a column of its own, so that none is worked out twice."""
+    h = F.crc32(F.col(id_col).cast("string"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.when(F.pmod(h, F.lit(10)) == 0, F.floor(h / F.lit(10)).cast("long")).alias("g"))
+    worded = chosen.withColumn("words", F.when(F.col("g").isNotNull() & F.col("text").rlike(WORD), words_of(F.col("text"))))
+    sized = worded.withColumn("n", F.size("words").cast("long"))
+    placed = sized.withColumn("a", F.expr("cast(g % n as int)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast((n - a + p - 1) div p as int))), 1, cast(n as int) - a))")
+    return placed.select(F.col("id").alias(id_col), F.when(F.col("words").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias(text_col))
 
 
 def run_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

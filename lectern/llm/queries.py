@@ -81,18 +81,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.sharding import read_shards, shard_digests, write_shuffled
+
+    path = new_path(spark, "shards")
+    write_shuffled(_table(spark, sf_dir, "documents"), path)
+    return shard_digests(read_shards(spark, path))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.ranked_search import ranked
+
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.periodic_runs import periodic_runs, planted, run_digests
 
-    docs = _table(spark, sf_dir, "documents")
-    return run_digests(periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))))
+    return run_digests(periodic_runs(planted(_table(spark, sf_dir, "documents"))))
 
 
 def _oracle_sql() -> dict[str, str]:
-    from lectern.llm.url_filter import oracle_sql
+    from lectern.llm import ranked_search, url_filter
 
-    return {"op8_url_filter": oracle_sql()}
+    return {"op8_url_filter": url_filter.oracle_sql(), "op12_ranked_search": ranked_search.oracle_sql()}
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontaminate, op4_toxicity, op5_personal_data, op6_token_files, op7_near_dedup, op8_url_filter, op9_packing, op10_quality, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontaminate, op4_toxicity, op5_personal_data, op6_token_files, op7_near_dedup, op8_url_filter, op9_packing, op10_quality, op11_sharding, op12_ranked_search, op13_periodic_runs)}
 ORACLE_SQL = _oracle_sql()

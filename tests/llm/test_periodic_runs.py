@@ -92,7 +92,7 @@ def test_hashes_tell_doubling_words_apart():
 def test_query_equals_plain_loops(spark, small_docs, odd_docs):
     short = small_docs.where(F.length("text") < 6000)
     for docs in (short, odd_docs.where("length(text) < 4000 or text is null")):
-        rows = R.run_digests(R.periodic_runs(docs.select("doc_id", R.planted(F.col("doc_id"), F.col("text")).alias("text")))).collect()
+        rows = R.run_digests(R.periodic_runs(R.planted(docs))).collect()
         want = sorted(plain_row(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
         assert sorted(map(tuple, rows), key=lambda r: r[0]) == want
 

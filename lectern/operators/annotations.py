@@ -37,8 +37,13 @@ def by_color(notes: DataFrame, palette: tuple[str, ...]) -> DataFrame:
 
 def positions(notes: DataFrame) -> DataFrame:
     """Place of each annotation in its document, by block, then word."""
-    order = Window.partitionBy("doc_key").orderBy("start_block", "start_word", "id")
-    return notes.select("doc_key", "id", F.row_number().over(order).cast("long").alias("place"))
+    return notes.select("doc_key", "id", F.row_number().over(_in_place(notes)).cast("long").alias("place"))
+
+
+def _in_place(notes: DataFrame):
+    """Order of a document's annotations: by block, word and id, then by whatever else they have, so that rows with one id have one order."""
+    rest = [c for c in ("color", "note", "favorite", "created", "end_block", "end_word", "tags") if c in notes.columns]
+    return Window.partitionBy("doc_key").orderBy("start_block", "start_word", "id", *rest)
 
 
 def block_number(block_id: Column) -> Column:
@@ -59,8 +64,10 @@ def counted(items: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def upserted(notes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rows after changes (id, color, note, gone): gone rows go, given values replace, new ids join."""
-    both = notes.select("id", "color", "note").join(changes.toDF("id", "new_color", "new_note", "gone"), "id", "full_outer")
+    """Rows after changes (id, color, note, gone): gone rows go, given values replace, new ids join. Of changes to one id the
+    greatest (gone, color, note) counts; rows of one id all take it."""
+    new = changes.toDF("id", "new_color", "new_note", "gone").groupBy("id").agg(F.max(F.struct(F.coalesce("gone", F.lit(False)).alias("gone"), "new_color", "new_note")).alias("c")).select("id", "c.*")
+    both = notes.select("id", "color", "note").join(new, "id", "full_outer")
     return both.where("not coalesce(gone, false)").select("id", F.coalesce("new_color", "color").alias("color"), F.coalesce("new_note", "note").alias("note"), F.when(F.coalesce("new_note", "note").isNotNull(), "note").otherwise("highlight").alias("type"))
 
 
@@ -95,8 +102,7 @@ def import_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def exported_lines(notes: DataFrame) -> DataFrame:
     """One numbered Markdown line for each annotation of a document, in the order of positions."""
-    order = Window.partitionBy("doc_key").orderBy("start_block", "start_word", "id")
-    number = F.row_number().over(order).cast("string")
+    number = F.row_number().over(_in_place(notes)).cast("string")
     mark = F.when(F.col("favorite"), F.lit(" *")).otherwise(F.lit(""))
     return notes.select("doc_key", "id", F.concat(number, F.lit(". **"), F.col("color"), F.lit("**"), mark, F.coalesce(F.concat(F.lit(": "), F.col("note")), F.lit(""))).alias("line"))
 

@@ -1,5 +1,5 @@
-"""Language, syllables, complexity, readability and reading times. Words are exploded and summed up per document with map-side
-combination, so one row of sums a document is shuffled, never the words; every rule of a word is a JVM expression.
+"""Language, syllables, complexity, readability and reading times. Rules of words in a table are columns; readability adds up each whole
+text in one pass (``text_sums``), each word worked out once in a worker, so one row of sums a document is shuffled, never the words.
 
 Edge cases: null and blank texts have no words and get the defaults of readability; repeated ids are summed up together."""
 
@@ -8,16 +8,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.functions.common import ratio, round_half_up, split_words, trimmed
-from lectern.operators.text import ABBREVIATIONS, TITLES, is_abbreviation, is_title, pause, word_count
+from lectern.functions.common import WHITE, ratio, round_half_up, slices, split_words
+from lectern.operators.text import ABBREVIATIONS, TITLES, pause, word_count
 
-#: What stands before a mark that may end a sentence, and the mark with a quote and the space behind it.
-MARK = r"""([^.!?]*)([.!?]+["'»]?\s*)"""
-_MARK = re.compile(MARK)
+#: A mark that may end a sentence, with a quote and the space behind it; and lower case after space.
+_MARK = re.compile(r"""[.!?]+["'»]?\s*""")
+_LOWER = re.compile(r"\s*[a-z]")
+#: Words that a full stop behind them makes an abbreviation: two capitals at most, or single letters with full stops.
+_ABBREVIATIONS = frozenset(ABBREVIATIONS)
+_SHORT = re.compile(r"[A-Z]{1,2}|[a-zA-Z](?:\.[a-zA-Z])+")
 #: Syllables of words that the rules get wrong.
 ENGLISH = (
     "queue 1 area 3 idea 3 real 2 being 2 seeing 2 doing 2 going 2 saying 2 rhythm 2 synth 1 myth 1 gym 1 lynx 1 hymn 1 crypt 1 prism 2 chasm 2 ion 2 lion 2 cafe 2 fiance 3 fiancee 3 naive 2 cliche 2 recipe 3 simile 3 adobe 3 coyote 3 karate 3 "
@@ -91,69 +96,61 @@ def language_of(text: Column) -> Column:
     return F.when((own > 0.001) | ((no > en * F.lit(1.5)) & (no > 3)), "no").otherwise("en")
 
 
-def _sentence_pieces(text: Column) -> tuple[Column, Column]:
-    """Of a text, in order: (what stands before a mark, the mark, what stands before the next one), and what follows the last mark."""
-    t = F.coalesce(text, F.lit(""))
-    body, mark = (F.regexp_extract_all(t, F.lit(MARK), F.lit(k)) for k in (1, 2))
-    rest = F.regexp_replace(t, MARK, "")
-    following = F.slice(F.concat(F.slice(body, 2, F.size(body)), F.array(rest)), 1, F.size(body))
-    return F.arrays_zip(body.alias("body"), mark.alias("mark"), following.alias("following")), rest
-
-
-def _ends_sentence(word: Column, following: Column) -> Column:
-    """Whether a mark ends the sentence whose last word this is: not after an initial or a title, nor after another abbreviation where
-    lower case follows."""
-    goes_on = word.rlike(r"^[A-Z]\.?$") | is_title(word) | following.rlike(r"^\s*[a-z]")
-    return ~((word != "") & is_abbreviation(F.concat(word, F.lit("."))) & goes_on)
-
-
 def sentence_count(text: Column) -> Column:
-    """Number of sentences, abbreviations in mind. One pass; its state is the last word, which may span marks ("U.S.")."""
-    pieces, rest = _sentence_pieces(text)
+    """Number of sentences, abbreviations in mind: as many as ``split_sentences`` gives, in Arrow batches."""
+    return _sentence_count(text)
 
-    def step(state: Column, x: Column) -> Column:
-        word = F.regexp_extract(trimmed(F.concat(state["carry"], x["body"])), r"(\S+)$", 1)
-        ends = _ends_sentence(word, x["following"])
-        tail = F.regexp_extract(F.concat(state["carry"], x["body"], x["mark"]), r"(\S+\s*)$", 1)
-        return F.struct(F.when(ends, "").otherwise(tail).alias("carry"), (state["n"] + ends.cast("long")).alias("n"))
 
-    last = lambda state: state["n"] + F.concat(state["carry"], rest).rlike(r"\S").cast("long")
-    return F.aggregate(pieces, F.struct(F.lit("").alias("carry"), F.lit(0).cast("long").alias("n")), step, last)
+@F.pandas_udf(T.LongType())
+def _sentence_count(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(split_sentences(t or "")) for t in texts], dtype="int64")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """The sentences (doc_id, sentence, text), trimmed. Each text is read once, in Arrow batches; the rules are those of
-    ``sentence_count``."""
+    """The sentences (doc_id, sentence, text), trimmed."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, number, found = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for k, sentence in enumerate(split_sentences(text or "")):
-                    place.append(i)
-                    number.append(k)
-                    found.append(sentence)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), pa.array(number, pa.int64()), pa.array(found, pa.string())], ["doc_id", "sentence", "text"])
+            for part in slices(batch):
+                found = [split_sentences(text or "") for text in part.column(1).to_pylist()]
+                place = [i for i, own in enumerate(found) for _ in own]
+                numbers = [k for own in found for k in range(len(own))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(place, pa.int64())), pa.array(numbers, pa.int64()), pa.array([s for own in found for s in own], pa.string())], ["doc_id", "sentence", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sentence long, text string")
 
 
 def split_sentences(text: str) -> list[str]:
-    """E1 on one text."""
-    pieces = [(m.start(), m.end(), m[1]) for m in _MARK.finditer(text)]
-    out, begin = [], 0
-    for k, (at, end, _) in enumerate(pieces):
-        body_end = at + len(pieces[k][2])
-        word = (text[begin:body_end].split() or [""])[-1]
-        following = pieces[k + 1][2] if k + 1 < len(pieces) else text[end:]
-        bare = word.rstrip(".").lower()
-        short = bool(word) and (bare in ABBREVIATIONS or re.fullmatch("[a-zA-Z]", bare) or re.fullmatch("[A-Z]{1,2}", word) or re.fullmatch(r"[a-zA-Z]\.([a-zA-Z]\.)+", word + "."))
-        if not (short and (re.fullmatch(r"[A-Z]\.?", word) or word.lower().removesuffix(".") in TITLES or re.match(r"\s*[a-z]", following))):
+    """E1 on one text, in one pass over its marks: a mark ends a sentence, but not after an initial or a title, nor after another
+    abbreviation where lower case follows.  The word before a mark may span marks ("U.S."), so its place is carried along."""
+    marks = [(m.start(), m.end()) for m in _MARK.finditer(text)]
+    out, begin, last, word_at = [], 0, 0, 0  # last: end of the mark before; word_at: where the last word before that begins
+    for k, (at, end) in enumerate(marks):
+        body = text[last:at].rstrip()
+        if body:
+            own = body.rsplit(None, 1)[-1]
+            if len(own) < len(body) or last == begin or text[last - 1].isspace():
+                word_at = last + len(body) - len(own)
+            word = text[word_at : last + len(body)]
+        else:
+            word = text[word_at:last].rstrip() if last > begin else ""
+        following = text[end : marks[k + 1][0] if k + 1 < len(marks) else len(text)]
+        if word and _is_short(word) and (re.fullmatch(r"[A-Z]\.?", word) or word.lower().removesuffix(".") in TITLES or _LOWER.match(following)):
+            if at == begin or text[at - 1].isspace():
+                word_at = at  # a mark that stands alone
+        else:
             out.append(text[begin:end])
-            begin = end
+            begin = word_at = end
+        last = end
     return [s.strip() for s in (*out, text[begin:]) if s.strip()]
 
 
+def _is_short(word: str) -> bool:
+    """Whether a word, a full stop behind it, is an abbreviation."""
+    bare = word.rstrip(".").lower()
+    return bare in _ABBREVIATIONS or bool(_SHORT.fullmatch(word)) or (len(bare) == 1 and bare.isascii() and bare.isalpha())
+
+
 def timing_words(text: Column) -> Column:
     """Words, hyphens between letters dividing them."""
     return word_count(text) + F.regexp_count(F.coalesce(text, F.lit("")), F.lit(HYPHEN))
@@ -188,8 +185,86 @@ def word_duration(wpm: int, adaptive: bool = True, pauses: bool = True) -> Colum
 
 def language_words(docs: DataFrame, *keys: str) -> DataFrame:
     """The keys, language and one row a word; a text without words gives one row with a null word."""
-    known = docs.select(*keys, "text", language_of(F.col("text")).alias("language"), sentence_count(F.col("text")).alias("sentences"))
-    return known.select(*keys, "language", "sentences", F.explode_outer(split_words(F.col("text"))).alias("word"))
+    known = docs.select(*keys, "text", language_of(F.col("text")).alias("language"))
+    return known.select(*keys, "language", F.explode_outer(split_words(F.col("text"))).alias("word"))
+
+
+class _Words:
+    """The rules of E2, E4 and E6 for whole texts, each word worked out once in a worker; the columns above say the same of words in a
+    table.  Known words are forgotten when they are ``MOST``."""
+
+    MOST = 400_000
+    WORD, OTHER, OWN = re.compile(rf"[^{WHITE}]+"), re.compile("[^a-zA-ZæøåÆØÅ]"), re.compile("[æøå]")
+    NO_VOWELS, EN_VOWELS, NO_LATIN, SILENT = re.compile("[aeiouyæøå]+"), re.compile("[aeiouy]+"), re.compile("[^a-z]"), re.compile(SILENT)
+    TABLES = {code: {w: n for n, words in by_count(table).items() for w in words} for code, table in (("en", ENGLISH), ("no", NORWEGIAN))}
+    NO, EN = frozenset(NORWEGIAN_WORDS), frozenset(ENGLISH_WORDS)
+
+    def __init__(self) -> None:
+        self.known: dict[str, dict[str, tuple[int, bool]]] = {"en": {}, "no": {}}
+        self.bare: dict[str, str] = {}
+
+    def letters(self, word: str) -> str:
+        found = self.bare.get(word)
+        if found is None:
+            if len(self.bare) >= self.MOST:
+                self.bare.clear()
+            found = self.bare[word] = self.OTHER.sub("", word).lower()
+        return found
+
+    def language(self, text: str) -> str:
+        low = text.lower()
+        if low and len(self.OWN.findall(low)) / len(low) > 0.001:
+            return "no"
+        bare = [self.letters(w) for w in self.WORD.findall(low)]
+        no, en = sum(w in self.NO for w in bare), sum(w in self.EN for w in bare)
+        return "no" if no > en * 1.5 and no > 3 else "en"
+
+    def syllables(self, w: str, language: str) -> int:
+        if len(w) <= 2:
+            return min(len(w), 1)
+        if (n := self.TABLES[language].get(w)) is not None:
+            return n
+        if language == "no":
+            return max(1, len(self.NO_VOWELS.findall(w)))
+        latin = w if w.isascii() else self.NO_LATIN.sub("", w)
+        return 1 if len(latin) <= 2 else max(1, max(1, len(self.EN_VOWELS.findall(latin))) - bool(self.SILENT.search(latin)))
+
+    def facts(self, word: str, language: str) -> tuple[int, bool]:
+        """Syllables of a word, and whether it is complex."""
+        known = self.known[language]
+        if (found := known.get(word)) is None:
+            if len(known) >= self.MOST:
+                known.clear()
+            w = self.letters(word)
+            n = self.syllables(w, language)
+            found = known[word] = n, n >= 3 and self.syllables(w.removesuffix("ed").removesuffix("es").removesuffix("ing"), language) >= 3
+        return found
+
+    def sums(self, text: str) -> tuple[str, int, int, int, int]:
+        """Language, words, sentences, syllables and complex words of a text."""
+        language = self.language(text)
+        known, facts = self.known[language], []
+        for w in self.WORD.findall(text):
+            facts.append(known.get(w) or self.facts(w, language))
+        return language, len(facts), len(split_sentences(text)), sum(f[0] for f in facts), sum(f[1] for f in facts)
+
+
+SUMS = "language string, words long, sentences long, syllables long, complex_words long"
+
+
+def text_sums(docs: DataFrame, *keys: str) -> DataFrame:
+    """E5: the keys and the sums of each text, in one pass over it where it lies; no word is shuffled."""
+    fields = [docs.schema[k] for k in keys]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            for part in slices(batch):
+                rows = [words.sums(t or "") for t in part.column(len(keys)).to_pylist()]
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], [*keys, "language", "words", "sentences", "syllables", "complex_words"])
+
+    return docs.select(*keys, "text").mapInArrow(add_up, T.StructType([*fields, *T.StructType.fromDDL(SUMS)]))
 
 
 def tier_counts(docs: DataFrame) -> DataFrame:
@@ -205,8 +280,7 @@ def _tenth(x: Column, unit: float = 10.0) -> Column:
 def readability(docs: DataFrame, *keys: str) -> DataFrame:
     """Sums and indices of each group of the keys (a document, or a block of it)."""
     keys = keys or ("doc_id",)
-    words = spelled(language_words(docs, *keys)).withColumn("complex", is_complex())
-    sums = words.groupBy(*keys, "language", "sentences").agg(F.count("word").alias("words"), F.coalesce(F.sum("syllables"), F.lit(0)).alias("syllables"), F.count_if("complex").alias("complex_words"))
+    sums = text_sums(docs, *keys).groupBy(*keys, "language", "sentences").agg(*(F.sum(c).alias(c) for c in ("words", "syllables", "complex_words")))
     per_sentence, per_word, share = ratio(F.col("words"), F.col("sentences")), ratio(F.col("syllables"), F.col("words")), ratio(F.col("complex_words"), F.col("words")) * F.lit(100.0)
     ease = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(206.835) - F.lit(1.015) * per_sentence - F.lit(84.6) * per_word))
     grade = F.greatest(F.lit(0.0), F.lit(0.39) * per_sentence + F.lit(11.8) * per_word - F.lit(15.59))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.common import split_words, trimmed
+from lectern.functions.common import slices, split_words, trimmed
 
 #: Transition words, abbreviations, titles and pause multipliers.
 TRANSITIONS = ("however nevertheless nonetheless although though whereas conversely instead rather yet still furthermore moreover additionally besides also likewise therefore thus hence consequently accordingly because "
@@ -66,8 +66,7 @@ def _spans(docs: DataFrame, spans: Callable[[str], list[tuple[int, int]]], numbe
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 found = [spans(t) for t in texts]
                 place = [i for i, own in enumerate(found) for _ in own]

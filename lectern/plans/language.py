@@ -74,7 +74,7 @@ def _syllables(w: str) -> str:
 
 def _sentences(text: str) -> str:
     """E1 as a fold over the marks of a text."""
-    mark = E.MARK.replace("'", "''")
+    mark = r"""([^.!?]*)([.!?]+["''»]?\s*)"""
     text = f"coalesce({text}, '')"
     body, rest = f"regexp_extract_all({text}, '{mark}', 1)", f"regexp_replace({text}, '{mark}', '', 'g')"
     word = r"regexp_extract(regexp_replace(a.carry || x.body, '\s+$', ''), '(\S+)$', 1)"

@@ -15,7 +15,7 @@ ITEMS = """items as (select o_orderkey as id, o_custkey as user_id, p_name as ti
  case when o_orderkey % 6 between 1 and 4 then 'h' || (o_orderkey % 97) end as file_hash, case when o_orderkey % 6 = 0 then 'https://www.site' || (o_orderkey % 50) || '.example/p/' || (o_orderkey % 31) || '/?utm_source=x&id=' || (o_orderkey % 7) end as url,
  case when o_orderkey % 3 = 0 then [c_mktsegment, o_orderpriority] end as collection_ids from orders join customer on o_custkey = c_custkey join part on o_orderkey % 2000 = p_partkey)"""
 NORMAL = "regexp_replace(regexp_replace({}, '^https://www\\.', 'https://'), '/\\?utm_source=x&', '?')"
-NOTES = """notes as (select distinct l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as id, l_orderkey as doc_key, (['yellow', 'green', 'blue', 'pink', 'purple'])[l_partkey % 5 + 1] as color, l_linenumber::bigint as start_block, l_suppkey % 30 as start_word,
+NOTES = """notes as (select distinct concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::int, l_returnflag, l_linestatus, l_shipdate::date) as id, l_orderkey as doc_key, (['yellow', 'green', 'blue', 'pink', 'purple'])[l_partkey % 5 + 1] as color, l_linenumber::bigint as start_block, l_suppkey % 30 as start_word,
  (l_linenumber + l_partkey % 3)::bigint as end_block, case when l_returnflag = 'R' then 'note' end as note, l_linestatus = 'F' as favorite, case when l_partkey % 4 = 0 then [l_returnflag, l_linestatus] end as tags, l_shipdate::date as created, l_quantity from lineitem)"""
 
 

@@ -70,12 +70,12 @@ PALETTE = ("yellow", "green", "blue", "pink", "purple")
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highlights and notes, from distinct line items."""
+    """Highlights and notes, from distinct line items; ids are made of all that a row is made of, so none repeats."""
     n = table(spark, sf_dir, "lineitem")
     color = F.element_at(F.array(*map(F.lit, PALETTE)), (F.col("l_partkey") % 5 + 1).cast("int"))
     start = F.col("l_suppkey") % 30
     return n.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_orderkey").alias("doc_key"), color.alias("color"), F.col("l_linenumber").cast("long").alias("start_block"), start.alias("start_word"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag", "l_linestatus", F.to_date("l_shipdate")).alias("id"), F.col("l_orderkey").alias("doc_key"), color.alias("color"), F.col("l_linenumber").cast("long").alias("start_block"), start.alias("start_word"),
         (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("long").alias("end_block"), (start + F.col("l_quantity").cast("int")).alias("end_word"), F.when(F.col("l_returnflag") == "R", F.lit("note")).alias("note"), (F.col("l_linestatus") == "F").alias("favorite"),
         F.when(F.col("l_partkey") % 4 == 0, F.array("l_returnflag", "l_linestatus")).alias("tags"), F.to_date("l_shipdate").alias("created"),
     ).distinct()

@@ -1,7 +1,12 @@
 """Sentences, folding and searches on fixtures."""
 
+import time
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lectern.operators import annotations as J
 from lectern.operators import identity as G
 from lectern.operators import language as E
 from lectern.operators import text as T
@@ -67,3 +72,53 @@ def test_hashes_take_utf16_units(spark):
             h, one, two = int32(h * 31 + c), int32(one * 33) ^ c, int32(two * 33) ^ c
         row = spark.range(1).select(G.string_hash(F.lit(text)).alias("a"), G.text_hash(F.lit(text)).alias("b")).first()
         assert (row.a, row.b) == (base36(abs(h)), format(abs(one) * 4096 + abs(two), "016x"))
+
+
+def plain_sentences(text):
+    """E1 by looking at the whole sentence before each mark."""
+    import re
+
+    pieces = [(m.start(1), m.end(1), m.end()) for m in re.finditer(r"""([^.!?]*)([.!?]+["'»]?\s*)""", text)]
+    out, begin = [], 0
+    for k, (_, at, end) in enumerate(pieces):
+        word = (text[begin:at].split() or [""])[-1]
+        following = text[end : pieces[k + 1][1]] if k + 1 < len(pieces) else text[end:]
+        goes_on = re.fullmatch(r"[A-Z]\.?", word) or word.lower().removesuffix(".") in E.TITLES or re.match(r"\s*[a-z]", following)
+        if not (word and E._is_short(word) and goes_on):
+            out.append(text[begin:end])
+            begin = end
+    return [s.strip() for s in (*out, text[begin:]) if s.strip()]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["Dr", "U", "S", "e", "g", "etc", "word", "Word", "A", ".", ".", ". ", "!", '."', " ", "  ", "\n", "?", "» "]), max_size=25).map("".join))
+def test_sentences_of_any_text(text):
+    assert E.split_sentences(text) == plain_sentences(text)
+
+
+def test_sentences_take_linear_time():
+    for text, most in (("no mark " * 125_000, 1), ("x" * 1_000_000, 1), ("One. Two! " * 100_000, 10), ("etc. and " * 100_000, 10), ("a . " * 250_000, 10)):
+        began = time.time()
+        E.split_sentences(text)
+        assert time.time() - began < most
+
+
+def test_positions_with_repeated_ids(spark):
+    rows = [("d", "same", c, 1, 2, n, f) for c in ("pink", "blue") for n in (None, "x") for f in (True, False)]
+    notes = spark.createDataFrame(rows, "doc_key string, id string, color string, start_block long, start_word long, note string, favorite boolean")
+    seen = {tuple(sorted((r.id, r.line) for r in J.exported_lines(notes.repartition(n)).collect())) for n in (1, 3, 7)}
+    assert len(seen) == 1 and len(next(iter(seen))) == 8
+    assert sorted(r.place for r in J.positions(notes).collect()) == list(range(1, 9))
+    changes = spark.createDataFrame([("same", "green", None, False), ("same", "red", "n", False), ("new", "red", None, None)], "id string, color string, note string, gone boolean")
+    assert sorted(set(map(tuple, J.upserted(notes, changes).collect()))) == [("new", "red", None, "highlight"), ("same", "red", "n", "note")]
+
+
+def test_sums_of_texts_agree_with_columns(spark):
+    """One pass over texts and the columns of words say the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = ["", None, "queue area's REAL, being-rated houses churches dogs wanted rhythm Crypts aged æble", "Jeg og det er en på som øye vanligvis umulig", "x y z﻿w \x1c q", "created INTERESTING ed es ing ededes singing " * 50]
+    docs = docs.union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    words = E.spelled(E.language_words(docs, "doc_id")).withColumn("complex", E.is_complex())
+    want = words.groupBy("doc_id", "language").agg(F.count("word"), F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("syllables"))), F.lit(0)), F.count_if("complex"))
+    got = E.text_sums(docs, "doc_id").select("doc_id", "language", "words", "syllables", "complex_words")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

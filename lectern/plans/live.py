@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.plans import statistics as S
 from lectern.plans.statistics import SESSIONS
 from lectern.sources import bindings as B
+from lectern.streaming import habits as H
 from lectern.streaming import live as N
 
 GAP = "6 hours"
@@ -30,17 +32,41 @@ def _notes(s, d):
     return _events(s, d).where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("note_id"))
 
 
+def _repaired_days(s, d):
+    folder = N.shared_folder(s, "n08")
+    H.kept_sessions(_sessions(s, d), folder)
+    return H.repaired_days(_sessions(s, d), folder, N.daily(_sessions(s, d), folder))
+
+
+def _habit_sql() -> str:
+    """The batch answers of K3, K6 and K23, a row for each event."""
+    streaks, bests, goals = (S.ORACLE_SQL[k] for k in ("k03_streaks", "k06_personal_bests", "k23_goal_crossings"))
+    row = "select user_id, '{0}' as kind, {1} as goal_day, {2} as day, {3}::bigint as value, {4}::bigint as other from ({5}) x"
+    none = "null::date"
+    return " union all ".join((
+        row.format("streak", none, "last_day", "current_streak", "longest_streak", streaks),
+        row.format("longest_session", none, "longest_day", "longest_ms", "null", bests),
+        row.format("fastest", none, "fastest_day", "fastest_wpm", "null", bests) + " where fastest_wpm is not null",
+        row.format("most_words", none, "most_words_day", "most_words", "null", bests),
+        row.format("goal", "day", "day", "total_ms", "event_id", goals),
+    ))
+
+
 QUERIES = {
     "n01_live_days": lambda s, d: N.daily(_sessions(s, d), N.shared_folder(s, "n01")),
     "n02_live_hours": lambda s, d: N.hourly(_sessions(s, d), N.shared_folder(s, "n02")).select("user_id", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "time_ms", "words", "sessions"),
     "n03_live_weeks": lambda s, d: N.rolling_week(_sessions(s, d), N.shared_folder(s, "n03")),
     "n04_sittings": lambda s, d: N.sittings(_events(s, d).select("user_id", "ts"), N.shared_folder(s, "n04"), GAP).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events"),
+    "n05_reading_events": lambda s, d: H.reading_events(_sessions(s, d), S._goals(B.sessions(s, d)), N.shared_folder(s, "n05")),
+    "n08_repaired_days": _repaired_days,
     "n07_annotated_sessions": lambda s, d: N.annotated_sessions(_long(_sessions(s, d)), _notes(s, d), N.shared_folder(s, "n07")),
 }
 
 _SUMS = "sum(duration_ms)::bigint as time_ms, sum(words)::bigint as words, count(*) as sessions"
 ORACLE_SQL = {
     "n01_live_days": f"with {SESSIONS} select user_id, day, {_SUMS} from sessions group by user_id, day",
+    "n05_reading_events": _habit_sql(),
+    "n08_repaired_days": f"with {SESSIONS} select user_id, day, {_SUMS} from sessions group by user_id, day",
     "n02_live_hours": f"with {SESSIONS} select user_id, strftime(ts, '%Y-%m-%d %H') as hour, {_SUMS} from sessions group by all",
     "n03_live_weeks": f"with {SESSIONS}, spread as (select *, unnest(range(7)) as back from sessions) select user_id, (day - back::int) as day, {_SUMS} from spread group by all",
     "n04_sittings": f"with g as (select user_id, ts, coalesce(ts > lag(ts) over (partition by user_id order by ts) + interval {GAP}, true) as opens from events), r as (select *, sum(opens::int) over (partition by user_id order by ts rows unbounded preceding) as run from g), w as (select user_id, run, min(ts) as first, max(ts) + interval {GAP} as last, count(*) as events from r group by all) select user_id, epoch_us(first) as start_us, epoch_us(last) as end_us, events from w where last <= (select date_trunc('milliseconds', max(ts)) - interval 1 day from events)",

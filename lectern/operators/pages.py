@@ -3,23 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.common import ratio, trimmed
+from lectern.functions.common import ratio, slices, trimmed
 from lectern.operators.blocks import article_blocks, plain_texts
+from lectern.operators.page_tree import CANDIDATES, LEAST_ARTICLE, read_page
 
-#: Elements, roles and parts of class and id names that are no article text.
-STRUCTURAL = "nav header footer aside form input button dialog details summary menu menuitem noscript".split()
-ROLES = "navigation complementary contentinfo banner form search menu menubar".split()
-MEDIA = "figure figcaption picture video audio canvas embed object iframe svg".split()
-MEDIA_NAMES = "caption credit gallery slideshow media- image- photo- figure- thumbnail".split()
-PROMOTION = "share subscribe newsletter donate paywall register login related recommended trending outbrain taboola sponsored promo cta signup follow-us social comment disqus ad-container advertisement banner-ad sidebar".split()
-SUMMARY = "summary ai-summary tldr tl-dr key-points highlights quick-read brief takeaway key-takeaway kortversjon oppsummering sammendrag hovedpoeng nokkelpunkt".split()
-INFORMATION = "infobox info-box factbox fact-box callout pullquote sidebar-box aside-box tip-box note-box warning-box faktaboks infoboks".split()
+#: Headings of summaries, starts of boilerplate, elements that are allowed.
 SUMMARY_HEADINGS = (
     r"^(ai\s+)?summary$", r"^key\s+(takeaways?|points?|highlights?)$", r"^(in\s+brief|tl;?dr|highlights?)$", r"^what\s+you('ll)?\s+(learn|need\s+to\s+know)$", r"^(quick\s+)?overview$", r"^at\s+a\s+glance$", r"^the\s+bottom\s+line$",
     r"^(ai\s+)?oppsummering$", r"^kort\s+fortalt$", r"^hovedpoeng(er)?$", r"^n[øo]kkelpunkt(er)?$", r"^sammendrag$", r"^det\s+viktigste$", r"^kort\s+og\s+godt$",
@@ -33,86 +26,42 @@ ALLOWED = (
     "div span section article aside header footer main nav"
 ).split()
 LEAST_CONTAINER, LEAST_PARAGRAPH, MOST_LINKS = 80, 20, 0.5
+BLOCKS = "page_id long, block long, tag string, level long, content string, link_chars long, reason string, selector string, clean string, markup string, inside array<int>"
 
-_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "tr"}
-_CONTAINER = {"div", "section", "article", "main", "body", "ul", "ol", "table", *STRUCTURAL, *MEDIA}
-_VOID = {"br", "hr", "img", "input", "meta", "link", "embed", "col", "source", "wbr", "area", "base", "track"}
-BLOCKS = "page_id long, block long, tag string, level long, content string, link_chars long, reason string"
-
-
-def _reason(tag: str, attrs: dict[str, str | None]) -> str | None:
-    """Why an element should go: the first rule that fits its name, role, or class and id."""
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-    has = lambda parts: any(p in names for p in parts)
-    hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
-    rules = (("structural", tag in STRUCTURAL or (attrs.get("role") or "").lower() in ROLES), ("media", tag in MEDIA or has(MEDIA_NAMES)), ("hidden", hidden), ("promotion", has(PROMOTION) or bool({"ad", "ads"} & set(names.split()))), ("summary-box", has(SUMMARY)), ("info-box", has(INFORMATION)))
-    return next((name for name, found in rules if found), None)
-
-
-class _Reader(HTMLParser):
-    """Collects (tag, content, link characters, reason) of the blocks of a page; unclosed elements end with their parent."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str | None]] = []
-        self.found: list[tuple[str, str, int, str | None]] = []
-        self.tag, self.text, self.links = "div", [], 0
-
-    def _end(self) -> None:
-        content = " ".join("".join(self.text).split())
-        if content:
-            self.found.append((self.tag, content, self.links, self.open[-1][1] if self.open else None))
-        self.tag, self.text, self.links = "div", [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _VOID:
-            self.text.append(" ")
-            return
-        if tag in _BLOCK or tag in _CONTAINER:
-            self._end()
-        if tag in ("td", "th") and self.text:
-            self.text.append(" | ")
-        self.open.append((tag, (self.open[-1][1] if self.open else None) or _reason(tag, dict(attrs))))
-        if tag in _BLOCK:
-            self.tag = tag
-
-    def handle_endtag(self, tag):
-        if tag not in (t for t, _ in self.open):
-            return
-        if tag in _BLOCK or tag in _CONTAINER:
-            self._end()
-        while self.open.pop()[0] != tag:
-            pass
-
-    def handle_data(self, data):
-        names = [t for t, _ in self.open]
-        if {"script", "style", "title"} & set(names):
-            return
-        self.text.append(data)
-        if "a" in names:
-            self.links += len(data.strip())
-
-
-def _read(html: str | None) -> list[tuple[str, str, int, str | None]]:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    reader._end()
-    return reader.found
-
-
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(page, i, tag, int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else None, content, links, reason) for page, html in zip(batch.page_id, batch.html, strict=True) for i, (tag, content, links, reason) in enumerate(_read(html))]
-        out = pd.DataFrame(rows, columns=["page_id", "block", "tag", "level", "content", "link_chars", "reason"])
-        out["level"] = out.level.astype("Int64")
-        yield out
+        for part in slices(batch):
+            rows = [(page, i, tag, int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else None, *rest) for page, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, (tag, *rest) in enumerate(read_page(html))]
+            columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
+
+
+_TYPES = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+_ARROW = pa.schema([(c.split(" ")[0], _TYPES[c.split(" ")[1]]) for c in BLOCKS.split(", ")])
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Every block of the pages with its tag, level, characters in links, and why it should go; table rows have
-    their cells between bars.  Null and empty pages have none."""
-    return pages.select("page_id", "html").mapInPandas(_parsed, BLOCKS)
+    """Every block of the pages with its tag, level, characters in links, and why it should go and by which element; table
+    rows have their cells between bars.  ``clean`` and ``markup`` are its content after C6, as text and with inline elements; ``inside``
+    ranks those of the page's five best candidates for the article (C2) that hold it.  Null and empty pages have none."""
+    return pages.select("page_id", "html").mapInArrow(_parsed, BLOCKS)
+
+
+def in_article(judged: DataFrame) -> DataFrame:
+    """Of judged blocks those in the best candidate that keeps ``LEAST_ARTICLE`` characters, or all of a page where none does."""
+    page = Window.partitionBy("page_id")
+    kept = F.when(F.col("reason").isNull(), F.length("content")).otherwise(0)
+    chars = lambda rank: F.sum(F.when(F.array_contains("inside", rank), kept)).over(page)
+    best = F.coalesce(*(F.when(chars(r) >= LEAST_ARTICLE, F.lit(r)) for r in range(1, CANDIDATES + 1)))
+    return judged.withColumn("best", best).where(F.col("best").isNull() | F.expr("array_contains(inside, best)")).drop("best")
+
+
+def normalised(blocks: DataFrame) -> DataFrame:
+    """No h1 (the title is the page's), h4 to h6 as h3, content without what spans of captions, shares and the like hold."""
+    level = F.when(F.col("level") > 3, F.lit(3).cast("long")).otherwise(F.col("level"))
+    tag = F.when(F.col("level") > 3, F.lit("h3")).otherwise(F.col("tag"))
+    return blocks.where("coalesce(level, 0) <> 1").withColumns({"tag": tag, "level": level, "content": F.col("clean")}).where("content <> ''")
 
 
 def heuristic_reason() -> Column:
@@ -138,7 +87,13 @@ def judged_blocks(pages: DataFrame) -> DataFrame:
     """Blocks of pages with the reason for which each goes; null for what stays."""
     rows = in_summary(page_blocks(pages))
     reason = F.coalesce("reason", F.when(F.col("in_section"), "summary-section"), heuristic_reason())
-    return rows.select("page_id", "block", "tag", "level", "content", reason.alias("reason"))
+    return rows.select("page_id", "block", "tag", "level", "content", reason.alias("reason"), "selector", "clean", "markup", "inside")
+
+
+def removal_log(pages: DataFrame) -> DataFrame:
+    """C11: the blocks that go, each with its reason, the element that the rule fits and the first 50 characters."""
+    gone = judged_blocks(pages).where("reason is not null")
+    return gone.select("page_id", "block", "reason", F.coalesce("selector", "tag").alias("selector"), F.substring("content", 1, 50).alias("preview"))
 
 
 def removals(pages: DataFrame) -> DataFrame:
@@ -146,10 +101,16 @@ def removals(pages: DataFrame) -> DataFrame:
     return judged_blocks(pages).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.length("content")).cast("long").alias("chars"))
 
 
+def article_rows(pages: DataFrame) -> DataFrame:
+    """The blocks of each page's article (page_id, block, type, level, content, markup): C1 to C5, C2, C6, B6."""
+    kept = normalised(in_article(judged_blocks(pages)).where("reason is null"))
+    kinds = F.when(F.col("level").isNotNull(), "heading").when(F.col("tag") == "pre", "code").when(F.col("tag") == "blockquote", "quote").when(F.col("tag") == "li", "list").otherwise("paragraph")
+    return article_blocks(kept.select("page_id", "block", kinds.alias("type"), "level", "content", "markup"))
+
+
 def articles(pages: DataFrame) -> DataFrame:
     """The article text of each page that has any left."""
-    kept = judged_blocks(pages).where("reason is null").select(F.col("page_id").alias("doc_id"), "block", F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph").alias("type"), "content")
-    return plain_texts(article_blocks(kept)).withColumnRenamed("doc_id", "page_id")
+    return plain_texts(article_rows(pages).withColumnRenamed("page_id", "doc_id")).withColumnRenamed("doc_id", "page_id")
 
 
 def metadata() -> list[Column]:

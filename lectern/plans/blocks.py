@@ -68,6 +68,8 @@ QUERIES = {
     "c01_page_blocks": lambda s, d: C.judged_blocks(_pages(s, d)),
     "c09_page_metadata": lambda s, d: _pages(s, d).select("page_id", *C.metadata()),
     "c10_unsafe_markup": lambda s, d: _pages(s, d).select("page_id", C.unsafe_tags().alias("tags"), C.has_script_link().alias("script_link")),
+    "c06_article_markup": lambda s, d: C.article_rows(_pages(s, d)),
+    "c11_removal_log": lambda s, d: C.removal_log(_pages(s, d)),
     "c11_removals": lambda s, d: C.removals(_pages(s, d)),
     "c12_articles": lambda s, d: C.articles(_pages(s, d)),
     "d07_sentence_pauses": lambda s, d: D.sentence_tokens(B.table(s, d, "documents")).select("doc_id", "sentence", D.sentence_pause(F.col("text")).alias("pause")),

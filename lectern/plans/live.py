@@ -39,8 +39,9 @@ def _repaired_days(s, d):
 
 
 def _habit_sql() -> str:
-    """The batch answers of K3, K6 and K23, a row for each event."""
+    """The batch answers of K3 (days with a session), K6 and K23, a row for each event."""
     streaks, bests, goals = (S.ORACLE_SQL[k] for k in ("k03_streaks", "k06_personal_bests", "k23_goal_crossings"))
+    streaks = streaks.replace(S.DAILY, f"{SESSIONS}, daily as (select distinct user_id, day from sessions)")
     row = "select user_id, '{0}' as kind, {1} as goal_day, {2} as day, {3}::bigint as value, {4}::bigint as other from ({5}) x"
     none = "null::date"
     return " union all ".join((

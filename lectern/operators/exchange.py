@@ -162,3 +162,22 @@ def register(spark) -> None:
     """O1: make the SQL functions known to a session."""
     for name, (parameters, kind, body) in SQL_FUNCTIONS.items():
         spark.sql(f"create or replace temporary function {name}({parameters}) returns {kind} return {body}")
+
+
+#: Bytes of each end of a file that count for its fingerprint; a file of up to twice as many counts whole.
+SAMPLE = 64 * 1024
+
+
+def fingerprint(content: Column, length: Column) -> Column:
+    """The first 16 hexadecimal digits of the SHA-256 of a file of up to twice ``SAMPLE`` bytes, else of its two ends and its size
+    in eight bytes, the lowest first."""
+    size = F.unhex(F.concat(*(F.substring(F.lpad(F.hex(length), 16, "0"), k, 2) for k in range(15, 0, -2))))
+    ends = F.concat(F.substring(content, 1, SAMPLE), F.substring(content, -SAMPLE, SAMPLE), size)
+    return F.substring(F.sha2(F.when(length <= 2 * SAMPLE, content).otherwise(ends), 256), 1, 16)
+
+
+def file_fingerprints(spark, folder: str, pattern: str = "*") -> DataFrame:
+    """Path, length and fingerprint of the files of a folder, whatever their kind. A file is one row, so of 2 GB at most; Spark
+    lists no empty files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", fingerprint(F.col("content"), F.col("length")).alias("file_hash"))

@@ -79,6 +79,19 @@ def spelled(words: DataFrame) -> DataFrame:
     return out.withColumn("syllables", syllables(F.col("letters"), F.col("language"), F.col("latin")))
 
 
+def with_dictionary(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Spelled words (word, language, letters, syllables, ...) whose syllables come from a dictionary (language, word, syllables) where
+    it knows the letters and the built-in exceptions do not.  Words of up to two letters keep their one syllable; of repeated entries
+    the greatest count holds; an empty dictionary changes nothing.  Distinct letters alone meet the dictionary, so a frequent word is
+    one row; whether a side is broadcast is left to Spark's limits."""
+    entry = dictionary.select("language", F.lower("word").alias("letters"), F.col("syllables").cast("long").alias("entry")).where("entry is not null").groupBy("language", "letters").agg(F.max("entry").alias("entry"))
+    built_in = F.lit(False)
+    for code, table in (("en", ENGLISH), ("no", NORWEGIAN)):
+        built_in = built_in | ((F.col("language") == code) & F.col("letters").isin(*(w for own in by_count(table).values() for w in own)))
+    open_ = words.select("language", "letters").distinct().where(~built_in & (F.length("letters") > 2)).join(entry, ["language", "letters"])
+    return words.join(open_, ["language", "letters"], "left").withColumn("syllables", F.coalesce("entry", "syllables")).drop("entry").select(*words.columns)
+
+
 def is_complex() -> Column:
     """E6, of spelled words: three syllables or more, also without ed, es and ing."""
     w = F.col("letters")

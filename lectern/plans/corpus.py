@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.operators import markdown as M
 from lectern.operators import text as D
 from lectern.sources import bindings as B
 
@@ -22,6 +23,8 @@ def _sorted_words(s, d):
 QUERIES = {
     "b01_paragraphs": lambda s, d: D.paragraphs(_docs(s, d), "\n+").select("doc_id", F.col("block").cast("long").alias("block"), "content"),
     "b02_markdown": lambda s, d: _docs(s, d).select("doc_id", D.is_markdown(F.col("text")).alias("markdown")),
+    "b03_markdown_blocks": lambda s, d: M.markdown_blocks(_docs(s, d)),
+    "b08_pasted_documents": lambda s, d: M.pasted_documents(_docs(s, d)).select("doc_id", "title", "source", "file_hash", F.size("blocks").alias("blocks"), F.array_join(F.transform("blocks", lambda b: F.coalesce(b["content"], F.array_join(b["items"], " "))), " ").alias("text")),
     "b04_plain_inline": lambda s, d: _docs(s, d).select("doc_id", D.without_inline_markdown(F.col("text")).alias("text")),
     "d01_word_tokens": lambda s, d: D.word_tokens(_docs(s, d)),
     "d04_word_count": lambda s, d: _docs(s, d).select("doc_id", D.word_count(F.col("text")).alias("words")),

@@ -83,6 +83,7 @@ QUERIES = {
     "a07_imported_totals": lambda s, d: X.greatest_totals(_replicas(s, d).groupBy("replica", "user_id").agg(F.sum("duration_ms").alias("time_ms"), F.sum("words").alias("words")), ["user_id"], ["time_ms", "words"]),
     "a09_notes_import_report": lambda s, d: X.notes_import_report(B.table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), F.expr(NOTES_JSON).alias("json"))),
     "a11_backfilled": lambda s, d: X.backfilled(_recents(s, d), F.lit("device")),
+    "a12_file_fingerprints": lambda s, d: X.file_fingerprints(s, d, "*.parquet").select(F.regexp_replace("path", "^.*/", "").alias("file"), "length", "file_hash"),
     "a13_file_types": lambda s, d: B.table(s, d, "part").select("p_partkey", X.file_type(F.expr(FILE_NAME)).alias("type")),
     "b16_split_paragraphs": lambda s, d: B.table(s, d, "documents").select("doc_id", F.posexplode(X.split_paragraph(F.translate(F.coalesce("text", F.lit("")), "\n", " "))).alias("paragraph", "text")),
     "g09_upserted": lambda s, d: X.upserted(_items(s, d).where("id % 3 <> 2"), _inputs(s, d), F.lit(NOW).cast("date")),

@@ -29,7 +29,14 @@ def _paragraph_texts(s, d):
     return D.paragraphs(_docs(s, d), "\n+").select("doc_id", F.col("block").cast("long").alias("block"), F.col("content").alias("text"))
 
 
+def _dictionary(s, d):
+    """Counts for the words of the benchmark, as a library might load them."""
+    words = B.table(s, d, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''").distinct()
+    return words.select(F.lit("en").alias("language"), "word", (F.length("word") % 6 + 1).alias("syllables"))
+
+
 QUERIES = {
+    "e03_dictionary_syllables": lambda s, d: E.with_dictionary(_vocabulary(s, d), _dictionary(s, d)).select("word", "language", "syllables"),
     "d02_sentence_tokens": lambda s, d: D.sentence_tokens(_docs(s, d)),
     "d03_chunks": lambda s, d: D.chunks(_docs(s, d), CHUNK, "\n+"),
     "d05_timing_words": lambda s, d: _docs(s, d).select("doc_id", E.timing_words(F.col("text")).alias("words")),
@@ -136,6 +143,8 @@ e as (select doc_id, paragraph, place // {CHUNK} as chunk, array_to_string(w[pla
     "d18_positions": f"""with {_OFFSETS}, t as (select doc_id, doc_id * 13 % 400 as target from documents), total as (select doc_id, sum(words) as total, max(block) as last, arg_max(words, block) as last_words from offsets group by doc_id)
 select t.doc_id, target, coalesce(case when target >= total then last else o.block end, 0) as block, coalesce(case when target >= total then greatest(last_words - 1, 0) else target - o.start end, 0)::bigint as word from t left join total x on x.doc_id = t.doc_id left join offsets o on o.doc_id = t.doc_id and target >= o.start and target < o.start + o.words""",
     "d19_chunk_index": f"with {_OFFSETS} select doc_id, block, start // {CHUNK} as chunk, start // {CHUNK} * {CHUNK} as chunk_start from offsets",
+    "e03_dictionary_syllables": f"""with {_WORDS}, b as (select distinct unnest(string_split(text, ' ')) as word from benchmark), e as (select lower(word) as letters, max(length(word) % 6 + 1)::bigint as entry from b where word <> '' group by 1),
+x as (select word, language, {_letters("word")} as letters, syllables from vocabulary) select word, language, case when language = 'en' and length(letters) > 2 and not {_one_of("letters", [w for own in E.by_count(E.ENGLISH).values() for w in own])} then coalesce(entry, syllables) else syllables end as syllables from x left join e using (letters)""",
     "e02_syllables": f"with {_WORDS} select word, language, syllables from vocabulary",
     "e04_language": f"with {_WORDS} select doc_id, language from lang",
     "e06_complex_words": f"with {_WORDS} select word, language, complex from judged",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.common import round_half_up, trimmed
-from lectern.operators.identity import normalised_url, stable_id, type_of_source
+from lectern.operators.identity import normalised_url, stable_id, text_hash, type_of_source
 
 #: File types by their endings, and the version of a statistics export.
 FILE_TYPES = {"pdf": ("pdf",), "docx": ("docx",), "epub": ("epub",), "mobi": ("mobi", "azw", "azw3")}
@@ -96,20 +96,59 @@ def split_paragraph(text: Column) -> Column:
     return F.when(F.length(text) > 1000, folded).otherwise(F.array(text))
 
 
-def upserted(existing: DataFrame, inputs: DataFrame, now: Column) -> DataFrame:
-    """Opened items (user_id, title, author, type, url, file_hash, word_count, opened) laid over those of a library that have their
-    file hash or URL; others are new. An item keeps id and creation; the latest of inputs with one key counts."""
-    key = F.coalesce(F.concat(F.lit("hash:"), "file_hash"), F.concat(F.lit("url:"), normalised_url(F.col("url"))))
-    order = Window.partitionBy("user_id", "key").orderBy(F.desc("opened"), "title")
-    latest = inputs.withColumn("key", key).where("key is not null").withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    first = Window.partitionBy("user_id", "key").orderBy("id")
-    own = existing.withColumn("key", key).withColumn("rank", F.when(F.col("key").isNotNull(), F.row_number().over(first)))
-    a, b = own.alias("a"), latest.alias("b")
-    both = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") == 1), "full_outer")
-    over = lambda c: F.coalesce(f"b.{c}", f"a.{c}").alias(c)
-    fresh = stable_id(F.col("b.type"), F.col("b.file_hash"), F.col("b.url"), F.lit(None).cast("string"))
-    opened = F.when(F.col("b.key").isNotNull(), now)
-    return both.select(F.coalesce("a.user_id", "b.user_id").alias("user_id"), F.coalesce(F.col("a.id").cast("string"), fresh).alias("id"), *map(over, ("title", "author", "type", "url", "file_hash", "word_count")), F.coalesce("a.created", opened).alias("created"), F.coalesce(opened, F.col("a.last_opened")).alias("last_opened"))
+_ITEM = ("title", "author", "type", "url", "file_hash", "word_count", "paste_content")
+
+
+def _keys(items: DataFrame, pasted: Column) -> DataFrame:
+    """Adds hash_key (of the file, else of the pasted text where ``pasted`` says so) and url_key; paste_content is null where it is missing."""
+    own = F.col("file_hash")
+    if "paste_content" in items.columns:
+        own = F.coalesce(own, F.when(pasted & (F.col("paste_content") != ""), text_hash(F.col("paste_content"))))
+    else:
+        items = items.withColumn("paste_content", F.lit(None).cast("string"))
+    # exploded, as the plan would else repeat the rules of a URL wherever the key is used
+    keys = F.struct(F.concat(F.lit("hash:"), own).alias("hash_key"), F.concat(F.lit("url:"), normalised_url(F.col("url"))).alias("url_key"))
+    return items.withColumn("keys", F.explode(F.array(keys))).select(*items.columns, "keys.*")
+
+
+def upserted(existing: DataFrame, inputs: DataFrame, now: Column | None = None) -> DataFrame:
+    """Opened items (user_id, title, author, type, url, file_hash, word_count, opened; paste_content if there is any) laid over those of
+    a library that have their file hash, that of their pasted text, or their URL; others are new.  An item keeps id and creation, and what
+    an input leaves open; of several items that fit, the last opened one is taken, and of several inputs for one item the latest counts.
+    Opened is ``now``, else the input's own time.  Pasted texts are cut to ``PASTE_LIMIT`` characters after they are hashed.  Inputs
+    without hash, text and URL have no identity and are left out.
+
+    A key is one user's, so no user's items meet another's; keys are exploded and joined, never compared pair by pair."""
+    pasted = "paste_content" in existing.columns or "paste_content" in inputs.columns
+    order = F.struct("opened", "title", *(c for c in _ITEM if c != "title"))
+    fields = F.struct(*_ITEM, "opened", "hash_key", "url_key")
+    keyed = _keys(inputs, F.col("file_hash").isNull()).withColumn("group", F.coalesce("hash_key", "url_key")).where("group is not null")
+
+    def latest(rows: DataFrame, keys: Column) -> DataFrame:
+        return rows.groupBy("user_id", "group").agg(F.max_by(fields, order).alias("b"), F.array_distinct(F.flatten(F.collect_set(keys))).alias("keys")).select("user_id", "group", "b.*", "keys")
+
+    one = latest(keyed, F.filter(F.array("hash_key", "url_key"), lambda k: k.isNotNull())).withColumn("group", F.coalesce("url_key", "group"))
+    new = latest(one, F.col("keys")).withColumn("paste_content", F.substring("paste_content", 1, PASTE_LIMIT))
+
+    own = _keys(existing, (F.col("type") == "paste") & F.col("file_hash").isNull())
+    held = own.select("user_id", "id", "last_opened", F.explode(F.filter(F.array("hash_key", "url_key"), lambda k: k.isNotNull())).alias("key"))
+    hits = new.select("user_id", "group", "opened", F.explode("keys").alias("key")).join(held, ["user_id", "key"])
+    first = Window.partitionBy("user_id", "group").orderBy(F.desc("last_opened"), "id")
+    taken = hits.withColumn("n", F.row_number().over(first)).where("n = 1").select("user_id", "group", F.col("id").alias("item"))
+
+    matched = new.join(taken, ["user_id", "group"], "left")
+    last = Window.partitionBy("user_id", "item").orderBy(F.desc("opened"), F.desc("title"), "group")
+    over = matched.where("item is not null").withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+    a, b = own.alias("a"), over.alias("b")
+    both = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.id") == F.col("b.item")), "left")
+    opened = F.col("b.opened") if now is None else F.when(F.col("b.group").isNotNull(), now)
+    given = lambda c: F.coalesce(f"b.{c}", f"a.{c}").alias(c)
+    hashed = F.coalesce("b.file_hash", "a.file_hash", F.when(F.col("b.paste_content").isNotNull(), F.regexp_replace("b.hash_key", "^hash:", ""))).alias("file_hash")
+    laid = both.select("a.user_id", F.col("a.id").cast("string").alias("id"), *(hashed if c == "file_hash" else given(c) for c in _ITEM), F.col("a.created").alias("created"), F.coalesce(opened, F.col("a.last_opened")).alias("last_opened"))
+    at = F.col("opened") if now is None else now
+    fresh = matched.where("item is null").select("user_id", stable_id(F.col("type"), F.col("file_hash"), F.col("url"), F.col("paste_content") if pasted else F.lit(None).cast("string")).alias("id"), *_ITEM, at.alias("created"), at.alias("last_opened"))
+    out = laid.unionByName(fresh)
+    return out if pasted else out.drop("paste_content")
 
 
 def looked_up(items: DataFrame, ids: DataFrame) -> DataFrame:

@@ -84,13 +84,14 @@ def next_to_read(items: DataFrame, top: int = 3) -> DataFrame:
     return web.withColumn("rank", F.row_number().over(rank).cast("long")).where(F.col("rank") <= top).select("user_id", "id", "rank")
 
 
-def deleted(items: DataFrame, gone: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """The items without those of ``gone`` (id), and the tombstones of these: by id, hash and url."""
+def deleted(items: DataFrame, gone: DataFrame, at: str | None) -> tuple[DataFrame, DataFrame]:
+    """The items without those of ``gone`` (id, or user_id and id), and the tombstones of these: by id, hash and url."""
     from lectern.operators.identity import normalised_url
 
-    kept = items.join(gone, "id", "left_anti")
+    by = list(gone.columns)
+    kept = items.join(gone, by, "left_anti")
     keys = F.array(F.col("id").cast("string"), F.concat(F.lit("hash:"), F.col("file_hash")), F.concat(F.lit("url:"), normalised_url(F.col("url"))))
-    stones = items.join(gone, "id", "left_semi").select("user_id", F.explode(keys).alias("key")).where("key is not null").distinct()
+    stones = items.join(gone, by, "left_semi").select("user_id", F.explode(keys).alias("key")).where("key is not null").distinct()
     return kept, stones.withColumn("deleted_at", F.lit(at).cast("date"))
 
 

@@ -8,6 +8,7 @@ from lectern.plans import statistics as S
 from lectern.plans.statistics import SESSIONS
 from lectern.sources import bindings as B
 from lectern.streaming import habits as H
+from lectern.streaming import library as L
 from lectern.streaming import live as N
 
 GAP = "6 hours"
@@ -38,6 +39,22 @@ def _repaired_days(s, d):
     return H.repaired_days(_sessions(s, d), folder, N.daily(_sessions(s, d), folder))
 
 
+def _changes(s, d):
+    """Orders as changes of a library: items opened by their file hash or url, and some of them deleted."""
+    schema = s.read.parquet(f"{d}/orders.parquet").schema
+    key, n = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    rows = s.readStream.schema(schema).parquet(f"{d}/orders[.]parquet").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
+    filed = key % 3 > 0
+    opened = {"title": F.concat(F.lit("t"), key), "author": F.when(key % 4 > 0, F.lit("a")), "type": F.when(filed, "pdf").otherwise("web"), "url": F.when(~filed, F.concat(F.lit("https://www.x.example/"), n)), "file_hash": F.when(filed, F.concat(F.lit("h"), n)), "word_count": F.when(key % 2 > 0, key)}
+    gone = F.when((key % 7 == 0) & filed, F.concat(F.lit("file_pdf_h"), n))
+    every = rows.select(key.alias("event_id"), "ts", F.col("o_custkey").alias("user_id"), F.when(gone.isNotNull(), "delete").otherwise("open").alias("kind"), gone.alias("id"), *(v.alias(k) for k, v in opened.items()))
+    return every
+
+
+def _library(s, d):
+    return L.kept_up(_changes(s, d), N.shared_folder(s, "n06")).withColumns({c: F.to_date(c) for c in ("created", "last_opened")}).drop("id")
+
+
 def _habit_sql() -> str:
     """The batch answers of K3 (days with a session), K6 and K23, a row for each event."""
     streaks, bests, goals = (S.ORACLE_SQL[k] for k in ("k03_streaks", "k06_personal_bests", "k23_goal_crossings"))
@@ -59,6 +76,7 @@ QUERIES = {
     "n03_live_weeks": lambda s, d: N.rolling_week(_sessions(s, d), N.shared_folder(s, "n03")),
     "n04_sittings": lambda s, d: N.sittings(_events(s, d).select("user_id", "ts"), N.shared_folder(s, "n04"), GAP).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events"),
     "n05_reading_events": lambda s, d: H.reading_events(_sessions(s, d), S._goals(B.sessions(s, d)), N.shared_folder(s, "n05")),
+    "n06_library": _library,
     "n08_repaired_days": _repaired_days,
     "n07_annotated_sessions": lambda s, d: N.annotated_sessions(_long(_sessions(s, d)), _notes(s, d), N.shared_folder(s, "n07")),
 }
@@ -67,6 +85,11 @@ _SUMS = "sum(duration_ms)::bigint as time_ms, sum(words)::bigint as words, count
 ORACLE_SQL = {
     "n01_live_days": f"with {SESSIONS} select user_id, day, {_SUMS} from sessions group by user_id, day",
     "n05_reading_events": _habit_sql(),
+    "n06_library": """with c as (select *, o_orderkey % 3 > 0 as filed, o_orderkey % 5 as n from orders),
+o as (select o_custkey as user_id, 't' || o_orderkey as title, case when o_orderkey % 4 > 0 then 'a' end as author, case when filed then 'pdf' else 'web' end as type, case when not filed then 'https://www.x.example/' || n end as url, case when filed then 'h' || n end as file_hash, case when o_orderkey % 2 > 0 then o_orderkey end as word_count, o_orderdate::date as opened from c where not (o_orderkey % 7 = 0 and filed)),
+i as (select *, opened as created, opened as last_opened from o qualify row_number() over (partition by user_id, type, url, file_hash order by opened desc, title desc) = 1),
+g as (select o_custkey as user_id, 'h' || n as file_hash, max(o_orderdate::date) as gone_at from c where o_orderkey % 7 = 0 and filed group by all)
+select user_id, title, author, type, url, file_hash, word_count, created, last_opened from i left join g using (user_id, file_hash) where gone_at is null or gone_at < last_opened""",
     "n08_repaired_days": f"with {SESSIONS} select user_id, day, {_SUMS} from sessions group by user_id, day",
     "n02_live_hours": f"with {SESSIONS} select user_id, strftime(ts, '%Y-%m-%d %H') as hour, {_SUMS} from sessions group by all",
     "n03_live_weeks": f"with {SESSIONS}, spread as (select *, unnest(range(7)) as back from sessions) select user_id, (day - back::int) as day, {_SUMS} from spread group by all",

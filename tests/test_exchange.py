@@ -21,6 +21,30 @@ def test_upserts(spark):
     assert (rows[1, "file_epub_h2"].created, rows[1, "file_epub_h2"].title) == ("2024-02-01", "fresh")
 
 
+ITEMS = "user_id long, id string, title string, author string, type string, url string, file_hash string, word_count long, created long, last_opened long, paste_content string"
+INPUTS = "user_id long, title string, author string, type string, url string, file_hash string, word_count long, opened long, paste_content string"
+
+
+def test_upserts_by_hash_or_url_and_pastes(spark):
+    pasted = spark.range(1).select(X.text_hash(F.lit("pasted words"))).first()[0]
+    existing = spark.createDataFrame([(1, "a", "by url", None, "web", "https://x.org/a", None, 1, 1, 5, None), (1, "b", "by hash", None, "pdf", None, "h1", 1, 1, 9, None), (1, "c", "old paste", None, "paste", None, None, 2, 1, 3, "pasted words"), (2, "d", "another's", None, "pdf", None, "h1", 1, 1, 1, None)], ITEMS)
+    inputs = [
+        (1, "new hash, known url", None, "pdf", "https://www.x.org/a", "h7", None, 20, None),  # the url finds a
+        (1, "hash and url of two items", None, "pdf", "https://x.org/a", "h1", None, 21, None),  # b was opened last
+        (1, "paste", None, "paste", None, None, None, 22, "pasted words"), (1, "long", None, "paste", None, None, None, 23, "y" * 150_000), (1, "nothing", None, "paste", None, None, None, 24, None),
+        (3, "first", "x", "web", "https://x.org/a", "h8", None, 25, None), (3, "second", None, "web", "https://x.org/a", "h9", 4, 26, None),
+    ]
+    rows = sorted(map(tuple, X.upserted(existing, spark.createDataFrame(inputs[:1] + inputs[2:], INPUTS)).select("user_id", "id", "title", "file_hash", "word_count", "created", "last_opened", F.length("paste_content")).collect()))
+    long = next(r[1] for r in rows if r[2] == "long")
+    assert rows == sorted([
+        (1, "a", "new hash, known url", "h7", 1, 1, 20, None), (1, "b", "by hash", "h1", 1, 1, 9, None), (1, "c", "paste", pasted, 2, 1, 22, 12), (2, "d", "another's", "h1", 1, 1, 1, None),
+        (1, long, "long", None, None, 23, 23, 100_000), (3, "file_web_h9", "second", "h9", 4, 26, 26, None),
+    ])
+    assert long.startswith("paste_")
+    one = X.upserted(existing, spark.createDataFrame(inputs[1:2], INPUTS))
+    assert {r.id: r.title for r in one.collect()} == {"a": "by url", "b": "hash and url of two items", "c": "old paste", "d": "another's"}
+
+
 def test_long_paragraphs(spark):
     sentence = "This sentence is about fifty characters in length. "
     long, plain = (sentence * 30).strip(), sentence.strip()

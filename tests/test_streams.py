@@ -2,11 +2,13 @@
 
 import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import stats as K
+from lectern.operators.exchange import upserted
+from lectern.operators.library import deleted
 from lectern.streaming import habits as H
+from lectern.streaming import library as L
 from lectern.streaming import live as N
 
 SESSION = "event_id long, user_id long, ts timestamp, duration_ms long, wpm long, words long"
@@ -72,3 +74,38 @@ def test_late_rows_are_missing_and_repaired(spark, tmp_path):
     assert of(fixed) == of(live) | {(1, 1): (50_000, 2)}
     late = spark.read.parquet(f"{folder}/kept/late").select("user_id", "day").collect()
     assert [(r.user_id, r.day.day) for r in late] == [(1, 1)]
+
+
+CHANGE = "event_id long, ts timestamp, user_id long, kind string, id string, title string, author string, type string, url string, file_hash string, word_count long"
+
+
+def change(n, user, hour, kind="open", id=None, title=None, url=None, file_hash=None, author=None):
+    return n, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hour), user, kind, id, title, author, "pdf" if file_hash else "web", url, file_hash, None
+
+
+def test_library_equals_batches_of_g9_and_h16(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    batches = [
+        [change(1, 1, 1, title="one", file_hash="h1", author="x"), change(2, 1, 2, title="page", url="https://x.org/a"), change(3, 2, 3, title="other", file_hash="h1")],
+        [change(4, 1, 4, title="one again", file_hash="h1"), change(5, 2, 5, "delete", id="file_pdf_h1"), change(6, 3, 5, title="third", file_hash="h3"), change(1, 1, 1, title="one", file_hash="h1", author="x")],
+        [change(7, 2, 6, title="back", file_hash="h1"), change(8, 3, 6, "delete", id="file_pdf_h3"), change(9, 3, 7, title="opened since", file_hash="h3"), change(6, 3, 5, title="third", file_hash="h3")],
+    ]
+    for k, b in enumerate(batches[:2]):
+        spark.createDataFrame(b, CHANGE).coalesce(1).write.parquet(f"{folder}/in/part={k}")
+    changes = lambda: spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    first = {(r.user_id, r.id): r.title for r in L.kept_up(changes(), f"{folder}/out").collect()}
+    assert {t for t in first.values()} == {"one again", "page", "third"}
+    spark.createDataFrame(batches[2], CHANGE).coalesce(1).write.parquet(f"{folder}/in/part=2")
+    found = sorted(map(tuple, L.kept_up(changes(), f"{folder}/out").collect()), key=str)
+
+    want = spark.createDataFrame([], L.ITEM)
+    for own in (batches[0], batches[1][:3], batches[2][:3]):
+        rows = spark.createDataFrame(own, CHANGE)
+        want = upserted(want, rows.where("kind = 'open'").withColumnRenamed("ts", "opened").drop("id"))
+        gone = want.join(rows.where("kind = 'delete'").select("user_id", "id", "ts"), ["user_id", "id"]).where("ts >= last_opened").select("user_id", "id")
+        want = spark.createDataFrame(deleted(want, gone, None)[0].select(*(c.split(" ")[0] for c in L.ITEM.split(", "))).collect(), L.ITEM)
+    assert found == sorted(map(tuple, want.select(*(c.split(" ")[0] for c in L.ITEM.split(", "))).collect()), key=str)
+    assert {r.key for r in L.tombstones(spark, f"{folder}/out").collect()} == {"file_pdf_h1", "hash:h1"}
+
+    L.apply_changes(spark.createDataFrame(batches[2][:3], CHANGE), f"{folder}/out", 2)
+    assert sorted(map(tuple, L.items(spark, f"{folder}/out").collect()), key=str) == found, "a batch that runs again changes nothing"

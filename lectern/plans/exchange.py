@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions.search import register as register_search
 from lectern.operators import exchange as X
+from lectern.operators import exports as EX
 from lectern.operators import merge as M
+from lectern.operators import state as ST
+from lectern.plans import corpus as C
+from lectern.plans import statistics as S
 from lectern.plans.library import ITEMS
 from lectern.plans.statistics import LONG, SESSIONS
 from lectern.sources import bindings as B
+from lectern.streaming.live import shared_folder
 
 NOW = "2001-12-31"
 STATS_JSON = """case when c_custkey % 11 = 0 then '{"version": ' when c_custkey % 7 = 0 then '{"version": "1.0", "exportedAt": "x"}' else concat('{"version": "', case when c_custkey % 5 = 0 then '2.0' else '1.0' end, '", "exportedAt": "2024", "lifetime": {"totalReadingTimeMs": 60000, "totalWordsRead": ', c_custkey, '}, "dailyStats": [', case when c_custkey % 3 = 0 then '' when c_custkey % 3 = 1 then '"a"' else '"a", "b"' end, ']}') end"""
@@ -74,7 +80,40 @@ def _functions(s, d):
     return s.sql("select doc_id, reading_words(text) as words, reading_duration(reading_words(text) * 240L) as duration, reading_minutes(reading_words(text), 250) as minutes from lectern_function_documents")
 
 
+def _heads_of_three(s, d):
+    c, rows = B.table(s, d, "customer"), []
+    key = F.col("c_custkey")
+    for r in range(3):
+        own = c.where(key % 4 != r).select(F.lit(r).alias("replica"), key.alias("user_id"), (key * (r + 3) % 7).alias("updated_at"), ((key + r) % 3 + 1).alias("schema_version"), ((key + r) % 2 == 0).alias("onboarding_completed"), ((key + r) % 5 == 0).alias("exit_confirmation_dismissed"), F.when(key % 3 == 0, F.concat(F.lit("s"), (key * (r + 1) % 4).cast("string"))).alias("settings"))
+        rows.append(own)
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _stats_export(s, d):
+    """The export of all users, written and read back as a user who imports it would."""
+    sessions, path = B.sessions(s, d), shared_folder(s, "a04")
+    EX.write_json(EX.stats_export(sessions, B.annotation_events(s, d), S._goals(sessions), B.AS_OF, B.AS_OF), path)
+    return X.stats_import_report(EX.read_json_lines(s, path))
+
+
+def _daily_csv(s, d):
+    folder, found = shared_folder(s, "a05"), EX.sections(B.sessions(s, d), B.annotation_events(s, d), B.AS_OF)
+    EX.write_csv(found, folder)
+    return EX.read_csv(s, folder, "daily", found["daily"])
+
+
+def _searched(s, d):
+    register_search(s)
+    B.table(s, d, "conversations").select(F.col("conv_id").cast("long").alias("doc_id"), F.col("turn").cast("long").alias("block"), "text").createOrReplaceTempView("lectern_search_blocks")
+    phrases = ", ".join(f"'{p}'" for p in B.PHRASES)
+    return s.sql(f"select doc_id, block as chapter, phrase, start_word, end_word from search_blocks(table(lectern_search_blocks) partition by (doc_id), array({phrases}))")
+
+
 QUERIES = {
+    "a04_stats_export": _stats_export,
+    "a05_daily_csv": _daily_csv,
+    "m15_merged_heads": lambda s, d: ST.merged_heads(_heads_of_three(s, d)),
+    "o03_search_blocks": _searched,
     "a02_snapshot": lambda s, d: X.snapshot(_items(s, d)).select("user_id", "id", "title", "author", "percent", "chapter", "block"),
     "a03_light_items": lambda s, d: X.light(_items(s, d).withColumn("content", F.concat_ws(" ", "title", "author"))).select("id", "user_id", "title", "type", "percent", "url"),
     "a06_stats_import_report": lambda s, d: X.stats_import_report(B.table(s, d, "customer").select(F.col("c_custkey").alias("file"), F.expr(STATS_JSON).alias("json"))),
@@ -108,6 +147,12 @@ _tenths = lambda unit, mark: f"((n * 10 + {unit // 2}) // {unit} // 10) || '.' |
 _ago = lambda n, unit: f"{n} || ' {unit}' || case when {n} = 1 then '' else 's' end || ' ago'"
 
 ORACLE_SQL = {
+    "a04_stats_export": f"with {S.DAILY} select user_id, true as valid, null::varchar as error, sum(words)::bigint as words, sum(completed)::bigint as documents, count(*) filter (day >= date '{B.AS_OF}' - 90) as days, 0::bigint as weeks from daily group by user_id",
+    "a05_daily_csv": f"with {S.DAILY} select user_id, day, case when time_ms >= 3600000 then (time_ms // 3600000) || 'h ' else '' end || (time_ms // 60000 % 60) || 'm' as reading_time, time_ms, words, opened, completed, annotations from daily where day >= date '{B.AS_OF}' - 90",
+    "m15_merged_heads": """with h as (select r as replica, c_custkey as user_id, c_custkey * (r + 3) % 7 as updated_at, (c_custkey + r) % 3 + 1 as schema_version, (c_custkey + r) % 2 = 0 as onboarding_completed, (c_custkey + r) % 5 = 0 as exit_confirmation_dismissed, case when c_custkey % 3 = 0 then 's' || (c_custkey * (r + 1) % 4) end as settings from customer, (select unnest(range(3)) as r) where c_custkey % 4 <> r),
+w as (select * from h qualify row_number() over (partition by user_id order by updated_at desc, replica) = 1), g as (select user_id, max(schema_version) as schema_version, count(distinct coalesce(settings, '')) > 1 as settings_differ from h group by user_id)
+select user_id, g.schema_version, onboarding_completed, exit_confirmation_dismissed, settings, replica::int as winner, settings_differ from w join g using (user_id)""",
+    "o03_search_blocks": C.ORACLE_SQL["f03_chapter_search"],
     "a02_snapshot": f"{_I} select user_id, id, coalesce(title, 'Untitled') as title, coalesce(author, '') as author, percent, coalesce(chapter, 0) as chapter, block from items",
     "a03_light_items": f"{_I} select id, user_id, title, type, percent, url from items",
     "a06_stats_import_report": f"with f as (select c_custkey as file, {STATS_JSON} as json from customer), j as (select file, json_valid(json) as ok, case when json_valid(json) then json::json end as j from f), e as (select *, case when not ok then 'Invalid JSON file' when json_extract_string(j, '$.version') is null or json_extract_string(j, '$.exportedAt') is null or json_extract(j, '$.lifetime') is null then 'Invalid file format: missing required fields' when json_extract_string(j, '$.version') <> '1.0' then 'Unsupported version: ' || (json_extract_string(j, '$.version')) end as error from j) select file, error is null as valid, error, case when error is null then coalesce(json_extract_string(j, '$.lifetime.totalWordsRead')::bigint, 0) end as words, case when error is null then 0 end::bigint as documents, case when error is null then json_array_length(j, '$.dailyStats') end::bigint as days, case when error is null then 0 end::bigint as weeks from e",

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from lectern.functions.common import WHITE
-from lectern.operators.text import bare, search_terms
-
-_WORD, _OTHER = re.compile(f"[^{WHITE}]+"), re.compile(r"[\W_]")
+from lectern.operators.text import PhraseFinder
 
 
 class SearchBlocks:
@@ -19,25 +14,14 @@ class SearchBlocks:
     one row of the table, so partitions only deal rows to tasks; null texts and phrases without letters give none."""
 
     def __init__(self) -> None:
-        self.terms: dict[str, list[str]] = {}
-        self.folded: dict[str, str] = {}
-
-    def _word(self, word: str) -> str:
-        if (found := self.folded.get(word)) is None:
-            if len(self.folded) > 400_000:
-                self.folded.clear()
-            found = self.folded[word] = _OTHER.sub("", bare(word.lower()))
-        return found
+        self.finders: dict[tuple, PhraseFinder] = {}
 
     def eval(self, row, phrases):
-        words = [self._word(w) for w in _WORD.findall(row["text"] or "")]
-        for phrase in phrases or []:
-            if phrase is None:
-                continue
-            terms = self.terms.setdefault(phrase, search_terms(phrase))
-            for i in range(len(words) - len(terms) + 1 if terms else 0):
-                if all(t in words[i + k] for k, t in enumerate(terms)):
-                    yield row["doc_id"], row["block"], phrase, i, i + len(terms) - 1
+        wanted = tuple(phrases or ())
+        if (finder := self.finders.get(wanted)) is None:
+            finder = self.finders[wanted] = PhraseFinder(wanted)
+        for phrase, first, last in finder.find(row["text"]):
+            yield row["doc_id"], row["block"], phrase, first, last
 
 
 def register(spark: SparkSession) -> None:

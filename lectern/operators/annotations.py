@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def filtered(notes: DataFrame, color: str | None = None, tag: str | None = None, favorite: bool = False) -> DataFrame:
-    """By color, tag and favourite."""
+def filtered(notes: DataFrame, color: str | None = None, tag: str | None = None, favorite: bool = False, search: str = "") -> DataFrame:
+    """By color, tag, favourite, and a text that the annotated text, the note, a tag or the document's title contains (of those columns
+    that there are), whatever its case; a blank one fits all."""
+    if typed := search.strip().lower():
+        found = F.lit(False)
+        for c in ("text", "note", "title"):
+            if c in notes.columns:
+                found = found | F.coalesce(F.lower(c).contains(typed), F.lit(False))
+        if "tags" in notes.columns:
+            found = found | F.coalesce(F.exists("tags", lambda t: F.lower(t).contains(typed)), F.lit(False))
+        notes = notes.where(found)
     out = notes.where(F.col("color") == color) if color else notes
     out = out.where(F.array_contains("tags", tag)) if tag else out
     return out.where("favorite") if favorite else out
@@ -18,6 +27,12 @@ def by_document(notes: DataFrame) -> DataFrame:
     return notes.groupBy("doc_key").agg(F.count("*").alias("n"), F.max("created").alias("latest"))
 
 
+def by_date(notes: DataFrame) -> DataFrame:
+    """All annotations, newest first: their place by date, then position and id."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("created"), "start_block", "start_word", "id")
+    return notes.select("user_id", "id", "created", F.row_number().over(order).cast("long").alias("place"))
+
+
 def by_tag(notes: DataFrame) -> DataFrame:
     """Annotations of each tag; those without tags are ``Untagged``."""
     return notes.select(F.explode_outer("tags").alias("tag")).groupBy(F.coalesce("tag", F.lit("Untagged")).alias("tag")).agg(F.count("*").alias("n"))

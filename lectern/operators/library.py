@@ -127,6 +127,20 @@ def with_membership(items: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.size("after") > 0, F.array_join("after", ",")).alias("collections"), (F.col("now") != F.col("after")).alias("changed"))
 
 
+def changed_membership(items: DataFrame, changes: DataFrame, at: str) -> DataFrame:
+    """Items (id, collection_ids, collections_stamp) after changes (id, kind, collection_ids), whose kind is ``add``, ``remove``, ``set`` or
+    ``toggle``: ids in order, null for none.  The stamp becomes ``at`` where the collections differ from before, and stays elsewhere.  Of
+    several changes to an item the greatest (kind, ids) counts; a null list is an empty one."""
+    none = F.array().cast("array<string>")
+    given = changes.groupBy("id").agg(F.max(F.struct("kind", F.coalesce("collection_ids", none).alias("ids"))).alias("c"))
+    now, ids = F.array_distinct(F.coalesce("collection_ids", none)), F.coalesce("c.ids", none)
+    union, less = F.array_union(now, ids), F.array_except(now, ids)
+    after = F.when(F.col("c.kind") == "add", union).when(F.col("c.kind") == "remove", less).when(F.col("c.kind") == "set", F.array_distinct(ids)).when(F.col("c.kind") == "toggle", F.array_union(less, F.array_except(ids, now))).otherwise(now)
+    joined = items.join(given, "id", "left").select("id", F.array_sort(now).alias("now"), F.array_sort(after).alias("after"), "collections_stamp")
+    changed = F.col("now") != F.col("after")
+    return joined.select("id", F.when(F.size("after") > 0, F.col("after")).alias("collection_ids"), F.when(changed, F.lit(at).cast("date")).otherwise(F.col("collections_stamp")).alias("collections_stamp"), changed.alias("changed"))
+
+
 def without_collection(items: DataFrame, collection: str) -> DataFrame:
     """Items after a collection is deleted; an empty list is null."""
     left = F.array_remove("collection_ids", collection)

@@ -138,15 +138,37 @@ def compare_periods(sessions: DataFrame, unit: str, as_of: str) -> DataFrame:
     return sums.select("*", percent_change(F.col("time_now"), F.col("time_before")).alias("time_change"), percent_change(F.col("words_now"), F.col("words_before")).alias("words_change"))
 
 
-def heatmap(series: DataFrame) -> DataFrame:
-    """Minutes of each day with a level 0 to 4; the bounds of the levels are the values at a quarter, half and three
-    quarters of the ordered days with time."""
-    order = Window.partitionBy("user_id").orderBy("time_ms", "day")
-    read = series.where("time_ms > 0").select("user_id", "time_ms", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
-    at = lambda q: F.max(F.when(F.col("i") == F.floor(F.col("n") * q), F.col("time_ms")))
+def _levels(series: DataFrame, value: str) -> DataFrame:
+    """Adds level 0 to 4; the bounds of the levels are the values at a quarter, half and three quarters of the ordered days with a value."""
+    order = Window.partitionBy("user_id").orderBy(value, "day")
+    read = series.where(F.col(value) > 0).select("user_id", F.col(value).alias("v"), (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
+    at = lambda q: F.max(F.when(F.col("i") == F.floor(F.col("n") * q), F.col("v")))
     bounds = read.groupBy("user_id").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    level = F.when(F.col("time_ms") == 0, 0).when(F.col("time_ms") <= F.col("q1"), 1).when(F.col("time_ms") <= F.col("q2"), 2).when(F.col("time_ms") <= F.col("q3"), 3).otherwise(4)
-    return series.join(bounds, "user_id", "left").select("user_id", "day", "time_ms", level.cast("long").alias("level"))
+    v = F.col(value)
+    level = F.when(v == 0, 0).when(v <= F.col("q1"), 1).when(v <= F.col("q2"), 2).when(v <= F.col("q3"), 3).otherwise(4)
+    return series.join(bounds, "user_id", "left").withColumn("level", level.cast("long")).drop("q1", "q2", "q3")
+
+
+def heatmap(series: DataFrame) -> DataFrame:
+    """Time of each day with its level."""
+    return _levels(series, "time_ms").select("user_id", "day", "time_ms", "level")
+
+
+def heatmap_of(series: DataFrame, metric: str, weekly: DataFrame | None = None) -> DataFrame:
+    """K15 by minutes (``time``), ``words``, ``documents`` or all three (``combined``, 0 to 100: shares of an hour, 5000 words and 5 documents):
+    value and level of each day of a dense series.  A day without reading takes a seventh of its Monday week (K7 with completed), if
+    there is one."""
+    time, words, documents = F.col("time_ms") / F.lit(60000.0), F.col("words").cast("double"), F.col("opened").cast("double")
+    rows = series
+    if weekly is not None:
+        weeks = weekly.select("user_id", "week", F.col("time_ms").alias("week_ms"), F.col("words").alias("week_words"), F.col("completed").alias("week_documents"))
+        rows = series.withColumn("week", F.to_date(F.date_trunc("week", "day"))).join(weeks, ["user_id", "week"], "left")
+        read = (F.col("time_ms") > 0) | (F.col("opened") > 0) | F.col("week_ms").isNull()
+        seventh = lambda c, by=1.0: F.col(c) / F.lit(by) / F.lit(7.0)
+        time, words, documents = F.when(read, time).otherwise(seventh("week_ms", 60000.0)), F.when(read, words).otherwise(seventh("week_words")), F.when(read, documents).otherwise(seventh("week_documents"))
+    share = lambda x, full: F.least(x / F.lit(full), F.lit(1.0))
+    values = {"time": time, "words": words, "documents": documents, "combined": (share(time, 60.0) + share(words, 5000.0) + share(documents, 5.0)) / F.lit(3.0) * F.lit(100.0)}
+    return _levels(rows.select("user_id", "day", values[metric].alias("value")), "value").select("user_id", "day", F.lit(metric).alias("metric"), "value", "level")
 
 
 def heatmap_summary(series: DataFrame) -> DataFrame:
@@ -184,6 +206,18 @@ def rolling_averages(sessions: DataFrame, as_of: str) -> DataFrame:
     return rolled.select("*", trend.alias("trend"))
 
 
+def rolling_series(daily: DataFrame) -> DataFrame:
+    """K19 of every day of a user: averages of the 7 and 30 days up to it on days with time, and sessions a day in tenths. The frames are
+    ranges of days, so days without reading need no rows; a user's days are one partition of the window."""
+    place = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    cols = []
+    for n in (7, 30):
+        frame = Window.partitionBy("user_id").orderBy("place").rangeBetween(1 - n, 0)
+        active = F.sum((F.col("time_ms") > 0).cast("int")).over(frame)
+        cols += [round_half_up(ratio(F.sum("time_ms").over(frame), active) / 60000.0).alias(f"minutes_{n}"), round_half_up(ratio(F.sum("words").over(frame), active)).alias(f"words_{n}"), round_half_up(F.sum("sessions").over(frame).cast("double") / F.lit(float(n)) * 10).alias(f"sessions_x10_{n}")]
+    return daily.withColumn("place", place).select("user_id", "day", *cols)
+
+
 def weekday_patterns(series: DataFrame) -> DataFrame:
     """Average time of each weekday (0 = Sunday) over a dense series, and its rank, the earlier weekday on ties."""
     days = series.groupBy("user_id", (F.dayofweek("day") - 1).cast("long").alias("weekday")).agg(round_half_up(ratio(F.sum("time_ms"), F.count("*"))).alias("average_ms"), F.count_if(F.col("time_ms") > 0).alias("active_days"))

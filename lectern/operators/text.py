@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.functions.common import slices, split_words, trimmed
+from lectern.functions.common import WHITE, slices, split_words, trimmed
 
 #: Transition words, abbreviations, titles and pause multipliers.
 TRANSITIONS = ("however nevertheless nonetheless although though whereas conversely instead rather yet still furthermore moreover additionally besides also likewise therefore thus hence consequently accordingly because "
@@ -26,8 +27,6 @@ MARKDOWN = (r"(?m)^#{1,6}\s+.+$", r"(?m)^\s*[-*+]\s+.+$", r"(?m)^\s*\d+\.\s+.+$"
 INLINE = (r"\*\*(.+?)\*\*", r"__(.+?)__", r"\*(.+?)\*", r"_(.+?)_", r"~~(.+?)~~", r"`(.+?)`", r"\[(.+?)\]\(.+?\)", r"!\[(.+?)\]\(.+?\)")
 
 
-
-
 def bare(text: str) -> str:
     """A text without the marks that Unicode's decomposition parts from its letters."""
     return "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f")
@@ -170,37 +169,58 @@ def folded(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _BARE), "[\u0300-\u036f]", "")
 
 
-def search_words(text: Column) -> Column:
-    """the words as searches compare them: folded, letters and digits alone. Words without either stay, as empty ones."""
-    return F.transform(split_words(text), lambda w: F.regexp_replace(folded(w), r"[^\p{L}\p{N}]", ""))
+class PhraseFinder:
+    """F2 on whole texts: words are folded, letters and digits alone (words without either stay, as empty ones), and a match is a row of
+    words that contain the words of a phrase.  Which words of the phrases a word contains is worked out once in a worker, as bits; known
+    words are forgotten when they are ``MOST``."""
+
+    MOST = 400_000
+    WORD, OTHER = re.compile(f"[^{WHITE}]+"), re.compile(r"[\W_]")
+
+    def __init__(self, phrases: Sequence[str]) -> None:
+        wanted = [(p, terms) for p in phrases if p is not None and (terms := search_terms(p))]
+        self.terms = list(dict.fromkeys(t for _, terms in wanted for t in terms))
+        bit = {t: 1 << k for k, t in enumerate(self.terms)}
+        self.phrases = [(p, [bit[t] for t in terms]) for p, terms in wanted]
+        self.known: dict[str, int] = {}
+
+    def _bits(self, word: str) -> int:
+        if len(self.known) >= self.MOST:
+            self.known.clear()
+        plain = self.OTHER.sub("", bare(word.lower()))
+        found = self.known[word] = sum(1 << k for k, t in enumerate(self.terms) if t in plain)
+        return found
+
+    def find(self, text: str | None) -> list[tuple[str, int, int]]:
+        """(phrase, first word, last word) of the matches in a text."""
+        known = self.known
+        bits = [b if (b := known.get(w)) is not None else self._bits(w) for w in self.WORD.findall(text or "")]
+        hot, out, n = [i for i, b in enumerate(bits) if b], [], len(bits)
+        for phrase, (first, *rest) in self.phrases:
+            for i in hot:
+                if bits[i] & first and i + len(rest) < n and all(bits[i + k] & b for k, b in enumerate(rest, 1)):
+                    out.append((phrase, i, i + len(rest)))
+        return out
 
 
 def phrase_matches(docs: DataFrame, phrases: Sequence[str], *keys: str) -> DataFrame:
     """places where consecutive words contain the words of a phrase, whatever case, accents and marks; of each document, or of
-    each part of it (chapter, block) that the keys name. The texts are read once for all phrases (a list of the caller's)."""
-    keys = keys or ("doc_id",)
-    words = docs.select(*keys, search_words(F.col("text")).alias("words"))
-    found = [_phrase(phrase, terms) for phrase in phrases if (terms := search_terms(phrase))]
-    if not found:
-        return words.select(*keys, F.lit("").alias("phrase"), F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("end_word")).where("false")
-    return words.select(*keys, F.explode(F.concat(*found)).alias("m")).select(*keys, "m.*")
+    each part of it (chapter, block) that the keys name. The texts are read once for all phrases (a list of the caller's), where they lie."""
+    keys, phrases = keys or ("doc_id",), list(phrases)
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = PhraseFinder(phrases)
+        for batch in batches:
+            for part in slices(batch):
+                found = [finder.find(t) for t in part.column(len(keys)).to_pylist()]
+                place = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+                columns = list(zip(*(m for own in found for m in own), strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([*(c.take(place) for c in part.columns[:-1]), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], [*keys, "phrase", "start_word", "end_word"])
 
-def _phrase(phrase: str, terms: list[str]) -> Column:
-    """Matches of a phrase in the column ``words``."""
-    last = F.size("words") - len(terms)
-    inside = lambda i: (i <= last) & _all(*(F.coalesce(F.get("words", i + k).contains(w), F.lit(False)) for k, w in enumerate(terms)))
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), inside)
-    return F.transform(starts, lambda i: F.struct(F.lit(phrase).alias("phrase"), i.cast("long").alias("start_word"), (i.cast("long") + len(terms) - 1).alias("end_word")))
+    fields = [T.StructField("phrase", T.StringType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())]
+    return docs.select(*keys, "text").mapInArrow(search, T.StructType([*(docs.schema[k] for k in keys), *fields]))
 
 
 def search_terms(phrase: str) -> list[str]:
     """The words of a phrase, folded, letters and digits alone."""
     return ["".join(c for c in w if unicodedata.category(c)[0] in "LN") for w in bare(phrase.lower()).split()]
-
-
-def _all(*tests: Column) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out

@@ -88,6 +88,9 @@ QUERIES = {
     "h20_content_breakdown": _items(H.content_breakdown),
     "h21_progress_breakdown": _items(H.progress_breakdown),
     "i01_in_collection": _items(lambda i: H.in_collection(i, "BUILDING").select("id")),
+    "i02_changed_membership": _items(lambda i: H.changed_membership(i.withColumn("collections_stamp", F.col("created")), i.where("id % 5 > 0").select("id", F.element_at(F.array(*map(F.lit, ("add", "remove", "set", "toggle"))), (F.col("id") % 5).cast("int")).alias("kind"), F.array(F.lit("BUILDING"), F.lit("new")).alias("collection_ids")), "2001-09-01").select("id", F.array_join("collection_ids", ",").alias("collections"), "collections_stamp", "changed")),
+    "j02_searched": _notes(lambda n: J.filtered(n, search=" No ").select("id", "doc_key")),
+    "j03_by_date": _notes(lambda n: J.by_date(n.withColumn("user_id", F.col("doc_key") % 50))),
     "i02_membership": _items(lambda i: H.with_membership(i, i.where("id % 4 = 0").select("id", F.array(F.lit("new")).alias("add"), F.array(F.lit("BUILDING")).alias("remove")))),
     "i03_deleted_collection": _items(lambda i: H.without_collection(i, "BUILDING")),
     "f06_library_search": _items(lambda i: H.matching(i, "an").select("id", "title")),
@@ -128,6 +131,11 @@ ORACLE_SQL = {
     "h20_content_breakdown": f"{_I} select type, count(*) as n, floor(count(*) * 100::double / sum(count(*)) over () + 0.5)::bigint as percent from items group by type",
     "h21_progress_breakdown": f"{_I} select user_id, count(*) filter (percent >= 100) as completed, count(*) filter (percent > 0 and percent < 100) as in_progress, count(*) filter (percent <= 0) as unread from items group by user_id",
     "i01_in_collection": f"{_I} select id from items where list_contains(collection_ids, 'BUILDING')",
+    "i02_changed_membership": f"""{_I}, c as (select id, created, list_sort(list_distinct(coalesce(collection_ids, []))) as b, ['BUILDING', 'new'] as g from items),
+x as (select *, list_sort(case id % 5 when 1 then list_distinct(list_concat(b, g)) when 2 then list_filter(b, lambda x: not list_contains(g, x)) when 3 then g when 4 then list_concat(list_filter(b, lambda x: not list_contains(g, x)), list_filter(g, lambda x: not list_contains(b, x))) else b end) as a from c)
+select id, case when len(a) > 0 then array_to_string(a, ',') end as collections, case when a <> b then date '2001-09-01' else created end as collections_stamp, a <> b as changed from x""",
+    "j02_searched": f"{_N} select id, doc_key from notes where contains(lower(note), 'no') or len(list_filter(tags, lambda t: contains(lower(t), 'no'))) > 0",
+    "j03_by_date": f"{_N} select doc_key % 50 as user_id, id, created, row_number() over (partition by doc_key % 50 order by created desc, start_block, start_word, id) as place from notes",
     "i02_membership": f"{_I}, c as (select id, list_sort(coalesce(collection_ids, [])) as b, case when id % 4 = 0 then list_sort(list_filter(list_distinct(list_concat(coalesce(collection_ids, []), ['new'])), lambda x: x <> 'BUILDING')) else list_sort(coalesce(collection_ids, [])) end as a from items) select id, case when len(a) > 0 then array_to_string(a, ',') end as collections, a <> b as changed from c",
     "i03_deleted_collection": f"{_I}, c as (select id, list_sort(list_filter(collection_ids, lambda x: x <> 'BUILDING')) as a from items) select id, case when len(a) > 0 then array_to_string(a, ',') end as collections from c",
     "f06_library_search": f"{_I} select id, title from items where contains(lower(title), 'an') or contains(lower(coalesce(author, '')), 'an') or contains(lower(source_label), 'an')",

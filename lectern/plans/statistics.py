@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from lectern.operators import stats as K
@@ -33,6 +35,27 @@ def _goals(sessions):
     return sessions.select("user_id").distinct().select("user_id", (1 + F.col("user_id") % 5).alias("daily_minutes"), (5 + F.col("user_id") % 20).alias("weekly_minutes"), (1 + F.col("user_id") % 4).alias("monthly_documents"))
 
 
+METRICS = {"time": "time_ms / 60000.0::double", "words": "words::double", "documents": "opened::double", "combined": "(least(time_ms / 3600000.0::double, 1) + least(words / 5000.0::double, 1) + least(opened / 5.0::double, 1)) / 3.0::double * 100.0::double"}
+
+
+def _heatmap_sql() -> str:
+    values = " union all ".join(f"select user_id, day, '{m}' as metric, {v} as value from series" for m, v in METRICS.items())
+    bound = lambda q: f"max(value) filter (i = floor(n * {q}::double))"
+    return f"""with {DAILY}, {SERIES.format(a=B.AS_OF, n=29)}, v as ({values}), r as (select *, row_number() over (partition by user_id, metric order by value, day) - 1 as i, count(*) over (partition by user_id, metric) as n from v where value > 0),
+b as (select user_id, metric, {bound(0.25)} as q1, {bound(0.5)} as q2, {bound(0.75)} as q3 from r group by all)
+select user_id, day, metric, round(value, 6) as value, case when value = 0 then 0 when value <= q1 then 1 when value <= q2 then 2 when value <= q3 then 3 else 4 end::bigint as level from v left join b using (user_id, metric)"""
+
+
+def _series_sql() -> str:
+    cols = []
+    for n in (7, 30):
+        over = f"over (partition by user_id order by day range between interval {n - 1} days preceding and current row)"
+        active = f"nullif(sum((time_ms > 0)::int) {over}, 0)"
+        half = lambda x: f"floor({x} + 0.5::double)::bigint"
+        cols += [half(f"coalesce(sum(time_ms) {over}::double / {active}, 0) / 60000.0::double") + f" as minutes_{n}", half(f"coalesce(sum(words) {over}::double / {active}, 0)") + f" as words_{n}", half(f"sum(sessions) {over}::double / {n}.0::double * 10") + f" as sessions_x10_{n}"]
+    return f"with {DAILY} select user_id, day, {', '.join(cols)} from daily"
+
+
 QUERIES = {
     "a01_session_source": lambda s, d: B.sessions(s, d).select("event_id", "user_id", "day", "duration_ms", "document_id", "completed", "wpm", "words"),
     "k01_daily_rollup": _daily,
@@ -48,6 +71,8 @@ QUERIES = {
     "k10_average_wpm": lambda s, d: K.average_wpm(K.wpm_history(B.sessions(s, d))),
     "k12_period_totals": lambda s, d: K.period_totals(B.sessions_long(s, d), *K.preset_bounds("1y", B.AS_OF_LONG)),
     "k14_compare_periods": lambda s, d: K.compare_periods(B.sessions_long(s, d), "year", B.AS_OF_LONG),
+    "k15_heatmap_metrics": lambda s, d: functools.reduce(lambda a, b: a.unionByName(b), (K.heatmap_of(_series(s, d), m) for m in METRICS)).withColumn("value", F.round("value", 6)),
+    "k19_rolling_series": lambda s, d: K.rolling_series(_daily(s, d)),
     "k15_heatmap": lambda s, d: K.heatmap(_series(s, d)),
     "k16_heatmap_summary": lambda s, d: K.heatmap_summary(_series(s, d)),
     "k17_daily_average": lambda s, d: K.daily_average(_daily(s, d)),
@@ -96,6 +121,8 @@ select * from a left join f using (user_id) join w using (user_id)""",
     "k12_period_totals": f"with {LONG} select user_id, {_LONG_SUMS} from sessions where day between date '{B.AS_OF_LONG}' - 364 and date '{B.AS_OF_LONG}' group by user_id",
     "k14_compare_periods": f"""with {LONG}, s as (select user_id, coalesce(sum(duration_ms) filter (day >= date '2001-01-01'), 0)::bigint as time_now, coalesce(sum(words) filter (day >= date '2001-01-01'), 0)::bigint as words_now, coalesce(sum(duration_ms) filter (day < date '2001-01-01'), 0)::bigint as time_before,
 coalesce(sum(words) filter (day < date '2001-01-01'), 0)::bigint as words_before from sessions where day between date '2000-01-01' and date '{B.AS_OF_LONG}' group by user_id) select *, {_change("time_now", "time_before")} as time_change, {_change("words_now", "words_before")} as words_change from s""",
+    "k15_heatmap_metrics": _heatmap_sql(),
+    "k19_rolling_series": _series_sql(),
     "k15_heatmap": f"""with {DAILY}, {SERIES.format(a=B.AS_OF, n=29)}, r as (select user_id, time_ms, row_number() over (partition by user_id order by time_ms, day) - 1 as i, count(*) over (partition by user_id) as n from series where time_ms > 0),
 q as (select user_id, max(time_ms) filter (i = floor(n * 0.25)) as q1, max(time_ms) filter (i = floor(n * 0.5)) as q2, max(time_ms) filter (i = floor(n * 0.75)) as q3 from r group by user_id)
 select user_id, day, time_ms, (case when time_ms = 0 then 0 when time_ms <= q1 then 1 when time_ms <= q2 then 2 when time_ms <= q3 then 3 else 4 end)::bigint as level from series left join q using (user_id)""",

@@ -57,6 +57,20 @@ def greatest_totals(rows: DataFrame, keys: list[str], values: list[str]) -> Data
     return rows.groupBy(*keys).agg(*(F.max(c).alias(c) for c in values))
 
 
+def imported_stats(existing: dict[str, DataFrame], imported: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Statistics after an import, by section, of the sections that both have: the greatest totals; days, weeks and speeds of
+    the import where there are none; hours added up; the better bests, what exists on ties; goals where there are none."""
+    from lectern.operators.merge import better_bests
+
+    two = lambda name: existing[name].withColumn("replica", F.lit(0)).unionByName(imported[name].withColumn("replica", F.lit(1)))
+    rules = {
+        "totals": lambda: greatest_totals(two("totals").drop("replica"), ["user_id"], [c for c in existing["totals"].columns if c != "user_id"]), "days": lambda: imported_rows(existing["days"], imported["days"], "user_id", "day"),
+        "weeks": lambda: imported_rows(existing["weeks"], imported["weeks"], "user_id", "week"), "wpm": lambda: imported_rows(existing["wpm"], imported["wpm"], "user_id", "day"), "hours": lambda: imported_hours(existing["hours"], imported["hours"]),
+        "bests": lambda: better_bests(two("bests")), "goals": lambda: imported_rows(existing["goals"], imported["goals"], "user_id"),
+    }
+    return {name: rule() for name, rule in rules.items() if name in existing and name in imported}
+
+
 def notes_import_report(files: DataFrame, json: str = "json") -> DataFrame:
     """Per file whether it can be imported (a title, and text, color and time of each annotation), and its annotations."""
     x = F.from_json(json, NOTES_SCHEMA)

@@ -100,9 +100,11 @@ def average_wpm(history: DataFrame) -> DataFrame:
     return history.groupBy("user_id").agg(round_half_up(ratio(F.sum(F.col("avg_wpm") * F.col("sessions")), F.sum("sessions"))).alias("avg_wpm"))
 
 
-def preset_bounds(preset: str, as_of: str) -> tuple[Column, Column]:
-    """First and last day of 7d, 30d, 90d, 1y or all."""
+def preset_bounds(preset: str, as_of: str, first: str | None = None, last: str | None = None) -> tuple[Column, Column]:
+    """First and last day of 7d, 30d, 90d, 1y or all, or of ``custom``, whose bounds are given; an open one is that of all."""
     end = F.lit(as_of).cast("date")
+    if preset == "custom":
+        return F.lit(first or "1970-01-01").cast("date"), F.lit(last).cast("date") if last else end
     days = {"7d": 6, "30d": 29, "90d": 89, "1y": 364}
     return (F.date_sub(end, days[preset]) if preset in days else F.lit("1970-01-01").cast("date")), end
 
@@ -114,6 +116,18 @@ def period_totals(sessions: DataFrame, first: Column, last: Column) -> DataFrame
     )
 
 
+def period_with_weeks(daily: DataFrame, history: DataFrame, weekly: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Totals of each user between two days from what a library keeps: days (K1), speeds of days (K4) and the weeks (K7, with
+    completed and annotations) of the days before; a week counts where it begins in the range.  Speed is weighted by sessions."""
+    days = daily.where(F.col("day").between(first, last)).join(history.select("user_id", "day", F.col("avg_wpm").alias("speed"), F.col("sessions").alias("timed")), ["user_id", "day"], "left")
+    sums = ("time_ms", "words", "completed", "annotations")
+    a = days.select("user_id", *sums, (F.col("time_ms") > 0).cast("long").alias("active_days"), F.coalesce("speed", F.lit(0)).alias("speed"), F.coalesce("timed", F.lit(0)).alias("timed"))
+    timed = (F.col("avg_wpm") > 0) & (F.col("sessions") > 0)
+    b = weekly.where(F.col("week").between(first, last)).select("user_id", *sums, F.col("active_days").cast("long").alias("active_days"), F.col("avg_wpm").alias("speed"), F.when(timed, F.col("sessions")).otherwise(0).alias("timed"))
+    both = a.unionByName(b).groupBy("user_id").agg(*(F.sum(c).alias(c) for c in (*sums, "active_days")), F.sum("timed").alias("sessions"), F.sum(F.col("speed") * F.col("timed")).alias("weighted"))
+    return both.withColumn("avg_wpm", round_half_up(ratio(F.col("weighted"), F.col("sessions")))).drop("weighted")
+
+
 def period_start(unit: str, back: int, as_of: str) -> Column:
     """First day of the week, month or year that lies ``back`` periods before that of ``as_of``."""
     start = F.to_date(F.date_trunc(unit, F.lit(as_of).cast("date")))
@@ -224,6 +238,27 @@ def weekday_patterns(series: DataFrame) -> DataFrame:
     return days.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("average_ms"), "weekday")).cast("long"))
 
 
+def pattern_insights(series: DataFrame, streaks: DataFrame, as_of: str) -> DataFrame:
+    """Of a dense series of 90 days and the current streaks: minutes on weekdays and at weekends, the share of weekends, which of them
+    is read more in (by over 1.3), the weekdays with most and least minutes (the earlier on ties for most, the later for least), the
+    share of the last 30 days with reading, and how steady a reader is."""
+    recent = F.col("day") > F.date_sub(F.lit(as_of).cast("date"), 30)
+    days = series.groupBy("user_id", (F.dayofweek("day") - 1).cast("long").alias("weekday")).agg(F.sum("time_ms").alias("ms"), F.count("*").alias("n"), F.count_if(recent & (F.col("time_ms") > 0)).alias("active"))
+    timed = days.select("*", round_half_up(F.col("ms") / 60000.0).alias("total"), round_half_up(ratio(F.col("ms"), F.col("n")) / 60000.0).alias("average"), F.col("weekday").isin(0, 6).alias("weekend"))
+    side = lambda c, at_end: F.sum(F.when(F.col("weekend") == at_end, F.col(c)).otherwise(0))
+    rank = lambda sign: F.struct("average", sign * F.col("weekday"))
+    users = timed.groupBy("user_id").agg(
+        side("total", False).alias("week_total"), side("total", True).alias("end_total"), side("n", False).alias("week_n"), side("n", True).alias("end_n"), F.sum("active").alias("active"),
+        F.max_by("weekday", rank(-1)).alias("best_day"), F.max("average").alias("best_minutes"), F.min_by("weekday", rank(-1)).alias("worst_day"), F.min("average").alias("worst_minutes"),
+    )
+    week, end = round_half_up(ratio(F.col("week_total"), F.col("week_n"))), round_half_up(ratio(F.col("end_total"), F.col("end_n")))
+    shown = users.select("*", week.alias("weekday_minutes"), end.alias("weekend_minutes"), round_half_up(ratio(F.col("end_total"), F.col("week_total") + F.col("end_total")) * 100).alias("weekend_percent"), round_half_up(F.col("active") / F.lit(30.0) * 100).alias("active_percent"))
+    more = F.when(F.col("weekend_minutes") > F.col("weekday_minutes") * F.lit(1.3), "weekend").when(F.col("weekday_minutes") > F.col("weekend_minutes") * F.lit(1.3), "weekday").otherwise("balanced")
+    steady = F.when(F.coalesce("current_streak", F.lit(0)) >= 7, "on-fire").when(F.col("active_percent") >= 50, "consistent").when(F.col("active_percent") >= 20, "sporadic").otherwise("inactive")
+    joined = shown.join(streaks.select("user_id", "current_streak"), "user_id", "left")
+    return joined.select("user_id", "weekday_minutes", "weekend_minutes", "weekend_percent", more.alias("preference"), "best_day", "best_minutes", "worst_day", "worst_minutes", "active_percent", steady.alias("streak_status"))
+
+
 def goal_progress(daily: DataFrame, sessions: DataFrame, goals: DataFrame, as_of: str) -> DataFrame:
     """Minutes today and this week and documents this month against the goals, in percent up to 100."""
     today = F.lit(as_of).cast("date")

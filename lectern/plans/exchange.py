@@ -109,7 +109,17 @@ def _searched(s, d):
     return s.sql(f"select doc_id, block as chapter, phrase, start_word, end_word from search_blocks(table(lectern_search_blocks) partition by (doc_id), array({phrases}))")
 
 
+def _imported(s, d, name):
+    """A section of statistics into which another replica's is imported."""
+    weeks, every = _weeks(s, d), _replicas(s, d)
+    own = lambda r: {"weeks": weeks.where(F.col("replica") == r).drop("replica"), "wpm": S.K.wpm_history(every.where(F.col("replica") == r)), "bests": S.K.personal_bests(every.where(F.col("replica") == r)), "goals": S._goals(every.where((F.col("replica") == r) & (F.col("event_id") % 4 > r))).withColumn("daily_minutes", F.col("daily_minutes") + r)}
+    return X.imported_stats(own(0), own(1))[name]
+
+
 QUERIES = {
+    "a07_imported_weeks": lambda s, d: _imported(s, d, "weeks"),
+    "a07_imported_speeds": lambda s, d: _imported(s, d, "wpm"),
+    "a07_imported_goals": lambda s, d: _imported(s, d, "goals"),
     "a04_stats_export": _stats_export,
     "a05_daily_csv": _daily_csv,
     "m15_merged_heads": lambda s, d: ST.merged_heads(_heads_of_three(s, d)),
@@ -146,7 +156,12 @@ _BARE = f"regexp_replace(lower({FILE_NAME}), '\\.zip$', '')"
 _tenths = lambda unit, mark: f"((n * 10 + {unit // 2}) // {unit} // 10) || '.' || ((n * 10 + {unit // 2}) // {unit} % 10) || '{mark}'"
 _ago = lambda n, unit: f"{n} || ' {unit}' || case when {n} = 1 then '' else 's' end || ' ago'"
 
+_WEEK_ROWS = "w as (select replica, user_id, date_trunc('week', day)::date as week, sum(duration_ms)::bigint as time_ms, sum(words)::bigint as words, count(distinct document_id) filter (completed) as completed, count(*) as sessions, count(distinct day) as active_days, floor(sum(wpm)::double / count(*) + 0.5::double)::bigint as avg_wpm from replicas group by all)"
+
 ORACLE_SQL = {
+    "a07_imported_weeks": f"with {LONG}, {_REPLICAS}, {_WEEK_ROWS} select * exclude (replica) from w where replica = 0 union all select * exclude (replica) from w where replica = 1 and (user_id, week) not in (select (user_id, week) from w where replica = 0)",
+    "a07_imported_speeds": f"{_S}, h as (select * from (select replica, user_id, day, floor(sum(wpm)::double / count(*) + 0.5)::bigint as avg_wpm, count(*) as sessions from replicas group by all) qualify row_number() over (partition by replica, user_id order by day desc) <= 90) select * exclude (replica) from h where replica = 0 union all select * exclude (replica) from h where replica = 1 and (user_id, day) not in (select (user_id, day) from h where replica = 0)",
+    "a07_imported_goals": f"{_S}, g as (select user_id, min(replica) as replica from replicas where event_id % 4 > replica group by user_id) select user_id, 1 + user_id % 5 + replica as daily_minutes, 5 + user_id % 20 as weekly_minutes, 1 + user_id % 4 as monthly_documents from g",
     "a04_stats_export": f"with {S.DAILY} select user_id, true as valid, null::varchar as error, sum(words)::bigint as words, sum(completed)::bigint as documents, count(*) filter (day >= date '{B.AS_OF}' - 90) as days, 0::bigint as weeks from daily group by user_id",
     "a05_daily_csv": f"with {S.DAILY} select user_id, day, case when time_ms >= 3600000 then (time_ms // 3600000) || 'h ' else '' end || (time_ms // 60000 % 60) || 'm' as reading_time, time_ms, words, opened, completed, annotations from daily where day >= date '{B.AS_OF}' - 90",
     "m15_merged_heads": """with h as (select r as replica, c_custkey as user_id, c_custkey * (r + 3) % 7 as updated_at, (c_custkey + r) % 3 + 1 as schema_version, (c_custkey + r) % 2 = 0 as onboarding_completed, (c_custkey + r) % 5 = 0 as exit_confirmation_dismissed, case when c_custkey % 3 = 0 then 's' || (c_custkey * (r + 1) % 4) end as settings from customer, (select unnest(range(3)) as r) where c_custkey % 4 <> r),

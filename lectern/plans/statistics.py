@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from lectern.operators import stats as K
+from lectern.operators.exports import weekly_sections
 from lectern.sources import bindings as B
 
 SESSIONS = """sessions as (select event_id, user_id, ts, ts::date as day, floor(value * 1000)::bigint as duration_ms, json_extract(props, '$.k')::bigint as document_id, event_type = 'purchase' as completed, 150 + event_id % 250 as wpm,
@@ -35,6 +36,13 @@ def _goals(sessions):
     return sessions.select("user_id").distinct().select("user_id", (1 + F.col("user_id") % 5).alias("daily_minutes"), (5 + F.col("user_id") % 20).alias("weekly_minutes"), (1 + F.col("user_id") % 4).alias("monthly_documents"))
 
 
+def _period_with_weeks(s, d):
+    sessions, notes = B.sessions_long(s, d), B.annotation_events(s, d)
+    daily = K.retained(K.daily_rollup(sessions, notes), "day", B.AS_OF_LONG, K.KEEP_DAYS)
+    weekly = weekly_sections(sessions, notes, B.AS_OF_LONG)
+    return K.period_with_weeks(daily, K.wpm_history(sessions), weekly, *K.preset_bounds("1y", B.AS_OF_LONG))
+
+
 METRICS = {"time": "time_ms / 60000.0::double", "words": "words::double", "documents": "opened::double", "combined": "(least(time_ms / 3600000.0::double, 1) + least(words / 5000.0::double, 1) + least(opened / 5.0::double, 1)) / 3.0::double * 100.0::double"}
 
 
@@ -71,6 +79,9 @@ QUERIES = {
     "k10_average_wpm": lambda s, d: K.average_wpm(K.wpm_history(B.sessions(s, d))),
     "k12_period_totals": lambda s, d: K.period_totals(B.sessions_long(s, d), *K.preset_bounds("1y", B.AS_OF_LONG)),
     "k14_compare_periods": lambda s, d: K.compare_periods(B.sessions_long(s, d), "year", B.AS_OF_LONG),
+    "k12_period_with_weeks": _period_with_weeks,
+    "k12_custom_totals": lambda s, d: K.period_totals(B.sessions_long(s, d), *K.preset_bounds("custom", B.AS_OF_LONG, "1996-03-05", "1998-11-20")),
+    "k20_pattern_insights": lambda s, d: K.pattern_insights(_series(s, d, 90), K.streaks(_daily(s, d)), B.AS_OF),
     "k15_heatmap_metrics": lambda s, d: functools.reduce(lambda a, b: a.unionByName(b), (K.heatmap_of(_series(s, d), m) for m in METRICS)).withColumn("value", F.round("value", 6)),
     "k19_rolling_series": lambda s, d: K.rolling_series(_daily(s, d)),
     "k15_heatmap": lambda s, d: K.heatmap(_series(s, d)),
@@ -121,6 +132,18 @@ select * from a left join f using (user_id) join w using (user_id)""",
     "k12_period_totals": f"with {LONG} select user_id, {_LONG_SUMS} from sessions where day between date '{B.AS_OF_LONG}' - 364 and date '{B.AS_OF_LONG}' group by user_id",
     "k14_compare_periods": f"""with {LONG}, s as (select user_id, coalesce(sum(duration_ms) filter (day >= date '2001-01-01'), 0)::bigint as time_now, coalesce(sum(words) filter (day >= date '2001-01-01'), 0)::bigint as words_now, coalesce(sum(duration_ms) filter (day < date '2001-01-01'), 0)::bigint as time_before,
 coalesce(sum(words) filter (day < date '2001-01-01'), 0)::bigint as words_before from sessions where day between date '2000-01-01' and date '{B.AS_OF_LONG}' group by user_id) select *, {_change("time_now", "time_before")} as time_change, {_change("words_now", "words_before")} as words_change from s""",
+    "k12_custom_totals": f"with {LONG} select user_id, {_LONG_SUMS} from sessions where day between date '1996-03-05' and date '1998-11-20' group by user_id",
+    "k12_period_with_weeks": f"""with {LONG}, d as (select user_id, day, sum(duration_ms)::bigint as time_ms, sum(words)::bigint as words, count(distinct document_id) filter (completed) as completed, floor(sum(wpm)::double / count(*) + 0.5)::bigint as speed, count(*) as n from sessions where day >= date '{B.AS_OF_LONG}' - 90 group by all),
+w as (select user_id, date_trunc('week', day)::date as week, sum(duration_ms)::bigint as time_ms, sum(words)::bigint as words, count(distinct (day, document_id)) filter (completed) as completed, count(distinct day) as active, floor(sum(wpm)::double / count(*) + 0.5)::bigint as speed, count(*) as n from sessions where day < date '{B.AS_OF_LONG}' - 90 group by all),
+p as (select user_id, time_ms, words, completed, (time_ms > 0)::int as active, speed, n from d where day <= date '{B.AS_OF_LONG}' union all select user_id, time_ms, words, completed, active, speed, n from w where week between date '{B.AS_OF_LONG}' - 364 and date '{B.AS_OF_LONG}')
+select user_id, sum(time_ms)::bigint as time_ms, sum(words)::bigint as words, sum(completed)::bigint as completed, 0::bigint as annotations, sum(active)::bigint as active_days, sum(n)::bigint as sessions, floor(sum(speed * n)::double / sum(n) + 0.5)::bigint as avg_wpm from p group by user_id""",
+    "k20_pattern_insights": f"""with {DAILY}, {SERIES.format(a=B.AS_OF, n=89)}, runs as (select user_id, count(*) as days, max(day) as last from (select user_id, day, day - row_number() over (partition by user_id order by day)::int as run from daily) group by user_id, run), k as (select user_id, arg_max(days, last) as streak from runs group by user_id),
+t as (select user_id, dayofweek(day) as weekday, sum(time_ms)::bigint as ms, count(*) as n, count(*) filter (day > date '{B.AS_OF}' - 30 and time_ms > 0) as active from series group by all),
+m as (select *, floor(ms / 60000.0::double + 0.5::double)::bigint as total, floor(ms::double / n / 60000.0::double + 0.5::double)::bigint as average, weekday in (0, 6) as weekend from t),
+u as (select user_id, floor(sum(total) filter (not weekend)::double / sum(n) filter (not weekend) + 0.5::double)::bigint as a, floor(sum(total) filter (weekend)::double / sum(n) filter (weekend) + 0.5::double)::bigint as b, floor(coalesce(sum(total) filter (weekend)::double / nullif(sum(total), 0), 0) * 100 + 0.5::double)::bigint as share, floor(sum(active) / 30.0::double * 100 + 0.5::double)::bigint as active from m group by user_id),
+best as (select user_id, weekday, average from m qualify row_number() over (partition by user_id order by average desc, weekday) = 1), worst as (select user_id, weekday, average from m qualify row_number() over (partition by user_id order by average, weekday desc) = 1)
+select user_id, a as weekday_minutes, b as weekend_minutes, share as weekend_percent, case when b > a * 1.3::double then 'weekend' when a > b * 1.3::double then 'weekday' else 'balanced' end as preference, best.weekday as best_day, best.average as best_minutes, worst.weekday as worst_day, worst.average as worst_minutes, active as active_percent,
+case when streak >= 7 then 'on-fire' when active >= 50 then 'consistent' when active >= 20 then 'sporadic' else 'inactive' end as streak_status from u join k using (user_id) join best using (user_id) join worst using (user_id)""",
     "k15_heatmap_metrics": _heatmap_sql(),
     "k19_rolling_series": _series_sql(),
     "k15_heatmap": f"""with {DAILY}, {SERIES.format(a=B.AS_OF, n=29)}, r as (select user_id, time_ms, row_number() over (partition by user_id order by time_ms, day) - 1 as i, count(*) over (partition by user_id) as n from series where time_ms > 0),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from array import array
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query parameters that do not identify a page.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
@@ -69,28 +74,61 @@ def duplicates_removed(items: DataFrame) -> DataFrame:
     return deduplicated(items).groupBy("user_id").agg(F.sum(F.col("merged_rows") - 1).alias("removed"))
 
 
-def _codes(text: Column) -> Column:
-    """UTF-16 units of a text, of which a code point beyond the first plane has two; none for empty text."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    pair = lambda c: F.array(F.lit(0xD800) + F.shiftright(c - 0x10000, 10), F.lit(0xDC00) + (c - 0x10000) % 1024)
-    wide = F.flatten(F.transform(codes, lambda c: F.when(c < 0x10000, F.array(c)).otherwise(pair(c))))
-    return F.when(text.rlike("[\\x{10000}-\\x{10FFFF}]"), wide).otherwise(codes)
+def _units(text: str) -> array:
+    """UTF-16 units of a text, of which a code point beyond the first plane has two."""
+    units = array("H", text.encode("utf-16-le", "surrogatepass"))
+    if sys.byteorder == "big":
+        units.byteswap()
+    return units
+
+
+def _magnitude(h: int) -> int:
+    """A 32-bit number, taken as signed, without its sign."""
+    return h if h < 1 << 31 else (1 << 32) - h
+
+
+def _base36(n: int) -> str:
+    digits = ""
+    while n >= 36:
+        n, rest = divmod(n, 36)
+        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[rest] + digits
+    return "0123456789abcdefghijklmnopqrstuvwxyz"[n] + digits
+
+
+def _hash31(text: str) -> str:
+    h = 0
+    for c in _units(text):
+        h = (h * 31 + c) & 0xFFFFFFFF
+    return _base36(_magnitude(h))
+
+
+def _hash33(text: str) -> str:
+    one, two = 5381, 52711
+    for c in _units(text):
+        one, two = (one * 33 & 0xFFFFFFFF) ^ c, (two * 33 & 0xFFFFFFFF) ^ c
+    return format(_magnitude(one) * 4096 + _magnitude(two), "016x")
+
+
+@F.pandas_udf(T.StringType())
+def _string_hash(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _hash31(t) for t in texts], dtype=object)
 
 
-def _int32(x: Column) -> Column:
-    """A long wrapped to the range of 32-bit signed integers."""
-    return F.pmod(x + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
+@F.pandas_udf(T.StringType())
+def _text_hash(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _hash33(t) for t in texts], dtype=object)
 
 
 def string_hash(text: Column) -> Column:
-    """32-bit hash by factors of 31 over UTF-16 units, without sign, in base 36."""
-    return F.lower(F.conv(F.abs(F.aggregate(_codes(text), F.lit(0).cast("long"), lambda h, c: _int32(h * 31 + c))).cast("string"), 10, 36))
+    """32-bit hash by factors of 31 over UTF-16 units, without sign, in base 36; null of null. In Arrow batches, as each unit's step
+    needs the one before."""
+    return _string_hash(text)
 
 
 def text_hash(text: Column) -> Column:
-    """Two 32-bit hashes by factors of 33 and exclusive or over UTF-16 units, together as 16 hexadecimal digits."""
-    one, two = (F.abs(F.aggregate(_codes(text), F.lit(seed).cast("long"), lambda h, c: _int32(h * 33).bitwiseXOR(c))) for seed in (5381, 52711))
-    return F.lpad(F.lower(F.hex(one * 4096 + two)), 16, "0")
+    """Two 32-bit hashes by factors of 33 and exclusive or over UTF-16 units, together as 16 hexadecimal digits; null of null. In Arrow
+    batches."""
+    return _text_hash(text)
 
 
 def stable_id(type_: Column, file_hash: Column, url: Column, pasted: Column) -> Column:

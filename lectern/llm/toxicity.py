@@ -322,7 +322,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     scored = read.mapInArrow(score, f"id {kind}, score double, predicted int")
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", "predicted")
+    return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -138,6 +138,8 @@ def test_toxicity_held_out(spark, odd_docs, empty_docs):
     assert sum(bad) >= 0.85 * len(bad) and sum(good) <= 0.03 * len(good)
     odd = toxicity.toxicity_scores(odd_docs, labels).collect()
     assert len(odd) == odd_docs.count() and all(r.score == 0 for r in odd if r.doc_id in (0, 1, 2, 3))
+    nameless = odd_docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.held_out for r in toxicity.toxicity_scores(nameless, labels.where("false")).collect()] == [False] * 3
     assert toxicity.toxicity_scores(empty_docs, labels).collect() == []
     assert {r.score for r in toxicity.toxicity_scores(odd_docs, labels.where("false")).collect()} == {0.0}
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.common import trimmed
+
+FORMATS = ("markdown", "text", "html", "json")
 
 def filtered(notes: DataFrame, color: str | None = None, tag: str | None = None, favorite: bool = False, search: str = "") -> DataFrame:
     """By color, tag, favourite, and a text that the annotated text, the note, a tag or the document's title contains (of those columns
@@ -122,6 +125,82 @@ def exported_lines(notes: DataFrame) -> DataFrame:
     return notes.select("doc_key", "id", F.concat(number, F.lit(". **"), F.col("color"), F.lit("**"), mark, F.coalesce(F.concat(F.lit(": "), F.col("note")), F.lit(""))).alias("line"))
 
 
+def escaped(text: Column) -> Column:
+    """Text with the five signs of markup as entities."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
+def quoted(text: Column) -> Column:
+    """Text as a JSON string; null for null."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2)).otherwise("null")
+
+
+def copied() -> Column:
+    """An annotation (text, note) as it is copied: the text in quotation marks, a note that is not blank below it."""
+    note = trimmed(F.coalesce("note", F.lit("")))
+    return F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('"'), F.when(note != "", F.concat(F.lit("\nNote: "), note)).otherwise(""))
+
+
+def exported(notes: DataFrame, kind: str, exported_at: str) -> DataFrame:
+    """The files of documents in one of ``FORMATS``, as parts (doc_key, place, part): the head at place 0, one part for each annotation
+    (id, text, note, color, favorite, tags, created, start_block, start_word; title of the document) in the order of positions, and what
+    closes a file. A file is its parts by place, with line feeds between.  Parts stay rows, so a document with very many annotations is
+    sorted and counted with spilling, never gathered into one value.  Missing titles are ``Untitled``; of several in a document the
+    greatest holds."""
+    whole = Window.partitionBy("doc_key")
+    n = F.count("*").over(whole).alias("n")
+    title = F.coalesce(F.max("title").over(whole), F.lit("Untitled"))
+    rows = notes.withColumn("text", F.coalesce("text", F.lit(""))).select("*", F.row_number().over(_in_place(notes)).cast("long").alias("place"), n, title.alias("of"))
+    last, note = F.col("place") == F.col("n"), trimmed(F.coalesce("note", F.lit("")))
+    head, entry, foot = _PARTS[kind](F.col("of"), F.col("n"), last, note, exported_at)
+    part = lambda place, text: F.struct(place.alias("place"), text.alias("part"))
+    found = [F.when(F.col("place") == 1, part(F.lit(0).cast("long"), head)), part(F.col("place"), entry)]
+    if foot is not None:
+        found.append(F.when(last, part(F.col("place") + 1, foot)))
+    parts = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return rows.select("doc_key", F.explode(parts).alias("p")).select("doc_key", "p.place", "p.part")
+
+
+def _text(*parts) -> Column:
+    """Strings and columns, one after the other."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def _markdown(title, n, last, note, exported_at):
+    noted = F.when(note != "", _text("\n**Note:** ", note, "\n")).otherwise("")
+    entry = _text("## Highlight ", F.col("place").cast("string"), '\n> "', F.col("text"), '"\n', noted, F.when(last, "").otherwise("\n---\n"))
+    return _text('# Highlights from "', title, '"\n'), entry, None
+
+
+def _plain(title, n, last, note, exported_at):
+    return _text('Highlights from "', title, '"\n'), _text("---\n\n", copied(), F.when(last, "").otherwise("\n")), None
+
+
+def _json(title, n, last, note, exported_at):
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    listed = F.when(F.size(tags) == 0, "[]").otherwise(_text("[\n        ", F.array_join(F.transform(tags, quoted), ",\n        "), "\n      ]"))
+    fields = {"text": quoted(F.col("text")), "note": quoted(F.when(F.col("note") != "", F.col("note"))), "color": quoted(F.col("color")), "isFavorite": F.coalesce("favorite", F.lit(False)).cast("string"), "tags": listed, "createdAt": quoted(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))}
+    body = F.concat_ws(",\n", *(_text(f'      "{k}": ', v) for k, v in fields.items()))
+    head = _text('{\n  "documentTitle": ', quoted(title), f',\n  "exportedAt": "{exported_at}T00:00:00.000Z",\n  "annotations": [')
+    return head, _text("    {\n", body, F.when(last, "\n    }").otherwise("\n    },")), F.lit("  ]\n}")
+
+
+def _html(title, n, last, note, exported_at):
+    star = F.when(F.coalesce("favorite", F.lit(False)), "★").otherwise("")
+    quote = _text('<blockquote style="border-left: 4px solid ', escaped(F.col("color")), '">"', escaped(F.col("text")), '"</blockquote>')
+    entry = _text("<li>", star, quote, F.when(note != "", _text('<p class="note">', escaped(note), "</p>")).otherwise(""), "<small>", F.date_format("created", "MMMM d, yyyy"), "</small></li>")
+    named = escaped(title)
+    number = _text(n.cast("string"), F.when(n == 1, " highlight").otherwise(" highlights"))
+    head = _text('<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>Highlights from "', named, '"</title></head>\n<body><h1>Highlights from "', named, '"</h1>\n<p>', number, " · Exported ", F.date_format(F.lit(exported_at).cast("date"), "MMMM d, yyyy"), "</p>\n<ol>")
+    return head, entry, F.lit("</ol></body></html>")
+
+
+_PARTS = {"markdown": _markdown, "text": _plain, "html": _html, "json": _json}
+
+
 def tag_suggestions(notes: DataFrame, typed: str, used: tuple[str, ...] = (), top: int = 5) -> DataFrame:
     """F8: the ``top`` most frequent tags that contain what is typed and are not used yet; the limit is the feature."""
     tags = notes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.common import round_half_up, split_words, trimmed
+from lectern.operators.language import sentence_duration, spelled, word_duration
+from lectern.operators.text import sentence_tokens
 
 #: Texts that are no part of an article, and texts of controls; case does not matter.
 NON_ARTICLE = (
@@ -22,6 +24,8 @@ LEAST_CHARS, LEAST_LETTERS = 15, 0.4
 BULLET, NUMBER = r"^[‣◦⁃∙▪▫●○■□–—•-]\s+", r"(?i)^([0-9]+[.):]|\([a-z0-9]+\)|[a-z][.)])\s+"
 #: How the tiers of words change the part in bold.
 EMPHASIS, EMPHASIS_BY_TIER = 0.4, (0.7, 0.85, 1.0, 1.15, 1.3)
+#: Part of a word in bold from a reading speed on.
+EMPHASIS_BY_SPEED = ((600, 0.5), (400, 0.45), (200, 0.4))
 
 
 def typed_blocks(docs: DataFrame) -> DataFrame:
@@ -139,6 +143,49 @@ def pacing(readability: DataFrame, wpm: int) -> DataFrame:
     return timed.select("*", F.coalesce(F.sum("ms").over(before), F.lit(0)).alias("start_ms"))
 
 
+def paced_words(blocks: DataFrame, readability: DataFrame, wpm: int, heading_pause: float = 1.0, adaptive: bool = True) -> DataFrame:
+    """Time (whole ms) and start of each word of typed blocks (doc_id, block, type, content), at its block's speed; the last word of a
+    heading waits ``heading_pause`` times as long.  Blocks meet their speeds before they are cut, so words are shuffled once, by
+    document, for their starts.  Words follow the English rules, whatever their language."""
+    rows = _at_speed(blocks, readability, wpm).select("doc_id", "block", "type", "speed", split_words(F.col("content")).alias("w"))
+    cut = rows.select("doc_id", "block", "type", "speed", F.size("w").alias("n"), F.posexplode("w").alias("unit", "word"), F.lit("en").alias("language"))
+    return _started(spelled(cut).withColumn("ms", word_duration(F.col("speed"), adaptive)), heading_pause)
+
+
+def paced_sentences(blocks: DataFrame, readability: DataFrame, wpm: int, heading_pause: float = 1.0) -> DataFrame:
+    """The same for the sentences of blocks, 300 ms at least."""
+    texts = blocks.select(F.struct("doc_id", "block").alias("doc_id"), F.col("content").alias("text"))
+    cut = sentence_tokens(texts).select("doc_id.*", "sentence", "text", "pause")
+    last = F.row_number().over(Window.partitionBy("doc_id", "block").orderBy(F.desc("sentence"))) == 1
+    number = (F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("sentence")) - 1).alias("unit")
+    speeds = _at_speed(blocks, readability, wpm).select("doc_id", "block", "type", "speed")
+    rows = cut.select("doc_id", "block", "text", "pause", number, last.alias("last")).join(speeds, ["doc_id", "block"])
+    timed = rows.withColumns({"n": F.when(F.col("last"), F.col("unit") + 1).otherwise(-1), "ms": sentence_duration(F.col("speed"))})
+    return _started(timed, heading_pause)
+
+
+def _at_speed(blocks: DataFrame, readability: DataFrame, wpm: int) -> DataFrame:
+    speeds = readability.select("doc_id", "block", round_half_up(F.col("wpm_factor") * wpm).alias("speed"))
+    return blocks.join(speeds, ["doc_id", "block"])
+
+
+def _started(timed: DataFrame, heading_pause: float) -> DataFrame:
+    """Units (doc_id, block, unit of n, type, ms) with the pause after headings, and their starts."""
+    ends = (F.col("type") == "heading") & (F.col("unit") == F.col("n") - 1)
+    ms = round_half_up(F.when(ends, F.col("ms") * max(1.0, heading_pause)).otherwise(F.col("ms")))
+    before = Window.partitionBy("doc_id").orderBy("block", "unit").rowsBetween(Window.unboundedPreceding, -1)
+    rows = timed.select("doc_id", "block", F.col("unit").cast("long").alias("unit"), ms.alias("ms"))
+    return rows.select("*", F.coalesce(F.sum("ms").over(before), F.lit(0)).alias("start_ms"))
+
+
+def proportion_at(wpm: Column) -> Column:
+    """Part of a word in bold by reading speed."""
+    part = F.when(wpm >= EMPHASIS_BY_SPEED[0][0], EMPHASIS_BY_SPEED[0][1])
+    for least, value in EMPHASIS_BY_SPEED[1:]:
+        part = part.when(wpm >= least, value)
+    return part.otherwise(0.35)
+
+
 def time_label(minutes: Column) -> Column:
     """Seconds under a minute, minutes under an hour, else hours and minutes."""
     whole = lambda c: round_half_up(c).cast("string")

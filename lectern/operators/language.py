@@ -188,14 +188,25 @@ def speed(tiers: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SPEED)), tiers.cast("int"))
 
 
-def word_duration(wpm: int, adaptive: bool = True, pauses: bool = True) -> Column:
+def word_duration(wpm: int | Column, adaptive: bool = True, pauses: bool = True) -> Column:
     """D13, of spelled words: milliseconds of a word, 80 at least."""
-    out = F.lit(60000.0 / wpm) * (1 + F.regexp_count("word", F.lit(HYPHEN)))
+    out = (F.lit(60000.0) / wpm if isinstance(wpm, Column) else F.lit(60000.0 / wpm)) * (1 + F.regexp_count("word", F.lit(HYPHEN)))
     if adaptive:
         out = out * ((F.lit(0.7) + complexity() * F.lit(0.6)) * F.lit(0.4) + speed(tier()) * F.lit(0.6))
     return F.greatest(F.lit(80.0), out * pause(F.col("word")) if pauses else out)
 
 
+def token_duration(wpm: Column, pauses: bool = True) -> Column:
+    """D13, of chunks (text, pause): milliseconds of a chunk, without a least."""
+    out = F.lit(60000.0) / wpm * timing_words(F.col("text"))
+    return out * F.col("pause") if pauses else out
+
+
+def sentence_duration(wpm: Column, pauses: bool = True) -> Column:
+    """D13, of sentences (text, pause): milliseconds of a sentence, 300 at least."""
+    return F.greatest(F.lit(300.0), token_duration(wpm, pauses))
+
+
 def language_words(docs: DataFrame, *keys: str) -> DataFrame:
     """The keys, language and one row a word; a text without words gives one row with a null word."""
     known = docs.select(*keys, "text", language_of(F.col("text")).alias("language"))
@@ -318,3 +329,13 @@ def described(scores: DataFrame, wpm: int) -> DataFrame:
         label = label.when(F.col("flesch_ease") >= least, name)
     last = F.concat(F.lit("Very difficult (Grade "), round_half_up(F.col("flesch_grade")).cast("string"), F.lit("+)"))
     return scores.withColumns({"description": label.otherwise(last), "adjusted_wpm": round_half_up(F.lit(wpm) * F.col("wpm_factor"))})
+
+
+def report(scores: DataFrame) -> DataFrame:
+    """The report of each text: label, the four indices, language, and what it means for the reading speed."""
+    off = round_half_up((F.lit(1.0) - F.col("wpm_factor")) * 100.0).cast("string")
+    on = round_half_up((F.col("wpm_factor") - F.lit(1.0)) * 100.0).cast("string")
+    slower = F.concat(F.lit("Consider reading "), off, F.lit("% slower for better comprehension"))
+    faster = F.concat(F.lit("This text is easy - you can read "), on, F.lit("% faster"))
+    advice = F.when(F.col("wpm_factor") < 1, slower).when(F.col("wpm_factor") > 1, faster).otherwise("Normal reading speed recommended")
+    return described(scores, 1).select("doc_id", F.col("description").alias("summary"), "flesch_ease", "flesch_grade", "fog_index", "smog_index", advice.alias("recommendation"), "language")

@@ -22,13 +22,20 @@ def matching(items: DataFrame, query: str) -> DataFrame:
 
 
 def ordered(items: DataFrame, by: str, descending: bool = False) -> list[Column]:
-    """H2: sort columns; ties by id."""
-    way = F.desc if descending else F.asc
+    """H2: sort columns; titles and authors as a reader expects them (accents and case decide last), ties by id.  Only the order uses a
+    collation; no key that is grouped or joined by does."""
+    named = lambda c: F.collate(F.col(c), "UNICODE")
     if by == "author":
-        return [F.desc_nulls_last("author") if descending else F.asc_nulls_last("author"), F.asc("title"), F.asc("id")]
+        return [named(by).desc_nulls_last() if descending else named(by).asc_nulls_last(), named("title").asc(), F.asc("id")]
     if by in ("progress", "word_count"):
-        return [F.desc("percent" if by == "progress" else by), F.asc("title"), F.asc("id")]
-    return [way(by), F.asc("id")]
+        return [F.desc("percent" if by == "progress" else by), named("title").asc(), F.asc("id")]
+    key = named(by) if by == "title" else F.col(by)
+    return [key.desc() if descending else key.asc(), F.asc("id")]
+
+
+def with_notes(items: DataFrame, notes: DataFrame) -> DataFrame:
+    """H6: items that have an annotation (id of the item)."""
+    return items.join(notes.select("id"), "id", "left_semi")
 
 
 def page(items: DataFrame, by: str, limit: int, offset: int = 0, descending: bool = False) -> DataFrame:

@@ -191,6 +191,26 @@ def heatmap_summary(series: DataFrame) -> DataFrame:
     return sums.select("user_id", "active_days", "total_ms", round_half_up(ratio(F.col("total_ms"), F.col("active_days"))).alias("average_ms"), F.date_sub("first_day", F.dayofweek("first_day") - 1).alias("grid_start"))
 
 
+def calendar_grid(series: DataFrame) -> DataFrame:
+    """The days of a dense series on a grid of Sunday weeks: the week's number from the one in which the range begins, the day of the
+    week (0 for Sunday), and the month's short name on the first day of the range and of each month."""
+    first = F.min("day").over(Window.partitionBy("user_id"))
+    rows = series.select("user_id", "day", "time_ms", first.alias("first"), (F.dayofweek("day") - 1).cast("long").alias("weekday"))
+    week = F.floor((F.datediff("day", "first") + F.dayofweek("first") - 1) / 7).cast("long")
+    starts = (F.col("day") == F.col("first")) | (F.dayofmonth("day") == 1)
+    return rows.select("user_id", "day", "time_ms", week.alias("week"), "weekday", F.when(starts, F.date_format("day", "MMM")).alias("month"))
+
+
+def charts(series: DataFrame, history: DataFrame, as_of: str, bars: int = 14, sparks: int = 7) -> DataFrame:
+    """What the charts draw of each day of a dense series: minutes and words of the last ``bars`` days, the mean speed of days that
+    have one, and whether the day is one of the ``sparks`` of the small charts."""
+    speeds = history.select("user_id", "day", F.col("avg_wpm").alias("wpm"))
+    age = F.datediff(F.lit(as_of).cast("date"), "day")
+    recent = lambda c: F.when(age < bars, c)
+    rows = series.join(speeds, ["user_id", "day"], "left")
+    return rows.select("user_id", "day", recent(round_half_up(F.col("time_ms") / 60000.0)).alias("minutes"), recent(F.col("words")).alias("words"), "wpm", (age < sparks).alias("in_sparkline"))
+
+
 def daily_average(daily: DataFrame) -> DataFrame:
     """Minutes a day over active days."""
     return daily.groupBy("user_id").agg(round_half_up(ratio(F.sum("time_ms"), F.count_if(F.col("time_ms") > 0)) / 60000.0).alias("minutes"))

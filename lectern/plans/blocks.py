@@ -10,8 +10,10 @@ from lectern.operators import pages as C
 from lectern.operators import text as D
 from lectern.plans import language as L
 from lectern.plans.corpus import searched
+from lectern.plans.statistics import SESSIONS
 from lectern.sources import bindings as B
 
+HEADING_PAUSE = 1.5
 
 
 def _blocks(s, d):
@@ -51,6 +53,10 @@ def _matches(s, d):
     return D.phrase_matches(B.table(s, d, "documents"), B.PHRASES)
 
 
+def _block_scores(s, d):
+    return E.readability(L._paragraph_texts(s, d), "doc_id", "block")
+
+
 def _pages(s, d):
     return B.table(s, d, "pages")
 
@@ -74,7 +80,10 @@ QUERIES = {
     "c12_articles": lambda s, d: C.articles(_pages(s, d)),
     "d07_sentence_pauses": lambda s, d: D.sentence_tokens(B.table(s, d, "documents")).select("doc_id", "sentence", D.sentence_pause(F.col("text")).alias("pause")),
     "d15_pacing": lambda s, d: X.pacing(E.readability(L._paragraph_texts(s, d), "doc_id", "block"), L.WPM),
+    "d15_word_pacing": lambda s, d: X.paced_words(_blocks(s, d), _block_scores(s, d), L.WPM, HEADING_PAUSE),
+    "d15_sentence_pacing": lambda s, d: X.paced_sentences(_blocks(s, d), _block_scores(s, d), L.WPM, HEADING_PAUSE),
     "d16_emphasis": _emphasised,
+    "d16_speed_emphasis": lambda s, d: B.sessions(s, d).select("event_id", (F.col("wpm") * 2).alias("wpm"), X.proportion_at(F.col("wpm") * 2).alias("proportion")),
     "f04_matches_at": lambda s, d: X.matches_at(D.word_tokens(B.table(s, d, "documents")).select("doc_id", "word"), _matches(s, d), "phrase"),
     "f05_neighbour_matches": lambda s, d: X.neighbour_matches(_matches(s, d), "phrase"),
     "h14_time_remaining": lambda s, d: X.time_remaining(L._offsets(s, d), L.WPM),
@@ -125,3 +134,16 @@ select doc_id, row_number() over (partition by doc_id order by part) - 1 as chap
     "f05_neighbour_matches": f"with {_FOUND} select doc_id, phrase, start_word, coalesce(lead(start_word) over o, min(start_word) over (partition by doc_id, phrase)) as next_start, coalesce(lag(start_word) over o, max(start_word) over (partition by doc_id, phrase)) as previous_start from found window o as (partition by doc_id, phrase order by start_word)",
     "h14_time_remaining": f"with {L._OFFSETS}, t as (select doc_id, block, (sum(words) over (partition by doc_id) - start) / {L.WPM}.0::double as m, sum(words) over (partition by doc_id) / {L.WPM}.0::double as n from offsets) select doc_id, block, {_label('m')} as remaining, {_label('n')} as total from t",
 }
+_BLOCK_SPEEDS = f"speeds as (with {L._BLOCKS}, {L._scores('blocks', 'doc_id, block')} select doc_id, block, floor(wpm_factor * {L.WPM} + 0.5::double)::bigint as speed from scores)"
+_LAST_PAUSE = f"case when unit = u.n - 1 and length(block_text) < 40 and not ends_with(block_text, '.') then {HEADING_PAUSE}::double else 1.0::double end"
+_STARTS = "select doc_id, block, unit, ms, coalesce(sum(ms) over (partition by doc_id order by block, unit rows between unbounded preceding and 1 preceding), 0)::bigint as start_ms from m"
+ORACLE_SQL |= {
+    "d15_word_pacing": rf"""with {L._BLOCKS}, {_BLOCK_SPEEDS}, {L._spoken('blocks', 'doc_id, block', 'en')}, w as (select doc_id, block, text as block_text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from blocks),
+u as (select doc_id, block, block_text, len(w) as n, unnest(range(len(w))) as unit, unnest(w) as word from w),
+m as (select u.doc_id, u.block, unit, floor(greatest(80.0::double, 60000.0::double / speed * (1 + {L._HYPHENS.format('word')}) * ((0.7::double + complexity * 0.6::double) * 0.4::double + {L._SPEED} * 0.6::double) * {L._PAUSE}) * {_LAST_PAUSE} + 0.5::double)::bigint as ms from u join speeds s on s.doc_id = u.doc_id and s.block = u.block join tiered using (word)) {_STARTS}""",
+    "d15_sentence_pacing": rf"""with {L._BLOCKS}, {_BLOCK_SPEEDS}, p as (select doc_id, block, text as block_text, regexp_extract_all(text, '[^.!?]*[.!?]+["''»]?\s*|[^.!?]+') as p from blocks), q as (select doc_id, block, block_text, unnest(range(len(p))) as i, unnest(p) as piece from p),
+o as (select *, regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '') as text from q), u as (select *, row_number() over (partition by doc_id, block order by i) - 1 as unit, count(*) over (partition by doc_id, block) as n,
+ case when not regexp_matches(piece, '[.!?]') then 1.0 when contains(text, '!') then 2.0 when contains(text, '?') then 1.8 when regexp_matches(text, '\.{{2,}}|…') then 2.5 else 2.0 end::double as pause from o where text <> ''),
+m as (select u.doc_id, u.block, unit, floor(greatest(300.0::double, 60000.0::double / speed * (len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) + {L._HYPHENS.format('text')}) * pause) * {_LAST_PAUSE} + 0.5::double)::bigint as ms from u join speeds s on s.doc_id = u.doc_id and s.block = u.block) {_STARTS}""",
+    "d16_speed_emphasis": f"with {SESSIONS} select event_id, wpm * 2 as wpm, case when wpm * 2 >= 600 then 0.5 when wpm * 2 >= 400 then 0.45 when wpm * 2 >= 200 then 0.4 else 0.35 end::double as proportion from sessions",
+}

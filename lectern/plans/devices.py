@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import annotations as J
@@ -105,7 +108,22 @@ def _goal_changes(s, d):
     return e.select("user_id", "ts", "event_id", (F.col("event_id") % 90).alias("daily_minutes"))
 
 
+def _notes_with_text(s, d):
+    """Annotations with a text that holds signs of markup, and notes with space around them."""
+    text = F.concat(F.lit("<b>"), "color", F.lit("</b> & \"it's\" "), F.col("start_word").cast("string"))
+    return B.annotations(s, d).withColumns({"text": text, "note": F.when(F.col("start_word") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "note", F.lit(" ")))})
+
+
+def _export_files(s, d):
+    titles = B.archive_items(s, d).select(F.col("id").alias("doc_key"), "title")
+    notes = _notes_with_text(s, d).join(titles, "doc_key", "left")
+    files = [J.exported(notes, kind, B.AS_OF).select(F.lit(kind).alias("format"), "*") for kind in J.FORMATS]
+    return functools.reduce(DataFrame.unionByName, files)
+
+
 QUERIES = {
+    "a08_export_files": _export_files,
+    "a08_copied_notes": lambda s, d: _notes_with_text(s, d).select("id", J.copied().alias("copied")),
     "a08_exported_notes": lambda s, d: J.exported_lines(B.annotations(s, d)),
     "a10_import_counts": lambda s, d: J.import_counts(_texts(s, d).where("start_block % 2 = 0"), _texts(s, d).where("start_block % 2 = 1")),
     "f07_suggestions": lambda s, d: H.suggestions(B.archive_items(s, d), "an"),
@@ -113,6 +131,8 @@ QUERIES = {
     "g02_url_hash": lambda s, d: B.table(s, d, "pages").select("page_id", G.string_hash(F.col("url")).alias("hash")),
     "g03_text_hash": lambda s, d: B.table(s, d, "documents").select("doc_id", G.text_hash(F.col("text")).alias("hash")),
     "g04_stable_id": lambda s, d: B.archive_items(s, d).select("id", G.stable_id(F.col("type"), F.col("file_hash"), F.col("url"), F.col("title")).alias("stable_id")),
+    "h06_with_notes": lambda s, d: H.with_notes(B.archive_items(s, d), B.annotations(s, d).select(F.col("doc_key").alias("id"))).select("id", "title"),
+    "k25_charts": lambda s, d: K.charts(S._series(s, d, 30), K.wpm_history(B.sessions(s, d)), B.AS_OF),
     "h06_long_reads": lambda s, d: B.archive_items(s, d).where(F.col("word_count") >= H.LONG_READ).select("id", "word_count"),
     "h12_cache_stats": lambda s, d: H.cache_stats(_cached(s, d)),
     "h13_book_progress": lambda s, d: H.book_progress(_chapters(s, d).select("book", "chapter", (F.col("book") % 4).alias("block"), F.lit(4).cast("long").alias("blocks")), _chapters(s, d)),
@@ -138,6 +158,16 @@ QUERIES = {
 }
 
 _I, _N = f"with {ITEMS}", f"with {NOTES}"
+_MARKED = """texts as (select * replace (case when start_word % 4 = 0 then '  ' else ' ' || note || ' ' end as note), '<b>' || color || '</b> & "it''s" ' || start_word as text from notes)"""
+_NOTE = "trim(coalesce(note, ''))"
+_COPIED = f"concat('\"', text, '\"', case when {_NOTE} <> '' then chr(10) || 'Note: ' || {_NOTE} else '' end)"
+
+
+def _escaped(c: str) -> str:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#039;")):
+        c = f"replace({c}, '{sign}', '{entity}')"
+    return c
+
 _URL_HASH = "lower(to_base(abs(list_reduce(list_transform(string_split({}, ''), lambda c: unicode(c)::bigint), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::bigint)), 36))"
 
 
@@ -156,6 +186,16 @@ _half = lambda x: f"floor({x} + 0.5::double)::bigint"
 _best = lambda v, d: f"max({v}) as {v}, arg_max({d}, ({v}, -replica)) filter ({v} is not null) as {d}"
 
 ORACLE_SQL = {
+    "a08_copied_notes": f"{_I}, {NOTES}, {_MARKED} select id, {_COPIED} as copied from texts",
+    "a08_export_files": f"""{_I}, {NOTES}, {_MARKED}, placed as (select t.*, coalesce(i.title, 'Untitled') as title, row_number() over w as place, count(*) over (partition by doc_key) as n from texts t left join items i on i.id = t.doc_key window w as (partition by doc_key order by start_block, start_word, t.id)),
+md as (select doc_key, unnest(case when place = 1 then [{{'place': 0, 'part': '# Highlights from "' || title || '"' || chr(10)}}] else [] end || [{{'place': place, 'part': concat('## Highlight ', place, chr(10), '> "', text, '"', chr(10), case when {_NOTE} <> '' then chr(10) || '**Note:** ' || {_NOTE} || chr(10) else '' end, case when place < n then chr(10) || '---' || chr(10) else '' end)}}]) as p from placed),
+txt as (select doc_key, unnest(case when place = 1 then [{{'place': 0, 'part': 'Highlights from "' || title || '"' || chr(10)}}] else [] end || [{{'place': place, 'part': concat('---', chr(10), chr(10), {_COPIED}, case when place < n then chr(10) else '' end)}}]) as p from placed),
+html as (select doc_key, unnest(case when place = 1 then [{{'place': 0, 'part': concat('<!DOCTYPE html>', chr(10), '<html lang="en"><head><meta charset="UTF-8"><title>Highlights from "', {_escaped('title')}, '"</title></head>', chr(10), '<body><h1>Highlights from "', {_escaped('title')}, '"</h1>', chr(10), '<p>', n, case when n = 1 then ' highlight' else ' highlights' end, ' · Exported ', strftime(date '{B.AS_OF}', '%B %-d, %Y'), '</p>', chr(10), '<ol>')}}] else [] end
+ || [{{'place': place, 'part': concat('<li>', case when favorite then '★' else '' end, '<blockquote style="border-left: 4px solid ', {_escaped('color')}, '">"', {_escaped('text')}, '"</blockquote>', case when {_NOTE} <> '' then '<p class="note">' || {_escaped(_NOTE)} || '</p>' else '' end, '<small>', strftime(created, '%B %-d, %Y'), '</small></li>')}}] || case when place = n then [{{'place': place + 1, 'part': '</ol></body></html>'}}] else [] end) as p from placed),
+js as (select doc_key, unnest(case when place = 1 then [{{'place': 0, 'part': concat('{{', chr(10), '  "documentTitle": ', to_json(title), ',', chr(10), '  "exportedAt": "{B.AS_OF}T00:00:00.000Z",', chr(10), '  "annotations": [')}}] else [] end
+ || [{{'place': place, 'part': concat('    {{', chr(10), '      "text": ', to_json(text), ',', chr(10), '      "note": ', coalesce(to_json(nullif(note, ''))::varchar, 'null'), ',', chr(10), '      "color": ', to_json(color), ',', chr(10), '      "isFavorite": ', favorite, ',', chr(10), '      "tags": ', case when tags is null then '[]' else concat('[', chr(10), '        ', array_to_string(list_transform(tags, lambda x: to_json(x)::varchar), ',' || chr(10) || '        '), chr(10), '      ]') end, ',', chr(10), '      "createdAt": "', strftime(created, '%Y-%m-%d'), 'T00:00:00.000Z"', chr(10), '    }}', case when place < n then ',' else '' end)}}]
+ || case when place = n then [{{'place': place + 1, 'part': concat('  ]', chr(10), '}}')}}] else [] end) as p from placed)
+select format, doc_key, p.place::bigint as place, p.part as part from (select 'markdown' as format, * from md union all select 'text', * from txt union all select 'html', * from html union all select 'json', * from js)""",
     "a08_exported_notes": f"{_N} select doc_key, id, row_number() over (partition by doc_key order by start_block, start_word, id) || '. **' || color || '**' || case when favorite then ' *' else '' end || coalesce(': ' || note, '') as line from notes",
     "a10_import_counts": f"with {_TEXTS}, b as (select doc_key, text, count(*) as n from texts where start_block % 2 = 1 group by all), j as (select b.*, exists (select 1 from texts t where t.start_block % 2 = 0 and t.doc_key = b.doc_key and t.text = b.text) as known from b) select doc_key, count(*) filter (not known) as imported, sum(case when known then n else n - 1 end)::bigint as skipped from j group by doc_key",
     "f07_suggestions": f"{_I}, r as (select user_id, id, last_opened, unnest([0, 1, 2]) as field, unnest(['title', 'author', 'source_label']) as kind, unnest([title, author, source_label]) as text from items), o as (select * from r where contains(lower(text), 'an') qualify row_number() over (partition by user_id, text order by last_opened desc, id, field) = 1), n as (select user_id, kind, text, row_number() over (partition by user_id order by last_opened desc, id, field, text) as place from o) select * from n where place <= 8",
@@ -163,6 +203,9 @@ ORACLE_SQL = {
     "g02_url_hash": f"select page_id, {_URL_HASH.format('url')} as hash from pages",
     "g03_text_hash": f"select doc_id, {_djb('text')} as hash from documents",
     "g04_stable_id": f"{_I} select id, coalesce('file_' || type || '_' || file_hash, 'web_' || {_URL_HASH.format(NORMAL.format('url'))}, 'paste_' || {_djb('title')}) as stable_id from items",
+    "h06_with_notes": f"{_I}, {NOTES} select id, title from items where id in (select doc_key from notes)",
+    "k25_charts": f"""with {S.DAILY}, {S.SERIES.format(a=B.AS_OF, n=29)}, {S.HISTORY}, c as (select s.user_id, s.day, floor(time_ms / 60000.0::double + 0.5::double)::bigint as minutes, words, avg_wpm as wpm, date_diff('day', s.day, date '{B.AS_OF}') as age from series s left join history h on h.user_id = s.user_id and h.day = s.day)
+select user_id, day, case when age < 14 then minutes end as minutes, case when age < 14 then words end as words, wpm, age < 7 as in_sparkline from c""",
     "h06_long_reads": f"{_I} select id, word_count from items where word_count >= 10000",
     "h12_cache_stats": f"{_I}, c as (select user_id, count(*) as n from items where type = 'web' and percent < 95 and id % 4 <> 0 group by user_id), t as (select user_id, count(*) as items, count(*) filter (id % 4 = 0) as cached_items from items group by user_id) select user_id, items, cached_items, least(3, coalesce(n, 0)) as candidates from t left join c using (user_id)",
     "h13_book_progress": f"with {_CHAPTERS}, p as (select *, coalesce(sum(words) over (partition by book order by chapter rows between unbounded preceding and 1 preceding), 0) as earlier, sum(words) over (partition by book) as total, count(*) over (partition by book) as n from chapters), q as (select book, chapter, n, floor(case when n > 1 and total > 0 then (earlier + words * ((block + 1) / 4.0::double)) / total::double else (block + 1) / 4.0::double end * 100 + 0.5::double)::bigint as percent from p) select book, chapter, percent, case when n > 1 then 'Ch ' || (chapter + 1) || ' of ' || n || ' (' || percent || '%)' else percent || '%' end as label from q",

@@ -44,9 +44,12 @@ QUERIES = {
     "d12_word_tiers": lambda s, d: _vocabulary(s, d).select("word", "language", E.tier().alias("tier")).select("*", E.speed(F.col("tier")).alias("speed"), (F.col("tier") <= 2).alias("common"), ((F.col("tier") - 1) / F.lit(4.0)).alias("difficulty")),
     "d12_tier_counts": lambda s, d: E.tier_counts(_docs(s, d)),
     "d13_word_durations": lambda s, d: _vocabulary(s, d).select("word", "language", E.word_duration(WPM).alias("ms")),
+    "d13_sentence_durations": lambda s, d: D.sentence_tokens(_docs(s, d)).select("doc_id", "sentence", E.sentence_duration(F.lit(float(WPM))).alias("ms")),
+    "d13_token_durations": lambda s, d: D.chunks(_docs(s, d), CHUNK, "\n+").select("doc_id", "paragraph", "chunk", E.token_duration(F.lit(float(WPM))).alias("ms")),
+    "e08_reports": lambda s, d: E.report(E.readability(_docs(s, d))),
     "d14_reading_minutes": lambda s, d: _docs(s, d).select("doc_id", (D.word_count(F.col("text")) / F.lit(float(WPM))).alias("minutes")),
     "d17_block_offsets": _offsets,
-    "d18_positions": lambda s, d: D.positions_at(_docs(s, d).select("doc_id", (F.col("doc_id") * 13 % 400).alias("target")), _offsets(s, d)),
+    "d18_positions": lambda s, d: D.positions_at(_docs(s, d).select("doc_id", (F.col("doc_id") * 7919 % (D.word_count(F.col("text")) + 2)).alias("target")), _offsets(s, d)),
     "d19_chunk_index": lambda s, d: _offsets(s, d).select("doc_id", "block", F.floor(F.col("start") / CHUNK).cast("long").alias("chunk"), (F.floor(F.col("start") / CHUNK) * CHUNK).cast("long").alias("chunk_start")),
     "e01_sentences": lambda s, d: E.sentences(_docs(s, d)),
     "e01_sentence_counts": lambda s, d: _docs(s, d).select("doc_id", E.sentence_count(F.col("text")).alias("sentences")),
@@ -93,13 +96,14 @@ def _sentences(text: str) -> str:
     return f"list_transform([list_reduce({pieces}, lambda a, x: {step}, {start})], lambda s: s.n + regexp_matches(s.carry || {rest}, '\\S')::bigint)[1]"
 
 
-def _spoken(source: str, keys: str) -> str:
-    """CTEs: the language of each text of ``source``, its words and what the rules say of them."""
+def _spoken(source: str, keys: str, language: str = "") -> str:
+    """CTEs: the language of each text of ``source`` (or the one given), its words and what the rules say of them."""
+    read = f"'{language}' as language" if language else "language"
     stem = "regexp_replace(regexp_replace(regexp_replace(w, 'ed$', ''), 'es$', ''), 'ing$', '')"
     return f"""lower_words as (select *, list_transform(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: {_letters("x")}) as w from {source}),
 lang as (select {keys}, text, case when coalesce(len(regexp_extract_all(lower(text), '[æøå]'))::double / nullif(length(text), 0), 0) > 0.001::double or ({_score(E.NORWEGIAN_WORDS)} > 1.5::double * {_score(E.ENGLISH_WORDS)} and {_score(E.NORWEGIAN_WORDS)} > 3) then 'no' else 'en' end as language,
  {_sentences("text")} as sentences from lower_words),
-tokens as (select {keys}, language, sentences, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as word from lang),
+tokens as (select {keys}, {read}, sentences, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as word from lang),
 vocabulary as (select word, language, w, {stem} as stem, {_syllables("w")} as syllables from (select distinct word, language, {_letters("word")} as w from tokens)),
 judged as (select word, language, w, syllables, length(w) >= 3 and syllables >= 3 and {_syllables("stem")} >= 3 as complex, case when length(w) <= 2 then 0 when length(w) <= 3 then 0.1::double else least(1.0::double, (length(w) - 3) / 9.0::double) * 0.4::double + least(1.0::double, (syllables - 1) / 3.0::double) * 0.6::double end as complexity,
  length(regexp_replace(lower(word), '[^{E.TIER_LETTERS}]', '', 'g')) as n from vocabulary),
@@ -140,7 +144,7 @@ e as (select doc_id, paragraph, place // {CHUNK} as chunk, array_to_string(w[pla
     "d13_word_durations": f"with {_WORDS} select word, language, greatest(80.0::double, {60000 / WPM}::double * (1 + {_HYPHENS.format('word')}) * ((0.7::double + complexity * 0.6::double) * 0.4::double + {_SPEED} * 0.6::double) * {_PAUSE}) as ms from tiered",
     "d14_reading_minutes": rf"select doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) / {WPM}.0::double as minutes from documents",
     "d17_block_offsets": f"with {_OFFSETS} select * from offsets",
-    "d18_positions": f"""with {_OFFSETS}, t as (select doc_id, doc_id * 13 % 400 as target from documents), total as (select doc_id, sum(words) as total, max(block) as last, arg_max(words, block) as last_words from offsets group by doc_id)
+    "d18_positions": rf"""with {_OFFSETS}, t as (select doc_id, doc_id * 7919 % (len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) + 2) as target from documents), total as (select doc_id, sum(words) as total, max(block) as last, arg_max(words, block) as last_words from offsets group by doc_id)
 select t.doc_id, target, coalesce(case when target >= total then last else o.block end, 0) as block, coalesce(case when target >= total then greatest(last_words - 1, 0) else target - o.start end, 0)::bigint as word from t left join total x on x.doc_id = t.doc_id left join offsets o on o.doc_id = t.doc_id and target >= o.start and target < o.start + o.words""",
     "d19_chunk_index": f"with {_OFFSETS} select doc_id, block, start // {CHUNK} as chunk, start // {CHUNK} * {CHUNK} as chunk_start from offsets",
     "e03_dictionary_syllables": f"""with {_WORDS}, b as (select distinct unnest(string_split(text, ' ')) as word from benchmark), e as (select lower(word) as letters, max(length(word) % 6 + 1)::bigint as entry from b where word <> '' group by 1),
@@ -153,3 +157,9 @@ x as (select word, language, {_letters("word")} as letters, syllables from vocab
     "e08_reading_levels": f"with {_scores('documents', 'doc_id')} select doc_id, case {_BANDS} else 'Very difficult (Grade ' || floor(flesch_grade + 0.5::double)::bigint || '+)' end as description, floor({WPM} * wpm_factor + 0.5::double)::bigint as adjusted_wpm from scores",
     "e10_block_readability": f"with {_BLOCKS}, {_scores('blocks', 'doc_id, block')} select * from scores",
 }
+ORACLE_SQL |= {
+    "d13_sentence_durations": f"with x as ({ORACLE_SQL['d02_sentence_tokens']}) select doc_id, sentence, greatest(300.0::double, {60000 / WPM}::double * (words + {_HYPHENS.format('text')}) * pause) as ms from x",
+    "d13_token_durations": f"with x as ({ORACLE_SQL['d03_chunks']}) select doc_id, paragraph, chunk, {60000 / WPM}::double * (len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) + {_HYPHENS.format('text')}) * pause as ms from x",
+    "e08_reports": f"""with {_scores('documents', 'doc_id')} select doc_id, case {_BANDS} else 'Very difficult (Grade ' || floor(flesch_grade + 0.5::double)::bigint || '+)' end as summary, flesch_ease, flesch_grade, fog_index, smog_index, language,
+ case when wpm_factor < 1 then 'Consider reading ' || floor((1 - wpm_factor) * 100 + 0.5)::bigint || '% slower for better comprehension' when wpm_factor > 1 then 'This text is easy - you can read ' || floor((wpm_factor - 1) * 100 + 0.5)::bigint || '% faster' else 'Normal reading speed recommended' end as recommendation from scores""",
+}

@@ -85,6 +85,7 @@ QUERIES = {
     "k15_heatmap_metrics": lambda s, d: functools.reduce(lambda a, b: a.unionByName(b), (K.heatmap_of(_series(s, d), m) for m in METRICS)).withColumn("value", F.round("value", 6)),
     "k19_rolling_series": lambda s, d: K.rolling_series(_daily(s, d)),
     "k15_heatmap": lambda s, d: K.heatmap(_series(s, d)),
+    "k16_calendar_grid": lambda s, d: K.calendar_grid(_series(s, d, 60)),
     "k16_heatmap_summary": lambda s, d: K.heatmap_summary(_series(s, d)),
     "k17_daily_average": lambda s, d: K.daily_average(_daily(s, d)),
     "k18_finish_rate": lambda s, d: K.finish_rate(B.sessions(s, d)),
@@ -149,6 +150,7 @@ case when streak >= 7 then 'on-fire' when active >= 50 then 'consistent' when ac
     "k15_heatmap": f"""with {DAILY}, {SERIES.format(a=B.AS_OF, n=29)}, r as (select user_id, time_ms, row_number() over (partition by user_id order by time_ms, day) - 1 as i, count(*) over (partition by user_id) as n from series where time_ms > 0),
 q as (select user_id, max(time_ms) filter (i = floor(n * 0.25)) as q1, max(time_ms) filter (i = floor(n * 0.5)) as q2, max(time_ms) filter (i = floor(n * 0.75)) as q3 from r group by user_id)
 select user_id, day, time_ms, (case when time_ms = 0 then 0 when time_ms <= q1 then 1 when time_ms <= q2 then 2 when time_ms <= q3 then 3 else 4 end)::bigint as level from series left join q using (user_id)""",
+    "k16_calendar_grid": f"with {DAILY}, {SERIES.format(a=B.AS_OF, n=59)}, f as (select *, min(day) over (partition by user_id) as first from series) select user_id, day, time_ms, (date_diff('day', first, day) + dayofweek(first)) // 7 as week, dayofweek(day)::bigint as weekday, case when day = first or dayofmonth(day) = 1 then strftime(day, '%b') end as month from f",
     "k16_heatmap_summary": f"with {DAILY}, {SERIES.format(a=B.AS_OF, n=29)} select user_id, count(*) filter (time_ms > 0) as active_days, sum(time_ms)::bigint as total_ms, {_AVG.format(a='sum(time_ms)', b='count(*) filter (time_ms > 0)', c='')} as average_ms, (min(day) - dayofweek(min(day))::int) as grid_start from series group by user_id",
     "k17_daily_average": f"with {DAILY} select user_id, {_AVG.format(a='sum(time_ms)', b='count(*) filter (time_ms > 0)', c='/ 60000.0')} as minutes from daily group by user_id",
     "k18_finish_rate": f"with {SESSIONS}, n as (select user_id, count(distinct document_id) as opened, count(distinct document_id) filter (completed) as completed from sessions group by user_id) select *, floor(completed * 100::double / opened + 0.5)::bigint as finish_rate from n",

@@ -4,9 +4,11 @@ Base rules: a text fails with under 50 words, or with over half of its words in
 
 The method: each text's statistics become a vector (mean word length, log symbols per 100 words, share of repeated lines,
 share of repeated words).  For each language and source a minimum-covariance-determinant estimate of its centre and
-covariance comes from the texts that pass the base rules: the half-sample starts with the 75 % nearest to the medians in
-units of the scaled absolute deviations, and ``STEPS`` concentration steps (mean and covariance of the half-sample, then
-the 75 % nearest by Mahalanobis distance) lower the determinant.  A text beyond ``CUTOFF`` is rejected.
+covariance comes from the texts that pass the base rules.  Several starts are tried in each group: the medians with the scaled absolute
+deviations, and ``RANDOM_STARTS`` sets of ``P + 1`` texts picked by seeded hashes of their vectors.  A concentration step takes the 75 %
+nearest by Mahalanobis distance and works out their mean and covariance; ``FIRST_STEPS`` of them go from every start, then the
+``KEPT_STARTS`` with the least determinants go on until none falls any more, and the least of all is the estimate (at most ``MOST_STEPS`` steps, a bound on rounds, not on texts).  Every step reads
+all vectors.  A text beyond ``CUTOFF`` is rejected.
 
 Groups with fewer than ``LEAST`` texts are pooled by language, and pools that are still smaller together; where even that
 is smaller, nothing is rejected.  ``FLOOR`` is a least variance for each statistic, without which statistics that are
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import SPACE_CLASS, WORD, Scratch, materialised
@@ -34,7 +36,7 @@ from lectern.llm.common import SPACE_CLASS, WORD, Scratch, materialised
 LEAST_WORDS, MOST_REPEATED = 50, 50
 NAMES = ("word_length", "symbols", "dup_lines", "repeats")
 FLOOR = (0.25**2, 0.25**2, 0.1**2, 0.06**2)
-LEAST, SHARE, STEPS = 50, 0.75, 3
+LEAST, SHARE, RANDOM_STARTS, FIRST_STEPS, KEPT_STARTS, MOST_STEPS, FALLS = 50, 0.75, 10, 2, 3, 20, 1e-9
 BROADCAST_GROUPS, SALTS = 50_000, 32
 P = len(NAMES)
 
@@ -92,33 +94,58 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return out.select("id", "lang", "source", "c.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "l.n_lines", "c.n_repeat_words")
 
 
+def _factored(estimate: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor l00, l10, l11, ... of s00, s10, s11, ... and the log determinant, column by column, so that a vector meets
+    numbers that are worked out once for its group."""
+    for j in range(P):
+        rest = lambda i, j=j: sum((-F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.col(f"s{i}{j}"))
+        estimate = estimate.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest(j), F.lit(1e-12))))
+        estimate = estimate.withColumns({f"l{i}{j}": rest(i) / F.col(f"l{j}{j}") for i in range(j + 1, P)})
+    return estimate.withColumn("determinant", 2 * sum((F.ln(f"l{j}{j}") for j in range(1, P)), F.ln("l00")))
+
+
 def _distance() -> Column:
-    """Squared Mahalanobis distance of x0.. from m0.. by the Cholesky factor of s00, s10, s11, ..."""
-    low: dict = {}
-    for i in range(P):
-        for j in range(i + 1):
-            rest = F.col(f"s{i}{j}")
-            for k in range(j):
-                rest = rest - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / low[j, j]
+    """Squared Mahalanobis distance of x0.. from m0.. by the factor l00, l10, l11, ..."""
     solved: list = []
     for i in range(P):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
-            rest = rest - low[i, k] * solved[k]
-        solved.append(rest / low[i, i])
-    total = solved[0] * solved[0]
+            rest = rest - F.col(f"l{i}{k}") * solved[k]
+        solved.append(rest / F.col(f"l{i}{i}"))
+    total = F.pow(solved[0], F.lit(2))
     for z in solved[1:]:
-        total = total + z * z
+        total = total + F.pow(z, F.lit(2))
     return total
 
 
 def _moments(near: DataFrame) -> DataFrame:
-    """Centre and covariance (with the floor) of each group; moments are about the former centre, so that no digits go."""
+    """Centre, covariance (with the floor) and log determinant of each group and start; moments are about the former centre, so that no
+    digits go.  With a floor on the variances a concentration step still never raises the determinant, as it is the same for all sets."""
     about = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
     sums = [F.avg(a).alias(f"a{i}") for i, a in enumerate(about)] + [F.avg(about[i] * about[j]).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)] + [F.first(f"m{i}").alias(f"o{i}") for i in range(P)]
     cov = [(F.lit(CONSISTENT) * (F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + F.lit(FLOOR[i] if i == j else 0.0)).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
-    return near.groupBy("group").agg(*sums).select("group", *((F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(P)), *cov)
+    out = near.groupBy("group", "start").agg(*sums).select("group", "start", *((F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(P)), *cov)
+    return _factored(out)
+
+
+def _starts(vectors: DataFrame, number: int) -> DataFrame:
+    """Of each group the starts (start, m0.., s00..): 0 by medians and deviations, then sets of texts by hashes.  A set takes the vector with the
+    least hash in each of ``P + 1`` parts of the hashes, so partial minima are shuffled and equal vectors count once."""
+    middle = vectors.groupBy("group").agg(*(F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)))
+    away = beside(vectors, middle, ["group"], number).groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(P)))
+    spread = [F.lit(0.0).alias(f"s{i}{j}") if i != j else (F.col(f"d{i}") * F.col(f"d{i}") * F.lit(1.4826**2) + F.lit(FLOOR[i])).alias(f"s{i}{i}") for i in range(P) for j in range(i + 1)]
+    out = middle.join(away, "group").select("group", F.lit(0).alias("start"), *(f"m{i}" for i in range(P)), *spread)
+
+    hashes = {start: F.xxhash64(*(f"x{i}" for i in range(P)), F.lit(start)) for start in range(1, RANDOM_STARTS + 1)}
+    least = [F.min(F.when(F.pmod(h, F.lit(P + 1)) == part, F.struct(h.alias("h"), *(F.col(f"x{i}") for i in range(P))))).alias(f"p{start}_{part}") for start, h in hashes.items() for part in range(P + 1)]
+    picked = vectors.groupBy("group").agg(*least)
+    sets = [F.struct(F.lit(start).alias("start"), F.filter(F.array(*(f"p{start}_{part}" for part in range(P + 1))), lambda x: x.isNotNull()).alias("set")) for start in hashes]
+    total = lambda value: F.aggregate("set", F.lit(0.0), lambda acc, x: acc + value(x)) / F.size("set")
+    rows = picked.select("group", F.explode(F.array(*sets)).alias("s")).select("group", "s.start", "s.set")
+    rows = rows.select("*", *(total(lambda x, i=i: x[f"x{i}"]).alias(f"m{i}") for i in range(P)))
+    about = lambda x, i: x[f"x{i}"] - F.col(f"m{i}")
+    cov = [(total(lambda x, i=i, j=j: about(x, i) * about(x, j)) + F.lit(FLOOR[i] if i == j else 0.0)).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
+    return _factored(out.unionByName(rows.select("group", "start", *(f"m{i}" for i in range(P)), *cov)))
 
 
 def beside(rows: DataFrame, groups: DataFrame, keys: list[str], number: int, how: str = "inner", most: int = BROADCAST_GROUPS) -> DataFrame:
@@ -137,20 +164,34 @@ def beside(rows: DataFrame, groups: DataFrame, keys: list[str], number: int, how
     return rows.join(named, on, how).drop(*(f"{k}_" for k in keys), *(["salt"] if "salt" in keys else []))
 
 
+def _concentrated(vectors: DataFrame, estimate: DataFrame, number: int) -> DataFrame:
+    """One concentration step of each group and start."""
+    far = beside(vectors, estimate, ["group"], number).withColumn("far", _distance())
+    bound = far.groupBy("group", "start").agg(F.percentile_approx("far", SHARE, 10_000).alias("bound"))
+    return _moments(beside(far, bound, ["group", "start"], number).where("far <= bound"))
+
+
 def robust_estimates(vectors: DataFrame, number: int) -> DataFrame:
-    """Per group: m0.. and s00.. of its minimum-covariance-determinant estimate, from (group, x0, ...) of ``number`` groups."""
-    half, scratch = F.lit(SHARE), Scratch(vectors.sparkSession)
-    middle = vectors.groupBy("group").agg(*(F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)))
-    away = beside(vectors, middle, ["group"], number).groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(P)))
-    start = middle.join(away, "group")
-    zero = [F.lit(0.0).alias(f"s{i}{j}") if i != j else (F.col(f"d{i}") * F.col(f"d{i}") * F.lit(1.4826**2) + F.lit(FLOOR[i])).alias(f"s{i}{i}") for i in range(P) for j in range(i + 1)]
-    estimate = scratch.write(start.select("group", *(f"m{i}" for i in range(P)), *zero), "mcd-start")
-    for step in range(STEPS):
-        far = beside(vectors, estimate, ["group"], number).withColumn("far", _distance())
-        bound = far.groupBy("group").agg(F.percentile_approx("far", half, 10_000).alias("bound"))
-        estimate = scratch.write(_moments(beside(far, bound, ["group"], number).where("far <= bound")), f"mcd-{step}")
+    """Per group: m0.., s00.., their factor l00.. and log determinant of its minimum-covariance-determinant estimate, from (group, x0, ...) of ``number`` groups."""
+    scratch = Scratch(vectors.sparkSession)
+    names = ["start", *(f"m{i}" for i in range(P)), *(f"{c}{i}{j}" for c in "sl" for i in range(P) for j in range(i + 1)), "determinant"]
+    estimate = scratch.write(_starts(vectors, number), "mcd-start")
+    for step in range(FIRST_STEPS):
+        estimate = scratch.write(_concentrated(vectors, estimate, number * (RANDOM_STARTS + 1)), f"mcd-first-{step}")
+        scratch.clear(keep=1)
+    place = F.row_number().over(Window.partitionBy("group").orderBy("determinant", "start"))
+    best = estimate.withColumns({"place": place, "falls": F.lit(True)}).where(F.col("place") <= KEPT_STARTS).drop("place")
+    best = scratch.write(best, "mcd-best")
+    scratch.clear(keep=1)
+    for step in range(MOST_STEPS):
+        new = _concentrated(vectors, best.drop("determinant", "falls"), number * KEPT_STARTS).select("group", "start", F.struct(*names).alias("n"))
+        both = best.join(new, ["group", "start"])
+        fallen = F.col("n.determinant") < F.col("determinant") - FALLS
+        best = scratch.write(both.select("group", *(F.when(fallen, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in names), fallen.alias("falls")), f"mcd-{step}")
         scratch.clear(keep=1)
-    return estimate
+        if best.where("falls").isEmpty():
+            break
+    return best.groupBy("group").agg(F.min_by(F.struct(*names[1:]), F.struct("determinant", "start")).alias("b")).select("group", "b.*")
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -172,7 +213,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     number = groups.count()
     known = groups.join(large, "group", "left_semi").select("lang", "source", "group")
     vectors = beside(stats.where("not base_failed"), known, ["lang", "source"], number).select("group", *(f"x{i}" for i in range(P)))
-    estimate = known.join(robust_estimates(materialised(vectors, "mcd-vectors"), number), "group").drop("group")
+    estimate = known.join(robust_estimates(materialised(vectors, "mcd-vectors"), number), "group").drop("group", "determinant")
 
     judged = beside(stats, estimate, ["lang", "source"], number, "left").select(*stats.columns, _distance().alias("distance"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)

@@ -10,9 +10,10 @@ Training: no table marks personal data, so the trees learn from the corpus itsel
 loose forms, in their own contexts, beside other numbers and behind words that announce them.  Negative are candidates that their
 kind's format rules out (a failed check digit, octets over 255, prose around "at"), and numbers that are made of a base span's
 digits but are something else (dates, amounts, order numbers, runs inside a code).  Loose candidates of which nothing is known are
-not learnt from.  The sample is every text with a candidate, or a share of them by a hash that holds about ``FIT_DOCS`` of them, and
-at most ``FIT_EXAMPLES`` examples of these, again by a hash, whatever the partitions.  A third, by text, calibrates: the threshold
-of a kind is the lowest score from which on at least ``PRECISION`` of its examples are positive, and 1 where none is.
+not learnt from.  Every text with a candidate is learnt from.  Equal examples are counted where they lie and added up by Spark,
+first with their features, then with the bins of these, so the driver gets distinct rows of bins with their numbers, and trees
+fitted to these are those of all examples.  A third, by text, calibrates: the threshold of a kind is the lowest score from which on
+at least ``PRECISION`` of its examples are positive, and 1 where none is.
 
 Places are code points, ends exclusive.  All searches are linear in the text, whatever runs it holds.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 import uuid
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices
+from lectern.llm.common import Scratch, slices
 
 #: The kinds in their order and the formats of base spans. A look behind, or a quantifier that gives nothing back,
 #: only spares attempts that cannot match.
@@ -58,7 +60,7 @@ ALONE = {"card": re.compile(r"(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"), "ph
 CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "addr", "host", "server"), "card": ("card", "visa", "credit", "pay"), "phone": ("phone", "tel", "call", "mobile", "fax")}
 OTHER_CUES = ("order", "no.", "id", "version", "ref", "isbn", "page", "total", "price", "invoice", "date", "code", "token", "key")
 NEAR = 24
-FIT_DOCS, FIT_EXAMPLES, PRECISION = 4000, 24_000, 0.98
+PRECISION = 0.98
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 16
 _DIGIT, _MARKED = re.compile("[0-9]"), re.compile(r"@|\[|\(|\{| dot ")
 _workers: dict = {}
@@ -228,15 +230,15 @@ class Trees:
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        b, n, width = self.binned(x), len(x), x.shape[1]
-        p = (y.sum() + 1) / (n + 2)
+    def fit(self, b: np.ndarray, y: np.ndarray, times: np.ndarray) -> None:
+        """From binned rows, each of which counts ``times``."""
+        n, width = len(b), b.shape[1]
+        p = ((y * times).sum() + 1) / (times.sum() + 2)
         self.start = float(np.log(p / (1 - p)))
         value = np.full(n, self.start)
         for _ in range(TREES):
             q = 1 / (1 + np.exp(-value))
-            g, h = y - q, q * (1 - q)
+            g, h = (y - q) * times, q * (1 - q) * times
             leaf, splits = np.zeros(n, np.int64), []
             for depth in range(DEPTH):  # one split for all leaves of a level
                 gain = np.full((width, BINS), -np.inf)
@@ -255,45 +257,65 @@ class Trees:
             self.trees.append((splits, weight))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        b, value = self.binned(x), np.full(len(x), self.start)
+        return self.scores_of_bins(self.binned(x))
+
+    def scores_of_bins(self, b: np.ndarray) -> np.ndarray:
+        value = np.full(len(b), self.start)
         for splits, weight in self.trees:
-            leaf = np.zeros(len(x), np.int64)
+            leaf = np.zeros(len(b), np.int64)
             for j, cut in splits:
                 leaf = 2 * leaf + (b[:, j] > cut)
             value += weight[leaf]
         return 1 / (1 + np.exp(-value))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, kind: np.ndarray) -> None:
-        s = self.scores(x)
+    def calibrate(self, b: np.ndarray, y: np.ndarray, kind: np.ndarray, times: np.ndarray) -> None:
+        s = self.scores_of_bins(b)
         for k in range(len(KINDS)):
-            own = np.flatnonzero(kind == k)
-            order = own[np.argsort(-s[own], kind="stable")]
-            share = np.cumsum(y[order]) / (np.arange(len(order)) + 1 + 1 / max(1, len(order)))
-            good = np.flatnonzero(share >= PRECISION)
-            self.threshold[k] = float(max(0.5, s[order[good[-1]]])) if len(good) >= 10 else 1.0
+            own = kind == k
+            score, place = np.unique(-s[own], return_inverse=True)  # the highest first; rows of one score stand or fall together
+            n, good = np.bincount(place, times[own]), np.bincount(place, (times * y)[own])
+            enough = np.flatnonzero(np.cumsum(good) / (np.cumsum(n) + 1 / max(1, n.sum())) >= PRECISION)
+            self.threshold[k] = float(max(0.5, -score[enough[-1]])) if n[enough].sum() >= 10 else 1.0
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Trees | None:
-    """Trees and thresholds from a bounded sample of examples; only their features reach the driver."""
+    """Trees and thresholds from the examples of all texts."""
+    fields = ("kind", "label", "part")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                rows = [(f, k, y, h, i) for h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, (f, k, y) in enumerate(examples(text))]
-                yield pa.RecordBatch.from_pydict({"f": [r[0] for r in rows], "kind": [r[1] for r in rows], "label": [r[2] for r in rows], "h": [r[3] for r in rows], "place": [r[4] for r in rows]}, schema=pa.schema([("f", pa.list_(pa.float64())), ("kind", pa.int32()), ("label", pa.int32()), ("h", pa.int64()), ("place", pa.int32())]))
+            for rows in slices(batch):
+                n = Counter((tuple(f), k, y, p) for p, text in zip(*(c.to_pylist() for c in rows.columns), strict=True) for f, k, y in examples(text))
+                columns = list(zip(*n, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.float64())), *(pa.array(c, pa.int32()) for c in columns[1:]), pa.array(n.values(), pa.int64())], ["f", *fields, "n"])
+
+    def bin_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bins = trees.binned(np.array(batch.column(0).to_pylist())).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), *batch.columns[1:]], ["bins", *fields, "n"])
+
+    def added_up(rows: DataFrame, what: str) -> DataFrame:
+        return rows.groupBy(what, *fields).agg(F.sum("n").alias("n"))
 
+    trees, scratch, held = Trees(), Scratch(docs.sparkSession), ", ".join(f"{c} int" for c in fields)
     likely = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    n = likely.count()
-    hashed = likely.select(F.xxhash64("text").alias("h"), "text")
-    sample = hashed if n <= FIT_DOCS else hashed.where(F.pmod("h", F.lit(1 << 30)) < int(FIT_DOCS / n * (1 << 30)))
-    found = sample.mapInArrow(learn, "f array<double>, kind int, label int, h long, place int")
-    rows = found.orderBy(F.xxhash64("h", "place"), "kind").limit(FIT_EXAMPLES).collect()
-    if len({r.label for r in rows}) < 2:
+    found = likely.select(F.pmod(F.xxhash64("text"), F.lit(3)).alias("part"), "text").mapInArrow(learn, f"f array<double>, {held}, n long")
+    known = scratch.write(added_up(found, "f"), "examples")
+    values = known.where("part > 0").select(F.posexplode("f").alias("feature", "value")).distinct().toPandas()
+    if not len(values):
+        scratch.clear()
+        return None
+    # between distinct values, so that a mark that few examples have still counts
+    trees.edges = [np.unique(np.quantile(own["value"], np.linspace(0, 1, BINS + 1)[1:-1])) for _, own in values.groupby("feature")]
+    rows = added_up(known.mapInArrow(bin_, f"bins binary, {held}, n long"), "bins").toPandas().sort_values(["bins", *fields])  # sums of doubles hang on their order
+    scratch.clear()
+    if rows["label"].nunique() < 2:
         return None
-    x, y, kind, part = np.array([r.f for r in rows]), np.array([r.label for r in rows], float), np.array([r.kind for r in rows]), np.array([r.h % 3 for r in rows])
-    trees = Trees()
-    trees.fit(x[part > 0], y[part > 0])
-    trees.calibrate(x[part == 0], y[part == 0], kind[part == 0])
+    b = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(len(rows), -1).astype(np.int64)
+    y, kind, part, times = (rows[c].to_numpy(t) for c, t in (("label", float), ("kind", int), ("part", int), ("n", float)))
+    trees.fit(b[part > 0], y[part > 0], times[part > 0])
+    trees.calibrate(b[part == 0], y[part == 0], kind[part == 0], times[part == 0])
     return trees
 
 

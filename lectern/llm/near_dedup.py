@@ -106,10 +106,9 @@ def detailed(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     fixed size lets through the ids' documents, and some others, where they are read."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).collect()
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toArrow()  # as columns: the driver would hold a row of Python's objects for each of them
     bits = np.zeros(FILTER_BITS // 32, U)
-    for r in words:
-        bits[r.word] = r.bits
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(U)
     wanted = spark.sparkContext.broadcast(bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import slices
+from lectern.llm.common import give_back, slices
 from lectern.llm.hashing import U, text_bytes, word_hashes
 
 WINDOW, STRIDE = 16, 12
@@ -302,6 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     network = Network()
     network.train(sample["text"].tolist(), toxic)
+    del sample, texts
+    give_back()
     return network
 
 

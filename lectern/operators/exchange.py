@@ -6,6 +6,8 @@ not an error; missing sections count 0; repeated keys of an import count once, t
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,6 +221,8 @@ def register(spark) -> None:
 
 #: Bytes of each end of a file that count for its fingerprint; a file of up to twice as many counts whole.
 SAMPLE = 64 * 1024
+#: Bytes of a file above which only its ends are read.
+LARGE = 16 << 20
 
 
 def fingerprint(content: Column, length: Column) -> Column:
@@ -229,8 +233,24 @@ def fingerprint(content: Column, length: Column) -> Column:
     return F.substring(F.sha2(F.when(length <= 2 * SAMPLE, content).otherwise(ends), 256), 1, 16)
 
 
+def _ends(spark, path: str, length: int) -> bytes:
+    """The two ends of a large file, of any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        read = spark._jvm.org.apache.commons.io.IOUtils.toByteArray
+        head = read(file, SAMPLE)
+        file.seek(length - SAMPLE)
+        return head + read(file, SAMPLE)
+    finally:
+        file.close()
+
+
 def file_fingerprints(spark, folder: str, pattern: str = "*") -> DataFrame:
-    """Path, length and fingerprint of the files of a folder, whatever their kind. A file is one row, so of 2 GB at most; Spark
-    lists no empty files."""
+    """Path, length and fingerprint of the files of a folder, whatever their kind. A file of up to ``LARGE`` bytes is read as one row;
+    of a larger one, of any size, only the two ends are read (128 KB, by the driver) and nothing else. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", fingerprint(F.col("content"), F.col("length")).alias("file_hash"))
+    small = files.where(F.col("length") <= LARGE).select("path", "length", fingerprint(F.col("content"), F.col("length")).alias("file_hash"))
+    large = files.where(F.col("length") > LARGE).select("path", "length").collect()
+    hashed = [(r.path, r.length, hashlib.sha256(_ends(spark, r.path, r.length) + r.length.to_bytes(8, "little")).hexdigest()[:16]) for r in large]
+    return small.unionByName(spark.createDataFrame(hashed, small.schema)) if hashed else small

@@ -6,8 +6,10 @@ Edge cases: null and blank texts have no words and get the defaults of readabili
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.common import WHITE, ratio, round_half_up, slices, split_words
-from lectern.operators.text import ABBREVIATIONS, TITLES, pause, word_count
+from lectern.operators.text import ABBREVIATIONS, KNOWN_WORDS, TITLES, pause, pause_of, word_count
 
 #: A mark that may end a sentence, with a quote and the space behind it; and lower case after space.
 _MARK = re.compile(r"""[.!?]+["'»]?\s*""")
@@ -82,16 +84,39 @@ def spelled(words: DataFrame) -> DataFrame:
 def with_dictionary(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Spelled words (word, language, letters, syllables, ...) whose syllables come from a dictionary (language, word, syllables) where
     it knows the letters and the built-in exceptions do not.  Words of up to two letters keep their one syllable; of repeated entries
-    the greatest count holds; an empty dictionary changes nothing.  Distinct letters alone meet the dictionary, so a frequent word is
-    one row; whether a side is broadcast is left to Spark's limits."""
+    the greatest count holds; an empty dictionary changes nothing.  The words are read once; whether the dictionary is broadcast is left
+    to Spark's limits, and where it is not, Spark cuts the part of a frequent word."""
     entry = dictionary.select("language", F.lower("word").alias("letters"), F.col("syllables").cast("long").alias("entry")).where("entry is not null").groupBy("language", "letters").agg(F.max("entry").alias("entry"))
     built_in = F.lit(False)
     for code, table in (("en", ENGLISH), ("no", NORWEGIAN)):
         built_in = built_in | ((F.col("language") == code) & F.col("letters").isin(*(w for own in by_count(table).values() for w in own)))
-    open_ = words.select("language", "letters").distinct().where(~built_in & (F.length("letters") > 2)).join(entry, ["language", "letters"])
+    open_ = entry.where(~built_in & (F.length("letters") > 2))
     return words.join(open_, ["language", "letters"], "left").withColumn("syllables", F.coalesce("entry", "syllables")).drop("entry").select(*words.columns)
 
 
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """The distinct words (word, language) of texts. A task drops the repeats that it sees, so few words are shuffled."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, seen = _Words(), {"en": set(), "no": set()}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for language, words in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([language] * len(words), pa.string())], ["word", "language"])
+                words.clear()
+
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    if text:
+                        seen[rules.language(text)].update(rules.WORD.findall(text))
+                if sum(map(len, seen.values())) > KNOWN_WORDS:
+                    yield from found()
+        yield from found()
+
+    return docs.select("text").mapInArrow(gather, "word string, language string").distinct()
+
+
 def is_complex() -> Column:
     """E6, of spelled words: three syllables or more, also without ed, es and ing."""
     w = F.col("letters")
@@ -217,30 +242,25 @@ class _Words:
     """The rules of E2, E4 and E6 for whole texts, each word worked out once in a worker; the columns above say the same of words in a
     table.  Known words are forgotten when they are ``MOST``."""
 
-    MOST = 400_000
-    WORD, OTHER, OWN = re.compile(rf"[^{WHITE}]+"), re.compile("[^a-zA-ZæøåÆØÅ]"), re.compile("[æøå]")
+    MOST = KNOWN_WORDS
+    WORD, OTHER, NO_LETTER = re.compile(rf"[^{WHITE}]+"), re.compile("[^a-zA-ZæøåÆØÅ]"), re.compile(f"[^a-zæøå{WHITE}]+")
     NO_VOWELS, EN_VOWELS, NO_LATIN, SILENT = re.compile("[aeiouyæøå]+"), re.compile("[aeiouy]+"), re.compile("[^a-z]"), re.compile(SILENT)
+    OTHER_TIER, HYPHEN = re.compile(f"[^{TIER_LETTERS}]"), re.compile(HYPHEN)
     TABLES = {code: {w: n for n, words in by_count(table).items() for w in words} for code, table in (("en", ENGLISH), ("no", NORWEGIAN))}
     NO, EN = frozenset(NORWEGIAN_WORDS), frozenset(ENGLISH_WORDS)
 
     def __init__(self) -> None:
         self.known: dict[str, dict[str, tuple[int, bool]]] = {"en": {}, "no": {}}
-        self.bare: dict[str, str] = {}
 
     def letters(self, word: str) -> str:
-        found = self.bare.get(word)
-        if found is None:
-            if len(self.bare) >= self.MOST:
-                self.bare.clear()
-            found = self.bare[word] = self.OTHER.sub("", word).lower()
-        return found
+        return word.lower() if word.isascii() and word.isalpha() else self.OTHER.sub("", word).lower()
 
     def language(self, text: str) -> str:
         low = text.lower()
-        if low and len(self.OWN.findall(low)) / len(low) > 0.001:
+        if low and sum(map(low.count, "æøå")) / len(low) > 0.001:
             return "no"
-        bare = [self.letters(w) for w in self.WORD.findall(low)]
-        no, en = sum(w in self.NO for w in bare), sum(w in self.EN for w in bare)
+        bare = self.NO_LETTER.sub("", low).replace("\ufeff", " ").split()  # words' letters alone; words without any do not count
+        no, en = sum(map(self.NO.__contains__, bare)), sum(map(self.EN.__contains__, bare))
         return "no" if no > en * 1.5 and no > 3 else "en"
 
     def syllables(self, w: str, language: str) -> int:
@@ -264,6 +284,11 @@ class _Words:
             found = known[word] = n, n >= 3 and self.syllables(w.removesuffix("ed").removesuffix("es").removesuffix("ing"), language) >= 3
         return found
 
+    def tier(self, word: str, language: str) -> int:
+        """D12 of one word."""
+        n, sound = len(self.OTHER_TIER.sub("", word.lower())), min(max(self.facts(word, language)[0], 1), 5)
+        return 3 if n == 0 else ((1 if n <= 2 else 2 if n <= 4 else 3 if n <= 7 else 4 if n <= 10 else 5) * 7 + sound * 3 + 5) // 10
+
     def sums(self, text: str) -> tuple[str, int, int, int, int]:
         """Language, words, sentences, syllables and complex words of a text."""
         language = self.language(text)
@@ -292,9 +317,59 @@ def text_sums(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def tier_counts(docs: DataFrame) -> DataFrame:
-    """Words of each tier in each document."""
-    words = spelled(language_words(docs, "doc_id").where("word is not null")).select("doc_id", tier().alias("tier"))
-    return words.groupBy("doc_id").agg(*(F.count_if(F.col("tier") == t).alias(f"tier_{t}") for t in range(1, 6)))
+    """Words of each tier in each document that has words, counted where its text lies."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, known = _Words(), {"en": {}, "no": {}}
+        for batch in batches:
+            for part in slices(batch):
+                rows = np.zeros((part.num_rows, 6), np.int64)
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    language = rules.language(text or "")
+                    own = known[language]
+                    for word, n in Counter(rules.WORD.findall(text or "")).items():
+                        if (t := own.get(word)) is None:
+                            if len(own) >= rules.MOST:
+                                own.clear()
+                            t = own[word] = rules.tier(word, language)
+                        rows[i, t] += n
+                full = rows.any(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(full)), *(pa.array(rows[full, t]) for t in range(1, 6))], ["doc_id", *tiers])
+
+    tiers = [f"tier_{t}" for t in range(1, 6)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, {', '.join(f'{t} long' for t in tiers)}")
+    return counted.groupBy("doc_id").agg(*(F.sum(t).alias(t) for t in tiers))
+
+
+class WordTimes:
+    """D13 of the words of texts, by the English rules: what ``word_duration`` says of a column. Numbers of words, and for each number
+    what its time is multiplied by; known words are forgotten when they are ``KNOWN_WORDS``."""
+
+    def __init__(self, adaptive: bool) -> None:
+        self.rules, self.adaptive = _Words(), adaptive
+        self.known: dict[str, int] = {}
+        self.factors = np.empty((KNOWN_WORDS, 3))
+
+    def _number(self, word: str) -> int:
+        n = self.known[word] = len(self.known)
+        letters, sound = len(self.rules.letters(word)), self.rules.facts(word, "en")[0]
+        complexity = 0.0 if letters <= 2 else 0.1 if letters <= 3 else min(1.0, (letters - 3) / 9.0) * 0.4 + min(1.0, (sound - 1) / 3.0) * 0.6
+        fitted = (0.7 + complexity * 0.6) * 0.4 + SPEED[self.rules.tier(word, "en") - 1] * 0.6 if self.adaptive else 1.0
+        self.factors[n] = 1 + len(self.rules.HYPHEN.findall(word)), fitted, pause_of(word)
+        return n
+
+    def of(self, text: str, wpm: int) -> np.ndarray:
+        """Milliseconds of the words of a text, 80 at least."""
+        known, out = self.known, []
+        words = self.rules.WORD.findall(text)
+        for at in range(0, len(words), KNOWN_WORDS):
+            some = words[at : at + KNOWN_WORDS]
+            if len(known) + len(some) > KNOWN_WORDS:
+                known.clear()
+            hyphens, fitted, pauses = self.factors[[n if (n := known.get(w)) is not None else self._number(w) for w in some]].T
+            out.append(np.maximum(80.0, 60000.0 / wpm * hyphens * fitted * pauses))
+        return np.concatenate(out) if out else np.empty(0)
 
 
 def _tenth(x: Column, unit: float = 10.0) -> Column:

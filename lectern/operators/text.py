@@ -32,6 +32,8 @@ def bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f")
 
 
+#: Words of which a task keeps what is known, at some 200 bytes each: a few times ten MB in each of an executor's Python workers.
+KNOWN_WORDS = 1 << 16
 #: Lower-case Latin letters with accents, and what is left of them without.
 _ACCENTED = "".join(c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c == c.lower() and len(bare(c)) == 1 and bare(c) != c)
 _BARE = "".join(map(bare, _ACCENTED))
@@ -117,6 +119,34 @@ def pause(word: Column) -> Column:
     return out.otherwise(1.0)
 
 
+_TRANSITIONS, _ABBREVIATED = frozenset(TRANSITIONS), frozenset(ABBREVIATIONS)
+_ELLIPSIS_ENDS, _SENTENCE_ENDS, _STOP_ENDS = re.compile(r"\.{2,}\Z|…\Z"), re.compile("""([.!?])["'»]?\\Z"""), re.compile("""\\.["'»]?\\Z""")
+_SHORT_WORD, _LETTERS = re.compile(r"[A-Z]{1,2}\.?"), re.compile(r"[a-zA-Z]\.([a-zA-Z]\.)+")
+
+
+def pause_of(t: str) -> float:
+    """D6 of one word without white space: what ``pause`` says of a column, for tasks that read whole texts word by word."""
+    last = t[-1:]
+    if last.isalnum():
+        return TRANSITION if re.sub("[,;:]", "", t).lower() in _TRANSITIONS else 1.0
+    if _ELLIPSIS_ENDS.search(t):
+        return ELLIPSIS
+    if m := _SENTENCE_ENDS.search(t):
+        if _STOP_ENDS.search(t):
+            abbreviation = t.rstrip("\"'»")
+            bare_word = abbreviation.rstrip(".").lower()
+            if bare_word in _ABBREVIATED or (len(bare_word) == 1 and bare_word.isascii() and bare_word.isalpha()) or _SHORT_WORD.fullmatch(abbreviation) or _LETTERS.fullmatch(abbreviation):
+                return 1.0
+        return QUESTION if m[1] == "?" else EXCLAMATION if m[1] == "!" else END
+    if last in ")]":
+        return PAREN
+    if last in "\"'»" and t[0] not in "\"'«":
+        return QUOTE
+    if last == ",":
+        return COMMA + 0.2 if re.sub("[,;:]", "", t[:-1]).lower() in _TRANSITIONS else COMMA
+    return {";": SEMICOLON, ":": COLON, "-": DASH, "–": DASH, "—": DASH}.get(last) or (TRANSITION if re.sub("[,;:]", "", t).lower() in _TRANSITIONS else 1.0)
+
+
 def sentence_pause(sentence: Column) -> Column:
     """Pause after a sentence."""
     return F.when(sentence.contains("!"), EXCLAMATION).when(sentence.contains("?"), QUESTION).when(sentence.rlike(r"\.{2,}|…"), ELLIPSIS).otherwise(END)
@@ -138,13 +168,33 @@ def sentence_tokens(docs: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame, size: int, separator: str = "\n\n+") -> DataFrame:
     """D3: runs of ``size`` words inside paragraphs; the last of a paragraph, but for the text's last paragraph, pauses 3.0 at least."""
-    raw = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), separator).alias("parts"))
-    parts = raw.select("doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("paragraph", "part")).select("doc_id", "n", "paragraph", split_words(F.col("part")).alias("words")).where("size(words) > 0")
-    cut = parts.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / size).cast("int"))).alias("k"))
-    own = cut.select("doc_id", "n", "paragraph", "k", F.slice("words", F.col("k") * size + 1, F.lit(size)).alias("own"), ((F.col("k") + 1) * size >= F.size("words")).alias("last"))
-    ends = F.col("last") & (F.col("paragraph") < F.col("n") - 1)
-    step = pause(F.element_at("own", -1))
-    return own.select("doc_id", F.col("paragraph").cast("long"), F.col("k").cast("long").alias("chunk"), F.array_join("own", " ").alias("text"), F.when(ends, F.greatest(step, F.lit(3.0))).otherwise(step).alias("pause"), ends.alias("paragraph_end"))
+    break_, word = re.compile(separator), re.compile(f"[^{WHITE}]+")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+        for batch in batches:
+            for some in slices(batch):
+                place, rows = [], []
+                for i, text in enumerate(some.column(1).to_pylist()):
+                    parts = break_.split(text or "")
+                    for number, part in enumerate(parts):
+                        words = word.findall(part)
+                        for k, at in enumerate(range(0, len(words), size)):
+                            own = words[at : at + size]
+                            if (step := known.get(own[-1])) is None:
+                                if len(known) >= KNOWN_WORDS:
+                                    known.clear()
+                                step = known[own[-1]] = pause_of(own[-1])
+                            ends = at + size >= len(words) and number < len(parts) - 1
+                            place.append(i)
+                            rows.append((number, k, " ".join(own), max(step, 3.0) if ends else step, ends))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(place, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+
+    names = ["doc_id", "paragraph", "chunk", "text", "pause", "paragraph_end"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, paragraph long, chunk long, text string, pause double, paragraph_end boolean")
 
 
 def block_offsets(blocks: DataFrame) -> DataFrame:
@@ -174,7 +224,7 @@ class PhraseFinder:
     words that contain the words of a phrase.  Which words of the phrases a word contains is worked out once in a worker, as bits; known
     words are forgotten when they are ``MOST``."""
 
-    MOST = 400_000
+    MOST = KNOWN_WORDS
     WORD, OTHER = re.compile(f"[^{WHITE}]+"), re.compile(r"[\W_]")
 
     def __init__(self, phrases: Sequence[str]) -> None:

@@ -84,7 +84,7 @@ QUERIES = {
     "d15_sentence_pacing": lambda s, d: X.paced_sentences(_blocks(s, d), _block_scores(s, d), L.WPM, HEADING_PAUSE),
     "d16_emphasis": _emphasised,
     "d16_speed_emphasis": lambda s, d: B.sessions(s, d).select("event_id", (F.col("wpm") * 2).alias("wpm"), X.proportion_at(F.col("wpm") * 2).alias("proportion")),
-    "f04_matches_at": lambda s, d: X.matches_at(D.word_tokens(B.table(s, d, "documents")).select("doc_id", "word"), _matches(s, d), "phrase"),
+    "f04_matches_at": lambda s, d: X.matches_at(None, _matches(s, d), "phrase"),
     "f05_neighbour_matches": lambda s, d: X.neighbour_matches(_matches(s, d), "phrase"),
     "h14_time_remaining": lambda s, d: X.time_remaining(L._offsets(s, d), L.WPM),
 }

@@ -18,7 +18,7 @@ def _docs(s, d):
 
 def _vocabulary(s, d):
     """Distinct words of each language: rules of single words run once for each of them."""
-    return E.spelled(E.language_words(_docs(s, d), "doc_id").where("word is not null").select("word", "language").distinct())
+    return E.spelled(E.distinct_words(_docs(s, d)))
 
 
 def _offsets(s, d):

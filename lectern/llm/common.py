@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,7 +61,7 @@ class Scratch:
 
 
 def give_back() -> None:
-    """Return what the driver's Python has freed to the system; the C library else keeps it for the rest of the session."""
+    """Return what this Python has freed to the system; the C library else keeps it as long as the driver, or a worker between tasks, lives."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -69,6 +70,18 @@ def give_back() -> None:
         pass
 
 
+def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step over Arrow batches that gives memory back when its task ends: workers outlive it, and wait beside those of later stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def materialised(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, outlives executors. For tables that the
     caller's result is read from; they stay."""

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Scratch, materialised, shared_dir, slices
+from lectern.llm.common import Scratch, materialised, shared_dir, slices, tidy
 from lectern.llm.hashing import U, shingles, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 75, 32, 4
@@ -98,7 +98,7 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(sign, schema)
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(tidy(sign), schema)
 
 
 def detailed(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,7 +125,7 @@ def detailed(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
 
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.BinaryType()) for c in ("sig", "bands", "set"))])
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").withColumn("slot", slot)
-    return read.mapInArrow(build, schema).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return read.mapInArrow(tidy(build), schema).join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -208,7 +208,7 @@ def similar_pairs(members: DataFrame, details: DataFrame, across: bool) -> DataF
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(compare, schema)
+    return rows.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(tidy(compare), schema)
 
 
 def verified(pairs: DataFrame, details: DataFrame, scratch: Scratch) -> DataFrame:
@@ -226,7 +226,7 @@ def verified(pairs: DataFrame, details: DataFrame, scratch: Scratch) -> DataFram
 
     sets = details.select("id", "set")
     tested = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
-    return scratch.write(tested.mapInArrow(exact, pairs.schema), "links")
+    return scratch.write(tested.mapInArrow(tidy(exact), pairs.schema), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import materialised, slices
+from lectern.llm.common import materialised, slices, tidy
 from lectern.llm.hashing import U, mixed
 from lectern.llm.word_ids import BATCH_ROWS, BLOCK, binary_ids, word_ids
 
@@ -234,7 +234,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField(name, T.BinaryType())])
-    return materialised(read.mapInArrow(encode, schema), "packing-ids")
+    return materialised(read.mapInArrow(tidy(encode), schema), "packing-ids")
 
 
 def corpus_of(rows: DataFrame) -> Corpus:
@@ -292,7 +292,7 @@ def ordered(rows: DataFrame, corpus: Corpus, tree: Tree) -> DataFrame:
 
     names = ["leaf", "code", "row", "id", f"ids{width}"]
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names[:3]), rows.schema["id"], rows.schema[names[4]]])
-    return rows.mapInArrow(code, schema).repartitionByRange(ranges, "leaf", "code", "row").sortWithinPartitions("leaf", "code", "row")
+    return rows.mapInArrow(tidy(code), schema).repartitionByRange(ranges, "leaf", "code", "row").sortWithinPartitions("leaf", "code", "row")
 
 
 def shards(batches: Iterator[pa.RecordBatch], docs: int) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -338,7 +338,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_
 
     long = [T.StructField(c, T.LongType()) for c in ("start", "length")]
     schema = T.StructType([T.StructField("id", kind), *long, T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "sequence_id", "offset"))])
-    return ordered(rows, corpus, tree).select("leaf", "id", f"ids{width}").mapInArrow(pack_shards, schema).withColumnRenamed("id", id_col)
+    return ordered(rows, corpus, tree).select("leaf", "id", f"ids{width}").mapInArrow(tidy(pack_shards), schema).withColumnRenamed("id", id_col)
 
 
 def piece_digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:

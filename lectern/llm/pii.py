@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Scratch, slices
+from lectern.llm.common import Scratch, slices, tidy
 
 #: The kinds in their order and the formats of base spans. A look behind, or a quantifier that gives nothing back,
 #: only spares attempts that cannot match.
@@ -300,7 +300,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Trees | None:
 
     trees, scratch, held = Trees(), Scratch(docs.sparkSession), ", ".join(f"{c} int" for c in fields)
     likely = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    found = likely.select(F.pmod(F.xxhash64("text"), F.lit(3)).alias("part"), "text").mapInArrow(learn, f"f array<double>, {held}, n long")
+    found = likely.select(F.pmod(F.xxhash64("text"), F.lit(3)).alias("part"), "text").mapInArrow(tidy(learn), f"f array<double>, {held}, n long")
     known = scratch.write(added_up(found, "f"), "examples")
     values = known.where("part > 0").select(F.posexplode("f").alias("feature", "value")).distinct().toPandas()
     if not len(values):
@@ -392,7 +392,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = ["id", *(f"n_{k}" for k in KINDS), "base", "spans"]
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string"
-    return read.mapInArrow(find, schema).withColumnRenamed("id", id_col)
+    return read.mapInArrow(tidy(find), schema).withColumnRenamed("id", id_col)
 
 
 def redacted_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -410,5 +410,5 @@ def redacted_documents(docs: DataFrame, text_col: str = "text", length_col: str
                 texts = [None if t is None else redacted(t, all_spans(t, _workers[key])[1]) for t in part.column(place).to_pylist()]
                 yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
-    out = docs.mapInArrow(redact, docs.schema)
+    out = docs.mapInArrow(tidy(redact), docs.schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out

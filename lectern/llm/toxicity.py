@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import give_back, slices
+from lectern.llm.common import give_back, slices, tidy
 from lectern.llm.hashing import U, text_bytes, word_hashes
 
 WINDOW, STRIDE = 16, 12
@@ -323,7 +323,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = read.mapInArrow(score, f"id {kind}, score double, predicted int")
+    scored = read.mapInArrow(tidy(score), f"id {kind}, score double, predicted int")
     return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -341,4 +341,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             for part in slices(batch, 1000, SLICE_BYTES):
                 yield part.filter(pa.array(network.scores(part.column(place)) < 0.5)) if network else part
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -6,7 +6,7 @@ embedding starts as its smoothed log odds among the labelled texts; training goe
 pools their states, and a logistic unit gives the window's logit.  A text is cut into overlapping windows over its whole
 length, and its score is that of its highest window.
 
-Training is in numpy on a bounded sample of labelled rows: ``FIT_ROWS`` of each label and ``FIT_BYTES`` of text at most, in the
+Training is in numpy, in a task (the driver gets the network alone), on a bounded sample of labelled rows: ``FIT_ROWS`` of each label and ``FIT_BYTES`` of text at most, in the
 order of a hash of their ids, texts of all lengths.  A toxic text trains by its highest window, a clean one by a window at
 random or its highest.  One part in eight of the sample, held back and scored as whole texts, sets the logit that becomes
 score 0.5.  Labels are read only where crc32(id as text) mod 5 is not 0; language, source and id are no inputs.
@@ -18,6 +18,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import give_back, slices, tidy
+from lectern.llm.common import slices, tidy
 from lectern.llm.hashing import U, text_bytes, word_hashes
 
 WINDOW, STRIDE = 16, 12
@@ -284,6 +285,19 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The network that a sample (key, text, toxic), all of it in one task, trains; none without both labels."""
+    read = list(batches)
+    if not read:
+        return
+    sample = pa.Table.from_batches(read).to_pandas().sort_values("key", ignore_index=True)
+    toxic = sample["toxic"].to_numpy().astype(np.float32)
+    if 0 < toxic.sum() < len(toxic):
+        network = Network()
+        network.train(sample["text"].tolist(), toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Network | None:
     """A network trained on a bounded sample of the labelled rows that are not held out; None without both labels."""
     known = labels.select(F.col(id_col).alias("key"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("key").isNotNull() & ~F.coalesce(held_out(F.col("key")), F.lit(True)))
@@ -296,15 +310,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(taken):
         return None
     some = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken.tolist()], T.StructType([T.StructField("key", docs.schema[id_col].dataType)])))
-    sample = texts.join(some, "key", "left_semi").dropDuplicates(["key"]).toPandas().sort_values("key", ignore_index=True)
-    toxic = sample["toxic"].to_numpy().astype(np.float32)
-    if not 0 < toxic.sum() < len(toxic):
-        return None
-    network = Network()
-    network.train(sample["text"].tolist(), toxic)
-    del sample, texts
-    give_back()
-    return network
+    sample = texts.join(some, "key", "left_semi").dropDuplicates(["key"]).select("key", "text", "toxic")
+    found = sample.repartition(1).mapInArrow(tidy(_trained), "network binary").collect()
+    return pickle.loads(found[0].network) if found else None
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -134,13 +134,13 @@ def escaped(text: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """Text as a JSON string; null for null."""
-    listed = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2)).otherwise("null")
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))  # the brackets of the array: inside them stand quotation marks, or null
 
 
-def copied() -> Column:
-    """An annotation (text, note) as it is copied: the text in quotation marks, a note that is not blank below it."""
-    note = trimmed(F.coalesce("note", F.lit("")))
+def copied(note: Column | None = None) -> Column:
+    """An annotation (text, note) as it is copied: the text in quotation marks, a note that is not blank below it (``note``, where it
+    has been trimmed already)."""
+    note = trimmed(F.coalesce("note", F.lit(""))) if note is None else note
     return F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('"'), F.when(note != "", F.concat(F.lit("\nNote: "), note)).otherwise(""))
 
 
@@ -150,18 +150,26 @@ def exported(notes: DataFrame, kind: str, exported_at: str) -> DataFrame:
     closes a file. A file is its parts by place, with line feeds between.  Parts stay rows, so a document with very many annotations is
     sorted and counted with spilling, never gathered into one value.  Missing titles are ``Untitled``; of several in a document the
     greatest holds."""
+    return exported_files(notes, (kind,), exported_at).drop("format")
+
+
+def exported_files(notes: DataFrame, kinds: tuple[str, ...], exported_at: str) -> DataFrame:
+    """The parts of ``exported`` in several formats (format, doc_key, place, part); annotations are ordered and counted once for all."""
     whole = Window.partitionBy("doc_key")
     n = F.count("*").over(whole).alias("n")
     title = F.coalesce(F.max("title").over(whole), F.lit("Untitled"))
-    rows = notes.withColumn("text", F.coalesce("text", F.lit(""))).select("*", F.row_number().over(_in_place(notes)).cast("long").alias("place"), n, title.alias("of"))
-    last, note = F.col("place") == F.col("n"), trimmed(F.coalesce("note", F.lit("")))
-    head, entry, foot = _PARTS[kind](F.col("of"), F.col("n"), last, note, exported_at)
-    part = lambda place, text: F.struct(place.alias("place"), text.alias("part"))
-    found = [F.when(F.col("place") == 1, part(F.lit(0).cast("long"), head)), part(F.col("place"), entry)]
-    if foot is not None:
-        found.append(F.when(last, part(F.col("place") + 1, foot)))
-    parts = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return rows.select("doc_key", F.explode(parts).alias("p")).select("doc_key", "p.place", "p.part")
+    own = notes.withColumns({"text": F.coalesce("text", F.lit("")), "noted": trimmed(F.coalesce("note", F.lit("")))})
+    rows = own.select("*", F.row_number().over(_in_place(notes)).cast("long").alias("place"), n, title.alias("of"))
+    last, found = F.col("place") == F.col("n"), []
+    for kind in kinds:
+        part = lambda place, text: F.struct(F.lit(kind).alias("format"), place.alias("place"), text.alias("part"))  # noqa: B023, E731
+        head, entry, foot = _PARTS[kind](F.col("of"), F.col("n"), last, F.col("noted"), exported_at)
+        found += [F.when(F.col("place") == 1, part(F.lit(0).cast("long"), head)), part(F.col("place"), entry)]
+        if foot is not None:
+            found.append(F.when(last, part(F.col("place") + 1, foot)))
+    made = rows.select("doc_key", F.array(*found).alias("parts"))  # a step of its own: inside explode its expressions would be interpreted
+    parts = made.select("doc_key", F.explode("parts").alias("p")).where("p is not null")
+    return parts.select("p.format", "doc_key", "p.place", "p.part")
 
 
 def _text(*parts) -> Column:
@@ -176,13 +184,13 @@ def _markdown(title, n, last, note, exported_at):
 
 
 def _plain(title, n, last, note, exported_at):
-    return _text('Highlights from "', title, '"\n'), _text("---\n\n", copied(), F.when(last, "").otherwise("\n")), None
+    return _text('Highlights from "', title, '"\n'), _text("---\n\n", copied(note), F.when(last, "").otherwise("\n")), None
 
 
 def _json(title, n, last, note, exported_at):
     tags = F.coalesce("tags", F.array().cast("array<string>"))
     listed = F.when(F.size(tags) == 0, "[]").otherwise(_text("[\n        ", F.array_join(F.transform(tags, quoted), ",\n        "), "\n      ]"))
-    fields = {"text": quoted(F.col("text")), "note": quoted(F.when(F.col("note") != "", F.col("note"))), "color": quoted(F.col("color")), "isFavorite": F.coalesce("favorite", F.lit(False)).cast("string"), "tags": listed, "createdAt": quoted(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))}
+    fields = {"text": quoted(F.col("text")), "note": quoted(F.when(F.col("note") != "", F.col("note"))), "color": quoted(F.col("color")), "isFavorite": F.coalesce("favorite", F.lit(False)).cast("string"), "tags": listed, "createdAt": F.coalesce(_text('"', F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), '"'), F.lit("null"))}
     body = F.concat_ws(",\n", *(_text(f'      "{k}": ', v) for k, v in fields.items()))
     head = _text('{\n  "documentTitle": ', quoted(title), f',\n  "exportedAt": "{exported_at}T00:00:00.000Z",\n  "annotations": [')
     return head, _text("    {\n", body, F.when(last, "\n    }").otherwise("\n    },")), F.lit("  ]\n}")

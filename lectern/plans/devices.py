@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,23 +106,21 @@ def _goal_changes(s, d):
     return e.select("user_id", "ts", "event_id", (F.col("event_id") % 90).alias("daily_minutes"))
 
 
-def _notes_with_text(s, d):
+def _notes_with_text(s, d, by_document=False):
     """Annotations with a text that holds signs of markup, and notes with space around them."""
     text = F.concat(F.lit("<b>"), "color", F.lit("</b> & \"it's\" "), F.col("start_word").cast("string"))
-    return B.annotations(s, d).withColumns({"text": text, "note": F.when(F.col("start_word") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "note", F.lit(" ")))})
+    return B.annotations(s, d, by_document).withColumns({"text": text, "note": F.when(F.col("start_word") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "note", F.lit(" ")))})
 
 
 def _export_files(s, d):
     titles = B.archive_items(s, d).select(F.col("id").alias("doc_key"), "title")
-    notes = _notes_with_text(s, d).join(titles, "doc_key", "left")
-    files = [J.exported(notes, kind, B.AS_OF).select(F.lit(kind).alias("format"), "*") for kind in J.FORMATS]
-    return functools.reduce(DataFrame.unionByName, files)
+    return J.exported_files(_notes_with_text(s, d, by_document=True).join(titles, "doc_key", "left"), J.FORMATS, B.AS_OF)
 
 
 QUERIES = {
     "a08_export_files": _export_files,
     "a08_copied_notes": lambda s, d: _notes_with_text(s, d).select("id", J.copied().alias("copied")),
-    "a08_exported_notes": lambda s, d: J.exported_lines(B.annotations(s, d)),
+    "a08_exported_notes": lambda s, d: J.exported_lines(B.annotations(s, d, by_document=True)),
     "a10_import_counts": lambda s, d: J.import_counts(_texts(s, d).where("start_block % 2 = 0"), _texts(s, d).where("start_block % 2 = 1")),
     "f07_suggestions": lambda s, d: H.suggestions(B.archive_items(s, d), "an"),
     "f08_tag_suggestions": lambda s, d: J.tag_suggestions(B.annotations(s, d), "", used=("A",)),

@@ -52,7 +52,8 @@ def archive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, p = (table(spark, sf_dir, t) for t in ("orders", "customer", "part"))
     key = F.col("o_orderkey")
     kind = F.element_at(F.array(*map(F.lit, ("web", "pdf", "docx", "epub", "mobi", "paste"))), (key % 6 + 1).cast("int"))
-    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, key % 2000 == F.col("p_partkey"))
+    few = F.broadcast(p.where(F.abs("p_partkey") < 2000).select("p_partkey", "p_name", "p_brand"))  # no other part has an order, however many there are
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(few, key % 2000 == F.col("p_partkey"))
     return joined.select(
         key.alias("id"), F.col("o_custkey").alias("user_id"), F.col("p_name").alias("title"), F.when(key % 5 != 0, F.col("c_name")).alias("author"), kind.alias("type"), F.col("p_brand").alias("source_label"),
         F.to_date("o_orderdate").alias("created"), F.date_add(F.to_date("o_orderdate"), (key % 90).cast("int")).alias("last_opened"), (key % 101).alias("percent"), F.when(key % 3 != 0, key % 7).alias("chapter"), (key % 40).alias("block"),
@@ -69,9 +70,13 @@ PHRASES = ("of the", "the", "and in", "réel", "que", "und", "the th", "as", "ci
 PALETTE = ("yellow", "green", "blue", "pink", "purple")
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highlights and notes, from distinct line items; ids are made of all that a row is made of, so none repeats."""
+def annotations(spark: SparkSession, sf_dir: str, by_document: bool = False) -> DataFrame:
+    """Highlights and notes, from distinct line items; ids are made of all that a row is made of, so none repeats.  ``by_document`` deals
+    line items over tasks by document before ids are made, which joins, windows and groups of documents need: rows are then shuffled once,
+    without ids, and not again to be made distinct and once more by document."""
     n = table(spark, sf_dir, "lineitem")
+    if by_document:
+        n = n.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("l_shipdate")).repartition("l_orderkey")
     color = F.element_at(F.array(*map(F.lit, PALETTE)), (F.col("l_partkey") % 5 + 1).cast("int"))
     start = F.col("l_suppkey") % 30
     return n.select(

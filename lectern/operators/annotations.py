@@ -99,8 +99,8 @@ def with_items(notes: DataFrame, items: DataFrame) -> DataFrame:
 
 def at_words(words: DataFrame, notes: DataFrame) -> DataFrame:
     """The first annotation over each word (doc_key, block, word), blocks between its ends included; the join is on document
-    and block, with a range of words."""
-    spread = notes.select("doc_key", "id", "color", "start_block", "start_word", "end_block", "end_word", F.explode(F.sequence("start_block", "end_block")).alias("block"))
+    and block, with a range of words.  Notes with a column ``block`` have a row for each of their blocks already."""
+    spread = notes if "block" in notes.columns else notes.withColumn("block", F.explode(F.sequence("start_block", "end_block")))
     first = F.when(F.col("block") == F.col("start_block"), F.col("start_word")).otherwise(F.lit(0))
     last = F.when(F.col("block") == F.col("end_block"), F.col("end_word"))
     ranges = spread.select("doc_key", "block", "id", "color", "start_block", "start_word", first.alias("first"), last.alias("last"))

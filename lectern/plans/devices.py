@@ -42,9 +42,9 @@ def _texts(s, d):
 
 
 def _words(s, d):
-    """A word of each block of line items, as many as there are."""
+    """A word of each block of line items, as many as there are, dealt as their join with annotations needs them."""
     n = B.table(s, d, "lineitem")
-    return n.select(F.col("l_orderkey").alias("doc_key"), F.col("l_linenumber").cast("long").alias("block"), (F.col("l_partkey") % 60).alias("word")).distinct()
+    return n.select(F.col("l_orderkey").alias("doc_key"), F.col("l_linenumber").cast("long").alias("block"), (F.col("l_partkey") % 60).alias("word")).repartition("doc_key", "block").distinct()
 
 
 def _pairs(s, d):
@@ -137,7 +137,7 @@ QUERIES = {
     "h19_visible_selection": lambda s, d: B.archive_items(s, d).where("type = 'web'").join(B.archive_items(s, d).where("id % 10 < 5").select("id"), "id", "left_semi").groupBy("user_id").agg(F.count("*").alias("selected")),
     "i04_collection_catalog": lambda s, d: H.collection_catalog(B.archive_items(s, d).select("user_id").distinct(), _named_collections(s, d), DEFAULTS),
     "j01_with_items": lambda s, d: J.with_items(B.annotations(s, d), B.archive_items(s, d).select((F.col("id") - F.col("id") % 2).alias("key"), "title", "type", "last_opened", "id")),
-    "j07_at_words": lambda s, d: J.at_words(_words(s, d), B.annotations(s, d)),
+    "j07_at_words": lambda s, d: J.at_words(_words(s, d), B.annotations_by_block(s, d)),
     "k21_projections": lambda s, d: K.projections(B.sessions(s, d), S._daily(s, d), _backlog(s, d), B.AS_OF),
     "k25_sparklines": lambda s, d: K.sparklines(S._series(s, d, 7)),
     "k26_habit_scores": lambda s, d: K.habit_scores(_kpis(s, d)),

@@ -75,12 +75,26 @@ def annotations(spark: SparkSession, sf_dir: str, by_document: bool = False) ->
     line items over tasks by document before ids are made, which joins, windows and groups of documents need: rows are then shuffled once,
     without ids, and not again to be made distinct and once more by document."""
     n = table(spark, sf_dir, "lineitem")
-    if by_document:
-        n = n.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("l_shipdate")).repartition("l_orderkey")
+    return _annotations(_bare(n).repartition("l_orderkey") if by_document else n).distinct()
+
+
+def annotations_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations with a row for each block that they cover, dealt over tasks by document and block before ids are made."""
+    n = _bare(table(spark, sf_dir, "lineitem"))
+    covered = F.sequence(F.col("l_linenumber").cast("long"), (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("long"))
+    return _annotations(n.withColumn("block", F.explode(covered)).repartition("l_orderkey", "block"), "block").distinct()
+
+
+def _bare(n: DataFrame) -> DataFrame:
+    """What annotations are made of."""
+    return n.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("l_shipdate"))
+
+
+def _annotations(n: DataFrame, *more: str) -> DataFrame:
     color = F.element_at(F.array(*map(F.lit, PALETTE)), (F.col("l_partkey") % 5 + 1).cast("int"))
     start = F.col("l_suppkey") % 30
     return n.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag", "l_linestatus", F.to_date("l_shipdate")).alias("id"), F.col("l_orderkey").alias("doc_key"), color.alias("color"), F.col("l_linenumber").cast("long").alias("start_block"), start.alias("start_word"),
         (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("long").alias("end_block"), (start + F.col("l_quantity").cast("int")).alias("end_word"), F.when(F.col("l_returnflag") == "R", F.lit("note")).alias("note"), (F.col("l_linestatus") == "F").alias("favorite"),
-        F.when(F.col("l_partkey") % 4 == 0, F.array("l_returnflag", "l_linestatus")).alias("tags"), F.to_date("l_shipdate").alias("created"),
-    ).distinct()
+        F.when(F.col("l_partkey") % 4 == 0, F.array("l_returnflag", "l_linestatus")).alias("tags"), F.to_date("l_shipdate").alias("created"), *more,
+    )

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,8 @@ ROUNDS, STEPS = 6, 400
 #: that it is in, as the odds of what few texts have are those texts' labels.
 SMOOTH, ODDS, SEEN = 4.0, 2.0, 5
 SLICE_BYTES = 1 << 20
+#: Parameters with a row for each word, trigram or prefix.
+TABLES = ("word", "tri", *(f"prefix{k}" for k in PREFIXES))
 _workers: dict = {}
 
 
@@ -94,6 +97,7 @@ class Windows:
 
 class Network:
     def __init__(self, seed: int = 7) -> None:
+        self.seed, self.started = seed, False
         r = np.random.default_rng(seed)
         h, e = HIDDEN, INPUT
 
@@ -105,6 +109,27 @@ class Network:
         self.p |= {"wa": draw(2 * h, h, scale=(2 * h) ** -0.5), "va": draw(h, scale=0.5), "wo": draw(2 * h, scale=0.3), "bo": np.zeros(1, np.float32)}
         self.shift, self.slope = 0.0, 1.0
 
+    def __getstate__(self) -> dict:
+        """Of the tables of embeddings the rows that training has changed: most are as the seed drew them, and are drawn again where the network is read."""
+        state, drawn = self.__dict__ | {"p": dict(self.p)}, Network(self.seed)._drawn(self.started)
+        for name in TABLES:
+            rows = np.flatnonzero((self.p[name] != drawn[name]).any(axis=1)).astype(np.int32)
+            state["p"][name] = rows, self.p[name][rows]
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        drawn = Network(state["seed"])._drawn(state["started"])
+        for name in TABLES:
+            rows, values = state["p"][name]
+            drawn[name][rows] = values
+        self.__dict__ = state | {"p": state["p"] | {name: drawn[name] for name in TABLES}}
+
+    def _drawn(self, started: bool) -> dict[str, np.ndarray]:
+        """The parameters as drawn; where training has started, without the first numbers that it gives to what few texts have."""
+        for name in (n for n in TABLES if started and n != "tri"):
+            self.p[name][:, 0] = 0
+        return self.p
+
     def inputs(self, w: Windows) -> tuple[np.ndarray, np.ndarray]:
         """Embeddings of the distinct words, and their products with the input weights."""
         tri = np.add.reduceat(self.p["tri"][w.trigram], w.cut, axis=0) / w.size[:, None] if len(w.cut) else np.empty((0, EMBED))
@@ -215,6 +240,7 @@ class Network:
         share = toxic[docs].mean() if len(docs) else 0.0
         if not 0 < share < 1:
             return
+        self.started = True
         for name, own in (("word", w.word), *((f"prefix{k}", x) for k, x in zip(PREFIXES, w.prefix, strict=True))):
             table = len(self.p[name])
             both = np.unique(doc * table + own[step])
@@ -298,8 +324,9 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Network | None:
-    """A network trained on a bounded sample of the labelled rows that are not held out; None without both labels."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> bytes | None:
+    """A network, pickled, trained on a bounded sample of the labelled rows that are not held out; None without both labels. The driver passes it
+    on unread."""
     known = labels.select(F.col(id_col).alias("key"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("key").isNotNull() & ~F.coalesce(held_out(F.col("key")), F.lit(True)))
     order = (F.xxhash64("key"), "key")
     rows = known.where("toxic = 1").distinct().orderBy(*order).limit(fit_rows).union(known.where("toxic = 0").distinct().orderBy(*order).limit(fit_rows))
@@ -312,7 +339,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken.tolist()], T.StructType([T.StructField("key", docs.schema[id_col].dataType)])))
     sample = texts.join(some, "key", "left_semi").dropDuplicates(["key"]).select("key", "text", "toxic")
     found = sample.repartition(1).mapInArrow(tidy(_trained), "network binary").collect()
-    return pickle.loads(found[0].network) if found else None
+    return bytes(found[0].network) if found else None
+
+
+def _network(key: str, model: Broadcast) -> Network | None:
+    """The network of a query, read once by a worker."""
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = pickle.loads(model.value) if model.value else None
+    return _workers[key]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,10 +356,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model, key = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col)), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = model.value
-        network = _workers[key]
+        network = _network(key, model)
         for batch in batches:
             for part in slices(batch, 1000, SLICE_BYTES):
                 found = network.scores(part.column(1)).astype(float) if network else np.zeros(part.num_rows)
@@ -341,10 +373,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = model.value
-        network = _workers[key]
+        network = _network(key, model)
         for batch in batches:
             for part in slices(batch, 1000, SLICE_BYTES):
                 yield part.filter(pa.array(network.scores(part.column(place)) < 0.5)) if network else part

@@ -7,6 +7,7 @@ not an error; missing sections count 0; repeated keys of an import count once, t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,24 +128,25 @@ def _keys(items: DataFrame, pasted: Column) -> DataFrame:
     return items.withColumn("keys", F.explode(F.array(keys))).select(*items.columns, "keys.*")
 
 
-def upserted(existing: DataFrame, inputs: DataFrame, now: Column | None = None) -> DataFrame:
+def upserted(existing: DataFrame, inputs: DataFrame, now: Column | None = None, hold: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """Opened items (user_id, title, author, type, url, file_hash, word_count, opened; paste_content if there is any) laid over those of
     a library that have their file hash, that of their pasted text, or their URL; others are new.  An item keeps id and creation, and what
     an input leaves open; of several items that fit, the last opened one is taken, and of several inputs for one item the latest counts.
     Opened is ``now``, else the input's own time.  Pasted texts are cut to ``PASTE_LIMIT`` characters after they are hashed.  Inputs
-    without hash, text and URL have no identity and are left out.
+    without hash, text and URL have no identity and are left out.  ``hold`` gets the frames that are read twice, with a name, and may
+    give them back as tables.
 
     A key is one user's, so no user's items meet another's; keys are exploded and joined, never compared pair by pair."""
     pasted = "paste_content" in existing.columns or "paste_content" in inputs.columns
-    order = F.struct("opened", "title", *(c for c in _ITEM if c != "title"))
-    fields = F.struct(*_ITEM, "opened", "hash_key", "url_key")
+    # The latest input is the greatest of its fields; they end with its keys, which follow from the others.
+    fields = F.struct("opened", "title", *(c for c in _ITEM if c != "title"), "hash_key", "url_key")
     keyed = _keys(inputs, F.col("file_hash").isNull()).withColumn("group", F.coalesce("hash_key", "url_key")).where("group is not null")
 
     def latest(rows: DataFrame, keys: Column) -> DataFrame:
-        return rows.groupBy("user_id", "group").agg(F.max_by(fields, order).alias("b"), F.array_distinct(F.flatten(F.collect_set(keys))).alias("keys")).select("user_id", "group", "b.*", "keys")
+        return rows.groupBy("user_id", "group").agg(F.max(fields).alias("b"), keys.alias("keys")).select("user_id", "group", "b.*", "keys")
 
-    one = latest(keyed, F.filter(F.array("hash_key", "url_key"), lambda k: k.isNotNull())).withColumn("group", F.coalesce("url_key", "group"))
-    new = latest(one, F.col("keys")).withColumn("paste_content", F.substring("paste_content", 1, PASTE_LIMIT))
+    one = latest(keyed, F.concat(F.collect_set("hash_key"), F.collect_set("url_key"))).withColumn("group", F.coalesce("url_key", "group"))
+    new = hold(latest(one, F.array_distinct(F.flatten(F.collect_set("keys")))).withColumn("paste_content", F.substring("paste_content", 1, PASTE_LIMIT)), "inputs")
 
     own = _keys(existing, (F.col("type") == "paste") & F.col("file_hash").isNull())
     held = own.select("user_id", "id", "last_opened", F.explode(F.filter(F.array("hash_key", "url_key"), lambda k: k.isNotNull())).alias("key"))
@@ -152,7 +154,7 @@ def upserted(existing: DataFrame, inputs: DataFrame, now: Column | None = None)
     first = Window.partitionBy("user_id", "group").orderBy(F.desc("last_opened"), "id")
     taken = hits.withColumn("n", F.row_number().over(first)).where("n = 1").select("user_id", "group", F.col("id").alias("item"))
 
-    matched = new.join(taken, ["user_id", "group"], "left")
+    matched = hold(new.join(taken, ["user_id", "group"], "left"), "matched")
     last = Window.partitionBy("user_id", "item").orderBy(F.desc("opened"), F.desc("title"), "group")
     over = matched.where("item is not null").withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
     a, b = own.alias("a"), over.alias("b")

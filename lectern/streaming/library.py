@@ -40,26 +40,31 @@ def tombstones(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(f"{STONE}, version int").parquet(f"{folder}/stones").groupBy("user_id", "key").agg(F.max("deleted_at").alias("deleted_at"))
 
 
-def apply_changes(batch: DataFrame, folder: str, number: int) -> None:
+def apply_changes(batch: DataFrame, folder: str, number: int, spark: SparkSession | None = None) -> None:
     """One batch of changes (event_id, ts, user_id, kind, id, title, author, type, url, file_hash, word_count): ``open`` by G9, then
-    ``delete`` of an id by H16, unless the item has been opened since."""
-    spark = batch.sparkSession
-    changes = batch.persist()
-    if changes.isEmpty():
+    ``delete`` of an id by H16, unless the item has been opened since.  Tables are read by ``spark``, as the session of a stream's batch does
+    not adapt its plans."""
+    spark = spark or batch.sparkSession
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        """The frame as a table that the next batch replaces: the batch's state, joins and groups are worked out once, whatever reads them."""
+        df.write.mode("overwrite").parquet(f"{folder}/held/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/held/{name}")
+
+    changes = held(batch, "changes")
+    at = changes.agg(F.max("ts")).first()[0]
+    if at is None and changes.isEmpty():
         return
     touched = changes.select(_bucket().alias("bucket")).distinct()
     known = items(spark, folder, number).withColumn("bucket", _bucket()).join(touched, "bucket", "left_semi").drop("bucket")
     opened = changes.where("kind = 'open'").withColumnRenamed("ts", "opened").drop("id")
-    now = upserted(known, opened).select(*(c.split(" ")[0] for c in ITEM.split(", "))).persist()
+    now = held(upserted(known, opened, hold=held).select(*(c.split(" ")[0] for c in ITEM.split(", "))), "now")
     wanted = changes.where("kind = 'delete'").groupBy("user_id", "id").agg(F.max("ts").alias("ts"))
-    gone = now.join(wanted, ["user_id", "id"]).where("ts >= last_opened").select("user_id", "id", "ts")
-    kept, stones = deleted(now, gone.select("user_id", "id"), None)
-    at = changes.agg(F.max("ts")).first()[0]
+    gone = held(now.select("user_id", "id", "last_opened").join(wanted, ["user_id", "id"]).where("ts >= last_opened").select("user_id", "id"), "gone")
+    kept, stones = deleted(now, gone, None)
     stones.select("user_id", "key", F.lit(at).cast("timestamp").alias("deleted_at")).write.mode("overwrite").parquet(f"{folder}/stones/version={number}")
     kept.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/items/version={number}")
     touched.select("bucket", F.lit(number).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/heads/batch={number}")  # last: readers see whole versions
-    now.unpersist()
-    changes.unpersist()
 
 
 def kept_up(changes: DataFrame, folder: str) -> DataFrame:
@@ -68,6 +73,6 @@ def kept_up(changes: DataFrame, folder: str) -> DataFrame:
     for name, schema in (("items/version=-1/bucket=-1", ITEM), ("heads/batch=-1", "bucket int, version int"), ("stones/version=-1", STONE)):
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
     once = changes.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
-    query = once.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(lambda batch, number: apply_changes(batch, folder, number)).start()
+    query = once.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(lambda batch, number: apply_changes(batch, folder, number, spark)).start()
     query.awaitTermination()
     return items(spark, folder)

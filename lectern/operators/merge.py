@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +35,12 @@ def not_deleted(items: DataFrame, stones: DataFrame, respect_time: bool = False)
     return items.join(hit.select("user_id", "id").distinct(), ["user_id", "id"], "left_anti")
 
 
-def merged_library(replicas: DataFrame, stones: DataFrame) -> DataFrame:
-    """M7: merge by hash, by url and by id, then take away what is deleted."""
+def merged_library(replicas: DataFrame, stones: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """M7: merge by hash, by url and by id, then take away what is deleted.  The merged rows are read twice, for their keys and whole; ``hold``
+    gets them and may give them back as a table."""
     once = deduplicated(replicas).drop("merged_rows")
     by_id = merged(once, "user_id", "id_key") if "id_key" in once.columns else merged(once.withColumn("id_key", F.col("id")), "user_id", "id_key")
-    return not_deleted(by_id.select(*COLUMNS), stones)
+    return not_deleted(hold(by_id.select(*COLUMNS)), stones)
 
 
 def newest_rows(rows: DataFrame, keys: list[str], stamp: str, priority: str = "replica") -> DataFrame:

@@ -14,6 +14,7 @@ from lectern.operators import text as D
 from lectern.plans import statistics as S
 from lectern.plans.library import DEDUP, ITEMS, NORMAL, NOTES, STONES, _both, _gone, _merged
 from lectern.sources import bindings as B
+from lectern.streaming.live import shared_folder
 
 DEFAULTS = ("Favorites", "Reading list")
 
@@ -67,7 +68,11 @@ def _per_replica(s, d, f):
 
 
 def _merged_library(s, d):
-    return M.merged_library(_both(s, d), _gone(s, d)[1])
+    def held(merged: DataFrame) -> DataFrame:
+        merged.write.parquet(folder := shared_folder(s, "m07"))
+        return s.read.schema(merged.schema).parquet(folder)
+
+    return M.merged_library(_both(s, d), _gone(s, d)[1], held)
 
 
 def _note_rows(s, d):

@@ -41,17 +41,23 @@ _TYPES = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.i
 _ARROW = pa.schema([(c.split(" ")[0], _TYPES[c.split(" ")[1]]) for c in BLOCKS.split(", ")])
 
 
+def _dealt(pages: DataFrame) -> DataFrame:
+    """Pages over as many tasks as a shuffle has: to read one takes far longer than its bytes, and a file of a few row groups, as pages
+    that are much alike compress to, would be read by as few tasks."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("page_id", "html"))
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
     """Every block of the pages with its tag, level, characters in links, and why it should go and by which element; table
     rows have their cells between bars.  ``clean`` and ``markup`` are its content after C6, as text and with inline elements; ``inside``
     ranks those of the page's five best candidates for the article (C2) that hold it.  Null and empty pages have none."""
-    return pages.select("page_id", "html").mapInArrow(_parsed, BLOCKS)
+    return _dealt(pages.select("page_id", "html")).mapInArrow(_parsed, BLOCKS)
 
 
 def in_article(judged: DataFrame) -> DataFrame:
-    """Of judged blocks those in the best candidate that keeps ``LEAST_ARTICLE`` characters, or all of a page where none does."""
+    """Of judged blocks (with their ``chars``) those in the best candidate that keeps ``LEAST_ARTICLE`` characters, or all of a page where none does."""
     page = Window.partitionBy("page_id")
-    kept = F.when(F.col("reason").isNull(), F.length("content")).otherwise(0)
+    kept = F.when(F.col("reason").isNull(), F.col("chars")).otherwise(0)
     chars = lambda rank: F.sum(F.when(F.array_contains("inside", rank), kept)).over(page)
     best = F.coalesce(*(F.when(chars(r) >= LEAST_ARTICLE, F.lit(r)) for r in range(1, CANDIDATES + 1)))
     return judged.withColumn("best", best).where(F.col("best").isNull() | F.expr("array_contains(inside, best)")).drop("best")
@@ -102,8 +108,11 @@ def removals(pages: DataFrame) -> DataFrame:
 
 
 def article_rows(pages: DataFrame) -> DataFrame:
-    """The blocks of each page's article (page_id, block, type, level, content, markup): C1 to C5, C2, C6, B6."""
-    kept = normalised(in_article(judged_blocks(pages)).where("reason is null"))
+    """The blocks of each page's article (page_id, block, type, level, content, markup): C1 to C5, C2, C6, B6.  A block that goes by
+    itself is dropped where it was read, but for headings, which say where a summary ends; of content only its length is shuffled."""
+    own = page_blocks(pages).withColumns({"reason": F.coalesce("reason", heuristic_reason()), "chars": F.length("content")}).where("reason is null or level is not null")
+    judged = in_summary(own).withColumn("reason", F.when(F.col("in_section"), "summary-section").otherwise(F.col("reason")))
+    kept = normalised(in_article(judged).where("reason is null"))
     kinds = F.when(F.col("level").isNotNull(), "heading").when(F.col("tag") == "pre", "code").when(F.col("tag") == "blockquote", "quote").when(F.col("tag") == "li", "list").otherwise("paragraph")
     return article_blocks(kept.select("page_id", "block", kinds.alias("type"), "level", "content", "markup"))
 

@@ -13,8 +13,7 @@ import datetime
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -23,21 +22,25 @@ from lectern.streaming.live import LATE, latest, written
 
 EVENTS = "user_id long, kind string, goal_day date, day date, value long, other long"
 _SUMMARY = "run_first int, run_last int, longest int, best_ms long, best_ms_at long, best_wpm long, best_wpm_at long, best_words long, best_words_day int, closed int"
-_SESSION = "at long, event_id long, duration_ms long, words long, wpm long, goal_ms long"
+_SESSION = ("at", "event_id", "duration_ms", "words", "wpm", "goal_ms")
+_EVENT = Row(*(c.split(" ")[0] for c in EVENTS.split(", ")))
 _NOTHING = (None, None, 0, None, None, None, None, None, None, -(1 << 30))
 _DAY_US = 86_400_000_000
-_STORE = "spark.sql.streaming.stateStore.providerClass"
+_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 @contextmanager
 def keyed_store(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, which keyed state needs."""
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Queries started inside keep their state in RocksDB, which keyed state needs, and run no batch without rows, in which no user changes
+    (the watermark of the last batch holds for the next one all the same)."""
+    before = {name: spark.conf.get(name) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_STORE, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def folded(summary: tuple, sessions: list[tuple]) -> tuple:
@@ -83,27 +86,31 @@ def _date(day: int | None) -> datetime.date | None:
     return None if day is None else datetime.date(1970, 1, 1) + datetime.timedelta(days=day)
 
 
+def _numbers(session: str) -> tuple:
+    """The numbers of a session from their text."""
+    parts = session.split(" ")
+    return tuple(map(int, parts)) if "null" not in parts else tuple(None if x == "null" else int(x) for x in parts)
+
+
 class _Habits(StatefulProcessor):
+    """A session comes as the text of its numbers and is kept as that, and all that is known of a user is one value, read and written once
+    a batch: most users have a few sessions in a batch, for which columns, frames and values of their own take longer than the work."""
+
     def init(self, handle) -> None:
-        self.summary = handle.getValueState("summary", _SUMMARY)
-        self.sessions = handle.getListState("sessions", _SESSION)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        plain = lambda t: tuple(None if pd.isna(x) else int(x) for x in t)
-        summary = plain(self.summary.get()) if self.summary.exists() else _NOTHING
-        held = [plain(t) for t in self.sessions.get()] if self.sessions.exists() else []
-        columns = ["at", "event_id", "duration_ms", "words", "wpm", "goal_ms"]
-        new = [plain(t) for batch in rows for t in batch[columns].itertuples(index=False)]
-        now = list({*held, *(t for t in new if t[0] // _DAY_US >= summary[-1])})  # a row that comes again is one row
+        self.known = handle.getValueState("known", f"{_SUMMARY}, sessions string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        *summary, texts = self.known.get() or (*_NOTHING, "")
+        summary, held = tuple(summary), {_numbers(t): t for t in texts.split("\n") if t}
+        new = {_numbers(t): t for t in {r[-1] for r in rows}}
+        now = held | {s: t for s, t in new.items() if s[0] // _DAY_US >= summary[-1]}  # a row that comes again is one row
         before, after = facts(summary, held), facts(summary, now)
         closed = max(summary[-1], timerValues.getCurrentWatermarkInMs() * 1000 // _DAY_US)
         summary = (*folded(summary, [t for t in now if t[0] // _DAY_US < closed])[:-1], closed)
-        self.summary.update(summary)
-        self.sessions.put([t for t in now if t[0] // _DAY_US >= closed])
-        changed = [(key[0], kind, _date(goal), _date(day), value, other) for (kind, goal), (day, value, other) in after.items() if before.get((kind, goal)) != (day, value, other)]
-        if changed:
-            out = pd.DataFrame(changed, columns=["user_id", "kind", "goal_day", "day", "value", "other"])
-            yield out.astype({"value": "Int64", "other": "Int64"})
+        self.known.update((*summary, "\n".join(t for s, t in now.items() if s[0] // _DAY_US >= closed)))
+        for (kind, goal), (day, value, other) in after.items():
+            if before.get((kind, goal)) != (day, value, other):
+                yield _EVENT(key[0], kind, _date(goal), _date(day), value, other)
 
     def close(self) -> None:
         pass
@@ -115,9 +122,11 @@ def reading_events(sessions: DataFrame, goals: DataFrame, folder: str) -> DataFr
     (the longest streak; the session that reaches a goal).  A stream that is started again with its folder goes on where it was."""
     wanted = goals.select("user_id", (F.col("daily_minutes") * 60_000).cast("long").alias("goal_ms"))
     dated = sessions.withWatermark("ts", LATE).join(wanted, "user_id", "left")
-    rows = dated.select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "duration_ms", "words", F.col("wpm").cast("long").alias("wpm"), "goal_ms")
+    numbers = dated.withColumn("at", F.unix_micros("ts"))
+    session = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("long").cast("string"), F.lit("null")) for c in _SESSION))
+    rows = numbers.select("user_id", "ts", session.alias("session"))
     with keyed_store(sessions.sparkSession):
-        events = rows.groupBy("user_id").transformWithStateInPandas(_Habits(), EVENTS, "update", "EventTime")
+        events = rows.groupBy("user_id").transformWithState(_Habits(), EVENTS, "update", "EventTime")
         return latest(written(events, folder, "update"), "user_id", "kind", "goal_day")
 
 
